@@ -1,11 +1,13 @@
 """Queries of this subpackage and, where SQL can express them, what they must equal."""
 
-from wayside.llm import mixing, quality, urls
+from wayside.llm import langid, mixing, quality, secretscan, urls
 
 QUERIES = {
     "op2_host_reputation": urls.op2_host_reputation,
+    "op3_language": langid.op3_language,
     "op5_mix": mixing.op5_mix,
     "op6_host_rules": quality.op6_host_rules,
+    "op10_secret_spans": secretscan.op10_secret_spans,
 }
 
 ORACLE_SQL = {
