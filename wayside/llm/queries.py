@@ -1,12 +1,14 @@
 """Queries of this subpackage and, where SQL can express them, what they must equal."""
 
-from wayside.llm import langid, mixing, quality, secretscan, urls
+from wayside.llm import bpe, langid, mixing, quality, secretscan, tokencount, urls
 
 QUERIES = {
     "op2_host_reputation": urls.op2_host_reputation,
     "op3_language": langid.op3_language,
+    "op4_bpe": bpe.op4_bpe,
     "op5_mix": mixing.op5_mix,
     "op6_host_rules": quality.op6_host_rules,
+    "op9_token_counts": tokencount.op9_token_counts,
     "op10_secret_spans": secretscan.op10_secret_spans,
 }
 
