@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, what they must equal."""
 
-from wayside.llm import bpe, langid, mixing, quality, secretscan, tokencount, urls
+from wayside.llm import bpe, langid, mixing, neardup, quality, secretscan, tokencount, urls
 
 QUERIES = {
     "op2_host_reputation": urls.op2_host_reputation,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_mix": mixing.op5_mix,
     "op6_host_rules": quality.op6_host_rules,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_secret_spans": secretscan.op10_secret_spans,
 }
