@@ -1,13 +1,15 @@
 """Queries of this subpackage and, where SQL can express them, what they must equal."""
 
-from wayside.llm import bpe, langid, mixing, neardup, quality, secretscan, tokencount, urls
+from wayside.llm import ann, bpe, langid, lm, mixing, neardup, quality, secretscan, tokencount, urls
 
 QUERIES = {
+    "op1_pseudo_likelihood": lm.op1_pseudo_likelihood,
     "op2_host_reputation": urls.op2_host_reputation,
     "op3_language": langid.op3_language,
     "op4_bpe": bpe.op4_bpe,
     "op5_mix": mixing.op5_mix,
     "op6_host_rules": quality.op6_host_rules,
+    "op7_nearest": ann.op7_nearest,
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_secret_spans": secretscan.op10_secret_spans,
