@@ -186,8 +186,9 @@ def triangulate(rays: DataFrame, keys: list[str]) -> DataFrame:
     })
     behind = F.exists(listed, lambda r: geo.ray_forward_m(r["lat"], r["lon"], r["bearing"], F.col("t_lat"), F.col("t_lon")) < 0)
     sound = F.col("east").isNotNull() & ~F.coalesce(behind, F.lit(False))
-    return fixed.select(
-        *keys, "n_rays", *[F.when(sound, F.col(c)).alias(c) for c in ("t_lat", "t_lon", "residual_m", "parallax_deg")]
+    # a column of its own: within lambdas a name may mean the new column of a select
+    return fixed.withColumn("_sound", sound).select(
+        *keys, "n_rays", *[F.when(F.col("_sound"), F.col(c)).alias(c) for c in ("t_lat", "t_lon", "residual_m", "parallax_deg")]
     )
 
 
