@@ -1,7 +1,7 @@
 """All queries of the engine by name."""
 
-from wayside.plans import core
+from wayside.plans import core, more
 
-ALL = {**core.QUERIES}
+ALL = {**core.QUERIES, **more.QUERIES}
 QUERIES = {name: f for name, (f, _) in ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in ALL.items() if sql}
