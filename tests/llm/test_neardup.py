@@ -31,6 +31,21 @@ def brute_force(rows):
     return sorted((d, len(sets[i]), least[find(i)], d == least[find(i)]) for i, (d, _) in enumerate(rows))
 
 
+def test_crowded_family(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=5))
+    base = [word() for _ in range(150)]
+    texts = []
+    for _ in range(250):
+        own = list(base)
+        for _ in range(rnd.randint(1, 9)):
+            own[rnd.randrange(len(own))] = word()
+        texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, neardup.near_duplicates(docs).collect())) == brute_force(rows)
+
+
 def test_equals_brute_force(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]

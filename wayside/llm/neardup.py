@@ -162,78 +162,119 @@ def similar_enough(n: str, m: str):
     return 4 * F.least(n, m) >= 3 * F.greatest(n, m)
 
 
+ROW = T.StructType([T.StructField("rep", T.LongType()), T.StructField("shingle", T.LongType())])
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        for rep, text in zip(batch.column("rep").to_pylist(), texts(batch.column("text")), strict=True):
+            sh = shingles(words_of(text), hashes).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"rep": pa.array(np.full(len(sh), rep)), "shingle": pa.array(sh)})
+
+
+#: Buckets with more members are crowded; shingles in at most SCARCE of their texts are scarce.
+CROWD, SCARCE = 16, 16
+
+
 def find_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Components (rep, component) of the texts in ``reps`` (rep, n_shingles, bands); singles are left out.
 
-    Texts that share a bucket of a band are candidates. Pairs within buckets are never all made:
-    first each text is tested against the least of one of its buckets, then, in buckets that still
-    hold several components, against the least of each bucket; at last, whatever isn't in the main
-    component of its bucket is tested against all of the bucket in other components. Pairs within
-    one component need no test, for they can't change it; all others are tested.
+    Texts that share a bucket of a band are candidates. Pairs within buckets are never all made.
+
+    1. Each text is tested against the least of one of its buckets.
+    2. In buckets that still hold several components, each text is tested against the one with the
+       largest part of shingles that are common there, which of a family of copies is the nearest
+       to them all.
+    3. What is left between components is made pair by pair, each once: where a bucket is not
+       crowded all of its pairs. In crowded ones, two texts either share a scarce shingle, by which
+       they are joined, or have at most the lesser number of common shingles in common, which
+       must then be enough. No link fails both.
+
+    Pairs within one component need no test, for they can't change it.
     """
     rows = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     leads = (
         rows.groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "n_shingles")).alias("lead"))
         .filter("n > 1")
-        .select("bucket", "lead.rep", F.col("lead.n_shingles").alias("lead_n"))
-        .withColumnRenamed("rep", "lead")
+        .select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.n_shingles").alias("lead_n"))
     )
     members = materialise(rows.join(leads, "bucket"), "members")
     candidates = materialise(
-        docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-        .dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"),
+        docs.select(F.col("doc_id").alias("rep"), "text").join(members.select("rep").distinct(), "rep").dropDuplicates(["rep"]),
         "candidates",
     )
-    to_lead = members.filter((F.col("rep") != F.col("lead")) & similar_enough("n_shingles", "lead_n"))
     first = (
-        to_lead.groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("n"))
+        members.filter((F.col("rep") != F.col("lead")) & similar_enough("n_shingles", "lead_n"))
+        .groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("rep").agg(F.min(F.struct(-F.col("n"), "lead")).alias("best"))
         .select(F.col("rep").alias("a"), F.col("best.lead").alias("b"))
     )
     tested = materialise(first, "pairs")
-    links = materialise(confirmed(tested, candidates), "links")
-    known = components(links)
-
-    def with_components(df: DataFrame, known: DataFrame) -> DataFrame:
-        return df.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    known = components(materialise(confirmed(tested, candidates), "links"))
 
     def unsettled(df: DataFrame) -> DataFrame:
-        open_ = df.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-        return df.join(open_.select("bucket"), "bucket")
-
-    # second: the least of every bucket that isn't settled
-    here = materialise(unsettled(with_components(members, known)), "members")
-    lead_component = known.select(F.col("rep").alias("lead"), F.col("component").alias("lead_component"))
+        df = df.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        open_ = (
+            df.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"))
+            .filter("x <> y").select("bucket", (F.col("m") > CROWD).alias("crowded"))
+        )
+        return materialise(df.join(open_, "bucket"), "members")
+
+    def tested_links(pairs: DataFrame) -> DataFrame:
+        links = materialise(confirmed(pairs, candidates), "links")
+        return components(known.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(links))
+
+    here = unsettled(members.drop("lead", "lead_n"))
+    crowd = here.filter("crowded").select("rep").distinct()
+    held = materialise(candidates.join(crowd, "rep").mapInArrow(_shingle_rows, ROW), "shingles")
+    counts = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= SCARCE)
+    scarce = materialise(held.join(counts, "shingle"), "scarce")
+    few = scarce.groupBy("rep").agg(F.count(F.lit(1)).alias("scarce"))
+    here = materialise(here.join(few, "rep", "left").withColumn("common", F.col("n_shingles") - F.coalesce("scarce", F.lit(0))).drop("scarce"), "members")
+
+    part = F.when(F.col("crowded"), F.col("common") / F.col("n_shingles")).otherwise(F.lit(1.0))
+    middle = here.groupBy("bucket").agg(F.max(F.struct(part, (-F.col("rep")).alias("r"), "rep", "component", "n_shingles")).alias("lead"))
     second = (
-        here.filter((F.col("rep") != F.col("lead")) & similar_enough("n_shingles", "lead_n"))
-        .join(lead_component, "lead", "left")
-        .filter(F.col("component") != F.coalesce("lead_component", "lead"))
-        .select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+        here.join(middle, "bucket")
+        .filter((F.col("component") != F.col("lead.component")) & similar_enough("n_shingles", "lead.n_shingles"))
+        .select(F.greatest("rep", "lead.rep").alias("a"), F.least("rep", "lead.rep").alias("b")).distinct()
         .join(tested, ["a", "b"], "left_anti")
     )
     second = materialise(second, "pairs")
-    links = materialise(confirmed(second, candidates), "links")
     tested = tested.union(second)
-    known = components(known.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(links))
+    known = tested_links(second)
 
-    # third: all that is left between components
-    here = materialise(unsettled(with_components(here.drop("component"), known)), "members")
+    here = unsettled(here.drop("component", "crowded"))
     sizes = here.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    flagged = here.join(main, "bucket")
-    x = flagged.filter("component <> main").select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    y = flagged.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), "main")
-    third = (
-        x.join(y, "bucket")
-        .filter((F.col("ca") != F.col("cb")) & similar_enough("na", "nb") & ((F.col("cb") == F.col("main")) | (F.col("a") > F.col("b"))))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        .join(tested, ["a", "b"], "left_anti")
+    # a text is in one bucket of each band at most, so its list of buckets is short
+    lists = here.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"))
+    flagged = here.join(main, "bucket").join(lists, "rep")
+    sides = ("rep", "component", "n_shingles", "common", "buckets")
+    x = flagged.filter("component <> main").select("bucket", "main", "crowded", *[F.col(c).alias(f"x_{c}") for c in sides])
+    y = flagged.select("bucket", *[F.col(c).alias(f"y_{c}") for c in sides])
+    may = (
+        (F.col("x_component") != F.col("y_component"))
+        & ((F.col("y_component") == F.col("main")) | (F.col("x_rep") > F.col("y_rep")))
+        & similar_enough("x_n_shingles", "y_n_shingles")
+        & (~F.col("crowded") | (7 * F.least("x_common", "y_common") >= 3 * (F.col("x_n_shingles") + F.col("y_n_shingles"))))
+        & (x["bucket"] == F.array_min(F.array_intersect("x_buckets", "y_buckets")))
+    )
+    by_bucket = x.join(y, (x["bucket"] == y["bucket"]) & may).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+    at = here.select("rep", "n_shingles", "component").distinct()
+    shared = scarce.filter("df > 1").select("shingle", "rep").join(at, "rep")
+    one = shared.toDF("x_rep", "shingle", "x_n", "x_component")
+    two = shared.toDF("y_rep", "shingle", "y_n", "y_component")
+    by_shingle = (
+        one.join(two, (one["shingle"] == two["shingle"]) & (F.col("x_rep") > F.col("y_rep")) & (F.col("x_component") != F.col("y_component")) & similar_enough("x_n", "y_n"))
+        .select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
     )
-    third = materialise(third, "pairs")
-    links = materialise(confirmed(third, candidates), "links")
-    known = components(known.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(links))
-    discard(members, candidates)
+    third = by_bucket.union(by_shingle).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    third = materialise(third.join(tested, ["a", "b"], "left_anti"), "pairs")
+    known = tested_links(third)
+    discard(members, candidates, held)
     return known
 
 
