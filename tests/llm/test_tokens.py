@@ -89,4 +89,4 @@ def test_long_words_merge_as_short_ones_do():
     vocabulary = bpe.Vocabulary(bpe.tokenizer_file())
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for word in ("thenation" * 20, "x" * 500, "ababab" * 30):
-        assert vocabulary.merge(word.encode()) == library.encode(word, add_special_tokens=False).ids
+        assert vocabulary.merger()(word) == vocabulary.merge(word.encode()) == library.encode(word, add_special_tokens=False).ids

@@ -9,8 +9,9 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
-from itertools import pairwise
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,12 @@ from wayside.llm.lexicon import Lexicon, compile_lexicon
 
 # Fixed value: how byte-level BPE cuts a text into words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a worker's cache holds before it starts anew, and their greatest length.
-CACHE, CACHED_LENGTH = 250_000, 64
+#: Words, and stretches up to a length, that a worker's caches hold before they start anew.
+CACHE, LONGEST = 300_000, 64
 #: Characters of texts that are encoded together.
 BUNDLE = 1 << 19
 BLANKS = re.compile(r" \s")
+MARKS = ".,"
 
 
 def byte_letters() -> dict[str, int]:
@@ -38,10 +40,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-#: Rank and id of a pair that doesn't merge.
-NONE = (1 << 60, -1)
-
-
 class Vocabulary:
     """Ids, merges and special tokens of a tokenizer file."""
 
@@ -59,26 +57,24 @@ class Vocabulary:
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        made = [new for _, new in self.merges.values()]
+        #: Whether ids rise with the rank of the merge that makes them, as a table of ranks needs.
+        self.ranked = made == sorted(made)
+
+    def merger(self) -> Callable[[str], list[int]]:
+        """What merges one word exactly: the ranks' own library where ids are ranks, else ``merge``."""
+        if not self.ranked:
+            return lambda word: self.merge(word.encode("utf-8", "surrogatepass"))
+        import tiktoken
+
+        ranks = {t: i for i, t in self.tokens.items() if i not in self.specials.values()}
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the merge of lowest rank first, leftmost first, until none applies."""
         ids = [self.single[b] for b in word]
         merges = self.merges
-        if len(ids) <= 32:
-            ranks = [merges.get(pair, NONE)[0] for pair in pairwise(ids)]
-            while ranks:
-                least = min(ranks)
-                if least == NONE[0]:
-                    break
-                i = ranks.index(least)
-                ids[i : i + 2] = [merges[ids[i], ids[i + 1]][1]]
-                del ranks[i]
-                if i:
-                    ranks[i - 1] = merges.get((ids[i - 1], ids[i]), NONE)[0]
-                if i < len(ranks):
-                    ranks[i] = merges.get((ids[i], ids[i + 1]), NONE)[0]
-            return ids
-        # long words: a heap of possible merges over a linked list
+        # a heap of possible merges over a linked list
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (m := merges.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -98,20 +94,19 @@ class Vocabulary:
 
 
 class Encoder:
-    """Ids of texts: caches before the memory-mapped lexicon before merging.
+    """Ids of texts: frequent stretches first, then words from a cache, the lexicon, or merging.
 
-    Texts are looked up by the stretch, a blank and what follows up to the next. Words never go
-    across the beginning of a stretch, unless white space follows the blank; such texts are cut
+    A stretch is what stands between two blanks, with the first of them. Words never go across the
+    beginning of a stretch unless white space follows the blank; texts with such places are cut
     into words as a whole. Ids are held as the bytes of 32-bit numbers.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: bytes):
+    def __init__(self, vocabulary: Vocabulary, lexicon: bytes, frequent: list[str] = ()):
         import regex
 
-        self.vocabulary = vocabulary
+        self.vocabulary, self.merge = vocabulary, vocabulary.merger()
         self.cut = regex.compile(PATTERN).findall
         self.special = re.compile("|".join(map(re.escape, vocabulary.specials))) if vocabulary.specials else None
-        self.stretches: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         # The file has no name any more once it is mapped, so nothing stays behind on the executor.
         file, name = tempfile.mkstemp()
@@ -119,34 +114,64 @@ class Encoder:
         self.lexicon = Lexicon(mmap.mmap(file, 0, access=mmap.ACCESS_READ))
         os.close(file)
         os.unlink(name)
+        frequent = [w for w in {"", *frequent} if " " not in w]
+        cut = [self.cut(f" {w}") for w in frequent]
+        self.know({w for words in cut for w in words})
+        self.frequent = {w: b"".join(map(self.words.__getitem__, words)) for w, words in zip(frequent, cut, strict=True)}
+        self.known = dict(self.frequent)
 
     def learn(self, words: set[str]) -> None:
         """Put words into the cache: from the lexicon, the rest by merging."""
         new = list(words)
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        for word, data, ids in zip(new, raw, self.lexicon.lookup(raw), strict=True):
-            self.words[word] = np.array(ids if ids is not None else self.vocabulary.merge(data), np.int32).tobytes()
-
-    def of_words(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, which is cut into words; special tokens aren't looked for."""
-        cut = [self.cut(t) for t in texts]
-        if len(self.words) > CACHE:
-            self.words.clear()
-        self.learn({w for words in cut for w in words if w not in self.words})
-        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
+        ranks = self.lexicon.ranks(raw)
+        ids, ends = self.lexicon.ids.astype(np.int32), self.lexicon.ends.tolist()
+        for word, rank in zip(new, ranks.tolist(), strict=True):
+            if rank < 0:
+                self.words[word] = array("i", self.merge(word)).tobytes()
+            else:
+                self.words[word] = ids[ends[rank] : ends[rank + 1]].tobytes()
 
     def of_stretches(self, texts: list[str]) -> list[bytes]:
-        cut = [[] if BLANKS.search(t) else t.split(" ") for t in texts]
-        if len(self.stretches) > CACHE:
-            self.stretches.clear()
-        new = list({w for words in cut for w in words[1:] if w not in self.stretches})
-        self.stretches.update(zip(new, self.of_words([f" {w}" for w in new]), strict=True))
-        first = self.of_words([words[0] if words else t for t, words in zip(texts, cut, strict=True)])
-        out = [a + b"".join(map(self.stretches.__getitem__, words[1:])) for a, words in zip(first, cut, strict=True)]
-        for w in new:
-            if len(w) > CACHED_LENGTH:
-                del self.stretches[w]
-        return out
+        """The ids of each text; special tokens aren't looked for."""
+        cut = [[t] if BLANKS.search(t) else t.split(" ") for t in texts]
+        firsts = [self.cut(own[0]) for own in cut]
+        parts = list(chain.from_iterable(cut))
+        ids = list(map(self.known.get, parts))
+        ends = list(accumulate(map(len, cut)))
+        for own, end in zip(cut, ends, strict=True):
+            ids[end - len(own)] = b""  # the first has no blank before it
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        # a stretch of letters is one word, with a mark behind it two; the rest is cut
+        pieces = []
+        for i in gaps:
+            w = parts[i]
+            if w.isalpha():
+                pieces.append((" " + w,))
+            elif w[-1] in MARKS and w[:-1].isalpha():
+                pieces.append((" " + w[:-1], w[-1]))
+            else:
+                pieces.append(self.cut(" " + w))
+        self.know({*chain.from_iterable(pieces), *chain.from_iterable(firsts)})
+        get = self.words.__getitem__
+        for i, words in zip(gaps, pieces, strict=True):
+            ids[i] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
+        if len(self.known) + len(gaps) > CACHE:
+            self.known = dict(self.frequent)
+        self.known.update([(parts[i], ids[i]) for i in gaps if len(parts[i]) <= LONGEST])
+        return [
+            b"".join([*map(get, first), *ids[end - len(own) : end]])
+            for first, own, end in zip(firsts, cut, ends, strict=True)
+        ]
+
+    def know(self, words: set[str]) -> None:
+        """Have all these words in the cache at once, whatever else goes from it."""
+        new = {w for w in words if w not in self.words}
+        if len(self.words) + len(new) > CACHE:
+            self.words.clear()
+            new = words
+        if new:
+            self.learn(new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of texts, special tokens in them read as such."""
@@ -175,8 +200,39 @@ def in_bundles(values: Iterable[str]) -> Iterator[list[str]]:
     yield held
 
 
+def stretches(text: str) -> list[str]:
+    return text.split(" ")
+
+
 _ENCODERS: dict[str, Encoder] = {}
-_TOKENS: dict[str, dict[int, bytes]] = {}
+
+
+class Speller:
+    """The bytes that runs of ids stand for, copied from one block of all tokens."""
+
+    def __init__(self, tokens: dict[int, bytes]):
+        n = max(tokens, default=-1) + 2  # the last place is for ids that aren't in the vocabulary
+        spelled = [tokens.get(i, b"") for i in range(n)]
+        self.block = np.frombuffer(b"".join(spelled) or b"\0", np.uint8)
+        self.lengths = np.fromiter(map(len, spelled), np.int64, n)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def __call__(self, ids: np.ndarray, counts: np.ndarray) -> Iterator[bytes]:
+        """The bytes of each run of ``counts`` ids."""
+        at = 0
+        for bundle in np.split(counts, np.flatnonzero(np.diff(np.cumsum(counts) // BUNDLE)) + 1):
+            own = ids[at : at + bundle.sum()].astype(np.int64)
+            at += len(own)
+            own = np.where((own < 0) | (own >= len(self.lengths)), len(self.lengths) - 1, own)
+            size = self.lengths[own]
+            ends = np.cumsum(size)
+            data = self.block[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[own] - ends + size, size)].tobytes()
+            edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(bundle)])].tolist()
+            for a, b in pairwise(edges):
+                yield data[a:b]
+
+
+_SPELLERS: dict[str, Speller] = {}
 
 
 def encoder(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 15):
@@ -190,9 +246,9 @@ def encoder(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 15):
 
     vocabulary = Vocabulary(tokenizer)
     cut = regex.compile(PATTERN).findall
-    seen = frequent_words(docs, str.split, frequent)
+    seen = frequent_words(docs, stretches, frequent)
     words = {p.encode("utf-8", "surrogatepass") for w in seen for p in (*cut(" " + w), *cut(w)[:1])}
-    sent = docs.sparkSession.sparkContext.broadcast((tokenizer, compile_lexicon([(w, vocabulary.merge(w)) for w in words])))
+    sent = docs.sparkSession.sparkContext.broadcast((tokenizer, compile_lexicon([(w, vocabulary.merge(w)) for w in words]), seen))
     key = uuid.uuid4().hex
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -200,7 +256,7 @@ def encoder(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 15):
         worker = _ENCODERS.get(key)
         if worker is None:
             _ENCODERS.clear()
-            worker = _ENCODERS[key] = Encoder(Vocabulary(sent.value[0]), sent.value[1])
+            worker = _ENCODERS[key] = Encoder(Vocabulary(sent.value[0]), *sent.value[1:])
         rows = [ids for some in in_bundles(t or "" for t in texts(text)) for ids in worker.encode(some)]
         ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
@@ -218,16 +274,13 @@ def decoder(spark, tokenizer: bytes):
 
     @F.arrow_udf(T.StringType())
     def decode(ids: pa.Array) -> pa.Array:
-        tokens = _TOKENS.get(key)
-        if tokens is None:
-            _TOKENS.clear()
-            tokens = _TOKENS[key] = Vocabulary(sent.value).tokens
-        out = []
-        for row in ids:
-            values = row.values
-            get = tokens.get
-            out.append("" if values is None else b"".join([get(i, b"") for i in values.to_pylist()]).decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        spell = _SPELLERS.get(key)
+        if spell is None:
+            _SPELLERS.clear()
+            spell = _SPELLERS[key] = Speller(Vocabulary(sent.value).tokens)
+        values = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.array([b.decode("utf-8", "replace") for b in spell(values, lengths)], pa.string())
 
     return decode
 

@@ -82,14 +82,14 @@ def fit(labelled: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndar
 
 def score_batch(batch: list[str], matrix: np.ndarray) -> np.ndarray:
     """Summed log-probabilities (texts x languages) of texts that are scored together."""
-    text = GAP.join(batch)
+    text = GAP.join([*batch, ""])
     lengths = np.array([len(t.lower()) for t in batch])
-    starts = np.concatenate([[0], np.cumsum(lengths + len(GAP))[:-1]])
+    starts = np.cumsum(lengths + len(GAP)) - lengths - len(GAP)
+    edges = np.stack([starts, starts + lengths], axis=1).ravel()  # of each text and of the gap behind it
     total = np.zeros((len(batch), matrix.shape[1]))
-    for order, buckets in enumerate(hashed(text)):
-        # n-grams that begin in the gap behind a text hold none of its letters first; they add the same to each
-        at = np.minimum(starts, len(buckets) - 1)
-        total += np.add.reduceat(matrix[buckets].astype(np.float64), at, axis=0) * (starts < len(buckets))[:, None]
+    for buckets in hashed(text):
+        values = np.concatenate([matrix[buckets].astype(np.float64), np.zeros((1, matrix.shape[1]))])
+        total += np.add.reduceat(values, np.minimum(edges, len(buckets)), axis=0)[::2]
     return total
 
 
