@@ -21,10 +21,10 @@ def m_per_deg_lon(lat: Column) -> Column:
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    half = lambda a, b: F.sin(F.radians(b - a) / 2)
-    h = half(lat1, lat2) * half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2) * half(lon1, lon2)
-    # not least(): that passes over nulls
-    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.when(h > 1.0, 1.0).otherwise(h)))
+    half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), F.lit(2.0))
+    h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
+    # rounding can bring h to just over 1, where nanvl steps in; least() would turn null into 1
+    return 2 * EARTH_RADIUS_M * F.nanvl(F.asin(F.sqrt(h)), F.lit(1.5707963267948966))
 
 
 def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -105,41 +105,48 @@ def route_length(frames: DataFrame) -> DataFrame:
     return with_previous(frames, ["lat", "lon"]).groupBy("run_id").agg(F.sum(step_m()).alias("length_m"))
 
 
-def headings(frames: DataFrame, window: int = 2, min_baseline_m: float = 8.0, reach: int = 64) -> DataFrame:
+def headings(frames: DataFrame, window: int = 2, min_baseline_m: float = 8.0, reaches: tuple[int, ...] = (8, 64)) -> DataFrame:
     """``frames`` with heading from the narrowest baseline around each that is long enough.
 
     For half-widths w from ``window`` on, the ends are i - w and i + w within the run; the first w
     whose ends are ``min_baseline_m`` apart gives the bearing, the whole run if none is. Positions
-    within ``reach`` frames are looked at beside each row; only rows unresolved by then take the
-    list of their run.
+    within 8 frames are looked at first, within 64 for rows that need more; only rows unresolved by
+    then take the list of their run.
     """
     run = Window.partitionBy("run_id")
     order = run.orderBy("frame_idx")
     here = frames.withColumn("_n", F.count(F.lit(1)).over(run)).withColumn("_i", F.row_number().over(order) - 1)
     place = F.struct("lat", "lon")
 
-    def resolve(df: DataFrame, base: Column, most: Column) -> Column:
+    def resolve(df: DataFrame, base: Column, most: Column) -> DataFrame:
         at = lambda j: F.get("_near", (j - base).cast("int"))
-        lo = lambda w: at(F.greatest(F.lit(0), F.col("_i") - w))
-        hi = lambda w: at(F.least(F.col("_n") - 1, F.col("_i") + w))
-        far = F.filter(
+        ends = F.transform(
             F.sequence(F.lit(window), F.greatest(most, F.lit(window))),
-            lambda w: (geo.haversine_m(lo(w)["lat"], lo(w)["lon"], hi(w)["lat"], hi(w)["lon"]) >= min_baseline_m)
-            | ((F.col("_i") - w <= 0) & (F.col("_i") + w >= F.col("_n") - 1)),
+            lambda w: F.struct(
+                at(F.greatest(F.lit(0), F.col("_i") - w)).alias("a"), at(F.least(F.col("_n") - 1, F.col("_i") + w)).alias("b"),
+                ((F.col("_i") <= w) & (F.col("_i") + w >= F.col("_n") - 1)).alias("whole"),
+            ),
         )
-        w = F.get(far, F.lit(0))
-        return F.when(F.col("_n") < 2, 0.0).otherwise(
-            F.when(w.isNotNull(), geo.bearing_deg(lo(w)["lat"], lo(w)["lon"], hi(w)["lat"], hi(w)["lon"]))
-        )
-
-    near = here.withColumn("_near", F.collect_list(place).over(order.rowsBetween(-reach, reach)))
-    first = F.greatest(F.lit(0), F.col("_i") - reach)
-    near = near.withColumn("heading", resolve(near, first, F.lit(reach))).drop("_near")
-    rest = near.filter("heading is null").drop("heading")
+        far = F.filter(ends, lambda e: e["whole"] | (geo.haversine_m(e["a"]["lat"], e["a"]["lon"], e["b"]["lat"], e["b"]["lon"]) >= min_baseline_m))
+        return df.withColumn("_e", F.get(far, F.lit(0))).withColumn(
+            "heading",
+            F.when(F.col("_n") < 2, 0.0).when(F.col("_e").isNotNull(), geo.bearing_deg(F.col("_e.a.lat"), F.col("_e.a.lon"), F.col("_e.b.lat"), F.col("_e.b.lon"))),
+        ).drop("_e", "_near")
+
+    done, rest = [], here
+    for reach in reaches:
+        # neighbours are listed before rows are left out, so that none is missing
+        listed = here.withColumn("_near", F.collect_list(place).over(order.rowsBetween(-reach, reach)))
+        if done:
+            listed = listed.join(rest.select("run_id", "frame_idx"), ["run_id", "frame_idx"], "left_semi")
+        found = resolve(listed, F.greatest(F.lit(0), F.col("_i") - reach), F.lit(reach))
+        done.append(found.filter("heading is not null"))
+        rest = found.filter("heading is null").drop("heading")
     whole = frames.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "lat", "lon"))).alias("_near"))
-    rest = rest.join(whole, "run_id")
-    rest = rest.withColumn("heading", resolve(rest, F.lit(0), F.col("_n").cast("int"))).drop("_near")
-    return near.filter("heading is not null").unionByName(rest).drop("_n", "_i")
+    out = resolve(rest.join(whole, "run_id"), F.lit(0), F.col("_n").cast("int"))
+    for part in done:
+        out = part.unionByName(out)
+    return out.drop("_n", "_i")
 
 
 def _fold(df: DataFrame, schema: str, kernel) -> DataFrame:

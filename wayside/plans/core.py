@@ -175,7 +175,7 @@ def chain(s, d):
 
 
 def heading_query(s, d):
-    return route.headings(frames(s, d), 2, 30.0, 4).select("run_id", "frame_idx", F.round("heading", 6).alias("heading"))
+    return route.headings(frames(s, d), 2, 30.0, (3, 4)).select("run_id", "frame_idx", F.round("heading", 6).alias("heading"))
 
 
 F3_SQL = f"""WITH n AS (SELECT run_id, count(*) AS n FROM fx_frames GROUP BY run_id),
