@@ -248,7 +248,8 @@ def encoder(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 15):
     cut = regex.compile(PATTERN).findall
     seen = frequent_words(docs, stretches, frequent)
     words = {p.encode("utf-8", "surrogatepass") for w in seen for p in (*cut(" " + w), *cut(w)[:1])}
-    sent = docs.sparkSession.sparkContext.broadcast((tokenizer, compile_lexicon([(w, vocabulary.merge(w)) for w in words]), seen))
+    lexicon = compile_lexicon([(w, vocabulary.merge(w)) for w in words])
+    sent = docs.sparkSession.sparkContext.broadcast((tokenizer, lexicon, seen))
     key = uuid.uuid4().hex
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
