@@ -68,7 +68,7 @@ def without_repeats(detections: DataFrame, within: str = "10 minutes") -> DataFr
 
 
 def alert_windows(events: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Counts of events by type in tumbling windows of event time. Not from the reference: ours."""
+    """Counts of events by type in tumbling windows of event time."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
