@@ -225,3 +225,53 @@ def test_streamed_tracks_equal_the_table(spark):
 
     want = {r.det_seq: r.track for r in f.build_tracks(core.seen(spark, SF)).collect()}
     assert {r.det_seq: r.track for r in more.stream_tracks(spark, SF).collect()} == want
+
+
+def test_largest_component_equals_flood_fill(spark):
+    rnd = random.Random(4)
+    rows = []
+    for frame in range(6):
+        for r in range(12):
+            at = 0
+            while at < 30:
+                a = at + rnd.randint(0, 6)
+                b = a + rnd.randint(0, 4)
+                rows.append((frame, r, a, b))
+                at = b + 2
+    got = {}
+    for r in zone.largest_component(spark.createDataFrame(rows, "frame long, row_no long, col_start long, col_end long")).collect():
+        got.setdefault(r.frame, set()).update((r.row_no, c) for c in range(r.col_start, r.col_end + 1))
+    for frame in range(6):
+        left = {(r, c) for f, r, a, b in rows if f == frame for c in range(a, b + 1)}
+        best = 0
+        sizes = []
+        while left:
+            todo, part = [left.pop()], set()
+            while todo:
+                y, x = todo.pop()
+                part.add((y, x))
+                for n in [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                    if n in left:
+                        left.remove(n)
+                        todo.append(n)
+            sizes.append(part)
+            best = max(best, len(part))
+        assert len(got[frame]) == best and got[frame] in sizes
+
+
+def test_ensemble_by_hand(spark):
+    box = lambda x, w=100.0: (x, 0.0, x + w, 100.0)
+    s = "run_id long, frame_id string, cls string, det_seq long, confidence double, severity int, box struct<x1:double,y1:double,x2:double,y2:double>"
+    one = spark.createDataFrame([(1, "f", "a", 1, 0.5, 2, box(0.0))], s)
+    two = spark.createDataFrame([(1, "f", "a", 2, 0.5, 4, box(5.0)), (1, "f", "a", 3, 0.9, 1, (0.0, 0.0, 900.0, 900.0)), (1, "f", "a", 4, 0.7, 1, box(500.0)), (1, "f", "a", 5, 0.6, 5, box(505.0))], s)
+    got = sorted((r.det_seq, r.origin, r.confidence, r.severity) for r in perception.ensemble_merge(one, two).collect())
+    # the last box merges into the one before it, which the reader itself had added
+    assert got == [(1, "merged", 0.75, 4), (3, "wide", 0.45, 1), (4, "merged", 0.88, 5)]
+
+
+def test_calibration_recovers_a_camera(spark):
+    product, horizon = 900.0, 340.0
+    rows = [(v, v + g, product * (1 / (v - horizon) - 1 / (v + g - horizon))) for v in range(400, 600, 7) for g in (10.0, 25.0)] + [(450.0, 470.0, 50.0)] * 5
+    df = spark.createDataFrame([(float(a), float(b), c) for a, b, c in rows], "v1 double, v2 double, dist double")
+    got = zone.best_calibration(df, [320.0, 330.0, 340.0, 350.0]).first()
+    assert got.row == 340.0 and abs(got.product - product) < 1e-6
