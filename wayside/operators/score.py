@@ -75,7 +75,10 @@ def members_of(segments: DataFrame, findings: DataFrame, taxonomy: DataFrame) ->
 
 
 def summarize(findings: DataFrame, segments: DataFrame) -> DataFrame:
-    """Quality index, grade, counts and length of each run; a run without segments has index 100."""
+    """Quality index, grade, counts and length of each run; a run without segments has index 100.
+
+    ``raw_length_m`` is the length before it is rounded to a decimal, on which engines differ at ties.
+    """
     s = segments.groupBy("run_id").agg(
         F.sum("length_m").alias("_len"), F.sum(F.col("quality_index") * F.col("length_m")).alias("_ql"), F.avg("quality_index").alias("_q")
     )
@@ -89,4 +92,5 @@ def summarize(findings: DataFrame, segments: DataFrame) -> DataFrame:
     return s.join(by_class, "run_id", "full_outer").join(by_severity, "run_id", "full_outer").select(
         "run_id", F.round(overall, 1).alias("quality_index"), grade_for(overall).alias("grade"), "counts", "severity_histogram",
         F.coalesce("total_findings", F.lit(0)).alias("total_findings"), F.round(F.coalesce("_len", F.lit(0.0)), 1).alias("route_length_m"),
+        F.coalesce("_len", F.lit(0.0)).alias("raw_length_m"),
     )

@@ -234,7 +234,7 @@ def score_summary(s, d):
     f = fixture_findings(s, d)
     r = score.summarize(f, score.build_segments(frames(s, d), f, view(s, d, "fx_taxonomy")))
     flat = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
-    return r.select("run_id", "quality_index", "grade", flat("counts").alias("counts"), flat("severity_histogram").alias("severities"), "total_findings", "route_length_m")
+    return r.select("run_id", "quality_index", "grade", flat("counts").alias("counts"), flat("severity_histogram").alias("severities"), "total_findings", F.round("raw_length_m", 3).alias("route_length_m"))
 
 
 SUMMARY_SQL = f"""WITH RECURSIVE {SEGS},
@@ -242,7 +242,7 @@ tot AS (SELECT run_id, sum(round(len, 2)) AS l, sum(round(idx, 1) * round(len, 2
 cc AS (SELECT run_id, string_agg(cls || '=' || n, ',' ORDER BY cls) AS counts, sum(n)::BIGINT AS total_findings FROM (SELECT run_id, cls, count(*) AS n FROM fx_findings GROUP BY ALL) GROUP BY run_id),
 ss AS (SELECT run_id, string_agg(severity || '=' || n, ',' ORDER BY severity) AS severities FROM (SELECT run_id, severity, count(*) AS n FROM fx_findings GROUP BY ALL) GROUP BY run_id)
 SELECT tot.run_id, round(q, 1) AS quality_index, CASE WHEN q >= 90 THEN 'A' WHEN q >= 75 THEN 'B' WHEN q >= 60 THEN 'C' WHEN q >= 45 THEN 'D' WHEN q >= 30 THEN 'E' ELSE 'F' END AS grade,
- counts, severities, total_findings, round(l, 1) AS route_length_m FROM tot JOIN cc ON tot.run_id = cc.run_id JOIN ss ON tot.run_id = ss.run_id"""
+ counts, severities, total_findings, round(l, 3) AS route_length_m FROM tot JOIN cc ON tot.run_id = cc.run_id JOIN ss ON tot.run_id = ss.run_id"""
 
 
 def length(s, d):
