@@ -235,7 +235,7 @@ class Speller:
 _SPELLERS: dict[str, Speller] = {}
 
 
-def encoder(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 15):
+def encoder(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 16):
     """A column function from text to the array of its token ids.
 
     The words of the ``frequent`` most frequent stretches between blanks in all of ``docs`` are
@@ -247,8 +247,9 @@ def encoder(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 15):
     vocabulary = Vocabulary(tokenizer)
     cut = regex.compile(PATTERN).findall
     seen = frequent_words(docs, stretches, frequent)
-    words = {p.encode("utf-8", "surrogatepass") for w in seen for p in (*cut(" " + w), *cut(w)[:1])}
-    lexicon = compile_lexicon([(w, vocabulary.merge(w)) for w in words])
+    words = {p for w in seen for p in (*cut(" " + w), *cut(w)[:1])}
+    merge = vocabulary.merger()
+    lexicon = compile_lexicon([(w.encode("utf-8", "surrogatepass"), merge(w)) for w in words])
     sent = docs.sparkSession.sparkContext.broadcast((tokenizer, lexicon, seen))
     key = uuid.uuid4().hex
 
@@ -286,7 +287,7 @@ def decoder(spark, tokenizer: bytes):
     return decode
 
 
-def encode_documents(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 15) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 16) -> DataFrame:
     """``docs`` with ``ids``, the token ids of the whole text, special tokens in it read as such.
 
     Null and empty texts have no ids; repeated rows are encoded one by one. An ``ids`` column that
