@@ -26,9 +26,11 @@ from wayside.llm.lexicon import Lexicon, compile_lexicon
 # Fixed value: how byte-level BPE cuts a text into words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words, and stretches up to a length, that a worker's caches hold before they start anew.
-CACHE, LONGEST = 300_000, 64
+CACHE, LONGEST = 150_000, 64
 #: Characters of texts that are encoded together.
 BUNDLE = 1 << 19
+#: Documents that a worker holds at once, with their ids and decoded texts.
+BATCH = 1000
 BLANKS = re.compile(r" \s")
 MARKS = ".,"
 
@@ -244,6 +246,7 @@ def encoder(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 16):
     """
     import regex
 
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     vocabulary = Vocabulary(tokenizer)
     cut = regex.compile(PATTERN).findall
     seen = frequent_words(docs, stretches, frequent)

@@ -24,7 +24,7 @@ BAND_FACTORS = (_SEEDS[3] << np.uint64(1)) | np.uint64(1)
 #: Shingles that are hashed under all permutations at once.
 PIECE = 1 << 14
 #: Word hashes that a worker holds before it starts anew.
-CACHE = 500_000
+CACHE = 200_000
 
 
 class WordHashes(dict):
