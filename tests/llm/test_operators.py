@@ -211,6 +211,17 @@ def test_pseudo_likelihood_prefers_text_to_shuffled_text(spark):
     assert whole > mixed
 
 
+def test_training_predicts_every_word_once(spark):
+    for n in range(40):
+        for rounds in (1, 2, 3):
+            assert sorted(np.concatenate([lm.predicted(n, r, rounds) for r in range(rounds)])) == list(range(n))
+    # texts of under 8 words train too, and so do their last words, whose right-hand neighbour is the edge
+    docs = spark.createDataFrame([(i, "alpha beta gamma", "en", "a", 16) for i in range(40)], DOCS)
+    p, fresh = lm.train(docs, [b"alpha", b"beta", b"gamma"]), lm.new_parameters()
+    for side in range(2 * lm.SIDE):
+        assert not np.array_equal(p["words"][side][lm.EDGE], fresh["words"][side][lm.EDGE])
+
+
 def test_probabilities_sum_to_one():
     p = lm.new_parameters()
     context = np.array([[1], [2], [3], [lm.EDGE]])

@@ -23,8 +23,7 @@ CLASSES = 32
 VOCABULARY = CLASSES * CLASSES
 FREQUENT, EDGE = VOCABULARY - 257, VOCABULARY - 1
 OTHERS = EDGE - FREQUENT
-#: Every STRIDE-th word of each document is predicted in training, from another start in each round.
-STRIDE, MINIBATCH, RATE = 16, 512, 0.3
+MINIBATCH, RATE = 512, 0.3
 PIECE = 1 << 15
 AROUND = [i for i in range(-SIDE, SIDE + 1) if i]
 
@@ -60,10 +59,9 @@ def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + SIDE + i] for i in AROUND])
 
 
-def strided(words: list[bytes], first: int, ids: Ids) -> np.ndarray:
-    """Ids of every STRIDE-th word from ``first`` on; the others aren't looked up."""
-    some = words[first::STRIDE]
-    return np.fromiter(map(ids.__getitem__, some), np.int64, len(some))
+def predicted(n_words: int, start: int, rounds: int) -> np.ndarray:
+    """Positions that round ``start`` predicts; over all ``rounds`` each position comes once."""
+    return np.arange(start, n_words, rounds)
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -156,9 +154,9 @@ def average(blobs: list[bytes]) -> bytes:
 
 
 def train(docs: DataFrame, words: list[bytes], rounds: int = 2, seed: int = 11) -> dict[str, np.ndarray]:
-    """Parameters trained on every document of ``docs``.
+    """Parameters trained on every word of ``docs``.
 
-    In each round every task trains from the shared parameters on its own documents, and the
+    Each word is predicted in one of the rounds. In each round every task trains from the shared parameters on its own documents, and the
     results are averaged, a few at a time, weighed by how many words each has predicted.
     """
     parameters = new_parameters(seed)
@@ -177,13 +175,9 @@ def train(docs: DataFrame, words: list[bytes], rounds: int = 2, seed: int = 11)
 
             for batch in batches:
                 for text in texts(batch.column(0)):
-                    own = words_of(text or "")
-                    first = (start * STRIDE // rounds + len(own)) % STRIDE
-                    target = strided(own, first, ids)
-                    if not len(target):
-                        continue
-                    padded = [b""] * SIDE + own + [b""] * SIDE
-                    around = np.stack([strided(padded, first + SIDE + i, ids)[: len(target)] for i in AROUND])
+                    codes = np.fromiter(map(ids.__getitem__, words_of(text or "")), np.int64)
+                    at = predicted(len(codes), start, rounds)
+                    target, around = codes[at], contexts(codes, at)
                     for i in range(0, len(target), MINIBATCH):
                         held.append((around[:, i : i + MINIBATCH], target[i : i + MINIBATCH]))
                         size += len(held[-1][1])
