@@ -236,6 +236,38 @@ def test_pseudo_likelihood_odd_texts(spark):
     assert lm.score_documents(docs.limit(0)).collect() == []
 
 
+def test_words_outside_the_vocabulary_have_their_share(spark, monkeypatch):
+    from collections import Counter
+
+    rnd = random.Random(4)
+    # 700 words 20 times, 3000 words up to 9 times, two long ones; the vocabulary and KNOWN don't hold the rare ones
+    words = [f"w{i}" for i in range(700) for _ in range(20)] + [f"r{i}" for i in range(3000) for _ in range(1 + i % 9)] + ["L" * 90_000, "l" * 70] * 2
+    rnd.shuffle(words)
+    rows = [(i, " ".join(words[i::300])) for i in range(300)]
+    docs = spark.createDataFrame([*rows, rows[7]], "doc_id long, text string")
+    monkeypatch.setattr(lm, "KNOWN", 2000)
+    counts = lm.count_words(docs)
+    want = Counter(w for r in docs.collect() for w in lm.words_of(r.text))
+    assert {bytes(r.word): r.n for r in counts.collect()} == {lm.key_of(w): n for w, n in want.items()}
+    frequent, more, known, buckets = lm.vocabulary(counts)
+    assert {f"w{i}".encode() for i in range(700)} <= set(frequent) and len(frequent) <= lm.FREQUENT and len(more) > 100 and [want[w] for w in more] == list(known)
+    p, ids = lm.train(docs, frequent), lm.Ids(frequent)
+    per_bucket = Counter()
+    for w, n in want.items():
+        if w not in frequent:
+            per_bucket[ids[w]] += n
+    assert [per_bucket[lm.FREQUENT + i] for i in range(lm.OTHERS)] == list(buckets)
+    got = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+    assert len(got) == 300 and lm.score_documents(docs).count() == 301
+    for i, text in rows[:20]:
+        own = lm.words_of(text)
+        codes = np.fromiter(map(ids.__getitem__, own), np.int64)
+        full = lm.log_probabilities(p, lm.contexts(codes, np.arange(len(codes))), codes).sum()
+        full += sum(math.log(want[w] / per_bucket[ids[w]]) for w in own if w not in frequent)
+        assert got[i].n_words == len(own) and abs(got[i].log_probability - full) < 1e-3 * abs(full)
+    assert lm.classes_for(lm.FREQUENT) == lm.CLASSES and lm.classes_for(10_000) == 102
+
+
 def test_pipeline_equals_brute_force(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

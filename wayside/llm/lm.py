@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import pickle
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,50 +15,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayside.llm.common import emit_summary, merge_summaries, table, texts
-from wayside.llm.frequent import SUMMARY, frequent_words
+from wayside.llm.common import emit_summary, materialise, merge_summaries, table, texts
+from wayside.llm.frequent import SUMMARY
 
 #: Words seen on each side, size of the hidden layer.
 SIDE, HIDDEN = 2, 16
 #: The vocabulary: frequent words, then hash buckets that other words share, then the edge of a
-#: text. It is square: a word is predicted by its class of 32 and its place in the class.
+#: text. It is square: a word is predicted by its class and its place in the class. This is the
+#: least vocabulary; it grows with the square root of the corpus (``classes_for``).
 CLASSES = 32
 VOCABULARY = CLASSES * CLASSES
 FREQUENT, EDGE = VOCABULARY - 257, VOCABULARY - 1
 OTHERS = EDGE - FREQUENT
+#: Words up to so many bytes stand for themselves, longer ones are told apart by a digest.
+LONGEST = 64
+#: Words whose counts are broadcast for speed; the counts of all others are joined.
+KNOWN = 1 << 17
+#: Most bytes of parameters that are averaged in one go.
+AVERAGED = 1 << 28
 MINIBATCH, RATE = 512, 0.3
 PIECE = 1 << 15
 AROUND = [i for i in range(-SIDE, SIDE + 1) if i]
 
 
-def new_parameters(seed: int = 11) -> dict[str, np.ndarray]:
+def classes_for(n_words: int) -> int:
+    """Classes of the least square that holds so many frequent words, the buckets and the edge."""
+    return max(CLASSES, math.isqrt(n_words + OTHERS) + 1)
+
+
+def new_parameters(seed: int = 11, classes: int = CLASSES) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     return {
-        "words": small(2 * SIDE, VOCABULARY, HIDDEN), "bias": np.zeros(HIDDEN, np.float32),
-        "classes": small(HIDDEN, CLASSES), "class_bias": np.zeros(CLASSES, np.float32),
-        "places": small(CLASSES, HIDDEN, CLASSES), "place_bias": np.zeros((CLASSES, CLASSES), np.float32),
+        "words": small(2 * SIDE, classes * classes, HIDDEN), "bias": np.zeros(HIDDEN, np.float32),
+        "classes": small(HIDDEN, classes), "class_bias": np.zeros(classes, np.float32),
+        "places": small(classes, HIDDEN, classes), "place_bias": np.zeros((classes, classes), np.float32),
     }
 
 
+def key_of(word: bytes) -> bytes:
+    """The word, or a digest of a long one behind a blank, which no word has."""
+    return word if len(word) <= LONGEST else b" " + hashlib.blake2b(word, digest_size=16).digest()
+
+
 class Ids(dict):
-    def __init__(self, words: list[bytes]):
-        super().__init__({w: i for i, w in enumerate(words)} | {b"": EDGE})
+    def __init__(self, words: list[bytes], classes: int = CLASSES):
+        super().__init__({w: i for i, w in enumerate(words)} | {b"": classes * classes - 1})
+        self.others = classes * classes - 1 - OTHERS
 
     def __missing__(self, word: bytes) -> int:
+        found = self.others + zlib.crc32(key_of(word)) % OTHERS
         if len(self) < 300_000:
-            self[word] = FREQUENT + zlib.crc32(word) % OTHERS
-            return self[word]
-        return FREQUENT + zlib.crc32(word) % OTHERS
+            self[word] = found
+        return found
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+def contexts(ids: np.ndarray, at: np.ndarray, edge: int = EDGE) -> np.ndarray:
     """Ids of the words around each position, the edge beyond either end."""
-    padded = np.concatenate([np.full(SIDE, EDGE), ids, np.full(SIDE, EDGE)])
+    padded = np.concatenate([np.full(SIDE, edge), ids, np.full(SIDE, edge)])
     return np.stack([padded[at + SIDE + i] for i in AROUND])
 
 
@@ -71,10 +92,10 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 def by_class(classes: np.ndarray):
-    """Positions sorted by class, and where each class begins and ends."""
+    """Each class that occurs with its positions."""
     order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    return order, edges
+    found, first = np.unique(classes[order], return_index=True)
+    return zip(found.tolist(), np.split(order, first[1:]))
 
 
 def hidden(p: dict, context: np.ndarray) -> np.ndarray:
@@ -87,13 +108,10 @@ def hidden(p: dict, context: np.ndarray) -> np.ndarray:
 def log_probabilities(p: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target word given the words on both its sides."""
     h = hidden(p, context)
-    cls, place = target // CLASSES, target % CLASSES
+    cls, place = np.divmod(target, len(p["class_bias"]))
     out = log_softmax(h @ p["classes"] + p["class_bias"])[np.arange(len(target)), cls].astype(np.float64)
-    order, edges = by_class(cls)
-    for c in range(CLASSES):
-        own = order[edges[c] : edges[c + 1]]
-        if len(own):
-            out[own] += log_softmax(h[own] @ p["places"][c] + p["place_bias"][c])[np.arange(len(own)), place[own]]
+    for c, own in by_class(cls):
+        out[own] += log_softmax(h[own] @ p["places"][c] + p["place_bias"][c])[np.arange(len(own)), place[own]]
     return out
 
 
@@ -109,20 +127,19 @@ class Trainer:
         p, n = self.p, len(target)
         self.seen += n
         h = hidden(p, context)
-        cls, place = target // CLASSES, target % CLASSES
+        cls, place = np.divmod(target, len(p["class_bias"]))
         g = np.exp(log_softmax(h @ p["classes"] + p["class_bias"]))
         g[np.arange(n), cls] -= 1
-        grads = {"classes": h.T @ g, "class_bias": g.sum(axis=0), "places": np.zeros_like(p["places"]), "place_bias": np.zeros_like(p["place_bias"])}
+        grads = {"classes": h.T @ g, "class_bias": g.sum(axis=0)}
         dh = g @ p["classes"].T
-        order, edges = by_class(cls)
-        for c in range(CLASSES):
-            own = order[edges[c] : edges[c + 1]]
-            if len(own):
-                g = np.exp(log_softmax(h[own] @ p["places"][c] + p["place_bias"][c]))
-                g[np.arange(len(own)), place[own]] -= 1
-                grads["places"][c] = h[own].T @ g
-                grads["place_bias"][c] = g.sum(axis=0)
-                dh[own] += g @ p["places"][c].T
+        for c, own in by_class(cls):  # only the classes that occur
+            g = np.exp(log_softmax(h[own] @ p["places"][c] + p["place_bias"][c]))
+            g[np.arange(len(own)), place[own]] -= 1
+            dh[own] += g @ p["places"][c].T
+            for k, grad in (("places", h[own].T @ g), ("place_bias", g.sum(axis=0))):
+                grad = grad / n
+                self.squares[k][c] += grad * grad
+                p[k][c] -= RATE * grad / np.sqrt(self.squares[k][c])
         dh *= 1 - h * h
         grads["bias"] = dh.sum(axis=0)
         for i in range(2 * SIDE):  # only the rows of words that occur
@@ -159,13 +176,16 @@ def train(docs: DataFrame, words: list[bytes], rounds: int = 2, seed: int = 11)
     Each word is predicted in one of the rounds. In each round every task trains from the shared parameters on its own documents, and the
     results are averaged, a few at a time, weighed by how many words each has predicted.
     """
-    parameters = new_parameters(seed)
+    classes = classes_for(len(words))
+    edge = classes * classes - 1
+    parameters = new_parameters(seed, classes)
+    fan_in = max(2, min(16, AVERAGED // sum(v.nbytes for v in parameters.values())))
     context = docs.sparkSession.sparkContext
     for start in range(rounds):
         sent = context.broadcast((parameters, words))
 
         def fit(batches: Iterator[pa.RecordBatch], sent=sent, start=start) -> Iterator[pa.RecordBatch]:
-            trainer, ids = Trainer(sent.value[0]), Ids(sent.value[1])
+            trainer, ids = Trainer(sent.value[0]), Ids(sent.value[1], classes)
             held, size = [], 0
 
             def flush():
@@ -177,7 +197,7 @@ def train(docs: DataFrame, words: list[bytes], rounds: int = 2, seed: int = 11)
                 for text in texts(batch.column(0)):
                     codes = np.fromiter(map(ids.__getitem__, words_of(text or "")), np.int64)
                     at = predicted(len(codes), start, rounds)
-                    target, around = codes[at], contexts(codes, at)
+                    target, around = codes[at], contexts(codes, at, edge)
                     for i in range(0, len(target), MINIBATCH):
                         held.append((around[:, i : i + MINIBATCH], target[i : i + MINIBATCH]))
                         size += len(held[-1][1])
@@ -187,25 +207,103 @@ def train(docs: DataFrame, words: list[bytes], rounds: int = 2, seed: int = 11)
             flush()
             yield from emit_summary(pack(trainer.p, trainer.seen) if trainer.seen else None)
 
-        merged = merge_summaries(docs.select("text").mapInArrow(fit, SUMMARY), average)
+        merged = merge_summaries(docs.select("text").mapInArrow(fit, SUMMARY), average, fan_in)
         if merged:
             parameters = pickle.loads(merged)[1]
         sent.unpersist()
     return parameters
 
 
-SCORE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("log_probability", T.DoubleType())])
+COUNT = "word binary, n long"
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """How often each word occurs in all texts: word (its key), n, level (eight to a doubling of n)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(counts: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"word": pa.array(counts, pa.binary()), "n": pa.array(counts.values(), pa.int64())})
+
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in texts(batch.column(0)):
+                words = words_of(text or "")
+                counts.update(words if max(map(len, words), default=0) <= LONGEST else map(key_of, words))
+                if len(counts) > 400_000:
+                    yield rows(counts)
+                    counts = Counter()
+        yield rows(counts)
+
+    counts = docs.select("text").mapInArrow(count, COUNT).groupBy("word").agg(F.sum("n").alias("n"))
+    return materialise(counts.withColumn("level", F.floor(F.log2("n") * 8)), "words")
+
 
+def vocabulary(counts: DataFrame) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
+    """Frequent words, words known beyond them, the known ones' counts, and the counts of buckets.
 
-def scorer(spark, parameters: dict[str, np.ndarray], words: list[bytes]):
-    """A column function from text to its number of words and their summed log-probability."""
-    sent = spark.sparkContext.broadcast((parameters, words))
+    There are as many frequent words as the square root of the number of all words, or FREQUENT if
+    that is more; whole levels of counts are taken as long as they fit.
+    """
+    short = F.length("word") <= LONGEST
+    short &= F.substring("word", 1, 1) != F.lit(b" ")
+    levels = counts.groupBy("level").agg(F.sum(short.cast("long")).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("level")).collect()
+
+    def lowest(most: int) -> int:
+        low, have = 1 << 30, 0
+        for r in levels:
+            have += r["words"]
+            if have > most:
+                break
+            low = r["level"]
+        return low
+
+    total = sum(r["n"] for r in levels)
+    frequent = short & (F.col("level") >= lowest(max(FREQUENT, math.isqrt(total))))
+    known = short & (F.col("level") >= lowest(max(KNOWN, FREQUENT, math.isqrt(total))))
+    rows = counts.filter(known).select("word", "n", frequent.alias("frequent")).collect()
+    rows = sorted(((bytes(r["word"]), r["n"], r["frequent"]) for r in rows), key=lambda r: (not r[2], -r[1], r[0]))
+    buckets = np.zeros(OTHERS)
+    for r in counts.filter(~frequent).groupBy((F.crc32("word") % OTHERS).alias("b")).agg(F.sum("n").alias("n")).collect():
+        buckets[r["b"]] = r["n"]
+    more = [(w, n) for w, n, f in rows if not f]
+    return [w for w, _, f in rows if f], [w for w, _ in more], np.array([n for _, n in more], float), buckets
+
+
+class Places(dict):
+    """Where a word's id and share stand: known words in order, then one place for each bucket."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self) + zlib.crc32(key_of(word)) % OTHERS
+
+
+#: The logarithms of counts are summed as whole numbers, so that the order of rows doesn't matter.
+UNIT = 1 << 30
+SCORE = T.StructType([
+    T.StructField("n_words", T.LongType()), T.StructField("log_probability", T.DoubleType()),
+    T.StructField("rare", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("times", T.LongType())]))),
+])
+
+
+def scorer(spark, parameters: dict[str, np.ndarray], words: list[bytes], more: list[bytes], counts: np.ndarray, buckets: np.ndarray):
+    """A column function from text to its number of words, their summed log-probability and its rare words.
+
+    A word outside the vocabulary has its bucket's probability times its share in the bucket's
+    occurrences. Of words neither in ``words`` nor in ``more`` the logarithm of the count is still
+    to be added; these are the rare ones.
+    """
+    sent = spark.sparkContext.broadcast((parameters, words, more, counts, buckets))
 
     @F.arrow_udf(SCORE)
     def score(text: pa.Array) -> pa.Array:
-        p, known = sent.value
-        ids = Ids(known)
-        counts, sums = np.zeros(len(text), np.int64), np.zeros(len(text))
+        p, words, more, counts, buckets = sent.value
+        edge = p["words"].shape[1] - 1
+        places = Places({w: i for i, w in enumerate([*words, *more])})
+        own_bucket = np.array([zlib.crc32(w) % OTHERS for w in more], np.int64)
+        id_of = np.concatenate([np.arange(len(words)), edge - OTHERS + own_bucket, np.arange(edge - OTHERS, edge)])
+        whole = np.log(np.maximum(buckets, 1))
+        share = np.concatenate([np.zeros(len(words)), np.log(counts) - whole[own_bucket], -whole])
+        n_words, sums = np.zeros(len(text), np.int64), np.zeros(len(text))
+        rare, times, ends = [], [], [0]
         held, size = [], 0
 
         def flush():
@@ -218,17 +316,26 @@ def scorer(spark, parameters: dict[str, np.ndarray], words: list[bytes]):
                 held.clear()
 
         for row, t in enumerate(texts(text)):
-            codes = np.fromiter(map(ids.__getitem__, words_of(t or "")), np.int64)
-            counts[row] = len(codes)
+            own = words_of(t or "")
+            found = np.fromiter(map(places.__getitem__, own), np.int64, len(own))
+            codes = id_of[found]
+            n_words[row] = len(codes)
+            sums[row] += share[found].sum()
+            seen = Counter(key_of(own[i]) for i in np.flatnonzero(found >= len(places)))
+            rare += seen
+            times += seen.values()
+            ends.append(len(rare))
             for i in range(0, len(codes), PIECE):
                 at = np.arange(i, min(i + PIECE, len(codes)))
-                held.append((row, contexts(codes, at), codes[at]))
+                held.append((row, contexts(codes, at, edge), codes[at]))
                 size += len(at)
                 if size >= PIECE:
                     flush()
                     size = 0
         flush()
-        return pa.StructArray.from_arrays([pa.array(counts), pa.array(sums)], ["n_words", "log_probability"])
+        pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "times"])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+        return pa.StructArray.from_arrays([pa.array(n_words), pa.array(sums), lists], ["n_words", "log_probability", "rare"])
 
     return score
 
@@ -237,16 +344,28 @@ def score_documents(docs: DataFrame, rounds: int = 2, seed: int = 11) -> DataFra
     """Train on all texts of ``docs`` and score each: doc_id, n_words, log_probability, per_word.
 
     ``log_probability`` sums, over all words of the whole text, the log-probability of the word
-    given two words on each side; ``per_word`` is its mean. Null and empty texts have no words, sum
-    0 and a null mean. Words are told apart without regard to the case of A-Z. Repeated rows get
-    the same score; an empty table gives no rows; other columns are not read.
+    given two words on each side; ``per_word`` is its mean. Words outside the vocabulary share hash
+    buckets: such a word has the probability of its bucket times its share in all occurrences of the
+    bucket's words. Null and empty texts have no words, sum 0 and a null mean. Words are told apart
+    without regard to the case of A-Z. Repeated rows get the same score; an empty table gives no
+    rows; other columns are not read.
     """
-    words = frequent_words(docs, words_of, 1 << 14)[:FREQUENT]
+    counts = count_words(docs)
+    words, more, known, buckets = vocabulary(counts)
     parameters = train(docs, words, rounds, seed)
-    score = scorer(docs.sparkSession, parameters, words)
-    return docs.select("doc_id", score("text").alias("s")).select(
-        "doc_id", "s.n_words", "s.log_probability",
-        F.when(F.col("s.n_words") > 0, F.col("s.log_probability") / F.col("s.n_words")).alias("per_word"),
+    score = scorer(docs.sparkSession, parameters, words, more, known, buckets)
+    scored = materialise(
+        docs.select("doc_id", score("text").alias("s"))
+        .select("doc_id", "s.n_words", "s.log_probability", "s.rare").withColumn("row", F.monotonically_increasing_id()),
+        "scored",
+    )
+    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
+    logs = rare.join(counts.select("word", F.round(F.log("n") * UNIT).cast("long").alias("log_n")), "word")
+    logs = logs.groupBy("row").agg((F.sum(F.col("times") * F.col("log_n")) / UNIT).alias("logs"))
+    whole = scored.drop("rare").join(logs, "row", "left").withColumn("log_probability", F.col("log_probability") + F.coalesce("logs", F.lit(0.0)))
+    return whole.select(
+        "doc_id", "n_words", "log_probability",
+        F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words")).alias("per_word"),
     )
 
 
