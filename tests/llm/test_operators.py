@@ -133,6 +133,39 @@ def test_secrets_behind_encodings(wrap):
     assert any(kind == 0 and text.index("der") + 4 <= start < end <= len(text) - 4 for start, kind, end in spans)
 
 
+@pytest.mark.parametrize("beside", ["\u00a0", "\u3000", "\u200b", "\u200d", "\f", "\0", "José "])
+@pytest.mark.parametrize("code", ["utf-8", "utf-16-le", "latin-1"])
+def test_secrets_beside_odd_characters(beside, code):
+    data = beside.encode(code if code != "latin-1" or beside.isascii() or beside < "\u0100" else "utf-8") + b" token=abcdef123456 " + SECRET.encode()
+    for wrapped in (urllib.parse.quote(data), base64.b64encode(data).decode(), base64.b64encode(gzip.compress(data)).decode()):
+        text = f"before {wrapped} after"
+        spans = [x for x in secretscan.scan(text)[1] if x[1] == 0]
+        assert spans and all(7 <= a < b <= len(text) - 6 for a, _, b in spans)
+    assert secretscan.scan("name=Jos%E9&token%3Dabcdef123456")[1][-1] == (12, 0, 32)
+
+
+def test_secrets_in_wrapped_base64():
+    data = ("some words before it, of 55 bytes, so that it breaks. " + SECRET + " and some more words that come after it, over lines").encode()
+    for body, newline in [(data, "\n"), (gzip.compress(random.Random(2).randbytes(300) + data), "\r\n")]:
+        lines = base64.encodebytes(body).decode().split()
+        for text in (newline.join(lines), newline.join(["see an-identifier-before-it", *lines, "and more"])):
+            spans = [x for x in secretscan.scan(text)[1] if x[1] == 0]
+            assert spans and all(text[a:b].strip("=") for a, _, b in spans)
+            if body is data:  # at its own place, across the break of lines
+                a, _, b = spans[-1]
+                assert b - a < 60 and newline in text[a:b] and b"abcdef" in base64.b64decode("".join(lines)[(a - text.index(lines[0])) // 4 * 4 :])[:40]
+
+
+def test_secrets_in_large_streams(monkeypatch):
+    whole = b"word " * 4_000_000 + SECRET.encode()
+    text = base64.b64encode(gzip.compress(whole)).decode()
+    assert (0, 0, len(text.rstrip("="))) in [(a, k, b - text.count("=", b - 2, b)) for a, k, b in secretscan.scan(text)[1]]
+    monkeypatch.setattr(secretscan, "PIECE", 200)
+    for shift in range(380, 420):  # across the first cut
+        text = base64.b64encode(gzip.compress(b"." * shift + SECRET.encode() + b" ." * 900)).decode()
+        assert any(k == 0 for _, k, _ in secretscan.scan(text)[1])
+
+
 def test_secrets_odd_texts(spark):
     rows = [(1, None), (2, ""), (3, SECRET), (4, "a" * 23 + " " + "a" * 24), (5, "AKIA" + "A" * 15 + " AKIA" + "A" * 16), (6, 'token: "token: abcdefgh PASSWORD=12345 api_key=1234567'), (7, "%41%zz %e2%82 \\ud800 " + "QUJD" * 10), (8, "x" * 200_000)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, spans string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 import zlib
 
@@ -25,8 +26,13 @@ URL_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 BASE64_RUN = b"x" * 16
-#: Most bytes that a compressed layer may unfold to; larger ones are taken for bombs and left.
-MAX_UNFOLDED = 1 << 24
+#: Base64 wrapped in lines of at least 16 characters, the last one perhaps shorter.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[\x20\t]*+\r?\n[\x20\t]*+)++[A-Za-z0-9+/_-]++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+UNDECODABLE = re.compile("[\udc80-\udcff]")
+BLANKS = re.compile(rb"\x20{2,}")
+#: Bytes of a compressed layer that are unfolded at a time.
+PIECE = 1 << 22
 
 
 def _marks(alphabet: str) -> bytes:
@@ -73,59 +79,107 @@ def _unescape(token: str, at: int, pattern: re.Pattern, width: int):
     return b"".join(data), places
 
 
-def _as_text(data: bytes, places):
-    """A layer from decoded bytes, or None if they aren't plain text."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    if not text or not all(c.isprintable() or c in "\t\n\r" for c in text):
-        return None
-    if len(text) == len(data):
-        return text, places
-    ends, at = [], 0
-    for c in text:
-        n = len(c.encode())
-        ends.append((places[at][0], places[at + n - 1][1]))
-        at += n
-    return text, ends
+class Whole:
+    """One stretch as the place of every character of a layer."""
+
+    def __init__(self, span: tuple[int, int]):
+        self.span = span
 
+    def __getitem__(self, i: int) -> tuple[int, int]:
+        return self.span
 
-def _unfold(data: bytes) -> bytes | None:
+
+def _as_text(data: bytes, places):
+    """A layer from decoded bytes; each byte that isn't UTF-8 becomes a separator in its place."""
+    if not data:
+        return None
+    if data.isascii():
+        return data.decode(), places
+    text = data.decode("utf-8", "surrogateescape")
+    if not isinstance(places, Whole):
+        ends, at = [], 0
+        for c in text:
+            n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+            ends.append((places[at][0], places[at + n - 1][1]))
+            at += n
+        places = ends
+    return UNDECODABLE.sub("\ufffd", text), places
+
+
+def _unfold(data: bytes):
+    """Pieces of what a gzip or zlib stream unfolds to; returns whether it came to its end.
+
+    All up to 2 * PIECE bytes is one piece; further ones begin with the last PIECE bytes of the one
+    before, in which runs of blanks are made one blank, as no pattern tells these apart.
+    """
     for wbits in (31, 15):
+        unpack, rest, tail = zlib.decompressobj(wbits), data, b""
         try:
-            unpack = zlib.decompressobj(wbits)
-            out = unpack.decompress(data, MAX_UNFOLDED)
-            if unpack.eof:
-                return out
+            while not unpack.eof:
+                out = unpack.decompress(rest, PIECE if tail else 2 * PIECE)
+                rest = unpack.unconsumed_tail
+                if out:
+                    yield tail + out
+                    tail = BLANKS.sub(b" ", tail + out)[-PIECE:]
+                elif not rest:
+                    break
         except zlib.error:
             pass
-    return None
+        if unpack.eof:
+            return True
+    return False
+
+
+def _from_base64(run: str, where: list[int] | range):
+    """Layers of base64 characters that stand at ``where``."""
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:
+        body = body[:-1]
+    try:
+        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except binascii.Error:
+        return
+    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
+        span = Whole((where[0], where[-1] + 1))
+        pieces = _unfold(data)
+        while True:
+            try:
+                yield _as_text(next(pieces), span)
+            except StopIteration as end:
+                if end.value:
+                    return
+                break
+    last = len(where) - 1
+    yield _as_text(data, [(where[i * 4 // 3], where[min(last, (i + 1) * 4 // 3)] + 1) for i in range(len(data))])
+
+
+def _blocks(lines: list[re.Match]):
+    """All lines, and besides each row of lines of one length with the shorter line that ends it."""
+    yield lines
+    size = [len(x[0]) for x in lines]
+    start = 0
+    for i in range(1, len(lines) + 1):
+        if i == len(lines) or size[i] != size[start]:
+            stop = i + 1 if i < len(lines) and size[i] < size[start] else i
+            if stop - start > 1 and stop - start < len(lines):
+                yield lines[start:stop]
+            start = i
 
 
 def layers_of(text: str, raw: bytes):
     """What the encoded stretches of a text decode to: (text, place of each character in this one)."""
-    found = []
     for pattern, width, there in ((URL_ESCAPE, 1, b"%" in raw), (ESCAPE, 2, b"\\u" in raw or b"\\x" in raw)):
         if there and pattern.search(text):
             for m in re.finditer(r"\S+", text):
                 if pattern.search(m[0]):
-                    found.append(_as_text(*_unescape(m[0], m.start(), pattern, width)))
+                    yield _as_text(*_unescape(m[0], m.start(), pattern, width))
     if BASE64_RUN in raw.translate(BASE64_MARKS):
         for m in BASE64.finditer(text):
-            body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-            try:
-                data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-            except binascii.Error:
-                continue
-            if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-                whole = _unfold(data)
-                if whole is not None:
-                    found.append(_as_text(whole, [m.span()] * len(whole)))
-                    continue
-            places = [(m.start() + i * 4 // 3, min(m.end(), m.start() + (i + 1) * 4 // 3 + 1)) for i in range(len(data))]
-            found.append(_as_text(data, places))
-    return [x for x in found if x]
+            yield from _from_base64(m[0], range(m.start(), m.end()))
+        if b"\n" in raw:
+            for m in WRAPPED.finditer(text):
+                for lines in _blocks(list(LINE.finditer(text, m.start(), m.end()))):
+                    yield from _from_base64("".join(x[0] for x in lines), [i for x in lines for i in range(*x.span())])
 
 
 def scan(text: str | None) -> tuple[list, list]:
@@ -140,19 +194,29 @@ def scan(text: str | None) -> tuple[list, list]:
     raw = text.encode("utf-8", "surrogatepass")
     base = sorted(base_spans(text, raw))
     every = set(base)
-    work = [(t, p) for t, p in layers_of(text, raw)]
+    work = [(layers_of(text, raw), None)]
     seen = set()
     while work:
-        layer, places = work.pop()
-        key = (layer, places[0][0], places[-1][1])
+        layers, above = work[-1]
+        try:
+            found = next(layers)
+        except StopIteration:
+            work.pop()
+            continue
+        if found is None:
+            continue
+        layer, places = found
+        if above is not None:
+            up = lambda x: (above[x[0]][0], above[x[1] - 1][1])
+            places = Whole(up(places.span)) if isinstance(places, Whole) else [*map(up, places)]
+        data = layer.encode("utf-8", "surrogatepass")
+        key = (hashlib.blake2b(data, digest_size=16).digest(), places[0][0], places[-1][1])
         if key in seen:
             continue
         seen.add(key)
-        data = layer.encode()
         for start, kind, end in base_spans(layer, data):
             every.add((places[start][0], kind, places[end - 1][1]))
-        for deeper, at in layers_of(layer, data):
-            work.append((deeper, [(places[a][0], places[b - 1][1]) for a, b in at]))
+        work.append((layers_of(layer, data), places))
     return base, sorted(every)
 
 
@@ -186,8 +250,10 @@ def secrets(docs: DataFrame) -> DataFrame:
     """The secrets of every document: doc_id, base and spans (arrays of kind, start, end).
 
     ``base`` holds what the patterns find in the text itself, ``spans`` also what they find in its
-    decoded layers (percent escapes, \\u and \\x escapes, base64, gzip and zlib in base64), at the
-    stretch of text that encodes it. Positions count code points. Null and empty texts have none;
+    decoded layers (percent escapes, \\u and \\x escapes, base64, also in lines of 16 characters or
+    more, gzip and zlib in base64), at the stretch of text that encodes it. A compressed layer of
+    over 2 * PIECE bytes is searched in overlapping pieces; an encoded stretch in it that is longer
+    than the overlap may be cut. Positions count code points. Null and empty texts have none;
     repeated rows are scanned one by one; other columns are not read.
     """
     return docs.select("doc_id", find_secrets("text").alias("s")).select("doc_id", "s.base", "s.spans")
