@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from wayside.functions import boxes, geo, text
-from wayside.operators import csvio, evaluate, findings, localize, perception, route, zone
+from wayside.operators import cloud, csvio, evaluate, findings, localize, perception, route, zone
 from wayside.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -275,3 +275,16 @@ def test_calibration_recovers_a_camera(spark):
     df = spark.createDataFrame([(float(a), float(b), c) for a, b, c in rows], "v1 double, v2 double, dist double")
     got = zone.best_calibration(df, [320.0, 330.0, 340.0, 350.0]).first()
     assert got.row == 340.0 and abs(got.product - product) < 1e-6
+
+
+def test_tiles_of_a_large_box_are_all_there(spark):
+    boxes = spark.createDataFrame([(1, 12.9, 77.5, 12.95, 77.55), (2, 12.9, 77.5, 12.9001, 77.5001)], "run_id long, south double, west double, north double, east double")
+    got = cloud.tile_cover(boxes, 18).collect()
+    column = lambda lon: math.floor((lon + 180) / 360 * 2**18)
+    row = lambda lat: math.floor((1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * 2**18)
+    for run, south, west, north, east in boxes.collect():
+        want = {(x, y) for x in range(column(west), column(east) + 1) for y in range(row(north), row(south) + 1)}
+        own = [r for r in got if r.run_id == run]
+        assert len(own) == len(want) and {(r.x, r.y) for r in own} == want
+        assert all(r.over == (len(want) > 256) for r in own)
+    assert {r.over for r in got} == {True, False}

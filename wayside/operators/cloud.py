@@ -87,12 +87,13 @@ def route_boxes(frames: DataFrame, margin_m: float) -> DataFrame:
 
 
 def tile_cover(boxes: DataFrame, zoom: int, most: int = 256) -> DataFrame:
-    """Tiles that cover each box; runs that would need more than ``most`` are flagged and have none."""
+    """All tiles that cover each box; ``over`` says that a run needs more than ``most``."""
     z = F.lit(zoom)
     whole = lambda c: F.floor(c).cast("long")
     ends = boxes.select("run_id", whole(geo.tile_x(F.col("west"), z)).alias("x0"), whole(geo.tile_x(F.col("east"), z)).alias("x1"), whole(geo.tile_y(F.col("north"), z)).alias("y0"), whole(geo.tile_y(F.col("south"), z)).alias("y1"))
-    small = ends.filter((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1) <= most)
-    return small.select("run_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1").select("run_id", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
+    over = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1) > most
+    columns = ends.select("run_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1", over.alias("over"))
+    return columns.select("run_id", "x", F.explode(F.sequence("y0", "y1")).alias("y"), "over")
 
 
 def surroundings(elements: DataFrame, boxes: DataFrame) -> DataFrame:

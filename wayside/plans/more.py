@@ -392,7 +392,7 @@ C30_SQL = "SELECT seq_major % 50 AS frame, l_partkey AS k, x AS d, round(1 / (0.
 
 
 def tiles_of_runs(s, d):
-    return cloud.tile_cover(cloud.route_boxes(core.frames(s, d), 60.0), 18)
+    return cloud.tile_cover(cloud.route_boxes(core.frames(s, d), 60.0), 18).drop("over")
 
 
 BOXES_SQL = """bx AS (SELECT run_id, min(lat) - 60 / 111320.0e0 AS south, min(lon) - 60 / (111320 * cos(radians(avg(lat)))) AS west, max(lat) + 60 / 111320.0e0 AS north, max(lon) + 60 / (111320 * cos(radians(avg(lat)))) AS east FROM fx_frames GROUP BY run_id)"""
