@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from wayside.functions import boxes, geo, text
 from wayside.operators import cloud, csvio, evaluate, findings, localize, perception, route, zone
-from wayside.plans import registry
+from wayside.plans import core, more, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -288,3 +288,32 @@ def test_tiles_of_a_large_box_are_all_there(spark):
         assert len(own) == len(want) and {(r.x, r.y) for r in own} == want
         assert all(r.over == (len(want) > 256) for r in own)
     assert {r.over for r in got} == {True, False}
+
+
+def test_matching_without_ceiling_takes_from_all_findings(spark):
+    placed = [r for r in more.view(spark, SF, "fx_objects").collect() if r.lat is not None and r.lon is not None]
+    free = {}
+    for r in more.found(spark, SF).orderBy("finding_id").collect():
+        if r.lat is not None and r.lon is not None:
+            free.setdefault((r.run_id, r.cls), []).append(r)
+    want = []
+    for x in sorted(placed, key=lambda r: r.object_id):
+        own = free.get((x.run_id, x.cls))
+        if own:
+            i = min(range(len(own)), key=lambda i: haversine(x.lat, x.lon, own[i].lat, own[i].lon))
+            want.append((x.run_id, x.cls, x.object_id, own.pop(i).finding_id))
+    got = registry.QUERIES["d12_match_without_ceiling"](spark, SF).collect()
+    assert sorted((r.run_id, r.cls, r.object_id, r.finding_id) for r in got) == sorted(want)
+
+
+def test_surroundings_of_all_points_equal_brute_force(spark):
+    points = {(r.seq_major, r.l_partkey, r.l_suppkey, r.l_extendedprice) for r in more.view(spark, SF, "fx_points").collect()}
+    want = {}
+    for b in cloud.route_boxes(core.frames(spark, SF), 60.0).collect():
+        for major, part, supplier, _ in points:
+            south, west = 12.97 + part * 0.0001, 77.593 + supplier * 0.0003
+            if south <= b.north and south + 0.0001 >= b.south and west <= b.east and west + 0.0001 >= b.west:
+                key = (b.run_id, "building" if major % 3 == 0 else "road")
+                want[key] = want.get(key, 0) + 1
+    got = {(r.run_id, r.kind): r.n for r in registry.QUERIES["i23_surroundings"](spark, SF).collect()}
+    assert want and got == want
