@@ -10,28 +10,28 @@ import re
 import tempfile
 import uuid
 from array import array
-from collections.abc import Callable, Iterable, Iterator
-from itertools import accumulate, chain, pairwise
+from collections.abc import Callable, Iterator
+from functools import cached_property
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayside.llm.common import table, texts
+from wayside.llm.common import bundles, table
 from wayside.llm.frequent import frequent_words
 from wayside.llm.lexicon import Lexicon, compile_lexicon
 
 # Fixed value: how byte-level BPE cuts a text into words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words, and stretches up to a length, that a worker's caches hold before they start anew.
-CACHE, LONGEST = 150_000, 64
-#: Characters of texts that are encoded together.
-BUNDLE = 1 << 19
-#: Documents that a worker holds at once, with their ids and decoded texts.
-BATCH = 1000
-BLANKS = re.compile(r" \s")
+#: Words, and stretches up to a length, that each of a cache's two generations holds.
+CACHE, LONGEST = 120_000, 64
+#: Bytes of texts that are encoded together, and ids that are decoded together.
+BUNDLE, SPELLED = 1 << 22, 1 << 18
+BLANKS = r" [\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
 MARKS = ".,"
 
 
@@ -95,54 +95,69 @@ class Vocabulary:
         return [i for i in ids if i is not None]
 
 
+class Cache:
+    """The latest entries: a full generation becomes the old one, from which what is met again is taken over."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def room(self, n: int) -> None:
+        """Make room for ``n`` entries; nothing goes from the new generation before the next call."""
+        if len(self.new) + n > CACHE:
+            self.old, self.new = self.new, {}
+
+    def recall(self, key: str) -> bytes | None:
+        """An entry of the old generation, which becomes one of the new."""
+        found = self.old.get(key)
+        if found is not None:
+            self.new[key] = found
+        return found
+
+
 class Encoder:
-    """Ids of texts: frequent stretches first, then words from a cache, the lexicon, or merging.
+    """Ids of texts: words are looked up in the lexicon, others merged; caches keep what both gave.
 
     A stretch is what stands between two blanks, with the first of them. Words never go across the
-    beginning of a stretch unless white space follows the blank; texts with such places are cut
-    into words as a whole. Ids are held as the bytes of 32-bit numbers.
+    beginning of a stretch unless white space follows the blank; texts with such places, and those
+    with special tokens, are cut into words as a whole. Of the others each distinct stretch is
+    looked up once for a bundle of texts. Ids are held as the bytes of 32-bit numbers.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: bytes, frequent: list[str] = ()):
+    def __init__(self, vocabulary: Vocabulary, lexicon: bytes):
         import regex
 
         self.vocabulary, self.merge = vocabulary, vocabulary.merger()
         self.cut = regex.compile(PATTERN).findall
         self.special = re.compile("|".join(map(re.escape, vocabulary.specials))) if vocabulary.specials else None
-        self.words: dict[str, bytes] = {}
+        self.words, self.stretches = Cache(), Cache()
         # The file has no name any more once it is mapped, so nothing stays behind on the executor.
         file, name = tempfile.mkstemp()
         os.write(file, lexicon)
         self.lexicon = Lexicon(mmap.mmap(file, 0, access=mmap.ACCESS_READ))
         os.close(file)
         os.unlink(name)
-        frequent = [w for w in {"", *frequent} if " " not in w]
-        cut = [self.cut(f" {w}") for w in frequent]
-        self.know({w for words in cut for w in words})
-        self.frequent = {w: b"".join(map(self.words.__getitem__, words)) for w, words in zip(frequent, cut, strict=True)}
-        self.known = dict(self.frequent)
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Put words into the cache: from the lexicon, the rest by merging."""
-        new = list(words)
-        raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        ranks = self.lexicon.ranks(raw)
-        ids, ends = self.lexicon.ids.astype(np.int32), self.lexicon.ends.tolist()
-        for word, rank in zip(new, ranks.tolist(), strict=True):
-            if rank < 0:
-                self.words[word] = array("i", self.merge(word)).tobytes()
-            else:
-                self.words[word] = ids[ends[rank] : ends[rank + 1]].tobytes()
-
-    def of_stretches(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; special tokens aren't looked for."""
-        cut = [[t] if BLANKS.search(t) else t.split(" ") for t in texts]
-        firsts = [self.cut(own[0]) for own in cut]
-        parts = list(chain.from_iterable(cut))
-        ids = list(map(self.known.get, parts))
-        ends = list(accumulate(map(len, cut)))
-        for own, end in zip(cut, ends, strict=True):
-            ids[end - len(own)] = b""  # the first has no blank before it
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        out = self.words.new
+        for word, rank in zip(words, self.lexicon.ranks(raw).tolist(), strict=True):
+            out[word] = array("i", self.merge(word) if rank < 0 else self.lexicon.output(rank)).tobytes()
+
+    def know(self, words: set[str]) -> None:
+        """Have all these words in the cache at once, whatever else goes from it."""
+        self.words.room(len(words))
+        known, recall = self.words.new, self.words.recall
+        new = [w for w in words if w not in known and recall(w) is None]
+        if new:
+            self.learn(new)
+
+    def of_stretches(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct stretches, given without their blanks."""
+        self.stretches.room(len(parts))
+        known, recall = self.stretches.new, self.stretches.recall
+        ids = [known.get(p) or recall(p) for p in parts]
         gaps = [i for i, x in enumerate(ids) if x is None]
         # a stretch of letters is one word, with a mark behind it two; the rest is cut
         pieces = []
@@ -150,65 +165,74 @@ class Encoder:
             w = parts[i]
             if w.isalpha():
                 pieces.append((" " + w,))
-            elif w[-1] in MARKS and w[:-1].isalpha():
+            elif w[-1:] in MARKS and w[:-1].isalpha():
                 pieces.append((" " + w[:-1], w[-1]))
             else:
                 pieces.append(self.cut(" " + w))
-        self.know({*chain.from_iterable(pieces), *chain.from_iterable(firsts)})
-        get = self.words.__getitem__
+        self.know({*chain.from_iterable(pieces)})
+        get = self.words.new.__getitem__
         for i, words in zip(gaps, pieces, strict=True):
             ids[i] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
-        if len(self.known) + len(gaps) > CACHE:
-            self.known = dict(self.frequent)
-        self.known.update([(parts[i], ids[i]) for i in gaps if len(parts[i]) <= LONGEST])
-        return [
-            b"".join([*map(get, first), *ids[end - len(own) : end]])
-            for first, own, end in zip(firsts, cut, ends, strict=True)
-        ]
-
-    def know(self, words: set[str]) -> None:
-        """Have all these words in the cache at once, whatever else goes from it."""
-        new = {w for w in words if w not in self.words}
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-            new = words
-        if new:
-            self.learn(new)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts, special tokens in them read as such."""
-        parts, whole = [], []
-        for t in texts:
-            at, own = 0, []
-            for m in self.special.finditer(t) if self.special else ():
-                own += [len(parts), np.int32(self.vocabulary.specials[m[0]]).tobytes()]
-                parts.append(t[at : m.start()])
+            if len(parts[i]) <= LONGEST:
+                known[parts[i]] = ids[i]
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        """The ids of one text that is cut into words as a whole, special tokens in it read as such."""
+        out, at = [], 0
+        for m in [*(self.special.finditer(text) if self.special else ()), None]:
+            words = self.cut(text[at : m.start() if m else None])
+            for i in range(0, len(words), CACHE):
+                some = words[i : i + CACHE]
+                self.know({*some})
+                out += map(self.words.new.__getitem__, some)
+            if m:
+                out.append(np.int32(self.vocabulary.specials[m[0]]).tobytes())
                 at = m.end()
-            whole.append([*own, len(parts)])
-            parts.append(t[at:])
-        ids = self.of_stretches(parts)
-        return [b"".join(x if isinstance(x, bytes) else ids[x] for x in own) for own in whole]
-
-
-def in_bundles(values: Iterable[str]) -> Iterator[list[str]]:
-    """Texts that are looked up together, so that lexicon lookups are few and lists short."""
-    held, size = [], 0
-    for t in values:
-        held.append(t)
-        size += len(t)
-        if size > BUNDLE:
-            yield held
-            held, size = [], 0
-    yield held
+        return b"".join(out)
+
+    def odd(self, text: pa.Array) -> np.ndarray:
+        """Which texts have to be cut as a whole."""
+        out = pc.match_substring_regex(text, BLANKS)
+        for token in self.vocabulary.specials:
+            out = pc.or_(out, pc.match_substring(text, token))
+        return out.to_numpy(zero_copy_only=False)
+
+    def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a bundle of texts one after the other, and how many each text has."""
+        n = len(text)
+        odd = self.odd(text)
+        alone = np.flatnonzero(odd)
+        cut = pc.split_pattern(pc.if_else(pa.array(odd), "", text), " ")
+        starts = cut.offsets.to_numpy()
+        found = cut.flatten().dictionary_encode()
+        which = found.indices.to_numpy().astype(np.int64)
+        # entries: distinct stretches, the first ones of the texts, which have no blank, and whole texts
+        first = cut.flatten().take(pa.array(starts[:-1])).dictionary_encode()
+        parts, firsts = found.dictionary.to_pylist(), [self.cut(w) for w in first.dictionary.to_pylist()]
+        entries = self.of_stretches(parts)
+        self.know({*chain.from_iterable(firsts)})
+        entries += [b"".join(map(self.words.new.__getitem__, words)) for words in firsts]
+        which[starts[:-1]] = len(parts) + first.indices.to_numpy()
+        which[starts[:-1][alone]] = len(entries) + np.arange(len(alone))
+        entries += [self.whole(text[i].as_py()) for i in alone.tolist()]
+        lengths = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        ids = gather(np.frombuffer(b"".join(entries), np.int32), np.cumsum(lengths) - lengths, lengths, which)
+        ends = np.concatenate([[0], np.cumsum(lengths[which])])[starts]
+        return ids, np.diff(ends) if n else np.empty(0, np.int64)
+
+
+def gather(block: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretches of ``block`` that ``which`` names, one after the other."""
+    size = lengths[which]
+    ends = np.cumsum(size)
+    return block[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + size, size)]
 
 
 def stretches(text: str) -> list[str]:
     return text.split(" ")
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 class Speller:
     """The bytes that runs of ids stand for, copied from one block of all tokens."""
 
@@ -222,49 +246,74 @@ class Speller:
     def __call__(self, ids: np.ndarray, counts: np.ndarray) -> Iterator[bytes]:
         """The bytes of each run of ``counts`` ids."""
         at = 0
-        for bundle in np.split(counts, np.flatnonzero(np.diff(np.cumsum(counts) // BUNDLE)) + 1):
+        for bundle in np.split(counts, np.flatnonzero(np.diff(np.cumsum(counts) // SPELLED)) + 1):
             own = ids[at : at + bundle.sum()].astype(np.int64)
             at += len(own)
             own = np.where((own < 0) | (own >= len(self.lengths)), len(self.lengths) - 1, own)
-            size = self.lengths[own]
-            ends = np.cumsum(size)
-            data = self.block[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[own] - ends + size, size)].tobytes()
-            edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(bundle)])].tolist()
+            data = gather(self.block, self.starts, self.lengths, own).tobytes()
+            edges = np.concatenate([[0], np.cumsum(self.lengths[own])])[np.concatenate([[0], np.cumsum(bundle)])].tolist()
             for a, b in pairwise(edges):
                 yield data[a:b]
 
 
-_SPELLERS: dict[str, Speller] = {}
+class Coder:
+    """What a worker needs of one tokenizer; each half is made when it is first used."""
 
+    def __init__(self, tokenizer: bytes, lexicon: bytes = b""):
+        self.vocabulary, self.lexicon = Vocabulary(tokenizer), lexicon
 
-def encoder(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 16):
-    """A column function from text to the array of its token ids.
+    @cached_property
+    def encoder(self) -> Encoder:
+        return Encoder(self.vocabulary, self.lexicon)
 
-    The words of the ``frequent`` most frequent stretches between blanks in all of ``docs`` are
-    encoded once, on the driver, into a lexicon that is broadcast; its size is bounded by
-    ``frequent``. Which words it holds decides how fast a word is encoded, never how.
+    @cached_property
+    def speller(self) -> Speller:
+        return Speller(self.vocabulary.tokens)
+
+    def ids(self, text: pa.Array) -> pa.ListArray:
+        coded = [self.encoder.encode(some) for some in bundles(text.fill_null(""), BUNDLE)]
+        ends = np.cumsum(np.concatenate([[0], *[n for _, n in coded]])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *[ids for ids, _ in coded]])))
+
+    def decoded(self, ids: pa.ListArray) -> pa.Array:
+        values = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.array([b.decode("utf-8", "replace") for b in self.speller(values, lengths)], pa.string())
+
+
+#: Of the broadcast that this worker used last.
+_CODERS: dict[str, Coder] = {}
+
+
+def coder_of(key: str, sent) -> Coder:
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Coder(*sent.value)
+    return _CODERS[key]
+
+
+def lexicon_of(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 16) -> bytes:
+    """The words of the ``frequent`` most frequent stretches between blanks in all of ``docs``, with their ids.
+
+    Its size is bounded by ``frequent``. Which words it holds decides how fast a word is encoded,
+    never how.
     """
     import regex
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
-    vocabulary = Vocabulary(tokenizer)
     cut = regex.compile(PATTERN).findall
-    seen = frequent_words(docs, stretches, frequent)
-    words = {p for w in seen for p in (*cut(" " + w), *cut(w)[:1])}
-    merge = vocabulary.merger()
-    lexicon = compile_lexicon([(w.encode("utf-8", "surrogatepass"), merge(w)) for w in words])
-    sent = docs.sparkSession.sparkContext.broadcast((tokenizer, lexicon, seen))
+    merge = Vocabulary(tokenizer).merger()
+    words = {p for w in frequent_words(docs, stretches, frequent) for p in (*cut(" " + w), *cut(w)[:1])}
+    return compile_lexicon([(w.encode("utf-8", "surrogatepass"), merge(w)) for w in words])
+
+
+def encoder(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 16):
+    """A column function from text to the array of its token ids."""
+    sent = docs.sparkSession.sparkContext.broadcast((tokenizer, lexicon_of(docs, tokenizer, frequent)))
     key = uuid.uuid4().hex
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(text: pa.Array) -> pa.Array:
-        worker = _ENCODERS.get(key)
-        if worker is None:
-            _ENCODERS.clear()
-            worker = _ENCODERS[key] = Encoder(Vocabulary(sent.value[0]), *sent.value[1:])
-        rows = [ids for some in in_bundles(t or "" for t in texts(text)) for ids in worker.encode(some)]
-        ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+        return coder_of(key, sent).ids(text)
 
     return encode
 
@@ -274,18 +323,12 @@ def decoder(spark, tokenizer: bytes):
 
     Ids that are null or not in the vocabulary stand for nothing; a null array is an empty text.
     """
-    sent = spark.sparkContext.broadcast(tokenizer)
+    sent = spark.sparkContext.broadcast((tokenizer,))
     key = uuid.uuid4().hex
 
     @F.arrow_udf(T.StringType())
     def decode(ids: pa.Array) -> pa.Array:
-        spell = _SPELLERS.get(key)
-        if spell is None:
-            _SPELLERS.clear()
-            spell = _SPELLERS[key] = Speller(Vocabulary(sent.value).tokens)
-        values = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-        lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        return pa.array([b.decode("utf-8", "replace") for b in spell(values, lengths)], pa.string())
+        return coder_of(key, sent).decoded(ids)
 
     return decode
 
@@ -300,10 +343,29 @@ def encode_documents(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 16)
 
 
 def decode_documents(docs: DataFrame, tokenizer: bytes) -> DataFrame:
-    """``docs`` with ``decoded``, the text that ``ids`` stand for."""
+    """``docs`` with ``decoded``, the text that ``ids`` stand for; null ids stand for an empty text."""
     return docs.withColumn("decoded", decoder(docs.sparkSession, tokenizer)(docs["ids"]))
 
 
+def round_trip(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 16) -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded``, as ``encode_documents`` and ``decode_documents`` give them.
+
+    Both come from one call for each batch: chained, the two would have every text encoded twice.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((tokenizer, lexicon_of(docs, tokenizer, frequent)))
+    key = uuid.uuid4().hex
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    @F.arrow_udf(kind)
+    def code(text: pa.Array) -> pa.Array:
+        coder = coder_of(key, sent)
+        ids = coder.ids(text)
+        return pa.StructArray.from_arrays([ids, coder.decoded(ids)], ["ids", "decoded"])
+
+    both = docs.withColumn("_coded", code(docs["text"]))
+    return both.withColumns({"ids": both["_coded.ids"], "decoded": both["_coded.decoded"]}).drop("_coded")
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> bytes:
     import public_tokenizers
 
@@ -312,8 +374,8 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> bytes:
 
 
 def digests(docs: DataFrame, tokenizer: bytes) -> DataFrame:
-    both = decode_documents(encode_documents(docs, tokenizer), tokenizer)
-    return both.select(
+    """doc_id, n_tokens and digests of ids and decoded text; null and empty texts have no tokens."""
+    return round_trip(docs, tokenizer).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,3 +101,13 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str | None]:
     """The strings of an Arrow column, one at a time, whatever its string type."""
     for x in column:
         yield x.as_py()
+
+
+def bundles(column: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Slices of a column of strings, each of about ``size`` bytes or one row."""
+    before = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(before, (before[start - 1] if start else 0) + size, "right")))
+        yield column.slice(start, stop - start)
+        start = stop

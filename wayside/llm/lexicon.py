@@ -115,6 +115,10 @@ class Lexicon:
             live = live[~done]
         return out
 
+    def output(self, rank: int) -> list[int]:
+        """The ids of the word of this rank."""
+        return self.ids[self.ends[rank] : self.ends[rank + 1]].tolist()
+
     def lookup(self, words: list[bytes]) -> list:
         """The ids of each word, None for words that aren't in the lexicon."""
-        return [None if r < 0 else self.ids[self.ends[r] : self.ends[r + 1]].tolist() for r in self.ranks(words).tolist()]
+        return [None if r < 0 else self.output(r) for r in self.ranks(words).tolist()]
