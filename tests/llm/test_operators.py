@@ -224,17 +224,34 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def literal_score(p, codes):
+    """The summed log-probability of a text's ids, word by word in 64-bit numbers."""
+    classes = p["classes"].shape[1]
+    edge, h, total = classes * classes - 1, lm.HIDDEN, 0.0
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for at, word in enumerate(codes):
+        seen = np.array(p["bias"], float)
+        for k, i in enumerate(lm.AROUND):
+            other = codes[at + i] if 0 <= at + i < len(codes) else edge
+            seen = seen + p["words"][other, k * h : (k + 1) * h]
+        layer = np.append(np.tanh(seen), 1.0)
+        cls, place = divmod(int(word), classes)
+        total += math.log(softmax(layer @ p["classes"].astype(float))[cls]) + math.log(softmax(layer @ p["places"][cls].astype(float))[place])
+    return total
+
+
+def stream_score(p, codes):
+    edge = len(p["words"]) - 1
+    return sum(lm.log_probabilities(p, x).sum() for x in lm.windows(iter([codes]), 64, edge))
+
+
 def test_pseudo_likelihood_prefers_text_to_shuffled_text(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").filter("lang = 'en'").select("doc_id", "text")
     texts = [r.text for r in docs.collect()]
     words = [w for w, _ in __import__("collections").Counter(w for t in texts for w in lm.words_of(t)).most_common(lm.FREQUENT)]
     p = lm.train(docs, words)
     ids = lm.Ids(words)
-
-    def score(ws):
-        codes = np.fromiter(map(ids.__getitem__, ws), np.int64)
-        return lm.log_probabilities(p, lm.contexts(codes, np.arange(len(codes))), codes).sum() / len(codes)
-
+    score = lambda ws: stream_score(p, np.fromiter(map(ids.__getitem__, ws), np.int64)) / len(ws)
     rnd = random.Random(1)
     whole = mixed = 0.0
     for t in [t for t in texts if len(t) > 2000][:40]:
@@ -244,22 +261,50 @@ def test_pseudo_likelihood_prefers_text_to_shuffled_text(spark):
     assert whole > mixed
 
 
-def test_training_predicts_every_word_once(spark):
-    for n in range(40):
-        for rounds in (1, 2, 3):
-            assert sorted(np.concatenate([lm.predicted(n, r, rounds) for r in range(rounds)])) == list(range(n))
+def test_windows_hold_every_word_once_with_its_neighbours():
+    rnd = np.random.default_rng(3)
+    for size in (1, 2, 5, 64):
+        docs = [rnd.integers(0, 50, n) for n in (0, 1, 2, 9, 0, 130, 3)]
+        found = []
+        for x in lm.windows(iter(docs), size, 99):
+            assert len(x) <= size + 2 * lm.SIDE
+            found += [tuple(x[i - lm.SIDE : i + lm.SIDE + 1]) for i in range(lm.SIDE, len(x) - lm.SIDE) if x[i] != 99]
+        want = []
+        for d in docs:
+            padded = np.concatenate([[99] * lm.SIDE, d, [99] * lm.SIDE])
+            want += [tuple(padded[i : i + 2 * lm.SIDE + 1]) for i in range(len(d))]
+        assert found == want
+
+
+def test_gradients_equal_differences(monkeypatch):
+    """One step moves each parameter as the slope of the literal score says."""
+    monkeypatch.setattr(lm, "RATE", 1e-3)
+    p = {k: v.astype(np.float64) for k, v in lm.new_parameters(classes=17).items()}
+    codes = np.array([1, 2, 1, 1, 40, 2, 1, 250, 1, 1, 1, 1, 1, 1])
+    trainer = lm.Trainer(p)
+    (stream,) = lm.windows(iter([codes]), 64, 288)
+    trainer.step(stream)
+    assert trainer.seen == len(codes)
+    for name, at in [("words", (1, 3)), ("words", (288, 0)), ("words", (288, 2 * lm.SIDE * lm.HIDDEN - 1)), ("words", (250, 20)), ("bias", (4,)), ("classes", (2, 0)), ("classes", (lm.HIDDEN, 14)), ("places", (0, 5, 1)), ("places", (14, lm.HIDDEN, 12))]:
+        moved = {k: v.copy() for k, v in p.items()}
+        moved[name][at] += 1e-4
+        slope = (literal_score(moved, codes) - literal_score(p, codes)) / 1e-4
+        assert abs((trainer.p[name][at] - p[name][at]) - 1e-3 * slope / math.sqrt(1 + slope * slope)) < 2e-6 + 1e-4 * 1e-3 * abs(slope)
+
+
+def test_every_text_trains_in_one_round(spark):
     # texts of under 8 words train too, and so do their last words, whose right-hand neighbour is the edge
-    docs = spark.createDataFrame([(i, "alpha beta gamma", "en", "a", 16) for i in range(40)], DOCS)
+    docs = spark.createDataFrame([(i, f"alpha beta gamma {i}", "en", "a", 16) for i in range(40)], DOCS)
     p, fresh = lm.train(docs, [b"alpha", b"beta", b"gamma"]), lm.new_parameters()
     for side in range(2 * lm.SIDE):
-        assert not np.array_equal(p["words"][side][lm.EDGE], fresh["words"][side][lm.EDGE])
+        assert not np.array_equal(p["words"][lm.EDGE, side * lm.HIDDEN :][: lm.HIDDEN], fresh["words"][lm.EDGE, side * lm.HIDDEN :][: lm.HIDDEN])
 
 
 def test_probabilities_sum_to_one():
     p = lm.new_parameters()
-    context = np.array([[1], [2], [3], [lm.EDGE]])
-    total = sum(math.exp(lm.log_probabilities(p, context, np.array([w]))[0]) for w in range(lm.VOCABULARY))
-    assert abs(total - 1) < 1e-4
+    total = sum(math.exp(lm.log_probabilities(p, np.array([1, 2, w, 3, lm.EDGE]))[2]) for w in range(lm.EDGE))
+    # what is left is the edge's, which is never predicted
+    assert 1 - 5e-3 < total < 1
 
 
 def test_pseudo_likelihood_odd_texts(spark):
@@ -295,7 +340,7 @@ def test_words_outside_the_vocabulary_have_their_share(spark, monkeypatch):
     for i, text in rows[:20]:
         own = lm.words_of(text)
         codes = np.fromiter(map(ids.__getitem__, own), np.int64)
-        full = lm.log_probabilities(p, lm.contexts(codes, np.arange(len(codes))), codes).sum()
+        full = literal_score(p, codes)
         full += sum(math.log(want[w] / per_bucket[ids[w]]) for w in own if w not in frequent)
         assert got[i].n_words == len(own) and abs(got[i].log_probability - full) < 1e-3 * abs(full)
     assert lm.classes_for(lm.FREQUENT) == lm.CLASSES and lm.classes_for(10_000) == 102

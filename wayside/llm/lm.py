@@ -8,6 +8,7 @@ import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayside.llm.common import emit_summary, materialise, merge_summaries, table, texts
+from wayside.llm.common import bundles, emit_summary, materialise, merge_summaries, table, texts
 from wayside.llm.frequent import SUMMARY
 
 #: Words seen on each side, size of the hidden layer.
@@ -33,8 +34,14 @@ LONGEST = 64
 KNOWN = 1 << 17
 #: Most bytes of parameters that are averaged in one go.
 AVERAGED = 1 << 28
-MINIBATCH, RATE = 512, 0.3
-PIECE = 1 << 15
+#: Words that a step predicts, its rate, and words that are scored together.
+MINIBATCH, RATE, PIECE = 1 << 14, 0.3, 1 << 15
+#: Bytes of texts whose words are held at once.
+BUNDLE = 1 << 22
+#: Sums of weights whose exponentials are far from the limits of 32-bit numbers, and the least such number.
+SAFE, TINY = 40.0, np.float32(1e-38)
+#: Rows of a run up to which runs are summed together.
+SHORT = 8
 AROUND = [i for i in range(-SIDE, SIDE + 1) if i]
 
 
@@ -47,9 +54,8 @@ def new_parameters(seed: int = 11, classes: int = CLASSES) -> dict[str, np.ndarr
     rng = np.random.default_rng(seed)
     small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     return {
-        "words": small(2 * SIDE, classes * classes, HIDDEN), "bias": np.zeros(HIDDEN, np.float32),
-        "classes": small(HIDDEN, classes), "class_bias": np.zeros(classes, np.float32),
-        "places": small(classes, HIDDEN, classes), "place_bias": np.zeros((classes, classes), np.float32),
+        "words": small(classes * classes, 2 * SIDE * HIDDEN), "bias": np.zeros(HIDDEN, np.float32),
+        "classes": small(HIDDEN + 1, classes), "places": small(classes, HIDDEN + 1, classes),
     }
 
 
@@ -74,44 +80,113 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def contexts(ids: np.ndarray, at: np.ndarray, edge: int = EDGE) -> np.ndarray:
-    """Ids of the words around each position, the edge beyond either end."""
-    padded = np.concatenate([np.full(SIDE, edge), ids, np.full(SIDE, edge)])
-    return np.stack([padded[at + SIDE + i] for i in AROUND])
+def windows(texts_of_ids: Iterator[np.ndarray], size: int, edge: int) -> Iterator[np.ndarray]:
+    """The texts one after the other, edges before, between and behind them, in stretches.
 
-
-def predicted(n_words: int, start: int, rounds: int) -> np.ndarray:
-    """Positions that round ``start`` predicts; over all ``rounds`` each position comes once."""
-    return np.arange(start, n_words, rounds)
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
-
-
-def by_class(classes: np.ndarray):
-    """Each class that occurs with its positions."""
-    order = np.argsort(classes, kind="stable")
-    found, first = np.unique(classes[order], return_index=True)
-    return zip(found.tolist(), np.split(order, first[1:]))
+    A stretch has up to ``size`` places to predict and SIDE more at either end, so that every word
+    of every text is to be predicted in one stretch, with its neighbours.
+    """
+    gap = np.full(SIDE, edge, np.int64)
+    held, have = [gap], SIDE
+    for ids in texts_of_ids:
+        held += [ids, gap]
+        have += len(ids) + SIDE
+        if have >= size + 2 * SIDE:
+            stream = np.concatenate(held)
+            while len(stream) >= size + 2 * SIDE:
+                yield stream[: size + 2 * SIDE]
+                stream = stream[size:]
+            held, have = [stream], len(stream)
+    stream = np.concatenate(held)
+    if len(stream) > 2 * SIDE:
+        yield stream
+
+
+def bounded(weights: np.ndarray) -> bool:
+    """Whether exponentials of what ``weights`` make of numbers from -1 to 1 are surely in range."""
+    return bool(np.abs(weights).sum(axis=-2).max() < SAFE)
+
+
+def exponentials(h: np.ndarray, weights: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in proportion to the softmax of ``h @ weights``, and their sum in each row.
+
+    Unless the weights are ``safe``, each row's greatest value is taken off first.
+    """
+    x = h @ weights
+    if not safe:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], np.float32)
+
+
+def log_probability_of(h: np.ndarray, weights: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
+    """The logarithm of each row's softmax at one place."""
+    x, total = exponentials(h, weights, safe)
+    return np.log(np.maximum(x[np.arange(len(x)), at], TINY)) - np.log(total)
+
+
+def backward(h: np.ndarray, weights: np.ndarray, at: np.ndarray, safe: bool, dh: np.ndarray) -> np.ndarray:
+    """The gradient of the summed log-probabilities by the weights; that by ``h`` is added to ``dh``."""
+    x, total = exponentials(h, weights, safe)
+    x *= (1 / total)[:, None]
+    x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at] -= 1
+    dh += x @ weights[:HIDDEN].T
+    return (x.T @ h).T
+
+
+def sums_of_runs(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of the rows from each of ``first`` up to the next: long runs one by one, short ones together."""
+    lengths = np.diff(np.append(first, len(rows)))
+    out = rows[first]
+    for i in np.flatnonzero(lengths > SHORT).tolist():
+        run = rows[first[i] : first[i] + lengths[i]]
+        out[i] = np.ones(len(run), np.float32) @ run
+    for k in range(1, SHORT):
+        more = np.flatnonzero((lengths > k) & (lengths <= SHORT))
+        out[more] += rows[first[more] + k]
+    return out
 
 
-def hidden(p: dict, context: np.ndarray) -> np.ndarray:
-    total = p["words"][0][context[0]]
-    for i in range(1, 2 * SIDE):
-        total += p["words"][i][context[i]]
-    return np.tanh(total + p["bias"])
+def hidden(p: dict, stream: np.ndarray) -> np.ndarray:
+    """The hidden layer at all places but the SIDE at either end, behind it a one for the biases."""
+    n = len(stream) - 2 * SIDE
+    rows = p["words"].take(stream, axis=0)
+    total = np.repeat(p["bias"][None], n, axis=0)
+    for k, i in enumerate(AROUND):
+        total += rows[SIDE + i : SIDE + i + n, k * HIDDEN : (k + 1) * HIDDEN]
+    out = np.ones((n, HIDDEN + 1), np.float32)
+    np.tanh(total, out=out[:, :HIDDEN])
+    return out
 
 
-def log_probabilities(p: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log-probability of each target word given the words on both its sides."""
-    h = hidden(p, context)
-    cls, place = np.divmod(target, len(p["class_bias"]))
-    out = log_softmax(h @ p["classes"] + p["class_bias"])[np.arange(len(target)), cls].astype(np.float64)
-    for c, own in by_class(cls):
-        out[own] += log_softmax(h[own] @ p["places"][c] + p["place_bias"][c])[np.arange(len(own)), place[own]]
+def places_in_order(stream: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stretch's places in order of their words; and those to be predicted, counted from SIDE."""
+    order = np.argsort(stream)
+    inner = order[: np.searchsorted(stream[order], edge)]  # the edge is the greatest id
+    inner = inner[(inner >= SIDE) & (inner < len(stream) - SIDE)] - SIDE
+    return order, inner
+
+
+def by_class(cls: np.ndarray, classes: int) -> Iterator[tuple[int, slice]]:
+    """Each class that occurs with its places in ``cls``, which is sorted."""
+    bounds = np.searchsorted(cls, np.arange(classes + 1)).tolist()
+    for c, (start, stop) in enumerate(pairwise(bounds)):
+        if start < stop:
+            yield c, slice(start, stop)
+
+
+def log_probabilities(p: dict, stream: np.ndarray) -> np.ndarray:
+    """Log-probability of each word given the words on both its sides; 0 for edges and the SIDE places at either end."""
+    classes = p["classes"].shape[1]
+    _, inner = places_in_order(stream, classes * classes - 1)
+    h = hidden(p, stream)[inner]
+    cls, place = np.divmod(stream[inner + SIDE], classes)
+    found = log_probability_of(h, p["classes"], cls, bounded(p["classes"])).astype(np.float64)
+    safe = bounded(p["places"])
+    for c, own in by_class(cls, classes):
+        found[own] += log_probability_of(h[own], p["places"][c], place[own], safe)
+    out = np.zeros(len(stream))
+    out[inner + SIDE] = found
     return out
 
 
@@ -120,39 +195,42 @@ class Trainer:
 
     def __init__(self, parameters: dict[str, np.ndarray]):
         self.p = {k: v.copy() for k, v in parameters.items()}
-        self.squares = {k: np.full(v.shape, 1e-3, np.float32) for k, v in parameters.items()}
+        self.squares = {k: np.ones(v.shape, np.float32) for k, v in parameters.items()}
         self.seen = 0
 
-    def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        p, n = self.p, len(target)
-        self.seen += n
-        h = hidden(p, context)
-        cls, place = np.divmod(target, len(p["class_bias"]))
-        g = np.exp(log_softmax(h @ p["classes"] + p["class_bias"]))
-        g[np.arange(n), cls] -= 1
-        grads = {"classes": h.T @ g, "class_bias": g.sum(axis=0)}
-        dh = g @ p["classes"].T
-        for c, own in by_class(cls):  # only the classes that occur
-            g = np.exp(log_softmax(h[own] @ p["places"][c] + p["place_bias"][c]))
-            g[np.arange(len(own)), place[own]] -= 1
-            dh[own] += g @ p["places"][c].T
-            for k, grad in (("places", h[own].T @ g), ("place_bias", g.sum(axis=0))):
-                grad = grad / n
-                self.squares[k][c] += grad * grad
-                p[k][c] -= RATE * grad / np.sqrt(self.squares[k][c])
+    def update(self, name: str, at, grad: np.ndarray) -> None:
+        squares = self.squares[name][at] + grad * grad
+        self.squares[name][at] = squares
+        self.p[name][at] -= RATE * grad / np.sqrt(squares)
+
+    def step(self, stream: np.ndarray) -> None:
+        """Predict every word of a stretch."""
+        p, n = self.p, len(stream) - 2 * SIDE
+        classes = p["classes"].shape[1]
+        order, inner = places_in_order(stream, classes * classes - 1)
+        m = len(inner)
+        if not m:
+            return
+        self.seen += m
+        h = hidden(p, stream)[inner]
+        cls, place = np.divmod(stream[inner + SIDE], classes)
+        dh = np.zeros((m, HIDDEN), np.float32)
+        self.update("classes", slice(None), backward(h, p["classes"], cls, bounded(p["classes"]), dh))
+        safe = bounded(p["places"])
+        for c, own in by_class(cls, classes):  # only the classes that occur
+            self.update("places", c, backward(h[own], p["places"][c], place[own], safe, dh[own]))
+        h = h[:, :HIDDEN]
         dh *= 1 - h * h
-        grads["bias"] = dh.sum(axis=0)
-        for i in range(2 * SIDE):  # only the rows of words that occur
-            order = np.argsort(context[i], kind="stable")
-            found, first = np.unique(context[i][order], return_index=True)
-            grad = np.add.reduceat(dh[order], first, axis=0) / n
-            squares = self.squares["words"][i][found] + grad * grad
-            self.squares["words"][i][found] = squares
-            p["words"][i][found] -= RATE * grad / np.sqrt(squares)
-        for k, grad in grads.items():
-            grad = grad / n
-            self.squares[k] += grad * grad
-            p[k] -= RATE * grad / np.sqrt(self.squares[k])
+        self.update("bias", slice(None), dh.sum(axis=0))
+        # what each place's word has to do with the places around it, summed by word
+        back = np.zeros((n, HIDDEN), np.float32)
+        back[inner] = dh
+        shares = np.zeros((len(stream), 2 * SIDE * HIDDEN), np.float32)
+        for k, i in enumerate(AROUND):
+            shares[SIDE + i : SIDE + i + n, k * HIDDEN : (k + 1) * HIDDEN] = back
+        ids = stream[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        self.update("words", ids[first], sums_of_runs(shares.take(order, axis=0), first))
 
 
 def pack(p: dict[str, np.ndarray], weight: int) -> bytes:
@@ -173,41 +251,34 @@ def average(blobs: list[bytes]) -> bytes:
 def train(docs: DataFrame, words: list[bytes], rounds: int = 2, seed: int = 11) -> dict[str, np.ndarray]:
     """Parameters trained on every word of ``docs``.
 
-    Each word is predicted in one of the rounds. In each round every task trains from the shared parameters on its own documents, and the
-    results are averaged, a few at a time, weighed by how many words each has predicted.
+    A checksum of its bytes deals each text to one of the rounds, in which all of its words are
+    predicted. In each round every task trains from the shared parameters on its own documents, and
+    the results are averaged, a few at a time, weighed by how many words each has predicted; so
+    they depend on how the documents are dealt to tasks.
     """
     classes = classes_for(len(words))
     edge = classes * classes - 1
     parameters = new_parameters(seed, classes)
     fan_in = max(2, min(16, AVERAGED // sum(v.nbytes for v in parameters.values())))
     context = docs.sparkSession.sparkContext
-    for start in range(rounds):
+    for own_round in range(rounds):
         sent = context.broadcast((parameters, words))
 
-        def fit(batches: Iterator[pa.RecordBatch], sent=sent, start=start) -> Iterator[pa.RecordBatch]:
+        def fit(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             trainer, ids = Trainer(sent.value[0]), Ids(sent.value[1], classes)
-            held, size = [], 0
-
-            def flush():
-                if held:
-                    trainer.step(np.concatenate([c for c, _ in held], axis=1), np.concatenate([t for _, t in held]))
-                    held.clear()
-
-            for batch in batches:
-                for text in texts(batch.column(0)):
-                    codes = np.fromiter(map(ids.__getitem__, words_of(text or "")), np.int64)
-                    at = predicted(len(codes), start, rounds)
-                    target, around = codes[at], contexts(codes, at, edge)
-                    for i in range(0, len(target), MINIBATCH):
-                        held.append((around[:, i : i + MINIBATCH], target[i : i + MINIBATCH]))
-                        size += len(held[-1][1])
-                        if size >= MINIBATCH:
-                            flush()
-                            size = 0
-            flush()
+
+            def codes() -> Iterator[np.ndarray]:
+                for batch in batches:
+                    for text in texts(batch.column(0)):
+                        found = words_of(text)
+                        yield np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
+
+            for stream in windows(codes(), MINIBATCH, edge):
+                trainer.step(stream)
             yield from emit_summary(pack(trainer.p, trainer.seen) if trainer.seen else None)
 
-        merged = merge_summaries(docs.select("text").mapInArrow(fit, SUMMARY), average, fan_in)
+        own = docs.filter(F.crc32("text") % rounds == own_round).select("text")
+        merged = merge_summaries(own.mapInArrow(fit, SUMMARY), average, fan_in)
         if merged:
             parameters = pickle.loads(merged)[1]
         sent.unpersist()
@@ -296,7 +367,7 @@ def scorer(spark, parameters: dict[str, np.ndarray], words: list[bytes], more: l
     @F.arrow_udf(SCORE)
     def score(text: pa.Array) -> pa.Array:
         p, words, more, counts, buckets = sent.value
-        edge = p["words"].shape[1] - 1
+        edge = len(p["words"]) - 1
         places = Places({w: i for i, w in enumerate([*words, *more])})
         own_bucket = np.array([zlib.crc32(w) % OTHERS for w in more], np.int64)
         id_of = np.concatenate([np.arange(len(words)), edge - OTHERS + own_bucket, np.arange(edge - OTHERS, edge)])
@@ -304,35 +375,30 @@ def scorer(spark, parameters: dict[str, np.ndarray], words: list[bytes], more: l
         share = np.concatenate([np.zeros(len(words)), np.log(counts) - whole[own_bucket], -whole])
         n_words, sums = np.zeros(len(text), np.int64), np.zeros(len(text))
         rare, times, ends = [], [], [0]
-        held, size = [], 0
-
-        def flush():
-            if held:
-                values = log_probabilities(p, np.concatenate([c for _, c, _ in held], axis=1), np.concatenate([t for _, _, t in held]))
-                at = 0
-                for row, _, target in held:
-                    sums[row] += values[at : at + len(target)].sum()
-                    at += len(target)
-                held.clear()
-
-        for row, t in enumerate(texts(text)):
-            own = words_of(t or "")
-            found = np.fromiter(map(places.__getitem__, own), np.int64, len(own))
-            codes = id_of[found]
-            n_words[row] = len(codes)
-            sums[row] += share[found].sum()
-            seen = Counter(key_of(own[i]) for i in np.flatnonzero(found >= len(places)))
-            rare += seen
-            times += seen.values()
-            ends.append(len(rare))
-            for i in range(0, len(codes), PIECE):
-                at = np.arange(i, min(i + PIECE, len(codes)))
-                held.append((row, contexts(codes, at, edge), codes[at]))
-                size += len(at)
-                if size >= PIECE:
-                    flush()
-                    size = 0
-        flush()
+        found, row = [], 0
+
+        def codes(bundle: pa.Array) -> Iterator[np.ndarray]:
+            for t in texts(bundle):
+                own = words_of(t or "")
+                at = np.fromiter(map(places.__getitem__, own), np.int64, len(own))
+                found.append(at)
+                seen = Counter(key_of(own[i]) for i in np.flatnonzero(at >= len(places)).tolist())
+                rare.extend(seen)
+                times.extend(seen.values())
+                ends.append(len(rare))
+                yield id_of[at]
+
+        for bundle in bundles(text, BUNDLE):
+            # each stretch without its last places, which the next one begins with
+            values = [log_probabilities(p, stream)[SIDE:-SIDE] for stream in windows(codes(bundle), PIECE, edge)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            at = np.concatenate([np.empty(0, np.int64), *found])
+            owner = np.repeat(np.arange(len(found)), size)
+            values = np.concatenate([np.empty(0), *values])[np.arange(len(at)) + SIDE * owner] + share[at]
+            sums[row : row + len(found)] = np.bincount(owner, values, len(found))
+            n_words[row : row + len(found)] = size
+            row += len(found)
+            found.clear()
         pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "times"])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
         return pa.StructArray.from_arrays([pa.array(n_words), pa.array(sums), lists], ["n_words", "log_probability", "rare"])
@@ -347,8 +413,8 @@ def score_documents(docs: DataFrame, rounds: int = 2, seed: int = 11) -> DataFra
     given two words on each side; ``per_word`` is its mean. Words outside the vocabulary share hash
     buckets: such a word has the probability of its bucket times its share in all occurrences of the
     bucket's words. Null and empty texts have no words, sum 0 and a null mean. Words are told apart
-    without regard to the case of A-Z. Repeated rows get the same score; an empty table gives no
-    rows; other columns are not read.
+    without regard to the case of A-Z. Repeated rows get the same score but for the rounding of
+    32-bit products; an empty table gives no rows; other columns are not read.
     """
     counts = count_words(docs)
     words, more, known, buckets = vocabulary(counts)
