@@ -177,6 +177,51 @@ def test_secrets_odd_texts(spark):
     assert cleaned[1] is None and cleaned[3] == '[assign]"' and cleaned[2] == ""
 
 
+@pytest.mark.parametrize("layer", [
+    lambda s: base64.b64encode(gzip.compress(b"nothing here " * 50) + gzip.compress(s)).decode(),  # the second member
+    lambda s: base64.b64encode(gzip.compress(s) + b"trailing").decode(),
+    lambda s: base64.b64encode(b"\x00\x1b" + s).decode(),
+    lambda s: base64.b64encode("é…".encode() + s + b"\xff").decode(),
+    lambda s: "".join(f"\\u{c:04x}" for c in s),
+    lambda s: "\\ud83d\\ude00" + urllib.parse.quote(s, safe=""),
+])
+def test_layers_that_are_easily_lost(layer):
+    text = "before " + layer(b"token=abcdef123456") + " after"
+    found = [x for x in secretscan.scan(text)[1] if x[1] == 0]
+    assert found and all(text[a:b].strip() and 7 <= a < b <= len(text) - 6 for a, _, b in found)
+
+
+def test_surrogate_pairs_are_one_character():
+    data, places = secretscan._unescape("\\ud83d\\ude00é\\u0041\\ud83d", 5, secretscan.ESCAPE)
+    assert data.decode() == "😀éA\ufffd"
+    text, places = secretscan._as_text(data, places)
+    assert [places.span(i, i + 1) for i in range(4)] == [(5, 17), (17, 18), (18, 24), (24, 30)]
+
+
+def test_secrets_query_equals_literal_patterns(spark):
+    import re
+
+    rules = {"assign": re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I), "access": re.compile(r"(AKIA[A-Z0-9]+)"), "hex": re.compile(r"([0-9a-f]+)")}
+    least = {"assign": 6, "access": 20, "hex": 24}
+    got = {r.doc_id: r for r in QUERIES["op10_secret_spans"](spark, SF).collect()}
+    docs = table(spark, SF, "documents").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        spans = sorted((m.start(), list(rules).index(kind), m.end()) for kind, rule in rules.items() for m in rule.finditer(d.text or "") if len(m[1]) >= least[kind])
+        text = ",".join(f"{list(rules)[k]}:{a}:{b}" for a, k, b in spans)
+        r = got[d.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in spans) for i in range(3))
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and set(filter(None, text.split(","))) <= set(r.spans.split(","))
+
+
+def test_secrets_of_repeated_rows_and_empty_tables(spark):
+    long = urllib.parse.quote("token=abcdef123456 " * 20_000, safe="")
+    docs = spark.createDataFrame([(1, long), (1, long), (2, None)], "doc_id long, text string").withColumn("spans", F.lit("clash"))
+    rows = secretscan.secrets(docs).collect()
+    assert len(rows) == 3 and [len(r.spans) for r in rows if r.doc_id == 1] == [20_000] * 2
+    assert secretscan.secrets(docs.limit(0)).collect() == []
+
+
 def test_languages_of_held_out_texts(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = QUERIES["op3_language"](spark, "/root/testdata/sf0.01").filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -186,14 +231,53 @@ def test_languages_of_held_out_texts(spark):
 def test_languages_of_odd_texts(spark):
     learn = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "fr"), ("x", None)], "text string, lang string")
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "123 ###"), (4, "the dog"), (5, "die katze" * 50_000), (6, "ß")], "doc_id long, text string").withColumn("score", F.lit("clash"))
-    got = {r.doc_id: (r.lang_pred, r[-1]) for r in langid.identify(docs.drop("score"), learn).collect()}
+    got = {r.doc_id: (r.lang_pred, r[-1]) for r in langid.identify(docs, learn).collect()}
+    assert langid.identify(docs, learn).columns == ["doc_id", "text", "lang_pred", "score"]
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "en" and got[5][0] == "de" and got[6][0] in ("en", "de")
-    assert langid.identify(docs.drop("score"), learn.limit(0)).filter("lang_pred <> 'und'").count() == 0
+    assert langid.identify(docs, learn.limit(0)).filter("lang_pred <> 'und'").count() == 0
+    assert langid.identify(docs.limit(0), learn).collect() == []
+    marks = spark.createDataFrame([(1, "² ½ 7"), (2, "² ½ 7"), (2, "² ½ 7")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(marks, learn).collect()] == ["und"] * 3
+
+
+def literal_grams(text):
+    """The buckets of a text's n-grams, one by one."""
+    mask = 0xFFFFFFFF
+    chars = [32 if ord(c) < 128 and not c.isalpha() else ord(c) for c in text.lower()]
+    factors = [int(x) for x in langid.MULTIPLIERS]
+    for order in range(langid.ORDERS):
+        for i in range(len(chars) - order):
+            run = 0
+            for k in range(order + 1):
+                run = (run ^ chars[i + k]) * factors[k] & mask
+                run ^= run >> 15
+            yield (run + order) * 0x27D4EB2F % (mask + 1) >> (32 - langid.BITS)
+
+
+def test_languages_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 100)  # most texts go through in several stretches
+    docs = [(r.doc_id, r.text, r.lang) for r in table(spark, SF, "documents").orderBy("doc_id").limit(40).collect() if r.text] + [(9001, "aΣ" * 60 + "İx", "xx"), (9002, "q", "xx")]
+    counts = {}
+    for _, text, lang in docs:
+        for b in literal_grams(text) if lang else ():
+            counts.setdefault(lang, [0.5] * (1 << langid.BITS))[b] += 1
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    names, matrix = langid.fit(frame.filter("lang is not null"))
+    assert names == sorted(counts)
+    for i, lang in enumerate(names):
+        assert np.allclose(matrix[:, i], np.log(np.array(counts[lang]) / sum(counts[lang])), atol=1e-5)
+    totals = langid.score_batch([x for _, text, _ in docs[-12:] for x in langid.pieces(text)], matrix)
+    at = 0
+    for _, text, _ in docs[-12:]:
+        n = len(list(langid.pieces(text)))
+        want = sum(matrix[b].astype(float) for b in literal_grams(text))
+        assert np.allclose(totals[at : at + n].sum(axis=0), want, rtol=1e-5)
+        at += n
 
 
 def test_batch_scores_do_not_depend_on_neighbours():
     matrix = np.log(np.random.default_rng(0).dirichlet(np.ones(2), 1 << langid.BITS)).astype(np.float32)
-    texts = ["abc", "dé", "x", "hello there"]
+    texts = [(langid.codes_of(t), 0) for t in ("abc", "dé", "x", "hello there")]
     together = langid.score_batch(texts, matrix)
     alone = np.concatenate([langid.score_batch([t], matrix) for t in texts])
     assert np.allclose(together, alone)

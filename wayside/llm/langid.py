@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +16,19 @@ from wayside.llm.common import table, texts
 ORDERS, BITS = 3, 16
 #: Characters that are hashed at once; longer texts go through in pieces.
 PIECE = 1 << 18
-GAP = " " * (ORDERS - 1)
-LETTER = re.compile(r"[^\W\d_]")
+GAP = np.full(ORDERS - 1, 32, np.uint32)
 NOT_LETTERS = np.array([not chr(i).isalpha() for i in range(128)] + [False])
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
-def hashed(text: str) -> np.ndarray:
-    """Bucket of each n-gram of the text. ASCII that isn't a letter counts as a blank."""
+def codes_of(text: str) -> np.ndarray:
+    """Code points in lower case. ASCII that isn't a letter counts as a blank."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(NOT_LETTERS[np.minimum(codes, 128)], np.uint32(32), codes)
+    return np.where(NOT_LETTERS[np.minimum(codes, 128)], np.uint32(32), codes)
+
+
+def hashed(codes: np.ndarray) -> list[np.ndarray]:
+    """For each order the buckets of the n-grams, by where they begin."""
     n = len(codes)
     out, run = [], np.zeros(n, np.uint32)
     for order in range(min(ORDERS, n)):
@@ -36,10 +38,16 @@ def hashed(text: str) -> np.ndarray:
     return out
 
 
-def pieces(text: str) -> Iterator[str]:
-    """The text in stretches of PIECE characters; n-grams across a cut are left out."""
-    for i in range(0, len(text), PIECE):
-        yield text[i : i + PIECE]
+def pieces(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """The text's codes in stretches of PIECE, and how many codes before its own each begins with.
+
+    A stretch's n-grams are those that end among its own codes, so each n-gram of the text is in
+    one stretch.
+    """
+    codes = codes_of(text)
+    for i in range(0, len(codes), PIECE):
+        before = min(i, ORDERS - 1)
+        yield codes[i - before : i + PIECE], before
 
 
 COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
@@ -51,8 +59,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(texts(batch.column("lang")), texts(batch.column("text")), strict=True):
             counts = held.setdefault(lang, np.zeros(1 << BITS, np.int64))
-            for piece in pieces(text):
-                for buckets in hashed(piece):
+            for piece, before in pieces(text):
+                for order, buckets in enumerate(hashed(piece)):
+                    buckets = buckets[max(0, before - order) :]
                     if len(buckets) > 2000:
                         counts += np.bincount(buckets, minlength=1 << BITS)
                     else:
@@ -80,16 +89,18 @@ def fit(labelled: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndar
     return langs, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
 
 
-def score_batch(batch: list[str], matrix: np.ndarray) -> np.ndarray:
-    """Summed log-probabilities (texts x languages) of texts that are scored together."""
-    text = GAP.join([*batch, ""])
-    lengths = np.array([len(t.lower()) for t in batch])
+def score_batch(batch: list[tuple[np.ndarray, int]], matrix: np.ndarray) -> np.ndarray:
+    """Summed log-probabilities (stretches x languages) of stretches that are scored together."""
+    codes = np.concatenate([x for piece, _ in batch for x in (piece, GAP)])
+    lengths = np.array([len(piece) for piece, _ in batch])
+    before = np.array([n for _, n in batch])
     starts = np.cumsum(lengths + len(GAP)) - lengths - len(GAP)
-    edges = np.stack([starts, starts + lengths], axis=1).ravel()  # of each text and of the gap behind it
     total = np.zeros((len(batch), matrix.shape[1]))
-    for buckets in hashed(text):
+    for order, buckets in enumerate(hashed(codes)):
         values = np.concatenate([matrix[buckets].astype(np.float64), np.zeros((1, matrix.shape[1]))])
-        total += np.add.reduceat(values, np.minimum(edges, len(buckets)), axis=0)[::2]
+        first, stop = starts + np.maximum(0, before - order), starts + lengths - order
+        edges = np.stack([first, np.maximum(first, stop)], axis=1).ravel()  # of each stretch, and of what is between
+        total += np.add.reduceat(values, np.minimum(edges, len(buckets)), axis=0)[::2] * (stop > first)[:, None]
     return total
 
 
@@ -102,7 +113,7 @@ def predictor(spark, langs: list[str], matrix: np.ndarray):
     def predict(text: pa.Array) -> pa.Array:
         names, logs = model.value
         rows: list[tuple[str, float]] = [("und", 0.0)] * len(text)
-        held: list[tuple[int, str]] = []
+        held: list[tuple[int, tuple[np.ndarray, int]]] = []
 
         def flush():
             if not held:
@@ -119,7 +130,7 @@ def predictor(spark, langs: list[str], matrix: np.ndarray):
 
         size = 0
         for i, t in enumerate(texts(text)):
-            if t is None or not names or not LETTER.search(t):
+            if t is None or not names or not any(map(str.isalpha, t)):
                 continue
             if size > PIECE:
                 flush()
@@ -143,11 +154,12 @@ def identify(docs: DataFrame, labelled: DataFrame, smoothing: float = 0.5) -> Da
     Texts that are null or have no letter get ``und`` with score 0, and so does everything if there
     is nothing to learn from. The score is the posterior probability of the prediction among the
     learned languages. Empty tables give no rows; repeated rows are predicted alike; columns other
-    than text are kept and not used.
+    than text are kept and not used, but columns named lang_pred or score are replaced.
     """
     langs, matrix = fit(labelled.filter("text is not null and lang is not null"), smoothing)
     predict = predictor(docs.sparkSession, langs, matrix)
-    return docs.withColumn("_p", predict(docs["text"])).select(*[docs[c] for c in docs.columns], "_p.lang_pred", "_p.score")
+    others = [docs[c] for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.withColumn("_p", predict(docs["text"])).select(*others, "_p.lang_pred", "_p.score")
 
 
 def op3_language(spark, sf_dir):

@@ -7,7 +7,9 @@ import binascii
 import hashlib
 import re
 import zlib
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,8 @@ KINDS = ("assign", "access", "hex")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_RUN = 6, 20, b"x" * 24
 
 URL_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}")
-ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+#: The two halves of a surrogate pair are one escape.
+ESCAPE = re.compile(r"\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 BASE64_RUN = b"x" * 16
 #: Base64 wrapped in lines of at least 16 characters, the last one perhaps shorter.
@@ -60,33 +63,67 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
     return spans
 
 
-def _unescape(token: str, at: int, pattern: re.Pattern, width: int):
-    """The token with its escapes undone, and for each new character where it stood."""
-    data, places = [], []
-    i = 0
-    for m in [*pattern.finditer(token), None]:
-        stop = m.start() if m else len(token)
-        for j in range(i, stop):
-            char = token[j].encode("utf-8", "surrogatepass")
-            data.append(char)
-            places += [(at + j, at + j + 1)] * len(char)
-        if m:
-            code = int(m[0][width:], 16)
-            char = bytes([code]) if pattern is URL_ESCAPE else chr(code).encode("utf-16", "surrogatepass")[2:].decode("utf-16", "replace").encode()
-            data.append(char)
-            places += [(at + m.start(), at + m.end())] * len(char)
-            i = m.end()
-    return b"".join(data), places
-
-
 class Whole:
     """One stretch as the place of every character of a layer."""
 
     def __init__(self, span: tuple[int, int]):
-        self.span = span
+        self.all = span
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        return self.all
+
+    def through(self, above):
+        return Whole(above.span(*self.all))
+
+
+class Places:
+    """Where each byte or character of a layer stands in the one above: its start and its end."""
 
-    def __getitem__(self, i: int) -> tuple[int, int]:
-        return self.span
+    def __init__(self, starts: np.ndarray, ends: np.ndarray):
+        self.starts, self.ends = starts, ends
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        return int(self.starts[start]), int(self.ends[end - 1])
+
+    def through(self, above):
+        if isinstance(above, Whole):
+            return above
+        return Places(above.starts[self.starts], above.ends[self.ends - 1])
+
+
+def _lengths(text: str) -> np.ndarray:
+    """Bytes of each character in UTF-8; an undecodable byte is one."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+    return np.where((codes >= 0xDC80) & (codes <= 0xDCFF), 1, size)
+
+
+def _unescape(token: str, at: int, pattern: re.Pattern):
+    """The bytes of the token with its escapes undone, and where each of them stood."""
+    data, starts, ends = bytearray(), array("q"), array("q")
+    i = 0
+    for m in [*pattern.finditer(token), None]:
+        stop = m.start() if m else len(token)
+        if stop > i:
+            plain = token[i:stop]
+            data += plain.encode("utf-8", "surrogatepass")
+            where = range(at + i, at + stop)
+            if not plain.isascii():
+                size = [len(c.encode("utf-8", "surrogatepass")) for c in plain]
+                where = [x for x, n in zip(where, size, strict=True) for _ in range(n)]
+            starts.extend(where)
+            ends.extend([x + 1 for x in where])
+        if m:
+            units = m[0].replace("\\u", "").replace("\\x", "").replace("%", "")
+            if pattern is URL_ESCAPE:
+                char = bytes.fromhex(units)
+            else:
+                char = bytes.fromhex(units.zfill(4)).decode("utf-16-be", "replace").encode()
+            data += char
+            starts.extend([at + m.start()] * len(char))
+            ends.extend([at + m.end()] * len(char))
+            i = m.end()
+    return bytes(data), Places(np.frombuffer(starts, np.int64), np.frombuffer(ends, np.int64))
 
 
 def _as_text(data: bytes, places):
@@ -96,41 +133,43 @@ def _as_text(data: bytes, places):
     if data.isascii():
         return data.decode(), places
     text = data.decode("utf-8", "surrogateescape")
-    if not isinstance(places, Whole):
-        ends, at = [], 0
-        for c in text:
-            n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
-            ends.append((places[at][0], places[at + n - 1][1]))
-            at += n
-        places = ends
+    if isinstance(places, Places):
+        size = _lengths(text)
+        last = np.cumsum(size) - 1
+        places = Places(places.starts[last - size + 1], places.ends[last])
     return UNDECODABLE.sub("\ufffd", text), places
 
 
 def _unfold(data: bytes):
-    """Pieces of what a gzip or zlib stream unfolds to; returns whether it came to its end.
+    """Pieces of what a gzip or zlib stream unfolds to, all its members; returns whether one came to its end.
 
-    All up to 2 * PIECE bytes is one piece; further ones begin with the last PIECE bytes of the one
-    before, in which runs of blanks are made one blank, as no pattern tells these apart.
+    All up to 2 * PIECE bytes of a member is one piece; further ones begin with the last PIECE bytes
+    of the one before, in which runs of blanks are made one blank, as no pattern tells these apart.
     """
     for wbits in (31, 15):
-        unpack, rest, tail = zlib.decompressobj(wbits), data, b""
+        rest, tail, ended = data, b"", False
         try:
-            while not unpack.eof:
-                out = unpack.decompress(rest, PIECE if tail else 2 * PIECE)
-                rest = unpack.unconsumed_tail
-                if out:
-                    yield tail + out
-                    tail = BLANKS.sub(b" ", tail + out)[-PIECE:]
-                elif not rest:
+            while rest:
+                unpack = zlib.decompressobj(wbits)
+                while not unpack.eof:
+                    out = unpack.decompress(rest, PIECE if tail else 2 * PIECE)
+                    rest = unpack.unconsumed_tail
+                    if out:
+                        yield tail + out
+                        tail = BLANKS.sub(b" ", tail + out)[-PIECE:]
+                    elif not rest:
+                        break
+                if not unpack.eof:
                     break
+                rest, ended = unpack.unused_data, True
         except zlib.error:
             pass
-        if unpack.eof:
+        if ended:
             return True
     return False
 
 
-def _from_base64(run: str, where: list[int] | range):
+def _from_base64(run: str, where: np.ndarray):
     """Layers of base64 characters that stand at ``where``."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
@@ -140,7 +179,7 @@ def _from_base64(run: str, where: list[int] | range):
     except binascii.Error:
         return
     if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-        span = Whole((where[0], where[-1] + 1))
+        span = Whole((int(where[0]), int(where[-1]) + 1))
         pieces = _unfold(data)
         while True:
             try:
@@ -149,8 +188,8 @@ def _from_base64(run: str, where: list[int] | range):
                 if end.value:
                     return
                 break
-    last = len(where) - 1
-    yield _as_text(data, [(where[i * 4 // 3], where[min(last, (i + 1) * 4 // 3)] + 1) for i in range(len(data))])
+    i = np.arange(len(data))
+    yield _as_text(data, Places(where[i * 4 // 3], where[np.minimum(len(where) - 1, (i + 1) * 4 // 3)] + 1))
 
 
 def _blocks(lines: list[re.Match]):
@@ -168,18 +207,18 @@ def _blocks(lines: list[re.Match]):
 
 def layers_of(text: str, raw: bytes):
     """What the encoded stretches of a text decode to: (text, place of each character in this one)."""
-    for pattern, width, there in ((URL_ESCAPE, 1, b"%" in raw), (ESCAPE, 2, b"\\u" in raw or b"\\x" in raw)):
+    for pattern, there in ((URL_ESCAPE, b"%" in raw), (ESCAPE, b"\\u" in raw or b"\\x" in raw)):
         if there and pattern.search(text):
             for m in re.finditer(r"\S+", text):
                 if pattern.search(m[0]):
-                    yield _as_text(*_unescape(m[0], m.start(), pattern, width))
+                    yield _as_text(*_unescape(m[0], m.start(), pattern))
     if BASE64_RUN in raw.translate(BASE64_MARKS):
         for m in BASE64.finditer(text):
-            yield from _from_base64(m[0], range(m.start(), m.end()))
+            yield from _from_base64(m[0], np.arange(m.start(), m.end()))
         if b"\n" in raw:
             for m in WRAPPED.finditer(text):
                 for lines in _blocks(list(LINE.finditer(text, m.start(), m.end()))):
-                    yield from _from_base64("".join(x[0] for x in lines), [i for x in lines for i in range(*x.span())])
+                    yield from _from_base64("".join(x[0] for x in lines), np.concatenate([np.arange(*x.span()) for x in lines]))
 
 
 def scan(text: str | None) -> tuple[list, list]:
@@ -207,15 +246,15 @@ def scan(text: str | None) -> tuple[list, list]:
             continue
         layer, places = found
         if above is not None:
-            up = lambda x: (above[x[0]][0], above[x[1] - 1][1])
-            places = Whole(up(places.span)) if isinstance(places, Whole) else [*map(up, places)]
+            places = places.through(above)
         data = layer.encode("utf-8", "surrogatepass")
-        key = (hashlib.blake2b(data, digest_size=16).digest(), places[0][0], places[-1][1])
+        key = (hashlib.blake2b(data, digest_size=16).digest(), places.span(0, len(layer)))
         if key in seen:
             continue
         seen.add(key)
         for start, kind, end in base_spans(layer, data):
-            every.add((places[start][0], kind, places[end - 1][1]))
+            start, end = places.span(start, end)
+            every.add((start, kind, end))
         work.append((layers_of(layer, data), places))
     return base, sorted(every)
 
