@@ -9,6 +9,8 @@ from wayside.llm.common import WORD_PATTERN, materialise
 
 #: Hexadecimal digits of the shuffle key that form a bucket: 4096 buckets for each source.
 BUCKET_DIGITS = 3
+#: Sources whose plan is broadcast; beyond that, rows and plan are dealt by source and salt.
+BROADCAST_SOURCES, SALTS = 1 << 16, 64
 
 
 def word_count(text: Column) -> Column:
@@ -27,7 +29,7 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     turn. Clamping the fullest source and sharing what is over by weight until none is above ends
     in one level: sources ordered by the level at which they fill up are clamped while the level
     that the rest would then have still reaches them. Adds weight and target (double). The windows
-    run over one row for each source.
+    run over one row for each source, in one task: some millions of sources at most.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     every = Window.partitionBy()
@@ -107,6 +109,21 @@ def plan_sources(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epo
     return targets.join(cuts, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
 
 
+def with_plan(rows: DataFrame, plan: DataFrame, salt: Column) -> DataFrame:
+    """Each row beside its source's row of ``plan`` (whose source is ``p_source``).
+
+    The plan is counted first. Up to BROADCAST_SOURCES it goes to the rows, which stay where they
+    are; a larger one is repeated under every salt, so that no source's rows meet in one task.
+    """
+    plan = materialise(plan.withColumnRenamed("source", "p_source"), "plan")
+    same = rows["source"].eqNullSafe(plan["p_source"])
+    if plan.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(plan), same)
+    plan = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_row_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return rows.join(plan, same & (F.col("_row_salt") == F.col("_salt"))).drop("_salt", "_row_salt")
+
+
 def sized_documents(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("key")
@@ -122,10 +139,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     Other columns are not read. Reruns agree: only the ids and the seed decide.
     """
     sized = materialise(sized_documents(docs, seed), "mix")
-    plan = plan_sources(sized, weights, max_epochs).withColumnRenamed("source", "p_source")
+    plan = plan_sources(sized, weights, max_epochs)
     repeats = F.col("whole") + F.when(F.col("key") <= F.col("cut"), 1).otherwise(0)
     return (
-        sized.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
+        with_plan(sized, plan, F.col("key"))
         .withColumn("repeats", repeats.cast("long"))
         .select(
             "doc_id", "source", "size", "source_size", "target", "repeats",
@@ -139,18 +156,19 @@ def mix_documents(
 ) -> DataFrame:
     """The mixed documents themselves: each row of ``docs`` as many times as the mix repeats it.
 
-    The plan holds a row for each source, so the texts are joined where they lie.
+    The plan holds a row for each source and is broadcast, so the texts stay where they lie. Null
+    texts have size 0 and are repeated like others of their source. An empty table gives no rows;
+    all columns stay as they are.
     """
+    columns = docs.columns
     sized = materialise(sized_documents(docs, seed), "mix")
     plan = plan_sources(sized, weights, max_epochs).select(
-        F.col("source").alias("_p_source"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut")
-    )
-    repeats = F.col("_whole") + F.when(shuffle_key(docs["doc_id"], seed) <= F.col("_cut"), 1).otherwise(0)
-    return (
-        docs.join(plan, docs["source"].eqNullSafe(F.col("_p_source")))
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), repeats.cast("int"))))
-        .select(*[docs[c] for c in docs.columns])
+        "source", F.struct("whole", "cut").alias("_plan")
     )
+    key = shuffle_key(docs["doc_id"], seed)
+    repeats = F.col("_plan.whole") + F.when(key <= F.col("_plan.cut"), 1).otherwise(0)
+    mixed = with_plan(docs, plan, key).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), repeats.cast("int"))))
+    return mixed.select(*[docs[c] for c in columns])
 
 
 def op5_mix(spark, sf_dir):
