@@ -122,11 +122,13 @@ def judge_documents(docs: DataFrame, threshold: float = 0.5, z: float = 1.645) -
 def keep_documents(docs: DataFrame, threshold: float = 0.5, z: float = 1.645) -> DataFrame:
     """The rows of ``docs`` that ``judge_documents`` keeps, with their columns."""
     s = F.col("_stats")
-    judged = docs.withColumn("_stats", stats_of(docs["text"])).withColumn("_failed", base_failed(s["n_words"], s["n_repeat_words"]))
-    flags = judged.select(F.col("source").alias("host"), F.col("_failed").alias("failed"))
-    hosts = materialise(host_verdicts(flags, threshold, z), "hosts")
+    failed = base_failed(s["n_words"], s["n_repeat_words"])
+    judged = docs.withColumn("_stats", stats_of(docs["text"])).withColumn("_failed", failed).drop("_stats")
+    # written once, without the texts that go anyway, so that the figures are made once
+    judged = materialise(judged.withColumn("text", F.when(~F.col("_failed"), F.col("text"))), "judged")
+    hosts = materialise(host_verdicts(judged.select(F.col("source").alias("host"), F.col("_failed").alias("failed")), threshold, z), "hosts")
     bad = hosts.filter("rejected").select("host")
-    passed = judged.filter(~F.col("_failed")).select(*[docs[c] for c in docs.columns])
+    passed = judged.filter(~F.col("_failed")).select(*docs.columns)
     return passed.join(bad, passed["source"].eqNullSafe(bad["host"]), "left_anti")
 
 
