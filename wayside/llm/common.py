@@ -111,3 +111,22 @@ def bundles(column: pa.Array, size: int) -> Iterator[pa.Array]:
         stop = max(start + 1, int(np.searchsorted(before, (before[start - 1] if start else 0) + size, "right")))
         yield column.slice(start, stop - start)
         start = stop
+
+
+#: A key with more than one in HOT of all rows is hot; there are fewer than HOT such keys.
+HOT = 1000
+
+
+def join_keyed(rows: DataFrame, side: DataFrame, key: str, n: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` beside the row of ``side`` that has their ``key``, no key's rows meeting in one task.
+
+    ``side`` has one row for each key and in ``n`` how many of ``rows`` hold it (which goes from
+    the result). The fewer than HOT rows of hot keys are broadcast; rows of other keys are dealt by
+    key. ``how`` is inner or left; null keys match nothing.
+    """
+    side = materialise(side, "side")
+    total = side.agg(F.sum(n)).first()[0] or 0
+    hot = side.filter(F.col(n) * HOT > total).drop(n)
+    keys = F.broadcast(hot.select(key))
+    rest = rows.join(keys, key, "left_anti").join(side.filter(F.col(n) * HOT <= total).drop(n), key, how)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))

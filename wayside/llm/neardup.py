@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayside.llm.common import discard, materialise, table, texts
+from wayside.llm.common import discard, join_keyed, materialise, table, texts
 
 SHINGLE = 5
 #: 64 permutations give 128 values, in 32 bands of 4: a pair at similarity 0.75 misses every band
@@ -147,8 +147,8 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("rep"), F.col("b").alias("component"))
         before = state
         both = now.union(now.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+        large = join_keyed(both.filter("v > u"), least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = materialise(linked(large), "edges")
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
@@ -198,9 +198,9 @@ def find_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         rows.groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "n_shingles")).alias("lead"))
         .filter("n > 1")
-        .select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.n_shingles").alias("lead_n"))
+        .select("bucket", "n", F.col("lead.rep").alias("lead"), F.col("lead.n_shingles").alias("lead_n"))
     )
-    members = materialise(rows.join(leads, "bucket"), "members")
+    members = materialise(join_keyed(rows, leads, "bucket"), "members")
     candidates = materialise(
         docs.select(F.col("doc_id").alias("rep"), "text").join(members.select("rep").distinct(), "rep").dropDuplicates(["rep"]),
         "candidates",
@@ -218,9 +218,9 @@ def find_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         df = df.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         open_ = (
             df.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"))
-            .filter("x <> y").select("bucket", (F.col("m") > CROWD).alias("crowded"))
+            .filter("x <> y").select("bucket", "m", (F.col("m") > CROWD).alias("crowded"))
         )
-        return materialise(df.join(open_, "bucket"), "members")
+        return materialise(join_keyed(df, open_, "bucket", "m"), "members")
 
     def tested_links(pairs: DataFrame) -> DataFrame:
         links = materialise(confirmed(pairs, candidates), "links")
@@ -235,9 +235,9 @@ def find_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     here = materialise(here.join(few, "rep", "left").withColumn("common", F.col("n_shingles") - F.coalesce("scarce", F.lit(0))).drop("scarce"), "members")
 
     part = F.when(F.col("crowded"), F.col("common") / F.col("n_shingles")).otherwise(F.lit(1.0))
-    middle = here.groupBy("bucket").agg(F.max(F.struct(part, (-F.col("rep")).alias("r"), "rep", "component", "n_shingles")).alias("lead"))
+    middle = here.groupBy("bucket").agg(F.max(F.struct(part, (-F.col("rep")).alias("r"), "rep", "component", "n_shingles")).alias("lead"), F.count(F.lit(1)).alias("n"))
     second = (
-        here.join(middle, "bucket")
+        join_keyed(here, middle, "bucket")
         .filter((F.col("component") != F.col("lead.component")) & similar_enough("n_shingles", "lead.n_shingles"))
         .select(F.greatest("rep", "lead.rep").alias("a"), F.least("rep", "lead.rep").alias("b")).distinct()
         .join(tested, ["a", "b"], "left_anti")
@@ -248,10 +248,12 @@ def find_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
 
     here = unsettled(here.drop("component", "crowded"))
     sizes = here.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("n"))
     # a text is in one bucket of each band at most, so its list of buckets is short
     lists = here.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"))
-    flagged = here.join(main, "bucket").join(lists, "rep")
+    # of two texts that common shingles alone could link, each has them for three quarters of its own
+    alone = ~F.col("crowded") | (4 * F.col("common") >= 3 * F.col("n_shingles"))
+    flagged = join_keyed(here.filter(alone), main, "bucket").join(lists, "rep")
     sides = ("rep", "component", "n_shingles", "common", "buckets")
     x = flagged.filter("component <> main").select("bucket", "main", "crowded", *[F.col(c).alias(f"x_{c}") for c in sides])
     y = flagged.select("bucket", *[F.col(c).alias(f"y_{c}") for c in sides])
@@ -292,12 +294,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = (
         features.filter("content is not null and doc_id is not null")
         .groupBy("content")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     )
     reps = materialise(reps, "reps")
     known = find_links(reps.select("rep", "n_shingles", "bands"), docs)
-    classes = reps.select("content", "rep").join(known, "rep", "left").select("content", F.coalesce("component", "rep").alias("c"))
-    return features.join(classes, "content", "left").select(
+    classes = reps.select("content", "rep", "n").join(known, "rep", "left").select("content", "n", F.coalesce("component", "rep").alias("c"))
+    return join_keyed(features, classes, "content", how="left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
