@@ -35,9 +35,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and a digest of the text that they decode to."""
-    tokenizer = bpe.tokenizer_file()
-    both = bpe.decode_documents(bpe.encode_documents(docs, tokenizer), tokenizer)
-    return both.select(
+    return bpe.round_trip(docs, bpe.tokenizer_file()).select(
         "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
