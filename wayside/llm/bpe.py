@@ -12,7 +12,7 @@ import uuid
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cached_property
-from itertools import chain, pairwise
+from itertools import batched, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,11 @@ from wayside.llm.lexicon import Lexicon, compile_lexicon
 # Fixed value: how byte-level BPE cuts a text into words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words, and stretches up to a length, that each of a cache's two generations holds.
-CACHE, LONGEST = 120_000, 64
+CACHE, LONGEST = 50_000, 64
 #: Bytes of texts that are encoded together, and ids that are decoded together.
-BUNDLE, SPELLED = 1 << 22, 1 << 18
+BUNDLE, SPELLED = 1 << 21, 1 << 17
+#: Decoded texts that are strings of Python at one time.
+SPELLED_ROWS = 256
 BLANKS = r" [\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
 MARKS = ".,"
 
@@ -278,7 +280,10 @@ class Coder:
     def decoded(self, ids: pa.ListArray) -> pa.Array:
         values = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
         lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        return pa.array([b.decode("utf-8", "replace") for b in self.speller(values, lengths)], pa.string())
+        spelled = [pa.array([], pa.string())]
+        for bundle in batched(self.speller(values, lengths), SPELLED_ROWS):
+            spelled.append(pa.array([b.decode("utf-8", "replace") for b in bundle], pa.string()))
+        return pa.concat_arrays(spelled)
 
 
 #: Of the broadcast that this worker used last.
@@ -360,7 +365,9 @@ def round_trip(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 16) -> Da
     def code(text: pa.Array) -> pa.Array:
         coder = coder_of(key, sent)
         ids = coder.ids(text)
-        return pa.StructArray.from_arrays([ids, coder.decoded(ids)], ["ids", "decoded"])
+        out = pa.StructArray.from_arrays([ids, coder.decoded(ids)], ["ids", "decoded"])
+        pa.default_memory_pool().release_unused()
+        return out
 
     both = docs.withColumn("_coded", code(docs["text"]))
     return both.withColumns({"ids": both["_coded.ids"], "decoded": both["_coded.decoded"]}).drop("_coded")

@@ -43,7 +43,7 @@ def frequent_words(docs: DataFrame, split: Callable[[str], list], keep: int, lon
             for text in texts(batch.column(0)):
                 if text:
                     counts.update(split(text))
-                    if len(counts) > 8 * keep:
+                    if len(counts) > 4 * keep:
                         counts = shrink(counts, 2 * keep)
         counts = Counter({w: n for w, n in counts.items() if len(w) <= longest})
         yield from emit_summary(pickle.dumps(dict(shrink(counts, 2 * keep))))
