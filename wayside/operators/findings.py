@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wayside.functions import boxes, geo
 from wayside.operators.localize import camera_columns
+from wayside.sources.sinks import written
 
 MAX_GAP = 2  # frames between two sightings of a track, at most
 #: Metres of a degree of latitude by great circle, for splitting into islands.
@@ -81,20 +84,26 @@ def build_tracks(detections: DataFrame) -> DataFrame:
     split = _islands(detections.withColumn("_gap", gap), keys, F.coalesce(F.col("_gap") > MAX_GAP, F.lit(True)), ["frame_idx", "det_seq"]).drop("_gap")
     small = split.select(*keys, "island", "frame_idx", "det_seq", *[F.col(f"box.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
-    def kernel(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("frame_idx", "ascending"), ("det_seq", "ascending")])
-        columns = [t.column(c).to_pylist() for c in ("frame_idx", "det_seq", "x1", "y1", "x2", "y2")]
-        state: list = []
-        tracks = [extend_tracks(state, f, s, tuple(box)) for f, s, *box in zip(*columns, strict=True)]
-        return pa.table({"run_id": t.column("run_id"), "det_seq": t.column("det_seq"), "track": pa.array(tracks, pa.int64())})
-
-    tracks = small.groupBy(*keys, "island").applyInArrow(kernel, "run_id long, det_seq long, track long")
-    return detections.join(tracks, ["run_id", "det_seq"])
-
-
-def _merge_kernel(t: pa.Table) -> pa.Table:
-    """Merge tracks of one island, first pair first, until none lie within the radius."""
-    rows = sorted(t.to_pylist(), key=lambda r: (r["t_first"], r["track"]))
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = [], None
+        for batch in batches:
+            tracks = []
+            for *island, frame, seq, x1, y1, x2, y2 in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if island != last:
+                    state, last = [], island
+                tracks.append(extend_tracks(state, frame, seq, (x1, y1, x2, y2)))
+            yield pa.RecordBatch.from_pydict({"run_id": batch.column("run_id"), "det_seq": batch.column("det_seq"), "track": pa.array(tracks, pa.int64())})
+
+    # islands follow each other in a task, so the kernel holds the open tracks of one
+    dealt = small.repartition(*keys, "island").sortWithinPartitions(*keys, "island", "frame_idx", "det_seq")
+    return detections.join(dealt.mapInArrow(kernel, "run_id long, det_seq long, track long"), ["run_id", "det_seq"])
+
+
+def _merge(rows: list[dict]) -> list[tuple[int, int, int]]:
+    """Merge tracks of one island, first pair first, until none lie within the radius: (track, cluster, part)."""
+    if len(rows) == 1:
+        return [(rows[0]["track"], rows[0]["track"], 0)]
+    rows = sorted(rows, key=lambda r: (r["t_first"], r["track"]))
     clusters = [[[r["track"]], list(r["lats"]), list(r["lons"])] for r in rows]
     radius = rows[0]["radius"]
 
@@ -122,11 +131,32 @@ def _merge_kernel(t: pa.Table) -> pa.Table:
         first = next((e for e in range(i) if near(centre[e], centre[i])), None)
         if first is not None:
             i = first
-    out = [(track, c[0][0], n) for c in clusters for n, track in enumerate(c[0])]
-    return pa.table(
-        {"run_id": pa.array([rows[0]["run_id"]] * len(out), pa.int64()), "track": pa.array([o[0] for o in out], pa.int64()),
-         "cluster": pa.array([o[1] for o in out], pa.int64()), "part": pa.array([o[2] for o in out], pa.int64())}
-    )
+    return [(track, c[0][0], n) for c in clusters for n, track in enumerate(c[0])]
+
+
+def _merge_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tracks with their clusters, from islands that follow each other; one island is held at a time."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    held: list[tuple[int, int, int, int]] = []
+
+    def packed() -> pa.RecordBatch:
+        names = ("run_id", "track", "cluster", "part")
+        out = pa.RecordBatch.from_pydict({n: pa.array([h[i] for h in held], pa.int64()) for i, n in enumerate(names)})
+        held.clear()
+        return out
+
+    for (run_id, _, _), island in groupby(rows, key=lambda r: (r["run_id"], r["cls"], r["island"])):
+        held += [(run_id, *x) for x in _merge(list(island))]
+        if len(held) >= 4096:
+            yield packed()
+    yield packed()
+
+
+def _placed_islands(placed: DataFrame, keys: list[str], low: str, high: str, gap: Column) -> DataFrame:
+    """``island`` numbers within ``keys``: tracks ordered by ``low`` part where ``gap`` exceeds the radius."""
+    w = Window.partitionBy(*keys).orderBy(low, "track")
+    reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return _islands(placed.withColumn("_reach", reach), keys, F.coalesce(gap > F.col("radius"), F.lit(True)), [low, "track"]).drop("_reach")
 
 
 def merge_tracks(tracked: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -135,20 +165,27 @@ def merge_tracks(tracked: DataFrame, taxonomy: DataFrame) -> DataFrame:
     Clusters of a class merge while their median positions lie within the class's radius. A median
     lies between its members, and the distance between two places is at least that of their
     latitudes: tracks sorted by latitude and parted by more than the radius from all before them
-    can never meet. Such islands are separate groups. Tracks without a position stay alone.
+    can never meet. Within such an island the same holds of longitudes, on the island's parallel
+    farthest from the equator. Tracks without a position stay alone.
     """
+    tracked = written(tracked, "tracked")
     tracks = tracked.groupBy("run_id", "cls", "track").agg(
         F.min("t_sec").alias("t_first"), F.min("lat").alias("lo"), F.max("lat").alias("hi"),
+        F.min("lon").alias("west"), F.max("lon").alias("east"),
         F.expr("transform(array_sort(collect_list(struct(det_seq, lat))), x -> x.lat)").alias("lats"),
         F.expr("transform(array_sort(collect_list(struct(det_seq, lon))), x -> x.lon)").alias("lons"),
     )
     placed = tracks.filter("lo is not null").join(F.broadcast(taxonomy.select("cls", F.col("cluster_radius_m").alias("radius"))), "cls")
-    w = Window.partitionBy("run_id", "cls").orderBy("lo", "track")
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    placed = placed.withColumn("_reach", reach)
-    apart = F.coalesce((F.col("lo") - F.col("_reach")) * SPHERE_M_PER_DEG > F.col("radius"), F.lit(True))
-    islands = _islands(placed, ["run_id", "cls"], apart, ["lo", "track"]).drop("_reach")
-    merged = islands.groupBy("run_id", "cls", "island").applyInArrow(_merge_kernel, "run_id long, track long, cluster long, part long")
+    south = _placed_islands(placed, ["run_id", "cls"], "lo", "hi", (F.col("lo") - F.col("_reach")) * SPHERE_M_PER_DEG)
+    band = Window.partitionBy("run_id", "cls", "island")
+    parallel = F.cos(F.radians(F.least(F.lit(90.0), F.max(F.greatest(F.abs("lo"), F.abs("hi"))).over(band))))
+    wide = F.max("east").over(band) - F.min("west").over(band) >= 180  # across the antimeridian, perhaps
+    banded = south.withColumn("_parallel", F.when(wide, 0.0).otherwise(parallel)).withColumnRenamed("island", "band")
+    far = 2 * geo.EARTH_RADIUS_M * F.asin(F.col("_parallel") * F.sin(F.radians(F.col("west") - F.col("_reach")) / 2))
+    islands = _placed_islands(banded, ["run_id", "cls", "band"], "west", "east", far)
+    islands = islands.withColumn("island", F.struct("band", "island")).select("run_id", "cls", "island", "track", "t_first", "lats", "lons", "radius")
+    dealt = islands.repartition("run_id", "cls", "island").sortWithinPartitions("run_id", "cls", "island")
+    merged = dealt.mapInArrow(_merge_kernel, "run_id long, track long, cluster long, part long")
     return tracked.join(merged, ["run_id", "track"], "left").withColumns(
         {"cluster": F.coalesce("cluster", "track"), "part": F.coalesce("part", F.lit(0))}
     )
@@ -234,7 +271,7 @@ def cluster_detections(localized: DataFrame, frames: DataFrame, taxonomy: DataFr
         "run_id", "frame_id", "frame_idx", "t_sec", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), "heading_deg", "width", "height"
     )
     seen = localized.drop("frame_idx", "t_sec").join(place, ["run_id", "frame_id"])
-    clustered = merge_tracks(build_tracks(seen), taxonomy)
+    clustered = written(merge_tracks(build_tracks(seen), taxonomy), "clustered")
     fixes = None
     if camera:
         vfov = camera_columns(camera)["vfov_deg"]

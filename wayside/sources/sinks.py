@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def scratch(spark) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, for what several later steps start from."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_detections(detections: DataFrame, path: str) -> None:
     """Append lines of JSON, a folder for each run; what is written stays when a later batch fails."""
     detections.write.mode("append").partitionBy("run_id").json(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wayside.operators.findings import MAX_GAP, extend_tracks
+from wayside.sources.sinks import scratch
 
 
 def event_payload(findings: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -77,11 +78,6 @@ def keep_state_in_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def scratch(spark) -> str:
-    """The folder that driver and executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-
-
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now, and return what it put out as a table.
 
