@@ -31,11 +31,11 @@ OTHERS = EDGE - FREQUENT
 #: Words up to so many bytes stand for themselves, longer ones are told apart by a digest.
 LONGEST = 64
 #: Words whose counts are broadcast for speed; the counts of all others are joined.
-KNOWN = 1 << 17
+KNOWN = 1 << 18
 #: Most bytes of parameters that are averaged in one go.
 AVERAGED = 1 << 28
 #: Words that a step predicts, its rate, and words that are scored together.
-MINIBATCH, RATE, PIECE = 1 << 14, 0.3, 1 << 15
+MINIBATCH, RATE, PIECE = 1 << 14, 0.3, 1 << 14
 #: Bytes of texts whose words are held at once.
 BUNDLE = 1 << 22
 #: Sums of weights whose exponentials are far from the limits of 32-bit numbers, and the least such number.
@@ -341,17 +341,27 @@ def vocabulary(counts: DataFrame) -> tuple[list[bytes], list[bytes], np.ndarray,
 
 
 class Places(dict):
-    """Where a word's id and share stand: known words in order, then one place for each bucket."""
+    """Where a word's id and share stand: known words in order, then one place for each bucket.
+
+    Words that aren't known are noted in ``rare``, each time they are looked up.
+    """
+
+    def __init__(self, words: list[bytes]):
+        super().__init__({w: i for i, w in enumerate(words)})
+        self.rare: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
-        return len(self) + zlib.crc32(key_of(word)) % OTHERS
+        if len(word) > LONGEST:
+            word = key_of(word)
+        self.rare.append(word)
+        return len(self) + zlib.crc32(word) % OTHERS
 
 
 #: The logarithms of counts are summed as whole numbers, so that the order of rows doesn't matter.
 UNIT = 1 << 30
 SCORE = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("log_probability", T.DoubleType()),
-    T.StructField("rare", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("times", T.LongType())]))),
+    T.StructField("rare", T.ArrayType(T.BinaryType())),
 ])
 
 
@@ -368,13 +378,13 @@ def scorer(spark, parameters: dict[str, np.ndarray], words: list[bytes], more: l
     def score(text: pa.Array) -> pa.Array:
         p, words, more, counts, buckets = sent.value
         edge = len(p["words"]) - 1
-        places = Places({w: i for i, w in enumerate([*words, *more])})
+        places = Places([*words, *more])
         own_bucket = np.array([zlib.crc32(w) % OTHERS for w in more], np.int64)
         id_of = np.concatenate([np.arange(len(words)), edge - OTHERS + own_bucket, np.arange(edge - OTHERS, edge)])
         whole = np.log(np.maximum(buckets, 1))
         share = np.concatenate([np.zeros(len(words)), np.log(counts) - whole[own_bucket], -whole])
         n_words, sums = np.zeros(len(text), np.int64), np.zeros(len(text))
-        rare, times, ends = [], [], [0]
+        ends = [0]
         found, row = [], 0
 
         def codes(bundle: pa.Array) -> Iterator[np.ndarray]:
@@ -382,10 +392,7 @@ def scorer(spark, parameters: dict[str, np.ndarray], words: list[bytes], more: l
                 own = words_of(t or "")
                 at = np.fromiter(map(places.__getitem__, own), np.int64, len(own))
                 found.append(at)
-                seen = Counter(key_of(own[i]) for i in np.flatnonzero(at >= len(places)).tolist())
-                rare.extend(seen)
-                times.extend(seen.values())
-                ends.append(len(rare))
+                ends.append(len(places.rare))
                 yield id_of[at]
 
         for bundle in bundles(text, BUNDLE):
@@ -399,8 +406,7 @@ def scorer(spark, parameters: dict[str, np.ndarray], words: list[bytes], more: l
             n_words[row : row + len(found)] = size
             row += len(found)
             found.clear()
-        pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "times"])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places.rare, pa.binary()))
         return pa.StructArray.from_arrays([pa.array(n_words), pa.array(sums), lists], ["n_words", "log_probability", "rare"])
 
     return score
@@ -425,9 +431,10 @@ def score_documents(docs: DataFrame, rounds: int = 2, seed: int = 11) -> DataFra
         .select("doc_id", "s.n_words", "s.log_probability", "s.rare").withColumn("row", F.monotonically_increasing_id()),
         "scored",
     )
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    logs = rare.join(counts.select("word", F.round(F.log("n") * UNIT).cast("long").alias("log_n")), "word")
-    logs = logs.groupBy("row").agg((F.sum(F.col("times") * F.col("log_n")) / UNIT).alias("logs"))
+    rare = scored.select("row", F.explode("rare").alias("word"))
+    # words that occur once have the logarithm 0
+    logs = rare.join(counts.filter("n > 1").select("word", F.round(F.log("n") * UNIT).cast("long").alias("log_n")), "word")
+    logs = logs.groupBy("row").agg((F.sum("log_n") / UNIT).alias("logs"))
     whole = scored.drop("rare").join(logs, "row", "left").withColumn("log_probability", F.col("log_probability") + F.coalesce("logs", F.lit(0.0)))
     return whole.select(
         "doc_id", "n_words", "log_probability",
