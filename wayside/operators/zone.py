@@ -111,13 +111,13 @@ def width_summary(samples: DataFrame) -> DataFrame:
 
 
 def temporal_majority(cells: DataFrame, frames: DataFrame, memory: int = 5) -> DataFrame:
-    """Cells (frame_idx, cell) on which more than half of the last ``memory`` frames are road."""
-    seen = frames.select("frame_idx").distinct()
-    spread = cells.withColumn("at", F.explode(F.sequence(F.col("frame_idx"), F.col("frame_idx") + memory - 1)))
-    votes = spread.groupBy("at", "cell").agg(F.count(F.lit(1)).alias("votes")).withColumnRenamed("at", "frame_idx")
-    first = seen.agg(F.min("frame_idx").alias("first"))
+    """Cells (run_id, frame_idx, cell) on which more than half of the run's last ``memory`` frames are road."""
+    seen = frames.select("run_id", "frame_idx").distinct()
+    spread = cells.select("run_id", "cell", F.explode(F.sequence(F.col("frame_idx"), F.col("frame_idx") + memory - 1)).alias("frame_idx"))
+    votes = spread.groupBy("run_id", "frame_idx", "cell").agg(F.count(F.lit(1)).alias("votes"))
+    first = seen.groupBy("run_id").agg(F.min("frame_idx").alias("first"))
     held = F.least(F.lit(memory), F.col("frame_idx") - F.col("first") + 1)
-    return votes.join(seen, "frame_idx").join(F.broadcast(first)).filter(F.col("votes") > 0.5 * held).select("frame_idx", "cell")
+    return votes.join(seen, ["run_id", "frame_idx"]).join(first, "run_id").filter(F.col("votes") > 0.5 * held).select("run_id", "frame_idx", "cell")
 
 
 def largest_component(runs: DataFrame, least: float = 0.0) -> DataFrame:

@@ -59,12 +59,12 @@ SELECT det_seq, greatest(1, least(5, CASE cls WHEN 'pothole' THEN 4 ELSE 3 END +
 
 
 def tile_grid(s, d):
-    f = core.frames(s, d).filter("frame_idx < 3")
-    return f.select("run_id", "frame_idx", F.explode(boxes.tiles(F.col("width"), F.col("height") + F.col("frame_idx").cast("int") * 200, 640, 128)).alias("t")).select("run_id", "frame_idx", "t.x", "t.y", "t.w", "t.h")
+    height = F.col("height") + (F.col("frame_idx") % 3).cast("int") * 200
+    return core.frames(s, d).select("run_id", "frame_idx", F.explode(boxes.tiles(F.col("width"), height, 640, 128)).alias("t")).select("run_id", "frame_idx", "t.x", "t.y", "t.w", "t.h")
 
 
-C35_SQL = """SELECT run_id, frame_idx, i::INT AS x, j::INT AS y, least(640, 1280 - i)::INT AS w, least(640, 720 + frame_idx * 200 - j)::INT AS h
-FROM fx_frames, range(0, 1152, 512) a(i), range(0, 2000, 512) b(j) WHERE frame_idx < 3 AND j < 720 + frame_idx * 200 - 128"""
+C35_SQL = """SELECT run_id, frame_idx, i::INT AS x, j::INT AS y, least(640, 1280 - i)::INT AS w, least(640, 720 + frame_idx % 3 * 200 - j)::INT AS h
+FROM fx_frames, range(0, 1152, 512) a(i), range(0, 2000, 512) b(j) WHERE j < 720 + frame_idx % 3 * 200 - 128"""
 
 
 def csv_rows(s, d):
@@ -177,12 +177,14 @@ FROM fx_detections d JOIN fx_taxonomy t ON d.cls = t.cls"""
 
 
 def majority(s, d):
-    cells = view(s, d, "fx_boxes").select("frame_idx", (F.col("det_seq") % 400).alias("cell")).distinct()
-    return zone.temporal_majority(cells, core.frames(s, d).select("frame_idx"))
+    cells = view(s, d, "fx_boxes").select("run_id", "frame_idx", (F.col("det_seq") % 3).alias("cell")).distinct()
+    return zone.temporal_majority(cells, core.frames(s, d))
 
 
-F7_SQL = """WITH c AS (SELECT DISTINCT frame_idx, det_seq % 400 AS cell FROM fx_boxes), f AS (SELECT DISTINCT frame_idx FROM fx_frames)
-SELECT f.frame_idx, c.cell FROM f JOIN c ON c.frame_idx BETWEEN f.frame_idx - 4 AND f.frame_idx GROUP BY f.frame_idx, c.cell HAVING count(*) > 0.5 * least(5, f.frame_idx + 1)"""
+F7_SQL = """WITH c AS (SELECT DISTINCT run_id, frame_idx, det_seq % 3 AS cell FROM fx_boxes),
+f AS (SELECT run_id, frame_idx, min(frame_idx) OVER (PARTITION BY run_id) AS first FROM (SELECT DISTINCT run_id, frame_idx FROM fx_frames))
+SELECT f.run_id, f.frame_idx, c.cell FROM f JOIN c ON c.run_id = f.run_id AND c.frame_idx BETWEEN f.frame_idx - 4 AND f.frame_idx
+GROUP BY f.run_id, f.frame_idx, f.first, c.cell HAVING count(*) > 0.5 * least(5, f.frame_idx - f.first + 1)"""
 
 
 def marks(s, d):
