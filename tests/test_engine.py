@@ -317,3 +317,18 @@ def test_surroundings_of_all_points_equal_brute_force(spark):
                 want[key] = want.get(key, 0) + 1
     got = {(r.run_id, r.kind): r.n for r in registry.QUERIES["i23_surroundings"](spark, SF).collect()}
     assert want and got == want
+
+
+def test_validation_names_every_broken_rule(spark):
+    from wayside.operators import validate
+
+    box, nan = [1.0, 2.0, 3.0, 4.0], float("nan")
+    rows = [(1, 3, 0.5, box, None), (2, 9, 1.5, box, 2.0), (3, None, None, None, -1.0), (4, 1, 1.0, [1.0, nan, 3.0, 4.0], 1.0), (5, 5, 0.0, [1.0, 2.0, 3.0], 0.0), (6, 1, 0.1, [], 1.0)]
+    df = spark.createDataFrame(rows, "id int, severity int, confidence double, box array<double>, range_m double")
+    checked = validate.with_violations(df, validate.detection_rules())
+    assert {r.id: r.violations for r in checked.collect()} == {
+        1: [], 2: ["severity", "confidence"], 3: ["severity", "confidence", "box", "range_m"], 4: ["box"], 5: ["box", "range_m"], 6: ["box"],
+    }
+    sound, rest = validate.split(checked)
+    assert [r.id for r in sound.collect()] == [1] and sound.columns == df.columns and rest.count() == 5
+    assert validate.with_violations(df.limit(0), validate.detection_rules()).collect() == []

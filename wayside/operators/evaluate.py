@@ -93,14 +93,25 @@ def pair_boxes(truth: DataFrame, predicted: DataFrame, iou: float) -> DataFrame:
     return t.unionByName(p).groupBy("image", "cls").applyInArrow(kernel, "image string, cls string, pred_id long, confidence double, truth_id long")
 
 
+#: Bands of confidence in which predictions of a class are ordered apart.
+BANDS = 1000
+
+
 def average_precision(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """Average precision of each class, the mean of the best precision at 101 recalls (COCO's definition).
 
     Null for a class without truth or predictions both.
     """
     n = truth.groupBy("cls").agg(F.count(F.lit(1)).alias("n_truth"))
-    w = Window.partitionBy("cls").orderBy(F.col("confidence").desc(), "image", "pred_id")
-    curve = pairs.withColumn("tp", F.sum(F.col("truth_id").isNotNull().cast("int")).over(w)).withColumn("k", F.row_number().over(w)).join(n, "cls")
+    # hits and predictions above each band of confidence first, then those within the band, so that no task orders a class
+    banded = pairs.withColumn("hit", F.col("truth_id").isNotNull().cast("int")).withColumn("band", F.floor(F.col("confidence") * BANDS))
+    above = Window.partitionBy("cls").orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    bands = banded.groupBy("cls", "band").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("rows")).select(
+        "cls", "band", F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("tp_above"), F.coalesce(F.sum("rows").over(above), F.lit(0)).alias("k_above")
+    )
+    w = Window.partitionBy("cls", "band").orderBy(F.col("confidence").desc(), "image", "pred_id")
+    curve = banded.withColumn("tp", F.sum("hit").over(w)).withColumn("k", F.row_number().over(w)).join(bands, ["cls", "band"]).join(n, "cls")
+    curve = curve.withColumns({"tp": F.col("tp") + F.col("tp_above"), "k": F.col("k") + F.col("k_above")})
     curve = curve.select("cls", (F.col("tp") / F.col("n_truth")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))
     points = curve.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor(F.col("recall") * 100 + 1e-9).cast("int"))))
     best = points.groupBy("cls", "i").agg(F.max("precision").alias("p")).groupBy("cls").agg((F.sum("p") / 101).alias("ap"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayside.fixtures import oracle, view
 from wayside.functions import boxes, text
-from wayside.operators import cloud, csvio, evaluate, export, findings, perception, route, score, zone
+from wayside.operators import cloud, csvio, evaluate, export, findings, perception, route, score, validate, zone
 from wayside.plans import core
 from wayside.streaming import live
 
@@ -67,6 +67,24 @@ C35_SQL = """SELECT run_id, frame_idx, i::INT AS x, j::INT AS y, least(640, 1280
 FROM fx_frames, range(0, 1152, 512) a(i), range(0, 2000, 512) b(j) WHERE j < 720 + frame_idx % 3 * 200 - 128"""
 
 
+def violations(s, d):
+    """Detections with a severity, confidence, box or range out of its band, told from the id."""
+    n = F.col("det_seq")
+    box = F.when(n % 11 == 0, F.array("x1", "y1", "x2")).when(n % 17 != 0, F.array("x1", "y1", "x2", "y2"))
+    rows = view(s, d, "fx_boxes").select(
+        "run_id", "det_seq", F.col("severity") + F.when(n % 7 == 0, 4).otherwise(0).alias("severity"),
+        (F.col("confidence") + F.when(n % 13 == 0, 1.0).otherwise(0.0)).alias("confidence"), box.alias("box"),
+        F.when(n % 5 == 0, (n % 3).cast("double")).alias("range_m"),
+    ).toDF("run_id", "det_seq", "severity", "confidence", "box", "range_m")
+    sound, rest = validate.split(validate.with_violations(rows, validate.detection_rules()))
+    return rest.select("run_id", "det_seq", F.array_join("violations", ",").alias("violations")).unionByName(sound.select("run_id", "det_seq", F.lit("").alias("violations")))
+
+
+C34_SQL = """SELECT run_id, det_seq, concat_ws(',', CASE WHEN severity + CASE WHEN det_seq % 7 = 0 THEN 4 ELSE 0 END > 5 THEN 'severity' END,
+ CASE WHEN confidence + CASE WHEN det_seq % 13 = 0 THEN 1 ELSE 0 END > 1 THEN 'confidence' END,
+ CASE WHEN det_seq % 11 = 0 OR det_seq % 17 = 0 THEN 'box' END, CASE WHEN det_seq % 15 = 0 THEN 'range_m' END) AS violations FROM fx_boxes"""
+
+
 def csv_rows(s, d):
     return view(s, d, "fx_csv")
 
@@ -554,6 +572,7 @@ QUERIES = {
     "c18_severity_and_crop": (severities, C18_SQL),
     "c30_depth_points": (depth_points, C30_SQL),
     "c31_georeference": (placed_cloud, C31_SQL),
+    "c34_validation": (violations, C34_SQL),
     "c35_tiles": (tile_grid, C35_SQL),
     "d9_carriageway_gate": (gated, D9_SQL),
     "d10_point_in_mask": (on_mask, D10_SQL),
