@@ -332,3 +332,16 @@ def test_validation_names_every_broken_rule(spark):
     sound, rest = validate.split(checked)
     assert [r.id for r in sound.collect()] == [1] and sound.columns == df.columns and rest.count() == 5
     assert validate.with_violations(df.limit(0), validate.detection_rules()).collect() == []
+
+
+def test_latest_alerts_over_several_batches(spark, tmp_path):
+    from wayside.streaming import live
+
+    live.keep_state_in_rocksdb(spark)
+    order = [7, 3, 9, 1, 8, 2, 6, 5, 4, 0]  # times arrive out of order, three to a file
+    for i in range(0, 10, 3):
+        rows = [(run, float(t), f"e{t}", t != 8) for run in (1, 2) for t in order[i : i + 3]]
+        spark.createDataFrame(rows, "run_id long, t_sec double, event string, alert boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("run_id long, t_sec double, event string, alert boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = live.last_turns(live.drain(live.latest_alerts(stream), f"alerts-{tmp_path.name}")).collect()
+    assert sorted((r.run_id, r.t_sec, r.event) for r in got) == [(run, float(t), f"e{t}") for run in (1, 2) for t in (3, 4, 5, 6, 7, 9)]

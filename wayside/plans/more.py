@@ -559,7 +559,7 @@ def stream_alerts(s, d):
     """The latest six alerts of each run when findings come as a stream."""
     live.keep_state_in_rocksdb(s)
     events = live.event_payload(as_findings(events_stream(s, d)), view(s, d, "fx_taxonomy"))
-    return live.drain(live.latest_alerts(events), name("alerts")).select("run_id", "t_sec")
+    return live.last_turns(live.drain(live.latest_alerts(events), name("alerts"))).select("run_id", "t_sec")
 
 
 K2_SQL = """SELECT run_id, t_sec FROM (SELECT user_id AS run_id, event_id::DOUBLE AS t_sec, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_type IN ('error', 'signup')) WHERE r <= 6"""

@@ -19,22 +19,31 @@ def event_payload(findings: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 
 class LatestAlerts(StatefulProcessor):
-    """Keeps the latest six alerts of a run and puts them out when they change."""
+    """Keeps the latest six alerts of a run and puts them out, under the number of the turn, when they change."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "t_sec double, event string")
+        self.kept = handle.getListState("kept", "t_sec double, event string, turn long")
 
     def handleInputRows(self, key, rows, timerValues):
-        kept = [tuple(r) for r in self.kept.get()]
+        before = [tuple(r) for r in self.kept.get()]
+        turn = max((r[2] for r in before), default=0)
+        kept = [r[:2] for r in before]
         for pdf in rows:
-            kept += list(zip(pdf["t_sec"].tolist(), pdf["event"].tolist(), strict=True))
-        kept = sorted(kept)[-6:]
-        self.kept.put(kept)
-        yield pd.DataFrame({"run_id": [key[0]] * len(kept), "t_sec": [k[0] for k in kept], "event": [k[1] for k in kept]})
+            kept = sorted(kept + list(zip(pdf["t_sec"].tolist(), pdf["event"].tolist(), strict=True)))[-6:]
+        if kept != [r[:2] for r in before]:
+            self.kept.put([(*k, turn + 1) for k in kept])
+            yield pd.DataFrame({"run_id": [key[0]] * len(kept), "turn": turn + 1, "t_sec": [k[0] for k in kept], "event": [k[1] for k in kept]})
 
 
 def latest_alerts(events: DataFrame) -> DataFrame:
-    return events.filter("alert").groupBy("run_id").transformWithStateInPandas(LatestAlerts(), "run_id long, t_sec double, event string", "Append", "None")
+    """The latest six alerts of each run, anew under a higher ``turn`` whenever they change; ``last_turns`` keeps the last."""
+    return events.filter("alert").groupBy("run_id").transformWithStateInPandas(LatestAlerts(), "run_id long, turn long, t_sec double, event string", "Append", "None")
+
+
+def last_turns(alerts: DataFrame) -> DataFrame:
+    """Of what ``latest_alerts`` has put out so far, each run's last list."""
+    last = alerts.groupBy("run_id").agg(F.max("turn").alias("turn"))
+    return alerts.join(last, ["run_id", "turn"]).select("run_id", "t_sec", "event")
 
 
 class LiveTracks(StatefulProcessor):
@@ -92,4 +101,4 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.table(name)
 
 
-__all__ = ["MAX_GAP", "alert_windows", "drain", "event_payload", "keep_state_in_rocksdb", "latest_alerts", "live_tracks", "scratch", "without_repeats"]
+__all__ = ["MAX_GAP", "alert_windows", "drain", "event_payload", "keep_state_in_rocksdb", "last_turns", "latest_alerts", "live_tracks", "scratch", "without_repeats"]
