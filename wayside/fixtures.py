@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("events", "lineitem", "embeddings")
+TABLES = ("events", "lineitem", "embeddings", "part")
 
 #: Definitions by name; each may use those above it.
 VIEWS = {
@@ -72,6 +72,20 @@ VIEWS = {
       SELECT * FROM (VALUES (0, 'pothole', 'Pothole', 'point', 3.0e0, 3.0e0, true, '#dc2626'), (1, 'crack', 'Surface Cracking', 'point', 4.0e0, 1.5e0, false, '#f97316'),
         (2, 'waterlogging', 'Waterlogging', 'area', 6.0e0, 2.5e0, true, '#0ea5e9'), (3, 'streetlight', 'Streetlight', 'point', 6.0e0, 0.0e0, false, '#fde047'),
         (4, 'garbage', 'Garbage Accumulation', 'point', 5.0e0, 1.0e0, false, '#84cc16')) AS v(ord, cls, label, geometry, cluster_radius_m, weight, alert, color)""",
+    "fx_classes": """
+      SELECT p_brand AS domain, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY min(p_partkey)) - 1 AS BIGINT) AS ord, concat(lower(p_type), '_', CAST(p_size % 7 AS STRING)) AS cls,
+             concat(p_type, ' ', CAST(min(p_size) AS STRING)) AS label, 'point' AS geometry, min(p_size) * 0.5e0 AS cluster_radius_m, (min(p_partkey) % 4) * 1.0e0 AS weight,
+             min(p_partkey) % 3 = 0 AS alert, concat('#', lpad(CAST(min(p_partkey) % 900000 AS STRING), 6, '0')) AS color, min(p_name) AS hint
+      FROM part GROUP BY p_brand, p_type, p_size % 7""",
+    "fx_rules": """
+      SELECT p_brand AS domain, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY min(p_partkey)) - 1 AS BIGINT) AS rule_ord, concat(lower(p_type), '_', CAST(p_size % 11 AS STRING)) AS absence_key,
+             concat('No ', p_type) AS absence_label, max(p_size) * 1.0e0 AS min_gap_m, 1.5e0 AS weight, false AS alert, '#78716c' AS color, 'none seen' AS note
+      FROM part WHERE p_partkey % 4 = 0 GROUP BY p_brand, p_type, p_size % 11""",
+    "fx_named": """
+      SELECT user_id AS run_id, concat('Brand#', CAST(1 + user_id % 27 AS STRING)) AS domain, event_id AS det_seq,
+             concat(CASE event_type WHEN 'error' THEN 'economy' WHEN 'click' THEN 'small' WHEN 'view' THEN 'standard' ELSE 'promo' END, '_', CAST(event_id % 13 AS STRING)) AS cls,
+             CAST(event_id % 8 AS INT) AS severity, (event_id % 15) * 0.1e0 AS confidence
+      FROM events""",
     "fx_absence": """
       SELECT * FROM (VALUES (0, 'streetlight_missing', 'Lighting Gap', 'streetlight', 40.0e0, 3)) AS v(rule_ord, absence_key, absence_label, asset, min_gap_m, severity)""",
 }

@@ -54,6 +54,24 @@ def fit_depth_scale(samples: DataFrame, least: int = 40) -> DataFrame:
     return fit.filter(F.col("n") >= least)
 
 
+def ground_samples(depth: DataFrame, across: int, down: int, width: int, height: int, cam: dict, rows: int = 60, cols: int = 18) -> DataFrame:
+    """Samples (frame, d, ground_m) of depth maps (frame, y, x, d) of ``across`` x ``down`` cells, on a grid over the road ahead.
+
+    The grid spans the frame from 12 rows below the horizon to 2 above the bottom and the middle
+    three fifths of the columns; points that the camera can't range are left out.
+    """
+    h = F.lit(float(height))
+    c = {k: F.lit(float(v)) for k, v in cam.items()}
+    top = geo.horizon_row(h, c["pitch_offset_frac"]) + 12
+    steps = depth.sparkSession.range(rows * cols).select((F.col("id") / cols).cast("long").alias("i"), (F.col("id") % cols).alias("j"))
+    v = top + F.col("i") * ((h - 2 - top) / (rows - 1))
+    u = width * 0.2 + F.col("j") * (width * 0.6 / (cols - 1))
+    z = c["height_m"] * geo.focal_px(h, c["vfov_deg"]) / (v - geo.horizon_row(h, c["pitch_offset_frac"]))
+    cell = lambda at, side, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(at / side * n))).cast("long")
+    grid = steps.select(cell(v, height, down).alias("y"), cell(u, width, across).alias("x"), z.alias("ground_m"), (v > geo.horizon_row(h, c["pitch_offset_frac"])).alias("_below")).filter((F.col("ground_m") > 0) & F.col("_below") & (F.col("ground_m") <= c["max_range_m"]))
+    return depth.join(F.broadcast(grid), ["y", "x"]).select("frame", "d", "ground_m")
+
+
 def back_project(samples: DataFrame, fits: DataFrame, near_m: float, far_m: float) -> DataFrame:
     """Samples with their distance, those within the band."""
     z = F.try_divide(F.lit(1.0), F.col("a") * F.col("d") + F.col("b"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,14 +50,17 @@ def match_findings(findings: DataFrame, objects: DataFrame, max_m: float | None
 
 
 def score_matches(matches: DataFrame, findings: DataFrame, objects: DataFrame) -> DataFrame:
-    """Precision, recall, F1 (percent) and median error of each run."""
+    """Precision, recall, F1 (percent), upper median error, and the classes of false and missed ones of each run."""
     n = lambda df, name: df.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
-    m = matches.groupBy("run_id").agg(F.count(F.lit(1)).alias("tp"), F.median("distance_m").alias("median_m"))
+    left = lambda df, key, name: df.join(matches.select("run_id", key), ["run_id", key], "left_anti").groupBy("run_id").agg(F.array_sort(F.collect_set("cls")).alias(name))
+    m = matches.groupBy("run_id").agg(F.count(F.lit(1)).alias("tp"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY distance_m DESC)").alias("median_m"))
     every = n(findings, "found").join(n(objects, "placed"), "run_id", "full_outer").join(m, "run_id", "left").na.fill(0, ["found", "placed", "tp"])
+    every = every.join(left(findings, "finding_id", "fp_classes"), "run_id", "left").join(left(objects, "object_id", "fn_classes"), "run_id", "left")
     p, r = F.coalesce(F.try_divide("tp", "found"), F.lit(0.0)), F.coalesce(F.try_divide("tp", "placed"), F.lit(0.0))
     return every.select(
         "run_id", "tp", "found", "placed", F.round(100 * p, 1).alias("precision"), F.round(100 * r, 1).alias("recall"),
         F.round(F.coalesce(F.try_divide(200 * p * r, p + r), F.lit(0.0)), 1).alias("f1"), "median_m",
+        *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("fp_classes", "fn_classes")],
     )
 
 
@@ -97,25 +101,133 @@ def pair_boxes(truth: DataFrame, predicted: DataFrame, iou: float) -> DataFrame:
 BANDS = 1000
 
 
-def average_precision(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+def average_precision(pairs: DataFrame, truth: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Average precision of each class, the mean of the best precision at 101 recalls (COCO's definition).
 
-    Null for a class without truth or predictions both.
+    A class without predictions has 0, one without truth none. Columns ``by`` of ``pairs`` part the
+    predictions; ``truth`` may have some of them, and holds for all values of the others.
     """
-    n = truth.groupBy("cls").agg(F.count(F.lit(1)).alias("n_truth"))
+    key = ["cls", *by]
+    n = truth.groupBy([c for c in key if c in truth.columns]).agg(F.count(F.lit(1)).alias("n_truth"))
+    shared = [c for c in key if c in n.columns]
     # hits and predictions above each band of confidence first, then those within the band, so that no task orders a class
     banded = pairs.withColumn("hit", F.col("truth_id").isNotNull().cast("int")).withColumn("band", F.floor(F.col("confidence") * BANDS))
-    above = Window.partitionBy("cls").orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    bands = banded.groupBy("cls", "band").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("rows")).select(
-        "cls", "band", F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("tp_above"), F.coalesce(F.sum("rows").over(above), F.lit(0)).alias("k_above")
+    above = Window.partitionBy(*key).orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    bands = banded.groupBy(*key, "band").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("rows")).select(
+        *key, "band", F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("tp_above"), F.coalesce(F.sum("rows").over(above), F.lit(0)).alias("k_above")
     )
-    w = Window.partitionBy("cls", "band").orderBy(F.col("confidence").desc(), "image", "pred_id")
-    curve = banded.withColumn("tp", F.sum("hit").over(w)).withColumn("k", F.row_number().over(w)).join(bands, ["cls", "band"]).join(n, "cls")
+    w = Window.partitionBy(*key, "band").orderBy(F.col("confidence").desc(), "image", "pred_id")
+    curve = banded.withColumn("tp", F.sum("hit").over(w)).withColumn("k", F.row_number().over(w)).join(bands, [*key, "band"]).join(n, shared)
     curve = curve.withColumns({"tp": F.col("tp") + F.col("tp_above"), "k": F.col("k") + F.col("k_above")})
-    curve = curve.select("cls", (F.col("tp") / F.col("n_truth")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))
+    curve = curve.select(*key, (F.col("tp") / F.col("n_truth")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))
     points = curve.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor(F.col("recall") * 100 + 1e-9).cast("int"))))
-    best = points.groupBy("cls", "i").agg(F.max("precision").alias("p")).groupBy("cls").agg((F.sum("p") / 101).alias("ap"))
-    return n.join(best, "cls", "left").select("cls", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    best = points.groupBy(*key, "i").agg(F.max("precision").alias("p")).groupBy(*key).agg((F.sum("p") / 101).alias("ap"))
+    if shared == key:
+        return n.join(best, key, "left").select(*key, F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    return best
+
+
+# Fixed values of the public definition: overlaps from 0.50 to 0.95, and bounds of the area of small and medium boxes in pixels.
+OVERLAPS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
+SMALL, MEDIUM = 32 * 32, 96 * 96
+SIZES = ("all", "small", "medium", "large")
+
+
+def pair_boxes_by_size(truth: DataFrame, predicted: DataFrame, width: int, height: int, overlaps: list[float] | None = None) -> DataFrame:
+    """``pair_boxes`` at each overlap and for the truth of each size: image, cls, pred_id, confidence, iou, size, truth_id.
+
+    Sizes are areas in pixels of a frame of ``width`` x ``height``. For one size the truth of
+    others is taken only where none of its own will do; a prediction that takes such truth, or takes
+    none and is of another size itself, counts neither way and is left out.
+    """
+    overlaps = overlaps or OVERLAPS
+    corners = [F.col(f"box.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    t = truth.select("image", "cls", F.lit(0).alias("kind"), F.col("truth_id").alias("ident"), F.lit(0.0).alias("confidence"), *corners)
+    p = predicted.select("image", "cls", F.lit(1).alias("kind"), F.col("pred_id").alias("ident"), "confidence", *corners)
+    pixels = width * height / 1e6
+
+    def kernel(table: pa.Table) -> pa.Table:
+        kind, ident = table.column("kind").to_numpy(), table.column("ident").to_numpy()
+        sure = table.column("confidence").to_numpy()
+        box = np.column_stack([table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")])
+        area = np.maximum(0, box[:, 2] - box[:, 0]) * np.maximum(0, box[:, 3] - box[:, 1])
+        there = np.flatnonzero(kind == 0)[np.argsort(ident[kind == 0])]
+        given = np.flatnonzero(kind == 1)
+        given = given[np.lexsort((ident[given], -sure[given]))]
+        low = np.maximum(box[given][:, None, :2], box[there][None, :, :2])
+        both = np.prod(np.maximum(0, np.minimum(box[given][:, None, 2:], box[there][None, :, 2:]) - low), axis=2)
+        joint = area[given][:, None] + area[there][None] - both
+        overlap = np.divide(both, joint, out=np.zeros_like(both), where=joint > 0)
+        size = 1 + (area * pixels >= SMALL).astype(int) + (area * pixels >= MEDIUM)
+        out = []
+        for least in overlaps:
+            for s, name in enumerate(SIZES):
+                free = np.ones(len(there), bool)
+                own = np.ones(len(there), bool) if s == 0 else size[there] == s
+                for i, g in enumerate(given):
+                    best = -1
+                    for group in (own, ~own):
+                        score = np.where(free & group, overlap[i], 0.0)
+                        if len(there) and score.max() >= least:
+                            best = int(score.argmax())
+                            break
+                    if best >= 0:
+                        free[best] = False
+                        if own[best]:
+                            out.append((g, least, name, int(ident[there[best]])))
+                    elif s in (0, size[g]):
+                        out.append((g, least, name, None))
+        image, cls = table.column("image")[0].as_py(), table.column("cls")[0].as_py()
+        return pa.table({
+            "image": pa.array([image] * len(out), pa.string()), "cls": pa.array([cls] * len(out), pa.string()), "pred_id": pa.array([int(ident[x[0]]) for x in out], pa.int64()),
+            "confidence": pa.array([float(sure[x[0]]) for x in out], pa.float64()), "iou": pa.array([x[1] for x in out], pa.float64()),
+            "size": pa.array([x[2] for x in out], pa.string()), "truth_id": pa.array([x[3] for x in out], pa.int64()),
+        })
+
+    kinds = "image string, cls string, pred_id long, confidence double, iou double, size string, truth_id long"
+    return t.unionByName(p).groupBy("image", "cls").applyInArrow(kernel, kinds)
+
+
+def mean_precision(truth: DataFrame, predicted: DataFrame, width: int, height: int) -> DataFrame:
+    """One row: mean average precision over classes at 0.50, at 0.75, over OVERLAPS, and over them for each size.
+
+    Null where there is no truth of that kind: nothing was asked, so nothing failed.
+    """
+    pixels = (F.col("box.x2") - F.col("box.x1")) * (F.col("box.y2") - F.col("box.y1")) * (width * height / 1e6)
+    named = F.when(pixels < SMALL, "small").when(pixels < MEDIUM, "medium").otherwise("large")
+    sized = truth.select("cls", F.explode(F.array(F.lit("all"), named)).alias("size"), F.explode(F.array(*map(F.lit, OVERLAPS))).alias("iou"))
+    ap = average_precision(pair_boxes_by_size(truth, predicted, width, height), sized, ("size", "iou"))
+    mean = lambda condition, name: F.avg(F.when(condition, F.col("ap"))).alias(name)
+    whole = F.col("size") == "all"
+    return ap.agg(
+        mean(whole & (F.col("iou") == 0.5), "map50"), mean(whole & (F.col("iou") == 0.75), "map75"), mean(whole, "map50_95"),
+        *[mean(F.col("size") == s, s) for s in SIZES[1:]],
+    )
+
+
+def class_report(confused: DataFrame) -> DataFrame:
+    """For each class of a confusion (true, predicted, n) its truth and predictions, right, false and lacking ones.
+
+    ``missed`` is truth that nothing overlapped, ``invented`` predictions that overlapped nothing;
+    what is left of fn and fp took another class. Classes that occur on neither side aren't listed.
+    """
+    each = confused.withColumn("cls", F.explode(F.array_distinct(F.array("true", "predicted")))).filter("cls <> 'nothing'")
+    total = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+    truth, given = (lambda c: F.col("true") == c), (lambda c: F.col("predicted") == c)
+    own = F.col("cls")
+    gt, pred, tp = total(truth(own)), total(given(own)), total(truth(own) & given(own))
+    return each.groupBy("cls").agg(
+        gt.alias("gt"), pred.alias("pred"), tp.alias("tp"), (pred - tp).alias("fp"), (gt - tp).alias("fn"),
+        total(truth(own) & given("nothing")).alias("missed"), total(given(own) & truth("nothing")).alias("invented"),
+    )
+
+
+def box_totals(report: DataFrame) -> DataFrame:
+    """One row: right, false and lacking boxes of all classes, with precision, recall and F1 (0 where undefined)."""
+    r = report.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
+    over = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    p, q = over(F.col("tp"), F.col("tp") + F.col("fp")), over(F.col("tp"), F.col("tp") + F.col("fn"))
+    return r.select("*", p.alias("precision"), q.alias("recall"), over(2 * p * q, p + q).alias("f1"))
 
 
 def confusion(truth: DataFrame, predicted: DataFrame, iou: float, confidence: float) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Road masks, zones, widths, and camera calibration. Masks are runs (frame, row_no, col_start, col_end)."""
+"""Road masks, zones, widths, and camera calibration.
+
+Masks are runs (run_id, frame, row_no, col_start, col_end); without a run_id all frames are of one run.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +17,10 @@ ON_ROAD = ("carriageway", "crack", "pothole", "rut", "wheel path", "wheel track"
 MIN_WIDTH_M, MAX_WIDTH_M = 1.5, 40.0
 
 
+def frame_key(df: DataFrame) -> list[str]:
+    return [c for c in ("run_id", "frame") if c in df.columns]
+
+
 def carriageway_rules(classes: DataFrame, overrides: dict[str, bool] | None = None) -> DataFrame:
     """For each class (cls, label, hint, is_absence) whether it only makes sense on the carriageway, and why.
 
@@ -45,9 +52,10 @@ def in_polygon(x: Column, y: Column, polygon: Column) -> Column:
 
 
 def in_mask(points: DataFrame, runs: DataFrame) -> DataFrame:
-    """Points (frame, row_no, col) with on_mask."""
-    hit = points.join(runs, ["frame", "row_no"]).filter(F.col("col").between(F.col("col_start"), F.col("col_end"))).select("frame", "row_no", "col").distinct()
-    return points.join(hit.withColumn("on_mask", F.lit(True)), ["frame", "row_no", "col"], "left").withColumn("on_mask", F.coalesce("on_mask", F.lit(False)))
+    """Points (run_id, frame, row_no, col) with on_mask."""
+    row = [*frame_key(points), "row_no"]
+    hit = points.join(runs, row).filter(F.col("col").between(F.col("col_start"), F.col("col_end"))).select(*row, "col").distinct()
+    return points.join(hit.withColumn("on_mask", F.lit(True)), [*row, "col"], "left").withColumn("on_mask", F.coalesce("on_mask", F.lit(False)))
 
 
 def gate(detections: DataFrame, rules: DataFrame, polygons: DataFrame, width: int, height: int) -> DataFrame:
@@ -61,34 +69,46 @@ def gate(detections: DataFrame, rules: DataFrame, polygons: DataFrame, width: in
 
 def row_spans(runs: DataFrame) -> DataFrame:
     """For each row of a mask its extent, longest free run and pixels. Runs that touch count as one."""
-    w = Window.partitionBy("frame", "row_no").orderBy("col_start", "col_end")
+    row = [*frame_key(runs), "row_no"]
+    w = Window.partitionBy(*row).orderBy("col_start", "col_end")
     reach = F.max("col_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     joined = runs.withColumn("_reach", reach)
     islands = joined.withColumn("_i", F.sum(F.when(F.coalesce(F.col("col_start") > F.col("_reach") + 1, F.lit(True)), 1).otherwise(0)).over(w))
-    one = islands.groupBy("frame", "row_no", "_i").agg(F.min("col_start").alias("a"), F.max("col_end").alias("b"))
-    return one.groupBy("frame", "row_no").agg(
+    one = islands.groupBy(*row, "_i").agg(F.min("col_start").alias("a"), F.max("col_end").alias("b"))
+    return one.groupBy(*row).agg(
         F.min("a").alias("left_px"), F.max("b").alias("right_px"), (F.max("b") - F.min("a") + 1).alias("span_px"),
         F.max(F.col("b") - F.col("a") + 1).alias("free_px"), F.sum(F.col("b") - F.col("a") + 1).alias("pixels"),
     )
 
 
 def coverage(runs: DataFrame, width: int, height: int) -> DataFrame:
-    return row_spans(runs).groupBy("frame").agg((F.sum("pixels") / (width * height)).alias("coverage"))
+    return row_spans(runs).groupBy(*frame_key(runs)).agg((F.sum("pixels") / (width * height)).alias("coverage"))
+
+
+def coverage_summary(covered: DataFrame) -> DataFrame:
+    """For each run the frames in which there is road, and the upper median of their coverage."""
+    return covered.filter("coverage > 0").groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_with_road"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY coverage DESC)").alias("coverage_median"))
 
 
-def carriageway_width(runs: DataFrame, width: int, height: int, cam: dict, ranges_m=(5.0, 7.5, 10.0, 12.5, 15.0)) -> DataFrame:
+def carriageway_width(runs: DataFrame, width: int, height: int, cam: dict, ranges_m=(5.0, 7.5, 10.0, 12.5, 15.0), least_share: float | None = None) -> DataFrame:
     """Width of the road at some ranges ahead in each frame, with what is wrong with it.
 
+    With ``least_share`` only the largest component of a frame's mask counts, if it is at least that
+    share of the frame; a frame without one has no road.
+
     A row whose mask reaches the frame's edge bounds the width from below only; widths outside
     1.5 to 40 m speak against the calibration. Neither is ``ok``.
     """
     c = {k: F.lit(float(v)) for k, v in cam.items()}
     h = F.lit(float(height))
-    frames = runs.select("frame").distinct().withColumn("range_m", F.explode(F.array(*[F.lit(r) for r in ranges_m])))
+    key = frame_key(runs)
+    frames = runs.select(*key).distinct().withColumn("range_m", F.explode(F.array(*[F.lit(r) for r in ranges_m])))
     wanted = frames.withColumn("row_no", F.bround(geo.row_for_range(F.col("range_m"), h, c), 0).cast("long"))
     ground = geo.ground_range(F.lit(width / 2.0), F.col("row_no").cast("double"), F.lit(float(width)), h, c)
     wanted = wanted.withColumn("range_actual_m", F.when(F.col("row_no").between(0, height - 1), ground["forward"]))
-    joined = wanted.join(row_spans(runs), ["frame", "row_no"], "left")
+    road = runs if least_share is None else largest_component(runs, least_share * width * height)
+    joined = wanted.join(row_spans(road), [*key, "row_no"], "left")
     scale = F.col("range_actual_m") / geo.focal_px(h, c["vfov_deg"])
     clipped = (F.col("left_px") == 0) | (F.col("right_px") >= width - 1)
     span = F.col("span_px") * scale
@@ -96,7 +116,7 @@ def carriageway_width(runs: DataFrame, width: int, height: int, cam: dict, range
         F.when(F.col("range_actual_m").isNull(), "no_row").when(F.col("span_px").isNull(), "no_road").when(clipped, "clipped")
         .when(~span.between(MIN_WIDTH_M, MAX_WIDTH_M), "implausible").otherwise("ok")
     )
-    return joined.select("frame", "range_m", "row_no", "range_actual_m", span.alias("span_m"), (F.col("free_px") * scale).alias("free_m"), reason.alias("reason"))
+    return joined.select(*key, "range_m", "row_no", "range_actual_m", span.alias("span_m"), (F.col("free_px") * scale).alias("free_m"), reason.alias("reason"))
 
 
 def width_summary(samples: DataFrame) -> DataFrame:
@@ -121,7 +141,8 @@ def temporal_majority(cells: DataFrame, frames: DataFrame, memory: int = 5) -> D
 
 
 def largest_component(runs: DataFrame, least: float = 0.0) -> DataFrame:
-    """Runs of the largest 8-connected component of each frame's mask."""
+    """Runs of the largest 8-connected component of each frame's mask, if it has ``least`` pixels."""
+    key = frame_key(runs)
 
     def kernel(t: pa.Table) -> pa.Table:
         rows = sorted(zip(*[t.column(c).to_pylist() for c in ("row_no", "col_start", "col_end")], strict=True))
@@ -151,54 +172,103 @@ def largest_component(runs: DataFrame, least: float = 0.0) -> DataFrame:
             size[find(i)] = size.get(find(i), 0) + b - a + 1
         best = max(size, key=lambda k: (size[k], -k)) if size else None
         keep = [x for i, x in enumerate(rows) if find(i) == best and size[best] >= least]
-        frame = t.column("frame")[0].as_py()
-        return pa.table({"frame": pa.array([frame] * len(keep), pa.int64()), **{n: pa.array([x[i] for x in keep], pa.int64()) for i, n in enumerate(("row_no", "col_start", "col_end"))}})
+        same = {n: pa.array([t.column(n)[0].as_py()] * len(keep), t.schema.field(n).type) for n in key}
+        return pa.table({**same, **{n: pa.array([x[i] for x in keep], pa.int64()) for i, n in enumerate(("row_no", "col_start", "col_end"))}})
+
+    kinds = ", ".join(f"{c} {runs.schema[c].dataType.simpleString()}" for c in key)
+    return runs.select(*key, "row_no", "col_start", "col_end").groupBy(*key).applyInArrow(kernel, f"{kinds}, row_no long, col_start long, col_end long")
+
 
-    return runs.select("frame", "row_no", "col_start", "col_end").groupBy("frame").applyInArrow(kernel, "frame long, row_no long, col_start long, col_end long")
+def fit_rows(spans: DataFrame, n: int = 40, top: float = 0.30, least: int = 80) -> DataFrame:
+    """The rows of each mask that its horizon is fitted on: ``n`` of them evenly below the upper ``top`` of the road.
+
+    Masks of under ``least`` rows go, and so do rows of a single pixel.
+    """
+    key = frame_key(spans)
+    extent = spans.groupBy(*key).agg(F.min("row_no").alias("_lo"), F.max("row_no").alias("_hi"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
+    start = F.col("_lo") + top * (F.col("_hi") - F.col("_lo"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(n - 2)), lambda i: F.floor(start + i * ((F.col("_hi") - start) / (n - 1))))
+    rows = extent.select(*key, F.explode(F.array_distinct(F.concat(at, F.array(F.col("_hi").cast("long"))))).alias("row_no"))
+    return spans.join(rows, [*key, "row_no"]).filter("pixels >= 2")
 
 
 def horizon_fit(spans: DataFrame, width: int, min_rows: int = 10) -> DataFrame:
     """For each frame the row at which the road's width would vanish, by regression of width on row."""
     inner = spans.filter((F.col("left_px") > 0) & (F.col("right_px") < width - 1))
-    fit = inner.groupBy("frame").agg(
+    key = frame_key(spans)
+    fit = inner.groupBy(*key).agg(
         F.regr_slope("span_px", "row_no").alias("slope"), F.regr_intercept("span_px", "row_no").alias("intercept"),
         F.regr_r2("span_px", "row_no").alias("r2"), F.count(F.lit(1)).alias("rows"),
     )
-    return fit.filter((F.col("rows") >= min_rows) & (F.col("slope") > 0)).select("frame", (-F.col("intercept") / F.col("slope")).alias("horizon"), "slope", "r2")
+    return fit.filter((F.col("rows") >= min_rows) & (F.col("slope") > 1e-6)).select(*key, (-F.col("intercept") / F.col("slope")).alias("horizon"), "slope", "r2")
 
 
-def estimate_horizon(fits: DataFrame, min_r2: float = 0.80, least: int = 5) -> DataFrame:
-    """Median horizon of the good fits and the spread between their tenth and ninetieth, if there are enough."""
-    good = fits.filter(F.col("r2") >= min_r2).agg(F.count(F.lit(1)).alias("n"), F.median("horizon").alias("horizon"), F.array_sort(F.collect_list("horizon")).alias("_h"))
-    at = lambda q: F.get("_h", F.least(F.col("n") - 1, F.floor(F.col("n") * q)).cast("int"))
-    return good.select("n", F.when(F.col("n") >= least, F.col("horizon")).alias("horizon"), F.when(F.col("n") >= least, at(0.9) - at(0.1)).alias("spread"))
+def estimate_horizon(fits: DataFrame, height: int, camera_height_m: float = 1.35, min_r2: float = 0.80, least: int = 5) -> DataFrame:
+    """For each run the median horizon of its good fits, where there are ``least`` of them, and how far it can be trusted.
+
+    Good is a sound fit whose horizon lies where one can, from half a frame above the frame down to
+    0.95 of it. ``spread`` is between the tenth and the ninetieth percent of the fits in order.
+    """
+    key = [c for c in ("run_id",) if c in fits.columns]
+    good = fits.filter((F.col("r2") >= min_r2) & F.col("horizon").between(-0.5 * height, 0.95 * height))
+    rows = good.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.median("horizon").alias("horizon"))
+    placed = good.withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy("horizon")) - 1)
+    at = lambda q: F.max(F.when(F.col("_at") == F.floor(F.col("n") * q), F.col("h")))
+    placed = placed.select(*key, F.col("horizon").alias("h"), "_at")
+    both = placed.join(rows, key) if key else placed.crossJoin(F.broadcast(rows))
+    bottom = height - 1.0
+    return both.groupBy(*key, "n", "horizon").agg((at(0.9) - at(0.1)).alias("spread")).filter(F.col("n") >= least).select(
+        *key, "n", "horizon", "spread", ((F.col("horizon") - height / 2.0) / height).alias("pitch_offset_frac"),
+        F.when(F.col("horizon") < bottom, camera_height_m / (bottom - F.col("horizon"))).alias("m_per_px_at_bottom"),
+    )
+
+
+def _moved(observations: DataFrame) -> DataFrame:
+    return observations.filter("v1 > row and v2 > row").withColumn("k", 1 / (F.col("v1") - F.col("row")) - 1 / (F.col("v2") - F.col("row")))
 
 
-def fit_calibration(observations: DataFrame, rows: list[float]) -> DataFrame:
+def fit_calibration(observations: DataFrame, rows: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """Focal length times height for each candidate horizon row, and how well it fits.
 
     ``observations`` (v1, v2, dist): a mark moved from row v1 to v2 while the camera went dist. For
-    a horizon row c, dist = product * k with k = 1/(v1-c) - 1/(v2-c); candidates are few.
+    a horizon row c, dist = product * k with k = 1/(v1-c) - 1/(v2-c); candidates are few. Columns
+    ``by`` part the observations, such as run_id.
     """
     grid = F.explode(F.array(*[F.lit(float(r)) for r in rows])).alias("row")
-    o = observations.select("v1", "v2", "dist", grid).filter((F.col("v1") > F.col("row")) & (F.col("v2") > F.col("row")))
-    o = o.withColumn("k", 1 / (F.col("v1") - F.col("row")) - 1 / (F.col("v2") - F.col("row")))
-    fit = o.groupBy("row").agg(
+    fit = _moved(observations.select(*by, "v1", "v2", "dist", grid)).groupBy(*by, "row").agg(
         F.try_divide(F.sum(F.col("k") * F.col("dist")), F.sum(F.col("k") * F.col("k"))).alias("product"),
         F.sum(F.col("dist") * F.col("dist")).alias("dd"), F.sum(F.col("k") * F.col("dist")).alias("kd"), F.count(F.lit(1)).alias("n"),
     )
     rms = F.sqrt(F.greatest(F.lit(0.0), F.col("dd") - F.col("product") * F.col("kd")) / F.col("n"))
-    return fit.select("row", "product", rms.alias("rms_m"), "n")
+    return fit.select(*by, "row", "product", rms.alias("rms_m"), "n")
 
 
-def best_calibration(observations: DataFrame, rows: list[float], keep: float = 0.8) -> DataFrame:
+def best_calibration(observations: DataFrame, rows: list[float], keep: float = 0.8, by: tuple[str, ...] = ()) -> DataFrame:
     """The best row, after the worst fifth of the observations under a first fit are left out."""
-    first = fit_calibration(observations, rows).agg(F.min(F.struct("rms_m", "row", "product")).alias("f")).select("f.row", "f.product")
-    k = 1 / (F.col("v1") - F.col("row")) - 1 / (F.col("v2") - F.col("row"))
-    errors = observations.join(F.broadcast(first)).filter("v1 > row and v2 > row").withColumn("err", F.abs(F.col("dist") - F.col("product") * k))
-    cut = errors.agg(F.percentile("err", keep).alias("cut"))
-    good = errors.join(F.broadcast(cut)).filter("err <= cut").select("v1", "v2", "dist")
-    return fit_calibration(good, rows).agg(F.min(F.struct("rms_m", "row", "product", "n")).alias("f")).select("f.row", "f.product", "f.rms_m", "f.n")
+    best = lambda df: fit_calibration(df, rows, by).groupBy(*by).agg(F.min(F.struct("rms_m", "row", "product", "n")).alias("f"))
+    beside = lambda df, one: df.join(one, list(by)) if by else df.join(F.broadcast(one))
+    errors = _moved(beside(observations, best(observations).select(*by, "f.row", "f.product"))).withColumn("err", F.abs(F.col("dist") - F.col("product") * F.col("k")))
+    cut = errors.groupBy(*by).agg(F.percentile("err", keep).alias("cut"))
+    good = beside(errors, cut).filter("err <= cut").select(*by, "v1", "v2", "dist")
+    return best(good).select(*by, "f.row", "f.product", "f.rms_m", "f.n")
+
+
+def camera_rows(fits: DataFrame, cameras: DataFrame, rows: list[float]) -> DataFrame:
+    """Cameras that calibrations (run_id, row, product, rms_m, n) come to, ready to be stored, and what speaks against each.
+
+    ``cameras`` is (run_id, height_m, width, height, max_range_m): what the fit can't tell.
+    """
+    c = fits.join(cameras, "run_id")
+    focal = F.col("product") / F.col("height_m")
+    fov = lambda side: 2 * F.degrees(F.atan(F.col(side) / 2 / focal))
+    warn = F.array_compact(F.array(
+        F.when((F.col("row") - min(rows) < 1) | (max(rows) - F.col("row") < 1), F.lit("horizon on the edge of the search")),
+        F.when(~((fov("height") > 20) & (fov("height") < 140)), F.lit("field of view implausible")), F.when(F.col("rms_m") > 1, F.lit("residual high"))))
+    return c.select(
+        "run_id", "height_m", F.round(fov("height"), 2).alias("vfov_deg"), F.round(fov("width"), 2).alias("hfov_deg"),
+        F.round((F.col("row") - F.col("height") / 2) / F.col("height"), 4).alias("pitch_offset_frac"), "max_range_m",
+        F.round("product", 1).alias("product"), F.round("row", 1).alias("horizon_row"), F.round("rms_m", 2).alias("residual_m"), F.col("n").alias("inliers"), warn.alias("warnings"),
+    )
 
 
 def solve_markers(markers: DataFrame) -> DataFrame:

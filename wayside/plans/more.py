@@ -313,7 +313,8 @@ def matched_any(s, d):
 
 def quality(s, d):
     f, o = found(s, d), view(s, d, "fx_objects")
-    return evaluate.score_matches(evaluate.match_findings(f, o), f, o).withColumn("median_m", F.round("median_m", 6))
+    r = evaluate.score_matches(evaluate.match_findings(f, o), f, o).withColumn("median_m", F.round("median_m", 6))
+    return r.withColumns({c: F.array_join(c, ",") for c in ("fp_classes", "fn_classes")})
 
 
 def truth_and_predictions(s, d):

@@ -10,6 +10,14 @@ FRAME = "frame_id string, t_sec double, ts string, lat double, lon double, headi
 DETECTION = "frame_id string, cls string, box array<double>, severity int, confidence double, evidence string, lat double, lon double, range_m double, anchor string"
 FINDING = "finding_id string, cls string, label string, geometry string, lat double, lon double, severity int, confidence double, t_sec double, evidence array<struct<frame_id:string,cls:string,box:array<double>,severity:int,confidence:double>>"
 
+SEGMENT = "seg_id int, start array<double>, end array<double>, length_m double, quality_index double, color string, finding_ids array<string>, t_start double, t_end double"
+OBJECT = "cls string, s_m double, lateral_m double, lat double, lon double, severity int"
+CLASS = "key:string,label:string,geometry:string,cluster_radius_m:double,weight:double,alert:boolean,hint:string,color:string"
+RULE = "key:string,label:string,asset:string,min_gap_m:double,weight:double,severity:int,color:string,alert:boolean,note:string"
+# What a class or an absence rule has where its file says nothing.
+CLASS_USUAL = {"geometry": "point", "cluster_radius_m": 3.0, "weight": 1.0, "alert": False, "hint": "", "color": "#f59e0b"}
+RULE_USUAL = {"min_gap_m": 30.0, "weight": 1.5, "severity": 3, "color": "#78716c", "alert": False, "note": ""}
+
 
 def run_of(depth: int = 1) -> Column:
     """The run's name: the folder ``depth`` levels above the file."""
@@ -89,8 +97,45 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("run_id", run_of()).filter("_corrupt_record is null").drop("_corrupt_record").orderBy(F.col("created").desc())
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.col("path"), F.col("content"))
+def read_images(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
+    """Images (run_id, frame_id, path, content) of ``<run>/<folder>/<frame_id>.jpg``; of each run the ``first`` by name, if given."""
+    name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -3).alias("run_id"), name.alias("frame_id"), "path", "content")
+    if not first:
+        return files
+    # names only are ranked; contents come by the paths that stay
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("frame_id"))
+    kept = files.select("run_id", "frame_id", "path").withColumn("_at", place).filter(F.col("_at") <= first)
+    return files.join(kept.select("path"), "path", "left_semi")
+
+
+def read_artefacts(spark: SparkSession, path: str) -> DataFrame:
+    """Names of the files that lie in the runs' folders (run_id, name)."""
+    parts = F.split("path", "/")
+    return spark.read.format("binaryFile").load(path).select(F.element_at(parts, -2).alias("run_id"), F.element_at(parts, -1).alias("name"))
+
+
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SEGMENT).option("multiLine", True).json(path).withColumn("run_id", run_of())
+
+
+def read_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Placed objects of a scene, numbered in file order within their run."""
+    raw = spark.read.schema(OBJECT).option("multiLine", True).json(path).withColumn("run_id", run_of()).withColumn("_m", F.monotonically_increasing_id())
+    return raw.withColumn("object_id", F.row_number().over(Window.partitionBy("run_id").orderBy("_m")) - 1).drop("_m")
+
+
+def read_taxonomy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Classes and absence rules of domains, a JSON file each, named after the domain.
+
+    What a file leaves out has its usual value. A new domain is a new file.
+    """
+    raw = spark.read.schema(f"classes array<struct<{CLASS}>>, absence array<struct<{RULE}>>").option("multiLine", True).json(path)
+    raw = raw.withColumn("domain", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1))
+    usual = lambda df, values: df.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in values.items()})
+    classes = raw.select("domain", F.posexplode("classes").alias("ord", "c")).select("domain", "ord", F.col("c.key").alias("cls"), "c.*").drop("key")
+    rules = raw.select("domain", F.posexplode("absence").alias("rule_ord", "c")).select("domain", "rule_ord", F.col("c.key").alias("absence_key"), F.col("c.label").alias("absence_label"), "c.*").drop("key", "label")
+    return usual(classes, CLASS_USUAL), usual(rules, RULE_USUAL)
 
 
 def parse_intrinsics(lines: DataFrame) -> DataFrame:

@@ -52,3 +52,8 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 def write_cloud(points: DataFrame, path: str, provenance: str) -> None:
     points.withColumn("provenance", F.lit(provenance)).write.mode("overwrite").parquet(path)
+
+
+def append_cameras(cameras: DataFrame, path: str) -> None:
+    """Add calibrated cameras to the table of cameras; earlier ones of a run stay."""
+    cameras.write.mode("append").parquet(path)

@@ -87,6 +87,16 @@ def keep_state_in_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def append_detections(frames: DataFrame, detector, path: str, log: str):
+    """Run a ``Detector`` over a stream of frames and add what it finds to lines of JSON, a folder for each run.
+
+    Each micro-batch is one step of the append: what is done stays when a later one fails, and a
+    restart under the same ``log`` goes on after it, without repeats. Returns the query.
+    """
+    found = frames.mapInArrow(detector.detect, detector.schema)
+    return found.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", log).partitionBy("run_id").format("json").option("path", path).start()
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now, and return what it put out as a table.
 
@@ -101,4 +111,4 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.table(name)
 
 
-__all__ = ["MAX_GAP", "alert_windows", "drain", "event_payload", "keep_state_in_rocksdb", "last_turns", "latest_alerts", "live_tracks", "scratch", "without_repeats"]
+__all__ = ["MAX_GAP", "alert_windows", "append_detections", "drain", "event_payload", "keep_state_in_rocksdb", "last_turns", "latest_alerts", "live_tracks", "scratch", "without_repeats"]
