@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from wayside.fixtures import view
-from wayside.operators import cloud, evaluate, perception, slices, taxonomy, zone
+from wayside.operators import cloud, csvio, evaluate, perception, slices, taxonomy, zone
 from wayside.plans import catalogue, core, more, registry
 from wayside.sources import readers, sinks
 
@@ -209,3 +209,22 @@ def test_ground_samples_reach_only_the_road_ahead(spark):
     rows = cloud.ground_samples(depth, 128, 72, 1280, 720, core.CAM).collect()
     assert 900 < len(rows) <= 60 * 18 and all(0 < r.ground_m <= 60 and r.d >= 36 for r in rows)
     assert more.found(spark, SF).count() == view(spark, SF, "fx_findings").count()
+
+
+def test_import_without_frames(spark):
+    tax = spark.createDataFrame([(0, "pothole", "Pothole")], "ord int, cls string, label string")
+    rows = [(1, 1, "a", "0:09", "Pothole", "12.5", "77.5", "", "", " x "), (1, 2, "a", "2", "Pothole", "12.6", "77.6", "", "", ""), (1, 3, "  ", "3", "Pothole", "", "", "", "", None), (1, 4, "", "", "", "", "", "", "", ""), (2, 1, "b", "1", "Pothole", "", "", "", "", "")]
+    df = spark.createDataFrame(rows, "run_id long, row_no long, object_id string, time string, defect_name string, lat string, lon string, severity string, confidence string, frame string")
+    frames = spark.createDataFrame([(2, 0, "00001", 0.0, 1.0, 2.0)], "run_id long, frame_idx long, frame_id string, t_sec double, lat double, lon double")
+    got = csvio.import_findings(df, frames, tax)
+    assert sorted((r.run_id, r.row_no, r.finding_id, r.frame_id, r.lat) for r in got.collect()) == [(1, 1, "a", "x", 12.5), (1, 2, "a-2", "f_a", 12.6), (1, 3, "row-3", "f_  ", None), (2, 1, "b", "00001", 1.0)]
+    assert [(r.run_id, r.frame_idx, r.frame_id, r.t_sec) for r in csvio.sparse_frames(got, frames).orderBy("frame_idx").collect()] == [(1, 0, "f_a", 2.0), (1, 1, "x", 9.0)]
+    assert {r.run_id: (r.blank, r.renamed) for r in csvio.skipped_and_renamed(df, got).collect()} == {1: (1, 2), 2: (0, 0)}
+
+
+def test_building_heights_by_any_tag(spark):
+    square = [(0.0, 0.0), (0.0, 1e-4), (1e-4, 1e-4), (1e-4, 0.0)]
+    tags = [{"height": "9 m"}, {"building:height": "7"}, {"height": "", "levels": "2;3"}, {"building:levels": "x"}, {"height": "tall", "levels": "10"}]
+    e = spark.createDataFrame([("way", i, {"building": "yes", **t}, square) for i, t in enumerate(tags)], "type string, id long, tags map<string,string>, geometry array<struct<lat:double,lon:double>>")
+    box = spark.createDataFrame([(1, -1.0, -1.0, 1.0, 1.0)], "run_id long, south double, west double, north double, east double")
+    assert {r.osm_id: round(r.height_m, 6) for r in cloud.surroundings(e, box).collect()} == {0: 9.0, 1: 7.0, 2: 6.4, 3: 8.0, 4: 32.0}

@@ -120,12 +120,13 @@ def surroundings(elements: DataFrame, boxes: DataFrame) -> DataFrame:
     ``elements`` (type, id, tags map, geometry array of lat, lon): ways with four places and a
     building tag, else two and a highway tag.
     """
+    tag = lambda *names: F.coalesce(*[F.nullif(F.col("tags")[n], F.lit("")) for n in names])
     g = F.filter("geometry", lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
     ways = elements.filter("type = 'way'").withColumn("path", g)
     kind = F.when(F.col("tags")["building"].isNotNull() & (F.size("path") >= 4), "building").when(F.col("tags")["highway"].isNotNull() & (F.size("path") >= 2), "road")
     lats, lons = F.transform("path", lambda p: p["lat"]), F.transform("path", lambda p: p["lon"])
     found = ways.withColumn("kind", kind).filter("kind is not null").select(
-        F.col("id").alias("osm_id"), "kind", F.when(kind == "building", text.building_height(F.col("tags")["height"], F.col("tags")["building:levels"])).alias("height_m"),
+        F.col("id").alias("osm_id"), "kind", F.when(kind == "building", text.building_height(tag("height", "building:height"), tag("building:levels", "levels"))).alias("height_m"),
         F.col("tags")["name"].alias("name"), "path", F.array_min(lats).alias("s"), F.array_max(lats).alias("n"), F.array_min(lons).alias("w"), F.array_max(lons).alias("e"),
     )
     # both sides are spread over map tiles, so the overlap test has an equal key

@@ -58,14 +58,36 @@ def import_findings(rows: DataFrame, frames: DataFrame, taxonomy: DataFrame) ->
     numbered = parsed.withColumn("ordinal", F.row_number().over(order)).withColumn(
         "finding_id", F.trim(F.when(F.col("object_id").isNull() | (F.col("object_id") == ""), F.col("ordinal").cast("string")).otherwise(F.col("object_id")))
     )
-    numbered = unique_ids(numbered.withColumn("finding_id", F.coalesce(F.nullif("finding_id", F.lit("")), F.lit("row"))))
+    named = F.coalesce(F.nullif("finding_id", F.lit("")), F.concat(F.lit("row-"), F.col("ordinal").cast("string")))
+    nameless = F.col("finding_id") == ""
+    numbered = unique_ids(numbered.withColumn("_nameless", nameless).withColumn("finding_id", named))
+    numbered = numbered.withColumn("renamed", F.col("renamed") | F.col("_nameless")).drop("_nameless")
     points = frames.select("run_id", F.col("t_sec").alias("t"), "frame_id", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"))
     near = nearest_in_time(numbered, points, ["frame_id", "f_lat", "f_lon"])
+    own = F.nullif(F.trim("frame"), F.lit("")) if "frame" in rows.columns else F.lit(None).cast("string")
     return near.withColumns({
-        "lat": F.coalesce("lat", "near.f_lat"), "lon": F.coalesce("lon", "near.f_lon"), "frame_id": F.col("near.frame_id"), "t_sec": F.col("t"),
+        "lat": F.coalesce("lat", "near.f_lat"), "lon": F.coalesce("lon", "near.f_lon"),
+        "frame_id": F.coalesce("near.frame_id", own, F.concat(F.lit("f_"), F.coalesce("object_id", F.lit("0")))), "t_sec": F.col("t"),
     }).drop("near", "t", "time")
 
 
+def sparse_frames(imported: DataFrame, frames: DataFrame) -> DataFrame:
+    """Keyframes of the runs that have none, one for each imported finding with a place, in order of time."""
+    bare = imported.join(frames.select("run_id").distinct(), "run_id", "left_anti").filter("lat is not null and lon is not null")
+    at = F.row_number().over(Window.partitionBy("run_id").orderBy("t_sec", "row_no")) - 1
+    return bare.select(
+        "run_id", at.alias("frame_idx"), "frame_id", "t_sec", "lat", "lon", F.lit(0.0).alias("heading_deg"),
+        F.concat(F.lit("frames/"), "frame_id", F.lit(".jpg")).alias("path"), F.lit(1920).alias("width"), F.lit(1080).alias("height"),
+    )
+
+
+def skipped_and_renamed(rows: DataFrame, imported: DataFrame) -> DataFrame:
+    """For each run how many rows were blank, and how many ids were changed so that no finding is lost."""
+    empty = text.blank(F.col("object_id")) & text.blank(F.col("defect_name"))
+    blank = rows.groupBy("run_id").agg(F.count_if(empty).alias("blank"))
+    return blank.join(imported.groupBy("run_id").agg(F.count_if(F.col("renamed")).alias("renamed")), "run_id", "left").na.fill(0, ["renamed"])
+
+
 def import_counters(parsed: DataFrame) -> DataFrame:
     """For each run how many rows had a bad time or place, a default severity, an unknown class."""
     return parsed.groupBy("run_id").agg(
