@@ -11,6 +11,7 @@ from wayside.fixtures import oracle, view
 from wayside.functions import boxes, text
 from wayside.operators import cloud, csvio, evaluate, export, findings, perception, route, score, validate, zone
 from wayside.plans import core
+from wayside.sources.sinks import written
 from wayside.streaming import live
 
 XYXY = ("x1", "y1", "x2", "y2")
@@ -313,7 +314,7 @@ def matched_any(s, d):
 
 def quality(s, d):
     f, o = found(s, d), view(s, d, "fx_objects")
-    r = evaluate.score_matches(evaluate.match_findings(f, o), f, o).withColumn("median_m", F.round("median_m", 6))
+    r = evaluate.score_matches(written(evaluate.match_findings(f, o), "matches"), f, o).withColumn("median_m", F.round("median_m", 6))
     return r.withColumns({c: F.array_join(c, ",") for c in ("fp_classes", "fn_classes")})
 
 
