@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, what they must equal."""
 
-from wayside.llm import ann, bpe, langid, lm, mixing, neardup, quality, secretscan, tokencount, urls
+from wayside.llm import ann, bpe, langid, lm, mixing, neardup, quality, secretscan, tokencount, urls, wordshuffle
 
 QUERIES = {
     "op1_pseudo_likelihood": lm.op1_pseudo_likelihood,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_secret_spans": secretscan.op10_secret_spans,
+    "op13_distinct_words": wordshuffle.op13_distinct_words,
 }
 
 ORACLE_SQL = {
