@@ -25,7 +25,9 @@ from wayside.llm.bpe import MARKS, PATTERN, Speller, gather
 from wayside.llm.common import bundles, table
 
 #: Bytes of texts in a block, which holds one text at least.
-BLOCK = 32 << 20
+BLOCK = 8 << 20
+#: Numbers that are packed together.
+STEP = 1 << 16
 #: Bytes behind a blank with which white space may begin; no word is cut off before such a blank.
 SPACES = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
 
@@ -37,24 +39,32 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 def pack(numbers: np.ndarray) -> bytes:
     """Non-negative numbers, seven bits to a byte, the last byte of each below 128."""
-    numbers = numbers.astype(np.int64)
-    size = np.ones(len(numbers), np.int64)
-    for bits in range(7, 63, 7):
-        size += numbers >= 1 << bits
-    ends = np.cumsum(size)
-    at = np.arange(ends[-1] if len(ends) else 0)
-    left = np.repeat(ends, size) - 1 - at
-    return (np.repeat(numbers, size) >> 7 * left & 127 | np.where(left > 0, 128, 0)).astype(np.uint8).tobytes()
+    out = []
+    for i in range(0, len(numbers), STEP):
+        some = numbers[i : i + STEP].astype(np.int64)
+        size = np.ones(len(some), np.int64)
+        for bits in range(7, 63, 7):
+            size += some >= 1 << bits
+        ends = np.cumsum(size)
+        left = np.repeat(ends, size) - 1 - np.arange(ends[-1])
+        out.append((np.repeat(some, size) >> 7 * left & 127 | np.where(left > 0, 128, 0)).astype(np.uint8).tobytes())
+    return b"".join(out)
 
 
 def unpack(data: bytes) -> np.ndarray:
     """The numbers that ``pack`` took."""
     raw = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(raw < 128)
-    size = np.diff(ends, prepend=-1)
-    left = np.repeat(ends, size) - np.arange(len(raw))
-    parts = (raw & 127).astype(np.int64) << 7 * left
-    return np.add.reduceat(parts, ends - size + 1) if len(ends) else np.empty(0, np.int64)
+    out = np.empty(len(ends), np.int64)
+    start = 0
+    for i in range(0, len(ends), STEP):
+        own = ends[i : i + STEP] - start
+        some = raw[start : start + own[-1] + 1]
+        size = np.diff(own, prepend=-1)
+        left = np.repeat(own, size) - np.arange(len(some))
+        out[i : i + STEP] = np.add.reduceat((some & 127).astype(np.int64) << 7 * left, own - size + 1)
+        start += len(some)
+    return out
 
 
 def stretches(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
