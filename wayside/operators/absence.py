@@ -54,17 +54,20 @@ def at_distance(targets: DataFrame, frames: DataFrame) -> DataFrame:
     return hit.select(*targets.columns, lerp("lat").alias("lat"), lerp("lon").alias("lon"), frame.alias("frame_idx"))
 
 
-def absence_gaps(frames: DataFrame, findings: DataFrame, rules: DataFrame, detectable: list[str] | None = None) -> DataFrame:
+def absence_gaps(frames: DataFrame, findings: DataFrame, rules: DataFrame, detectable: list[str] | None = None, by_run: DataFrame | None = None) -> DataFrame:
     """Gaps of at least min_gap_m between sightings of each rule's asset along each run.
 
     The run's two ends stand as sightings; without any other the whole run is one gap. Runs of one
-    frame have none. ``detectable`` leaves out rules whose asset a model can't see.
+    frame have none. ``detectable`` leaves out rules whose asset no run's model can see; ``by_run`` (run_id, absence_key,
+    detectable; see ``checks.rules_by_run``) leaves out those that a run's own model can't.
     """
     if detectable is not None:
         rules = rules.filter(F.col("asset").isin(detectable))
     c = chainage(frames).select("run_id", "frame_idx", "cum_m")
     total = c.groupBy("run_id").agg(F.max("cum_m").alias("total_m"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     every = total.crossJoin(F.broadcast(rules))
+    if by_run is not None:
+        every = every.join(by_run.filter("detectable").select("run_id", "absence_key"), ["run_id", "absence_key"], "left_semi")
     assets = findings.filter("lat is not null and lon is not null").join(F.broadcast(rules.select("asset")), F.col("cls") == F.col("asset"), "left_semi")
     near = nearest_frame(assets.select("run_id", "finding_id", "cls", "lat", "lon"), frames, ["finding_id", "cls"])
     at = near.join(c, ["run_id", "frame_idx"]).select("run_id", F.col("cls").alias("asset"), F.col("cum_m").alias("at"))

@@ -248,16 +248,27 @@ def join_on_time(frames: DataFrame, truth: DataFrame) -> DataFrame:
     return frames.withColumn("key", F.format_string("%.2f", "t_sec")).join(truth, ["run_id", "key"])
 
 
-def box_track(keypoints: DataFrame, frames: DataFrame) -> DataFrame:
-    """Boxes on frames between hand-marked ones (run_id, obj, t, box), linear in time, none outside."""
+def on_legs(keypoints: DataFrame, frames: DataFrame, lone: bool = False, bucket_s: float = 10.0) -> DataFrame:
+    """Boxes (run_id, obj, frame_idx, box) on frames between hand-marked ones, linear in time, clamped, as they come out.
+
+    ``lone`` marks count on a frame at their very time. Frames meet legs in buckets of time, not by run alone.
+    """
     w = Window.partitionBy("run_id", "obj").orderBy("t")
-    legs = keypoints.withColumn("t2", F.lead("t").over(w)).withColumn("box2", F.lead("box").over(w)).filter("t2 is not null").withColumn("leg", F.row_number().over(w))
-    f = (F.col("t_sec") - F.col("t")) / (F.col("t2") - F.col("t"))
+    follows = F.lead("t").over(w)
+    end = F.when(follows.isNull() & F.lag("t").over(w).isNull(), F.col("t")).otherwise(follows) if lone else follows
+    legs = keypoints.withColumns({"t2": end, "box2": F.coalesce(F.lead("box").over(w), "box")}).filter("t2 is not null").withColumn("leg", F.row_number().over(w))
+    bucket = lambda c: F.floor(F.col(c) / bucket_s)
+    legs = legs.withColumn("_b", F.explode(F.sequence(bucket("t"), bucket("t2"))))
+    f = F.coalesce(F.try_divide(F.col("t_sec") - F.col("t"), F.col("t2") - F.col("t")), F.lit(0.0))
     at = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1000.0), F.col(f"box.{c}") + (F.col(f"box2.{c}") - F.col(f"box.{c}")) * f))
-    hit = frames.join(legs, (frames["run_id"] == legs["run_id"]) & frames["t_sec"].between(F.col("t"), F.col("t2"))).drop(legs["run_id"])
+    hit = frames.select("run_id", "frame_idx", "t_sec", bucket("t_sec").alias("_b")).join(legs, ["run_id", "_b"]).filter(F.col("t_sec").between(F.col("t"), F.col("t2")))
     once = hit.withColumn("_n", F.row_number().over(Window.partitionBy("run_id", "obj", "frame_idx").orderBy("leg"))).filter("_n = 1")
-    boxed = once.select("run_id", "obj", "frame_idx", boxes.make_box(at("x1"), at("y1"), at("x2"), at("y2")).alias("box"))
-    return boxed.filter("box.x2 > box.x1 and box.y2 > box.y1")
+    return once.select("run_id", "obj", "frame_idx", boxes.make_box(at("x1"), at("y1"), at("x2"), at("y2")).alias("box"))
+
+
+def box_track(keypoints: DataFrame, frames: DataFrame) -> DataFrame:
+    """Boxes on frames between hand-marked ones (run_id, obj, t, box), linear in time, none outside."""
+    return on_legs(keypoints, frames).filter("box.x2 > box.x1 and box.y2 > box.y1")
 
 
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
