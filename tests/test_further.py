@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayside.functions import boxes
-from wayside.operators import checks, depth, findings, mapdoc, motion, roadgate, tiles, voxel
+from wayside.operators import absence, checks, depth, findings, mapdoc, motion, roadgate, route, tiles, voxel
 from wayside.sources import mapdata
 from wayside.streaming import live, tracks
 
@@ -235,3 +235,45 @@ def test_map_features_of_a_file(spark, tmp_path):
     assert (got[1].kind, got[1].height_m, got[1].tags) == ("building", 12.0, {"building": "yes", "height": "12 m"})
     assert (got[4].kind, got[4].highway, got[4].name, len(got[4].path)) == ("road", "primary", "High", 2)
     assert 3 in {r.osm_id for r in mapdata.map_features(mapdata.read_map_elements(spark, str(tmp_path)), None).collect()}
+
+
+def literal_heading(p, i, window, least):
+    """The first half-width whose ends are far enough apart, place by place."""
+    def far(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6_371_000.0 * math.asin(math.sqrt(h))
+
+    n = len(p)
+    if n < 2:
+        return 0.0
+    for w in range(window, n + window):
+        a, b = max(0, i - w), min(n - 1, i + w)
+        if far(p[a], p[b]) >= least or (a == 0 and b == n - 1):
+            dl = math.radians(p[b][1] - p[a][1])
+            y = math.sin(dl) * math.cos(math.radians(p[b][0]))
+            x = math.cos(math.radians(p[a][0])) * math.sin(math.radians(p[b][0])) - math.sin(math.radians(p[a][0])) * math.cos(math.radians(p[b][0])) * math.cos(dl)
+            return math.fmod(math.degrees(math.atan2(y, x)) + 360, 360)
+
+
+def test_headings_across_pieces_and_stops(spark, monkeypatch):
+    """Runs that stop for longer than the halo, go back, or have one place; pieces of seven frames."""
+    monkeypatch.setattr(route, "FRAME_BUCKET", 7)
+    rnd = random.Random(2)
+    runs = {1: [(50 + i * 1e-5, 8.0) for i in range(40)], 2: [(50.0, 8 + i * 1e-5) for i in range(10)] + [(50.0, 8 + 9e-5)] * 30 + [(50 - i * 1e-5, 8 + 9e-5) for i in range(12)], 3: [(1.0, 1.0)], 4: [(50.0, 8.0)] * 5, 5: [(50 + rnd.random() * 1e-4, 8 + rnd.random() * 1e-4) for _ in range(50)]}
+    rows = [(run, 3 * i, *q, "kept") for run, own in runs.items() for i, q in enumerate(own)]
+    frames = spark.createDataFrame(rows, "run_id long, frame_idx long, lat double, lon double, note string").repartition(4)
+    for halo in (3, 64):
+        got = {(r.run_id, r.frame_idx): r.heading for r in route.headings(frames, 2, 8.0, halo).filter("note = 'kept'").collect()}
+        assert {k: round(v, 6) for k, v in got.items()} == {(run, 3 * i): round(literal_heading(own, i, 2, 8.0), 6) for run, own in runs.items() for i in range(len(own))}
+
+
+def test_nearest_frame_of_distant_places(spark):
+    rnd = random.Random(6)
+    frames = [(run, i, 10 + i * 2e-4 + rnd.random() * 1e-4, 20 + run + math.sin(i / 9) * 0.01) for run in (1, 2) for i in range(300)]
+    places = [(run, k, 10 + rnd.uniform(-1, 1) * far, 20 + run + rnd.uniform(-1, 1) * far) for run in (1, 2) for k, far in enumerate([1e-4, 1e-3, 0.01, 0.1, 1, 9] * 6)] + [(3, 0, 1.0, 1.0)]
+    got = absence.nearest_frame(spark.createDataFrame(places, "run_id long, k long, lat double, lon double"), spark.createDataFrame(frames, "run_id long, frame_idx long, lat double, lon double"), ["k"])
+    def d(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return math.asin(math.sqrt(h))
+    want = {(run, k): min((d((lat, lon), f[2:]), f[1]) for f in frames if f[0] == run)[1] for run, k, lat, lon in places if run < 3}
+    assert {(r.run_id, r.k): r.frame_idx for r in got.collect()} == want

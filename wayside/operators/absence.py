@@ -12,13 +12,16 @@ from wayside.operators.route import chainage
 CHAINAGE_BUCKET_M = 100.0
 #: Degrees of a grid cell in which the nearest frame is looked for first.
 CELL_DEG = 0.001
+#: No two places of a cell are farther apart: the diagonal of its sides by great circle, and a little.
+DIAGONAL_M = CELL_DEG * geo.EARTH_RADIUS_M * 3.14159266 / 180 * 1.41422
 
 
 def nearest_frame(places: DataFrame, frames: DataFrame, key: list[str]) -> DataFrame:
     """``places`` (run_id, key, lat, lon) with frame_idx of the nearest frame, the lowest of equal ones.
 
-    Frames in the cells around a place are compared first. A result nearer than the rim of those
-    cells is final; places without one are compared with all frames of their run.
+    Frames in the cells around a place are compared first; a result nearer than the rim of those cells is final. For
+    other places one frame stands for each cell: only cells whose frame lies at most a cell's diagonal farther than the
+    nearest of these can hold the nearest frame, so only their frames are compared.
     """
     cell = lambda c: F.floor(F.col(c) / CELL_DEG)
     f = frames.select("run_id", "frame_idx", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), cell("lat").alias("cy"), cell("lon").alias("cx"))
@@ -28,8 +31,12 @@ def nearest_frame(places: DataFrame, frames: DataFrame, key: list[str]) -> DataF
     keys = ["run_id", *key]
     rim = F.least(geo.M_PER_DEG_LAT * F.lit(CELL_DEG), geo.m_per_deg_lon(F.col("lat")) * CELL_DEG) * 0.99
     close = places.withColumn("_c", around).select("*", "_c.*").join(f, ["run_id", "cy", "cx"]).groupBy(*keys, "lat", "lon").agg(best).filter(F.col("best.d") <= rim)
-    rest = places.join(close.select(*keys), keys, "left_anti").join(f.drop("cy", "cx"), "run_id").groupBy(*keys, "lat", "lon").agg(best)
-    return close.unionByName(rest).select(*keys, F.col("best.frame_idx").alias("frame_idx"), F.col("best.d").alias("distance_m"))
+    rest = places.join(close.select(*keys), keys, "left_anti")
+    one = f.groupBy("run_id", "cy", "cx").agg(F.min(F.struct("frame_idx", "f_lat", "f_lon")).alias("_f")).select("run_id", "cy", "cx", "_f.f_lat", "_f.f_lon")
+    reach = Window.partitionBy(*keys)
+    cells = rest.join(one, "run_id").withColumn("_d", far).withColumn("_least", F.min("_d").over(reach)).filter(F.col("_d") <= F.col("_least") + DIAGONAL_M)
+    distant = cells.drop("f_lat", "f_lon").join(f, ["run_id", "cy", "cx"]).groupBy(*keys, "lat", "lon").agg(best)
+    return close.unionByName(distant).select(*keys, F.col("best.frame_idx").alias("frame_idx"), F.col("best.d").alias("distance_m"))
 
 
 def at_distance(targets: DataFrame, frames: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayside.functions import geo
+from wayside.sources.sinks import written
 
 #: Seconds of a bucket of the as-of join, frames of a bucket of running sums: a long run is many
 #: groups, none of which has to hold it whole.
@@ -105,48 +107,64 @@ def route_length(frames: DataFrame) -> DataFrame:
     return with_previous(frames, ["lat", "lon"]).groupBy("run_id").agg(F.sum(step_m()).alias("length_m"))
 
 
-def headings(frames: DataFrame, window: int = 2, min_baseline_m: float = 8.0, reaches: tuple[int, ...] = (8, 64)) -> DataFrame:
+def headings(frames: DataFrame, window: int = 2, min_baseline_m: float = 8.0, halo: int = 64) -> DataFrame:
     """``frames`` with heading from the narrowest baseline around each that is long enough.
 
     For half-widths w from ``window`` on, the ends are i - w and i + w within the run; the first w
-    whose ends are ``min_baseline_m`` apart gives the bearing, the whole run if none is. Positions
-    within 8 frames are looked at first, within 64 for rows that need more; only rows unresolved by
-    then take the list of their run.
+    whose ends are ``min_baseline_m`` apart gives the bearing, the whole run if none is. A run is looked at in
+    pieces, each with ``halo`` frames on both sides; only runs in which a frame needs more than that, as in a long
+    stop, are then looked at whole, and only for those frames.
     """
     run = Window.partitionBy("run_id")
-    order = run.orderBy("frame_idx")
-    here = frames.withColumn("_n", F.count(F.lit(1)).over(run)).withColumn("_i", F.row_number().over(order) - 1)
-    place = F.struct("lat", "lon")
-
-    def resolve(df: DataFrame, base: Column, most: Column) -> DataFrame:
-        at = lambda j: F.get("_near", (j - base).cast("int"))
-        ends = F.transform(
-            F.sequence(F.lit(window), F.greatest(most, F.lit(window))),
-            lambda w: F.struct(
-                at(F.greatest(F.lit(0), F.col("_i") - w)).alias("a"), at(F.least(F.col("_n") - 1, F.col("_i") + w)).alias("b"),
-                ((F.col("_i") <= w) & (F.col("_i") + w >= F.col("_n") - 1)).alias("whole"),
-            ),
-        )
-        far = F.filter(ends, lambda e: e["whole"] | (geo.haversine_m(e["a"]["lat"], e["a"]["lon"], e["b"]["lat"], e["b"]["lon"]) >= min_baseline_m))
-        return df.withColumn("_e", F.get(far, F.lit(0))).withColumn(
-            "heading",
-            F.when(F.col("_n") < 2, 0.0).when(F.col("_e").isNotNull(), geo.bearing_deg(F.col("_e.a.lat"), F.col("_e.a.lon"), F.col("_e.b.lat"), F.col("_e.b.lon"))),
-        ).drop("_e", "_near")
-
-    done, rest = [], here
-    for reach in reaches:
-        # neighbours are listed before rows are left out, so that none is missing
-        listed = here.withColumn("_near", F.collect_list(place).over(order.rowsBetween(-reach, reach)))
-        if done:
-            listed = listed.join(rest.select("run_id", "frame_idx"), ["run_id", "frame_idx"], "left_semi")
-        found = resolve(listed, F.greatest(F.lit(0), F.col("_i") - reach), F.lit(reach))
-        done.append(found.filter("heading is not null"))
-        rest = found.filter("heading is null").drop("heading")
-    whole = frames.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "lat", "lon"))).alias("_near"))
-    out = resolve(rest.join(whole, "run_id"), F.lit(0), F.col("_n").cast("int"))
-    for part in done:
-        out = part.unionByName(out)
-    return out.drop("_n", "_i")
+    here = frames.withColumn("_n", F.count(F.lit(1)).over(run)).withColumn("_i", F.row_number().over(run.orderBy("frame_idx")) - 1)
+    piece = F.floor(F.col("_i") / FRAME_BUCKET)
+    pieces = F.sequence(F.floor(F.greatest(F.col("_i") - halo, F.lit(0)) / FRAME_BUCKET), F.floor((F.col("_i") + halo) / FRAME_BUCKET))
+    spread = here.withColumn("_own", piece).withColumn("_piece", F.explode(pieces))
+    schema = T.StructType([*frames.schema, T.StructField("_n", T.LongType()), T.StructField("_i", T.IntegerType()), T.StructField("heading", T.DoubleType())])
+
+    def look(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_i")
+        own = t["_own"].to_numpy() == t["_piece"].to_numpy()
+        found = _first_bearings(t["_i"].to_numpy(), t["_n"][0].as_py(), t["lat"].to_numpy(), t["lon"].to_numpy(), np.flatnonzero(own), window, min_baseline_m, halo)
+        return t.drop_columns(["_own", "_piece"]).append_column("heading", pa.array(found, from_pandas=True)).filter(pa.array(own))
+
+    near = written(spread.groupBy("run_id", "_piece").applyInArrow(look, schema), "headings")
+    open_ = near.filter("heading is null").select("run_id", "frame_idx")
+    if open_.isEmpty():
+        return near.drop("_n", "_i")
+
+    def look_again(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_i")
+        rest = np.flatnonzero(t["heading"].is_null().to_numpy())
+        found = _first_bearings(t["_i"].to_numpy(), len(t), t["lat"].to_numpy(), t["lon"].to_numpy(), rest, window, min_baseline_m, len(t))
+        return pa.table({"run_id": t["run_id"].take(rest), "frame_idx": t["frame_idx"].take(rest), "_later": pa.array(found[rest], from_pandas=True)})
+
+    whole = near.select("run_id", "frame_idx", "lat", "lon", "_i", "heading").join(open_.select("run_id").distinct(), "run_id", "left_semi")
+    kinds = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in ("run_id", "frame_idx"))
+    later = whole.groupBy("run_id").applyInArrow(look_again, f"{kinds}, _later double")
+    both = near.join(later, ["run_id", "frame_idx"], "left")
+    return both.withColumn("heading", F.coalesce("heading", "_later")).select(*frames.columns, "heading")
+
+
+def _first_bearings(i: np.ndarray, n: int, lat: np.ndarray, lon: np.ndarray, rows: np.ndarray, window: int, least_m: float, most: int) -> np.ndarray:
+    """Bearings at ``rows`` of places ``i`` (consecutive, of ``n``), with half-widths up to ``most``; nan where none will do."""
+    out = np.full(len(i), np.nan)
+    if n < 2:
+        out[rows] = 0.0
+        return out
+    for w in range(window, max(most, window) + 1):
+        if not len(rows):
+            break
+        a, b = np.maximum(i[rows] - w, 0) - i[0], np.minimum(i[rows] + w, n - 1) - i[0]
+        known = (a >= 0) & (b < len(i))
+        a, b = np.where(known, a, 0), np.where(known, b, 0)
+        whole = (i[rows] <= w) & (i[rows] + w >= n - 1)
+        good = known & (whole | (_distances(lat[a], lon[a], lat[b], lon[b]) >= least_m))
+        p, q, dl = np.radians(lat[a[good]]), np.radians(lat[b[good]]), np.radians(lon[b[good]] - lon[a[good]])
+        y, x = np.sin(dl) * np.cos(q), np.cos(p) * np.sin(q) - np.sin(p) * np.cos(q) * np.cos(dl)
+        out[rows[good]] = np.mod(np.degrees(np.arctan2(y, x)) + 360.0, 360.0)
+        rows = rows[~good]
+    return out
 
 
 def _fold(df: DataFrame, schema: str, kernel) -> DataFrame:
@@ -211,8 +229,8 @@ def spacing_stats(kept: DataFrame, frames: DataFrame, spacing_m: float) -> DataF
     )
 
 
-def segment_cuts(frames: DataFrame, segment_m: float) -> DataFrame:
-    """Boundaries (run_id, frame_idx) of segments of ``segment_m``.
+def segment_cuts(frames: DataFrame, segment_m: float, along: DataFrame | None = None) -> DataFrame:
+    """Boundaries (run_id, frame_idx) of segments of ``segment_m``. ``along`` is the frames' chainage, where it is known.
 
     The path since the last cut is summed and starts from 0 after each, so what goes over a cut is
     lost, which no division of the running total gives. The first and the last frame are cuts.
@@ -233,7 +251,8 @@ def segment_cuts(frames: DataFrame, segment_m: float) -> DataFrame:
         rows = t.take(cuts)
         return rows.select(["run_id", "frame_idx"])
 
-    return _fold(chainage(frames).select("run_id", "frame_idx", "cum_m"), "run_id long, frame_idx long", kernel)
+    along = chainage(frames) if along is None else along
+    return _fold(along.select("run_id", "frame_idx", "cum_m"), "run_id long, frame_idx long", kernel)
 
 
 def every_nth(frames: DataFrame, source_fps: float, fps: float) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayside.operators.route import chainage, segment_cuts
+from wayside.operators.route import asof, chainage, segment_cuts
+from wayside.sources.sinks import written
 
 SEGMENT_M = 20.0
 # Least index of each colour and grade.
@@ -40,8 +41,9 @@ def build_segments(frames: DataFrame, findings: DataFrame, taxonomy: DataFrame,
     before the first frame belong to none. Segments tile a run in time, so membership is an as-of
     join on their starts, kept within the run by its key.
     """
-    cuts = segment_cuts(frames, segment_m)
-    at = chainage(frames).select("run_id", "frame_idx", "t_sec", "lat", "lon", "cum_m").join(cuts, ["run_id", "frame_idx"], "left_semi")
+    along = written(chainage(frames).select("run_id", "frame_idx", "t_sec", "lat", "lon", "cum_m"), "chainage")
+    cuts = segment_cuts(frames, segment_m, along)
+    at = written(along.join(cuts, ["run_id", "frame_idx"], "left_semi"), "cuts")
     w = Window.partitionBy("run_id").orderBy("frame_idx")
     here = F.struct("lat", "lon", "t_sec", "cum_m")
     segments = (
@@ -67,10 +69,7 @@ def members_of(segments: DataFrame, findings: DataFrame, taxonomy: DataFrame) ->
     f = findings.join(F.broadcast(taxonomy.select("cls", "weight")), "cls", "left").select(
         "run_id", F.col("t_sec").alias("t"), "finding_id", penalty(F.coalesce("weight", F.lit(1.0)), F.col("severity"), F.col("confidence")).alias("_p")
     )
-    starts = segments.select("run_id", F.col("t_start").alias("t"), "seg_id")
-    both = f.withColumn("seg_id", F.lit(None).cast("int")).unionByName(starts.withColumn("finding_id", F.lit(None).cast("string")).withColumn("_p", F.lit(None).cast("double")))
-    w = Window.partitionBy("run_id").orderBy("t", F.col("seg_id").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    held = both.withColumn("seg_id", F.last("seg_id", ignorenulls=True).over(w)).filter("finding_id is not null and seg_id is not null")
+    held = asof(f, segments.select("run_id", F.col("t_start").alias("t"), "seg_id"), ["seg_id"]).withColumn("seg_id", F.col("before.seg_id")).filter("seg_id is not null")
     return held.groupBy("run_id", "seg_id").agg(F.sum("_p").alias("penalty"), F.array_sort(F.collect_list("finding_id")).alias("finding_ids"))
 
 

@@ -130,7 +130,7 @@ def asked(s, d):
 
 
 RULES = "\n".join(perception.VERIFY_RULES)
-J14_SQL = f"""SELECT run_id, finding_id, 'A detector says that this crop of a road photograph shows: ' || label || '.' || CASE WHEN alert THEN ' What it looks like: ' || geometry || ' that is ' || color ELSE '' END || chr(10) || '{RULES}' AS prompt
+J14_SQL = f"""SELECT run_id, finding_id, 'Claim: the crop of a road photograph shows ' || label || '.' || CASE WHEN alert THEN ' What it looks like: ' || geometry || ' that is ' || color ELSE '' END || chr(10) || '{RULES}' AS prompt
 FROM fx_findings f JOIN fx_taxonomy t ON f.cls = t.cls WHERE confidence < 0.85e0"""
 
 
