@@ -49,6 +49,11 @@ def match_findings(findings: DataFrame, objects: DataFrame, max_m: float | None
     return split.groupBy("run_id", "cls", "island").applyInArrow(kernel, "run_id long, cls string, object_id long, finding_id string, distance_m double")
 
 
+def unmatched_objects(matches: DataFrame, objects: DataFrame) -> DataFrame:
+    """Objects (run_id, object_id, ...) that no finding was matched with."""
+    return objects.join(matches.select("run_id", "object_id"), ["run_id", "object_id"], "left_anti")
+
+
 def score_matches(matches: DataFrame, findings: DataFrame, objects: DataFrame) -> DataFrame:
     """Precision, recall, F1 (percent), upper median error, and the classes of false and missed ones of each run."""
     n = lambda df, name: df.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))

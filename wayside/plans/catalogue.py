@@ -187,8 +187,7 @@ SELECT run_id, count(*) AS n_with_road, round(list_sort(list(c))[count(*) // 2 +
 
 def roads(s, d) -> DataFrame:
     """Straight roads of 100 rows that meet in a horizon of their own, from which rows depart a little."""
-    f = view(s, d, "fx_frames").filter("frame_idx % 3 = 0")
-    rows = f.select("run_id", F.col("frame_idx").alias("frame"), F.explode(F.sequence(F.lit(400).cast("long"), F.lit(499).cast("long"))).alias("row_no"))
+    rows = view(s, d, "fx_frames").select("run_id", F.col("frame_idx").alias("frame"), F.explode(F.sequence(F.lit(400).cast("long"), F.lit(499).cast("long"))).alias("row_no"))
     half = F.floor((F.col("row_no") - 300 - F.col("frame") % 11) * 0.9 + (F.col("row_no") * 7 + F.col("frame")) % 3).cast("long")
     return rows.select("run_id", "frame", "row_no", (640 - half).alias("col_start"), (640 + half).alias("col_end"))
 
@@ -199,7 +198,7 @@ def horizons(s, d):
     return r.select("run_id", "n", *[F.round(c, 6).alias(c) for c in ("horizon", "spread", "pitch_offset_frac", "m_per_px_at_bottom")])
 
 
-E11_SQL = """WITH r AS (SELECT DISTINCT run_id, frame_idx AS frame, CASE WHEN i < 39 THEN floor(429.7e0 + i * (69.3e0 / 39)) ELSE 499 END::BIGINT AS row_no FROM fx_frames, range(40) g(i) WHERE frame_idx % 3 = 0),
+E11_SQL = """WITH r AS (SELECT DISTINCT run_id, frame_idx AS frame, CASE WHEN i < 39 THEN floor(429.7e0 + i * (69.3e0 / 39)) ELSE 499 END::BIGINT AS row_no FROM fx_frames, range(40) g(i)),
 w AS (SELECT run_id, frame, row_no, 2 * floor((row_no - 300 - frame % 11) * 0.9e0 + (row_no * 7 + frame) % 3) + 1 AS w FROM r),
 f AS (SELECT run_id, frame, -regr_intercept(w, row_no) / regr_slope(w, row_no) AS h, regr_r2(w, row_no) AS r2 FROM w GROUP BY ALL),
 g AS (SELECT run_id, list_sort(list(h)) AS h, count(*) AS n FROM f WHERE r2 >= 0.8 AND h BETWEEN -360 AND 684 GROUP BY run_id HAVING count(*) >= 5),

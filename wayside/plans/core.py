@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wayside.fixtures import oracle, view
 from wayside.functions import boxes, geo
 from wayside.operators import absence, findings, localize, route, score
+from wayside.operators import chain as chain_
 
 CAM = localize.DASHCAM
 
@@ -376,13 +377,7 @@ FROM q ASOF LEFT JOIN lt p ON q.run_id = p.run_id AND q.t >= p.t JOIN firsts f O
 
 def run_pipeline(s, d):
     """The whole chain for all runs at once: localize, link, merge, absences, score."""
-    fr, tax, rules = frames(s, d), view(s, d, "fx_taxonomy"), view(s, d, "fx_absence")
-    found = findings.cluster_detections(localized(s, d), fr, tax, CAM)
-    missing = absence.infer_absences(absence.absence_gaps(fr, found, rules), fr)
-    keep = ["run_id", "finding_id", "cls", "severity", "confidence", "t_sec"]
-    every = found.select(*keep).unionByName(missing.select(*keep))
-    classes = tax.select("cls", "weight").unionByName(rules.select(F.col("absence_key").alias("cls"), F.lit(1.5).alias("weight")))
-    r = score.summarize(every, score.build_segments(fr, every, classes))
+    r = chain_.summarize_runs(detections(s, d), frames(s, d), view(s, d, "fx_taxonomy"), view(s, d, "fx_absence"), CAM)["summary"]
     return r.select("run_id", "quality_index", "grade", "total_findings", "route_length_m")
 
 

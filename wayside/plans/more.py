@@ -133,13 +133,19 @@ def spans(s, d):
 F9_SQL = "SELECT frame, row_no, a1 AS left_px, b2 AS right_px, b2 - a1 + 1 AS span_px, greatest(b1 - a1 + 1, b2 - a2 + 1) AS free_px, b1 - a1 + 1 + b2 - a2 + 1 AS pixels FROM fx_masks"
 
 
+def six(value):
+    """The leading digits of a value of any size, times pi: no simple fraction then lies on the edge of rounding."""
+    turned = value * F.pi()
+    return F.when(F.abs(turned) < 1e-6, 0.0).otherwise(F.round(turned / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(turned)))), 5))
+
+
 def horizons(s, d):
     r = zone.horizon_fit(spans(s, d), 2000, 3)
-    return r.select("frame", F.round("slope", 6).alias("slope"), F.round(r["horizon"] * r["slope"], 6).alias("vanishes"), F.round("r2", 6).alias("r2")).filter("r2 > 0.001")
+    return r.select("frame", F.round("slope", 6).alias("slope"), six(F.col("horizon")).alias("horizon_pi"), F.round("r2", 6).alias("r2"))
 
 
 E10_SQL = f"""WITH sp AS ({F9_SQL}), ft AS (SELECT frame, regr_slope(span_px, row_no) AS m, regr_intercept(span_px, row_no) AS b, regr_r2(span_px, row_no) AS r2, count(*) AS n FROM sp WHERE left_px > 0 AND right_px < 1999 GROUP BY frame)
-SELECT frame, round(m, 6) AS slope, round(-b, 6) AS vanishes, round(r2, 6) AS r2 FROM ft WHERE n >= 3 AND m > 0 AND round(r2, 6) > 0.001"""
+SELECT frame, round(m, 6) AS slope, CASE WHEN abs(b / m * pi()) < 1e-6 THEN 0 ELSE round(-b / m * pi() / pow(10, floor(log10(abs(b / m * pi())))), 5) END AS horizon_pi, round(r2, 6) AS r2 FROM ft WHERE n >= 3 AND m > 1e-6"""
 
 
 def road_share(s, d):
@@ -353,8 +359,8 @@ SELECT run_id, obj, frame_idx, round(x1 + (p1 - x1) * w, 6) AS x1, round(y1 + (q
 
 
 def unmatched(s, d):
-    m = evaluate.match_findings(found(s, d), view(s, d, "fx_objects"))
-    return view(s, d, "fx_objects").select("run_id", "object_id").join(m.select("run_id", "object_id"), ["run_id", "object_id"], "left_anti")
+    objects = view(s, d, "fx_objects")
+    return evaluate.unmatched_objects(evaluate.match_findings(found(s, d), objects), objects).select("run_id", "object_id")
 
 
 def cloud_points(s, d):
@@ -414,12 +420,12 @@ C30_SQL = "SELECT seq_major % 50 AS frame, l_partkey AS k, x AS d, round(1 / (0.
 
 
 def tiles_of_runs(s, d):
-    return cloud.tile_cover(cloud.route_boxes(core.frames(s, d), 60.0), 18).drop("over")
+    return cloud.tile_cover(cloud.route_boxes(core.frames(s, d), 60.0), 18)
 
 
 BOXES_SQL = """bx AS (SELECT run_id, min(lat) - 60 / 111320.0e0 AS south, min(lon) - 60 / (111320 * cos(radians(avg(lat)))) AS west, max(lat) + 60 / 111320.0e0 AS north, max(lon) + 60 / (111320 * cos(radians(avg(lat)))) AS east FROM fx_frames GROUP BY run_id)"""
 I24_SQL = f"""WITH {BOXES_SQL}, t AS (SELECT run_id, floor((west + 180) / 360 * 262144)::BIGINT AS x0, floor((east + 180) / 360 * 262144)::BIGINT AS x1, floor((1 - asinh(tan(radians(north))) / pi()) / 2 * 262144)::BIGINT AS y0, floor((1 - asinh(tan(radians(south))) / pi()) / 2 * 262144)::BIGINT AS y1 FROM bx)
-SELECT run_id, x, y FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM t), LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y)"""
+SELECT run_id, x, y, (x1 - x0 + 1) * (y1 - y0 + 1) > 256 AS over FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM t), LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y)"""
 
 
 def run_boxes(s, d):
@@ -537,7 +543,15 @@ K1_SQL = """SELECT user_id AS run_id, event_id::DOUBLE AS t_sec, event_type IN (
 
 
 def window_counts(s, d):
-    r = live.drain(live.alert_windows(events_stream(s, d), "1 hour", "1 hour"), name("windows"), "complete")
+    """Counts of closed windows; a last sign of life lets the watermark pass them all."""
+    beats, run = f"{live.scratch(s)}/{name('beats')}", name("windows")
+    beat = s.range(1).select(F.timestamp_seconds(F.lit(10**10)).alias("ts"), F.lit("beat").alias("event_type"))
+    beat.limit(0).write.parquet(beats)
+    for rows in (None, beat):
+        if rows:
+            rows.write.mode("append").parquet(beats)
+        events = events_stream(s, d).select("ts", "event_type").unionByName(s.readStream.schema(beat.schema).parquet(beats))
+        r = live.drain(live.alert_windows(events, "1 hour", "1 hour"), run)
     return r.select(F.unix_seconds("start").alias("start_s"), "event_type", "n")
 
 

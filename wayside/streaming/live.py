@@ -78,7 +78,7 @@ def without_repeats(detections: DataFrame, within: str = "10 minutes") -> DataFr
 
 
 def alert_windows(events: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Counts of events by type in tumbling windows of event time."""
+    """Counts of events by type in tumbling windows of event time, each put out once, when the watermark has passed it."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
@@ -97,18 +97,15 @@ def append_detections(frames: DataFrame, detector, path: str, log: str):
     return found.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", log).partitionBy("run_id").format("json").option("path", path).start()
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now, and return what it put out as a table.
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over all that is there now, and return what it has put out so far as a table of files in the shared folder.
 
-    Appended rows go to files in the shared folder; only complete results, small by nature, are held.
+    Under the same name a later call goes on where the last one ended.
     """
     spark = stream.sparkSession
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{scratch(spark)}/{name}-log")
-    if mode == "append":
-        writer.format("parquet").option("path", f"{scratch(spark)}/{name}").start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{scratch(spark)}/{name}")
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+    path = f"{scratch(spark)}/{name}"
+    stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{path}-log").format("parquet").option("path", path).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 __all__ = ["MAX_GAP", "alert_windows", "append_detections", "drain", "event_payload", "keep_state_in_rocksdb", "last_turns", "latest_alerts", "live_tracks", "scratch", "without_repeats"]
