@@ -166,6 +166,30 @@ def test_secrets_in_large_streams(monkeypatch):
         assert any(k == 0 for _, k, _ in secretscan.scan(text)[1])
 
 
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_long_encoded_stretches_across_pieces(monkeypatch, wrapped):
+    """A secret far behind in base64 that is longer than the overlap, one line or many, in a layer of several pieces."""
+    monkeypatch.setattr(secretscan, "PIECE", 1000)
+    rnd = random.Random(1)
+    for before, inside, after in ((10, 3000, 50), (1500, 6000, 4000), (1990, 9000, 9000), (5000, 700, 0)):
+        body = bytes(rnd.choice(b"abc.,") for _ in range(inside)) + b' "' + SECRET.encode() + b'" ' + bytes(rnd.choice(b"abc.,") for _ in range(300))
+        coded = base64.encodebytes(body) if wrapped else base64.b64encode(body)
+        layer = b"plain " * (before // 6) + b"\n" + coded + b" " + b"more words " * (after // 11)
+        text = base64.b64encode(gzip.compress(layer)).decode()
+        assert any(k == 0 for _, k, _ in secretscan.scan(text)[1]), (before, inside, after)
+        cut = base64.b64encode(gzip.compress(layer)[:-9]).decode()  # a stream without its end is searched as far as it goes
+        assert isinstance(secretscan.scan(cut)[1], list)
+
+
+def test_open_runs():
+    assert secretscan._open_run(b"word word") == 5
+    assert secretscan._open_run(b"no end") == 3
+    lines = b"QUJDREVGR0hJSktMTU5P\r\n" * 3
+    assert secretscan._open_run(b"text: \n" + lines + b"QUJD") == 7
+    assert secretscan._open_run(b"a short line\n" + b"QUJD\n" + b"QUJD") == 18
+    assert secretscan._open_run(b"x" * 5000) == 0 and secretscan._open_run(b"") == 0 and secretscan._open_run(b"ends ") == 5
+
+
 def test_secrets_odd_texts(spark):
     rows = [(1, None), (2, ""), (3, SECRET), (4, "a" * 23 + " " + "a" * 24), (5, "AKIA" + "A" * 15 + " AKIA" + "A" * 16), (6, 'token: "token: abcdefgh PASSWORD=12345 api_key=1234567'), (7, "%41%zz %e2%82 \\ud800 " + "QUJD" * 10), (8, "x" * 200_000)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, spans string")

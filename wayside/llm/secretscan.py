@@ -34,6 +34,7 @@ WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[\x20\t]*+\r?
 LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 UNDECODABLE = re.compile("[\udc80-\udcff]")
 BLANKS = re.compile(rb"\x20{2,}")
+BREAKS = (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c")
 #: Bytes of a compressed layer that are unfolded at a time.
 PIECE = 1 << 22
 
@@ -140,30 +141,65 @@ def _as_text(data: bytes, places):
     return UNDECODABLE.sub("\ufffd", text), places
 
 
+def _token_start(data: bytes, end: int) -> int:
+    """Where the stretch without white space begins that ends at ``end``."""
+    for low in (max(0, end - 4096), 0):
+        found = max(data.rfind(c, low, end) for c in BREAKS)
+        if found >= 0 or not low:
+            return found + 1
+    return 0
+
+
+def _open_run(data: bytes) -> int:
+    """Where the stretch begins that more bytes could go on: the last one without white space, and lines of base64 before it."""
+    start = _token_start(data, len(data))
+    while start:
+        end = start
+        while end and data[end - 1 : end] in BREAKS:
+            end -= 1
+        line = _token_start(data, end)
+        if b"\n" not in data[end:start] or end - line < len(BASE64_RUN) or data[line:end].translate(BASE64_MARKS) != b"x" * (end - line):
+            break
+        start = line
+    return start
+
+
 def _unfold(data: bytes):
     """Pieces of what a gzip or zlib stream unfolds to, all its members; returns whether one came to its end.
 
     All up to 2 * PIECE bytes of a member is one piece; further ones begin with the last PIECE bytes
-    of the one before, in which runs of blanks are made one blank, as no pattern tells these apart.
+    of the one before, in which runs of blanks are made one blank, as no pattern tells these apart. A piece never ends
+    within a stretch of over PIECE bytes without white space, or of lines of base64: it grows until that ends.
     """
     for wbits in (31, 15):
-        rest, tail, ended = data, b"", False
-        try:
-            while rest:
-                unpack = zlib.decompressobj(wbits)
-                while not unpack.eof:
-                    out = unpack.decompress(rest, PIECE if tail else 2 * PIECE)
-                    rest = unpack.unconsumed_tail
-                    if out:
-                        yield tail + out
-                        tail = BLANKS.sub(b" ", tail + out)[-PIECE:]
-                    elif not rest:
-                        break
-                if not unpack.eof:
+        rest, tail, ended, sound = data, b"", False, True
+        while rest and sound:
+            unpack = zlib.decompressobj(wbits)
+            grown, due = tail, len(tail) + (PIECE if tail else 2 * PIECE)
+            while not unpack.eof:
+                try:
+                    out = unpack.decompress(rest, PIECE)
+                except zlib.error:
+                    sound = False
+                    break
+                rest = unpack.unconsumed_tail
+                grown += out
+                if not out and not rest:
                     break
-                rest, ended = unpack.unused_data, True
-        except zlib.error:
-            pass
+                if len(grown) < due or unpack.eof:
+                    continue
+                if len(grown) - _open_run(grown) > PIECE:
+                    due = 2 * len(grown)  # looked at again when it has doubled
+                    continue
+                yield grown
+                tail = grown = BLANKS.sub(b" ", grown)[-PIECE:]
+                due = len(tail) + PIECE
+            if grown is not tail and grown:
+                yield grown
+                tail = BLANKS.sub(b" ", grown)[-PIECE:]
+            if not unpack.eof:
+                break
+            rest, ended = unpack.unused_data, True
         if ended:
             return True
     return False
@@ -291,9 +327,9 @@ def secrets(docs: DataFrame) -> DataFrame:
     ``base`` holds what the patterns find in the text itself, ``spans`` also what they find in its
     decoded layers (percent escapes, \\u and \\x escapes, base64, also in lines of 16 characters or
     more, gzip and zlib in base64), at the stretch of text that encodes it. A compressed layer of
-    over 2 * PIECE bytes is searched in overlapping pieces; an encoded stretch in it that is longer
-    than the overlap may be cut. Positions count code points. Null and empty texts have none;
-    repeated rows are scanned one by one; other columns are not read.
+    over 2 * PIECE bytes is searched in overlapping pieces, none of which ends within a long stretch without white
+    space or within lines of base64, so no encoded stretch is cut. Positions count code points. Null and empty texts
+    have none; repeated rows are scanned one by one; an empty table gives an empty one; other columns are not read.
     """
     return docs.select("doc_id", find_secrets("text").alias("s")).select("doc_id", "s.base", "s.spans")
 
