@@ -61,6 +61,13 @@ def map_color(color: Column, alpha: str = "ff") -> Column:
     return F.when(six.rlike("^[0-9a-f]{6}$"), F.concat(F.lit(alpha), part(5), part(3), part(1))).otherwise(F.lit(f"{alpha}0b9ef5"))
 
 
+def color_fractions(color: Column) -> Column:
+    """``#rrggbb`` as struct(r, g, b) of fractions; null for anything else, three digits too."""
+    h = F.lower(F.regexp_replace(F.coalesce(color, F.lit("")), "^#+", ""))
+    part = lambda i: (F.conv(F.substring(h, i, 2), 16, 10).cast("int") / 255.0)
+    return F.when(h.rlike("^[0-9a-f]{6}$"), F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b")))
+
+
 def xml_escape(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))

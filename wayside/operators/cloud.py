@@ -114,6 +114,35 @@ def tile_cover(boxes: DataFrame, zoom: int, most: int = 256) -> DataFrame:
     return columns.select("run_id", "x", F.explode(F.sequence("y0", "y1")).alias("y"), "over")
 
 
+def tile_extents(cover: DataFrame, zoom: int, origin: tuple[float, float], tile_px: int = 256) -> DataFrame:
+    """Where the stitched tiles of each run (run_id, x, y) lie: their own edges, in degrees and in metres of the scene, and metres for each pixel."""
+    z = F.lit(zoom)
+    t = cover.groupBy("run_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    n = 2.0**zoom
+    lon = lambda x: x / n * 360 - 180
+    edges = t.select(
+        "run_id", (F.col("x1") - F.col("x0") + 1).alias("nx"), (F.col("y1") - F.col("y0") + 1).alias("ny"), lon(F.col("x0")).alias("west"), lon(F.col("x1") + 1).alias("east"),
+        geo.tile_lat(F.col("y0"), z).alias("north"), geo.tile_lat(F.col("y1") + 1, z).alias("south"),
+    )
+    east = lambda c: geo.local_east(F.col(c), F.lit(origin[0]), F.lit(origin[1]))
+    south = lambda c: -geo.local_north(F.col(c), F.lit(origin[0]))
+    placed = edges.withColumns({"x_min": east("west"), "x_max": east("east"), "z_min": south("north"), "z_max": south("south")})
+    return placed.withColumn("m_per_px", (F.col("x_max") - F.col("x_min")) / (F.col("nx") * tile_px))
+
+
+def scene_boxes(frames: DataFrame, origin: tuple[float, float], least_m: float = 40.0) -> DataFrame:
+    """The middle of each run in metres of the scene (x to the east, z to the south), and the span that a view of it has to hold."""
+    at = frames.withColumn("_p", geo.scene_xz(F.col("lat"), F.col("lon"), F.lit(origin[0]), F.lit(origin[1])))
+    b = at.groupBy("run_id").agg(*[f(f"_p.{c}").alias(f"{c}_{n}") for c in "xz" for n, f in (("min", F.min), ("max", F.max))])
+    middle = lambda c: (F.col(f"{c}_min") + F.col(f"{c}_max")) / 2
+    return b.select("*", middle("x").alias("x_mid"), middle("z").alias("z_mid"), F.greatest(F.col("x_max") - F.col("x_min"), F.col("z_max") - F.col("z_min"), F.lit(least_m)).alias("span_m"))
+
+
+def cloud_boxes(points: DataFrame) -> DataFrame:
+    """The box around each run's cloud (run_id, x, y, z), and how many points it holds."""
+    return points.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{n}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))])
+
+
 def surroundings(elements: DataFrame, boxes: DataFrame) -> DataFrame:
     """Buildings and roads (osm_id, kind, ...) of map elements that overlap each run's box.
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from wayside.functions import text
 from wayside.operators.findings import best_sighting
-from wayside.operators.score import grade_for
 
 
 def worst_findings(findings: DataFrame, k: int = 5) -> DataFrame:
@@ -72,12 +71,6 @@ def class_counts(findings: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return n.join(F.broadcast(taxonomy.select("cls", "label")), "cls", "left").withColumn("rank", F.row_number().over(w))
 
 
-def report_cover(summary: DataFrame, worst: int = 4) -> DataFrame:
-    """Headline figures of each run."""
-    return summary.select("run_id", "quality_index", grade_for(F.col("quality_index")).alias("grade"), "total_findings", F.round(F.col("route_length_m") / 1000, 2).alias("route_km"),
-                          F.coalesce(F.try_divide("total_findings", F.col("route_length_m") / 1000), F.lit(0.0)).alias("per_km"))
-
-
 def running_counts(sightings: DataFrame, k: int = 4) -> DataFrame:
     """Sightings so far by class at each frame, the ``k`` most frequent."""
     at = sightings.groupBy("run_id", "frame_idx", "cls").agg(F.count(F.lit(1)).alias("n"))

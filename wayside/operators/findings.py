@@ -291,3 +291,14 @@ def unnest_evidence(findings: DataFrame) -> DataFrame:
     return findings.select("run_id", "finding_id", "cls", F.posexplode("evidence").alias("position", "sighting")).select(
         "run_id", "finding_id", "cls", "position", "sighting.*"
     )
+
+
+def predictions(detections: DataFrame, findings: DataFrame, source: str) -> DataFrame:
+    """Boxes (run_id, frame_id, cls, box, confidence) to be scored: the ``detections``, or the evidence nested in ``findings``.
+
+    Of evidence each sighting is a row, under the class of its finding. Sightings without a frame go.
+    """
+    if source not in ("detections", "findings"):
+        raise ValueError(f"no source {source!r}; there are detections and findings")
+    rows = detections if source == "detections" else unnest_evidence(findings)
+    return rows.filter("frame_id is not null").select("run_id", "frame_id", "cls", "box", "confidence")

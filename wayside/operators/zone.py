@@ -21,22 +21,30 @@ def frame_key(df: DataFrame) -> list[str]:
     return [c for c in ("run_id", "frame") if c in df.columns]
 
 
-def carriageway_rules(classes: DataFrame, overrides: dict[str, bool] | None = None) -> DataFrame:
+def carriageway_rules(classes: DataFrame, overrides: DataFrame | dict[str, bool] | None = None) -> DataFrame:
     """For each class (cls, label, hint, is_absence) whether it only makes sense on the carriageway, and why.
 
-    An override wins; absences never are; then the first off-road word, then the first road word
-    of its own description decides; else it is not.
+    A row of ``overrides`` (cls, carriageway_only), or an entry of a mapping, wins; then what the class declares itself in a column ``carriageway_only``, if
+    there is one and it isn't null; absences never are; then the first off-road word, then the first road word
+    of its own description decides; else it is not. Of several overrides of a class one that is true counts.
     """
     words = F.lower(F.concat_ws(" ", "cls", "label", "hint"))
     first = lambda terms: F.coalesce(*[F.when(words.rlike(rf"\b{t}"), F.lit(t)) for t in terms])
-    known = F.create_map(*[x for k, v in (overrides or {"": False}).items() for x in (F.lit(k), F.lit(v))])
-    over = F.element_at(known, F.col("cls"))
-    off, on = first(OFF_ROAD), first(ON_ROAD)
-    return classes.select(
+    own = F.col("carriageway_only") if "carriageway_only" in classes.columns else F.lit(None).cast("boolean")
+    rows = classes.withColumn("_own", own)
+    if isinstance(overrides, dict):
+        overrides = classes.sparkSession.createDataFrame(list(overrides.items()), "cls string, carriageway_only boolean")
+    if overrides is None:
+        rows = rows.withColumn("_over", F.lit(None).cast("boolean"))
+    else:
+        rows = rows.join(F.broadcast(overrides.groupBy("cls").agg(F.bool_or("carriageway_only").alias("_over"))), "cls", "left")
+    over, off, on = F.col("_over"), first(OFF_ROAD), first(ON_ROAD)
+    said = over.isNotNull() | F.col("_own").isNotNull()
+    return rows.select(
         "cls",
-        F.when(over.isNotNull(), over).when(F.col("is_absence"), False).when(off.isNotNull(), False).otherwise(on.isNotNull()).alias("carriageway_only"),
-        F.when(over.isNotNull(), "override").when(F.col("is_absence"), "absence").when(off.isNotNull() | on.isNotNull(), "lexical").otherwise("default").alias("source"),
-        F.when(over.isNull() & ~F.col("is_absence"), F.coalesce(off, on)).alias("matched"),
+        F.when(said, F.coalesce(over, "_own")).when(F.col("is_absence"), False).when(off.isNotNull(), False).otherwise(on.isNotNull()).alias("carriageway_only"),
+        F.when(over.isNotNull(), "override").when(F.col("_own").isNotNull(), "declared").when(F.col("is_absence"), "absence").when(off.isNotNull() | on.isNotNull(), "lexical").otherwise("default").alias("source"),
+        F.when(~said & ~F.col("is_absence"), F.coalesce(off, on)).alias("matched"),
     )
 
 

@@ -14,10 +14,17 @@ from wayside.sources.sinks import scratch
 def event_payload(findings: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """JSON events of findings, with whether their class alerts. Works on streams and tables alike."""
     t = F.broadcast(taxonomy.select("cls", "alert"))
-    body = F.struct("finding_id", "cls", "lat", "lon", "severity", "confidence", "t_sec", F.coalesce("alert", F.lit(False)).alias("alert"))
+    sightings = F.coalesce(F.when(F.size("evidence") >= 0, F.size("evidence")), F.lit(0)) if "evidence" in findings.columns else F.lit(0)
+    body = F.struct("finding_id", "cls", "lat", "lon", "severity", "confidence", "t_sec", F.coalesce("alert", F.lit(False)).alias("alert"), sightings.alias("n_evidence"))
     return findings.join(t, "cls", "left").select("run_id", "t_sec", F.to_json(F.struct(F.lit("finding").alias("type"), "t_sec", body.alias("finding"))).alias("event"), F.coalesce("alert", F.lit(False)).alias("alert"))
 
 
+def done_events(findings: DataFrame) -> DataFrame:
+    """The event that ends each run's replay, at the time of its last finding; for a table, after all its findings are out."""
+    last = findings.groupBy("run_id").agg(F.max("t_sec").alias("t_sec"))
+    return last.select("run_id", "t_sec", F.to_json(F.struct(F.lit("done").alias("type"), "t_sec")).alias("event"), F.lit(False).alias("alert"))
+
+
 class LatestAlerts(StatefulProcessor):
     """Keeps the latest six alerts of a run and puts them out, under the number of the turn, when they change."""
 
