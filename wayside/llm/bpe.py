@@ -355,7 +355,8 @@ def decode_documents(docs: DataFrame, tokenizer: bytes) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: bytes, frequent: int = 1 << 16) -> DataFrame:
     """``docs`` with ``ids`` and ``decoded``, as ``encode_documents`` and ``decode_documents`` give them.
 
-    Both come from one call for each batch: chained, the two would have every text encoded twice.
+    Both come from one call for each batch: chained, the two would have every text encoded twice. Null and empty texts
+    have no ids and decode to an empty text; repeated rows are coded one by one; an empty table stays empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast((tokenizer, lexicon_of(docs, tokenizer, frequent)))
     key = uuid.uuid4().hex

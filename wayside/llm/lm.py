@@ -70,7 +70,7 @@ class Ids(dict):
         self.others = classes * classes - 1 - OTHERS
 
     def __missing__(self, word: bytes) -> int:
-        found = self.others + zlib.crc32(key_of(word)) % OTHERS
+        found = self.others + zlib.crc32(word if len(word) <= LONGEST else key_of(word)) % OTHERS
         if len(self) < 300_000:
             self[word] = found
         return found

@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links reach, and that document is kept. Documents without words have no shingles and are their
     own component. Exact copies are told by their words before anything is compared, so a group of
     them costs one comparison whatever its size. Repeated rows get the same component. A null
-    doc_id isn't linked and has a null component. Other columns are not read.
+    doc_id isn't linked and has a null component. An empty table gives an empty one. Other columns are not read.
     """
     features = materialise(docs.select("doc_id", "text").mapInArrow(_features, FEATURES), "features")
     reps = (
@@ -306,7 +306,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its component; of repeated rows all stay."""
+    """The rows of ``docs`` whose document stands for its component; of repeated rows all stay.
+
+    Texts that are null or without words, and null doc_ids, stay. An empty table stays empty, all columns as they are.
+    """
     gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

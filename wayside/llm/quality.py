@@ -120,7 +120,11 @@ def judge_documents(docs: DataFrame, threshold: float = 0.5, z: float = 1.645) -
 
 
 def keep_documents(docs: DataFrame, threshold: float = 0.5, z: float = 1.645) -> DataFrame:
-    """The rows of ``docs`` that ``judge_documents`` keeps, with their columns."""
+    """The rows of ``docs`` that ``judge_documents`` keeps, with their columns.
+
+    Null and empty texts fail for want of words. Repeated rows are judged one by one, rows of a null source by their own figures
+    and those of the null host. An empty table stays empty.
+    """
     s = F.col("_stats")
     failed = base_failed(s["n_words"], s["n_repeat_words"])
     judged = docs.withColumn("_stats", stats_of(docs["text"])).withColumn("_failed", failed).drop("_stats")

@@ -335,7 +335,11 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """The documents with every secret replaced by its kind in brackets, n_chars counted anew."""
+    """The documents with every secret replaced by its kind in brackets, n_chars counted anew.
+
+    Null and empty texts stay as they are, repeated rows are redacted one by one, an empty table stays empty; of other columns only
+    n_chars changes, where there is one.
+    """
     cleaned = docs.withColumn("text", redact("text"))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 

@@ -114,7 +114,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: fl
     without an outcome are judged but don't inform. A null url, or one without ``://``, has empty
     host and path; those pages share one reputation. Returns page_id, host, path, rule, verdict,
     posterior and lower_bound (rounded to 6 places), one row for each page, repeated ids included.
-    Pages of a hot host are counted before the shuffle, and its join can be split.
+    Without outcomes every host has the prior's rate; no pages give no rows; other columns of either table are not read. Pages of a hot host are counted before the shuffle, and its join can be split.
     """
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = outcomes.filter("bad is not null").groupBy(F.col("page_id").alias("o_id")).agg(F.max("bad").cast("long").alias("bad"))
