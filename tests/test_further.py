@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayside.functions import boxes
-from wayside.operators import absence, checks, depth, findings, mapdoc, motion, roadgate, route, tiles, voxel
+from wayside.operators import absence, checks, depth, evaluate, findings, mapdoc, motion, roadgate, route, tiles, voxel
 from wayside.sources import mapdata
 from wayside.streaming import live, tracks
 
@@ -277,3 +277,83 @@ def test_nearest_frame_of_distant_places(spark):
         return math.asin(math.sqrt(h))
     want = {(run, k): min((d((lat, lon), f[2:]), f[1]) for f in frames if f[0] == run)[1] for run, k, lat, lon in places if run < 3}
     assert {(r.run_id, r.k): r.frame_idx for r in got.collect()} == want
+
+
+def literal_match(objects, found):
+    """Each object in order takes the nearest free finding of its run and class."""
+    def d(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return math.asin(math.sqrt(h))
+
+    free, out = list(found), {}
+    for o in sorted(objects, key=lambda o: o[2]):
+        near = [(d(o[3:], f[3:]), f[2], f) for f in free if f[:2] == o[:2] and f[3] is not None and o[3] is not None]
+        if near:
+            _, name, f = min(near)
+            free.remove(f)
+            out[o[:3]] = name
+    return out
+
+
+@pytest.mark.parametrize("spread", [1e-4, 0.02])
+def test_matching_at_any_distance(spark, spread):
+    """Crowded and thin runs, more objects than findings, and classes without any."""
+    rnd = random.Random(9)
+    at = lambda: (50 + rnd.random() * spread, 8 + rnd.random() * spread)
+    found = [(run, cls, f"f{i:03}", *at()) for run in (1, 2) for cls in "ab" for i in range(25)] + [(3, "a", "f000", *at()), (1, "a", "none", None, None)]
+    objects = [(run, cls, k * 10 + run, *at()) for run, n in ((1, 20), (2, 40), (3, 3)) for cls in ("a", "b") for k in range(n)] + [(4, "a", 1, 1.0, 1.0), (1, "a", 999, None, None)]
+    objects = [(r, c, i * 2 + (c == "b"), *p) for r, c, i, *p in objects]
+    got = evaluate.match_findings(spark.createDataFrame(found, "run_id long, cls string, finding_id string, lat double, lon double"), spark.createDataFrame(objects, "run_id long, cls string, object_id long, lat double, lon double"), None)
+    assert {(r.run_id, r.cls, r.object_id): r.finding_id for r in got.collect()} == literal_match(objects, found)
+
+
+def test_report_tables_without_rows_and_without_runs(spark):
+    """A run that has no summary, no findings and no segments still has its cover; nothing else has rows."""
+    from wayside.operators import report
+
+    manifests = spark.createDataFrame([(1, "mock", None, 10.0, 5, 0, "2024", 1.0, 2.0)], "run_id long, backend string, verifier string, duration_sec double, n_frames long, n_detections long, created string, origin_lat double, origin_lon double")
+    summary = spark.createDataFrame([], "run_id long, quality_index double, total_findings long, route_length_m double")
+    row = report.cover(summary, manifests).first()
+    assert (row.quality_index, row.grade, row.findings, row.per_km) == (100.0, "A", 0, 0.0)
+    assert row.provenance == "detected by mock; synthetic data"
+    none = spark.createDataFrame([], "run_id long, cls string, severity int")
+    kinds = spark.createDataFrame([], "cls string, label string, color string")
+    absences = spark.createDataFrame([], "absence_key string, label string, color string")
+    assert report.classes(none, kinds, absences, manifests).collect() == []
+
+
+def test_accuracy_in_words(spark):
+    from wayside.operators import report
+
+    rows = [("triangulated", 0.5, 3), ("triangulated", None, 3), ("camera", None, None), (None, None, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "m string, r double, n int").coalesce(1).select(report.accuracy(F.col("m"), F.col("r"), F.col("n"))).collect()]
+    assert got == ["0.50 m over 3 rays", "2 to 4 m, one projection", "place of the camera", "2 to 4 m, one projection"]
+
+
+def test_evidence_of_merged_boxes(spark):
+    from wayside.operators import perception
+
+    box = "box struct<x1:double,y1:double,x2:double,y2:double>"
+    kinds = f"run_id long, frame_id string, cls string, det_seq long, confidence double, severity int, evidence string, {box}"
+    one = spark.createDataFrame([(1, "f", "a", 1, 0.5, 2, "hole", (0.0, 0.0, 100.0, 100.0))], kinds)
+    two = spark.createDataFrame([(1, "f", "a", 2, 0.5, 4, "pit", (0.0, 0.0, 100.0, 100.0)), (1, "f", "a", 3, 0.9, 1, "all over", (0.0, 0.0, 900.0, 900.0))], kinds)
+    got = {r.origin: (r.evidence, r.severity) for r in perception.ensemble_merge(one, two).collect()}
+    assert got == {"merged": ("hole; also: pit", 4), "wide": ("all over (an area, no place: 81% of the image)", 1)}
+
+
+def test_rules_of_the_carriageway_by_table_and_declaration(spark):
+    from wayside.operators import zone
+
+    rows = [("a", "Crack", "", False, None), ("b", "Crack", "", False, False), ("c", "Bin", "", True, True), ("d", "Bin", "", False, None)]
+    classes = spark.createDataFrame(rows, "cls string, label string, hint string, is_absence boolean, carriageway_only boolean")
+    over = spark.createDataFrame([("d", False), ("d", True)], "cls string, carriageway_only boolean")
+    got = {r.cls: (r.carriageway_only, r.source) for r in zone.carriageway_rules(classes, over).collect()}
+    assert got == {"a": (True, "lexical"), "b": (False, "declared"), "c": (True, "declared"), "d": (True, "override")}
+
+
+def test_cloud_files(spark, tmp_path):
+    from wayside.sources import sinks
+
+    cloud = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], "run_id long, x double, y double, z double")
+    sinks.write_cloud(cloud, str(tmp_path / "cloud"), "from depth")
+    assert [r.provenance for r in spark.read.parquet(str(tmp_path / "cloud")).collect()] == ["from depth"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayside.functions import boxes, geo
 from wayside.operators.findings import SPHERE_M_PER_DEG
+from wayside.sources.sinks import written
 
 
 def match_findings(findings: DataFrame, objects: DataFrame, max_m: float | None = 8.0) -> DataFrame:
@@ -16,14 +17,16 @@ def match_findings(findings: DataFrame, objects: DataFrame, max_m: float | None
 
     With a ceiling, a finding that lies farther is not taken and stays free; then objects and
     findings whose latitudes part by more than the ceiling are separate groups. Without one the
-    nearest is always taken, and a group is a run's class.
+    nearest is always taken, however far; see ``match_at_any_distance``.
     """
+    if max_m is None:
+        return match_at_any_distance(findings, objects)
     f = findings.select("run_id", "cls", F.lit(1).alias("kind"), F.col("finding_id").alias("name"), F.lit(0).cast("long").alias("ord"), "lat", "lon")
     o = objects.select("run_id", "cls", F.lit(0).alias("kind"), F.col("object_id").cast("string").alias("name"), F.col("object_id").cast("long").alias("ord"), "lat", "lon")
     both = f.unionByName(o).filter("lat is not null and lon is not null")
     w = Window.partitionBy("run_id", "cls").orderBy("lat", "kind", "name")
     gap = (F.col("lat") - F.lag("lat").over(w)) * SPHERE_M_PER_DEG
-    apart = F.lit(False) if max_m is None else F.coalesce(gap > max_m, F.lit(False))
+    apart = F.coalesce(gap > max_m, F.lit(False))
     split = both.withColumn("_new", apart.cast("int")).withColumn("island", F.sum("_new").over(w)).drop("_new")
 
     def kernel(t: pa.Table) -> pa.Table:
@@ -40,7 +43,7 @@ def match_findings(findings: DataFrame, objects: DataFrame, max_m: float | None
                 d = 2 * geo.EARTH_RADIUS_M * math.asin(math.sqrt(h))
                 if d < far:
                     best, far = y, d
-            if best is not None and (max_m is None or far <= max_m):
+            if best is not None and far <= max_m:
                 free.remove(best)
                 out.append((x["run_id"], x["cls"], x["ord"], best["name"], far))
         kinds = (("run_id", pa.int64()), ("cls", pa.string()), ("object_id", pa.int64()), ("finding_id", pa.string()), ("distance_m", pa.float64()))
@@ -49,6 +52,50 @@ def match_findings(findings: DataFrame, objects: DataFrame, max_m: float | None
     return split.groupBy("run_id", "cls", "island").applyInArrow(kernel, "run_id long, cls string, object_id long, finding_id string, distance_m double")
 
 
+#: Degrees of a cell of findings, one of which stands for all when the nearest is looked for.
+MATCH_CELL_DEG = 0.001
+FREE = (1 << 63) - 1
+
+
+def match_at_any_distance(findings: DataFrame, objects: DataFrame, near_m: float = 8.0) -> DataFrame:
+    """``match_findings`` without a ceiling, in rounds over all runs and classes together.
+
+    That each object takes the nearest free finding in order of objects is the one stable matching in which findings
+    prefer earlier objects. So objects may ask in any order: a finding keeps the earliest that asks, and who is refused or loses
+    it asks the nearest that is free or held by a later object. Pairs within ``near_m`` are matched first, in groups that
+    don't touch; then each round lets all objects that wait ask at once. One finding of each cell, the one that is easiest to
+    get, bounds how far the nearest can be, so a run's findings are never compared one by one, and no group holds a run.
+    """
+    first = match_findings(findings, objects, near_m)
+    keys = ["run_id", "cls"]
+    place = lambda df: df.filter("lat is not null and lon is not null")
+    asking = place(objects).select(*keys, F.col("object_id").cast("long").alias("ord"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
+    cell = lambda c: F.floor(F.col(c) / MATCH_CELL_DEG)
+    held = place(findings).select(*keys, "finding_id", "lat", "lon", cell("lat").alias("cy"), cell("lon").alias("cx"))
+    held = held.join(first.select(*keys, "finding_id", F.col("object_id").alias("holder"), "distance_m"), [*keys, "finding_id"], "left")
+    held = written(held.withColumn("holder", F.coalesce("holder", F.lit(FREE))), "held")
+    waiting = written(asking.join(first.select(*keys, F.col("object_id").alias("ord")), [*keys, "ord"], "left_anti"), "waiting")
+    far = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon"))
+    diagonal = MATCH_CELL_DEG * SPHERE_M_PER_DEG * 1.41422
+    while not waiting.isEmpty():
+        easiest = held.groupBy(*keys, "cy", "cx").agg(F.max(F.struct("holder", "lat", "lon")).alias("_e")).select(*keys, "cy", "cx", "_e.*")
+        cells = waiting.join(easiest, keys).filter(F.col("holder") > F.col("ord")).withColumn("_d", far)
+        least = F.min("_d").over(Window.partitionBy(*keys, "ord"))
+        cells = cells.withColumn("_least", least).filter(F.col("_d") <= F.col("_least") + diagonal).drop("holder", "lat", "lon", "_d", "_least")
+        within = cells.join(held, [*keys, "cy", "cx"]).filter(F.col("holder") > F.col("ord"))
+        asked = within.groupBy(*keys, "ord", "o_lat", "o_lon").agg(F.min(F.struct(far.alias("d"), "finding_id")).alias("f"))
+        asked = written(asked.select(*keys, "ord", "o_lat", "o_lon", "f.d", "f.finding_id"), "asked")
+        won = asked.groupBy(*keys, "finding_id").agg(F.min(F.struct("ord", "d")).alias("w")).select(*keys, "finding_id", F.col("w.ord").alias("_new"), F.col("w.d").alias("_d"))
+        both = held.join(won, [*keys, "finding_id"], "left")
+        lost = both.filter(F.col("_new").isNotNull() & (F.col("holder") != FREE)).select(*keys, F.col("holder").alias("ord"))
+        refused = asked.join(won.select(*keys, F.col("_new").alias("ord")), [*keys, "ord"], "left_anti").select(*keys, "ord")
+        again = asking.join(lost.unionByName(refused), [*keys, "ord"], "left_semi")
+        waiting = written(again, "waiting")
+        taken = both.withColumns({"holder": F.coalesce("_new", "holder"), "distance_m": F.coalesce("_d", "distance_m")})
+        held = written(taken.drop("_new", "_d"), "held")
+    return held.filter(F.col("holder") != FREE).select(*keys, F.col("holder").alias("object_id"), "finding_id", "distance_m")
+
+
 def unmatched_objects(matches: DataFrame, objects: DataFrame) -> DataFrame:
     """Objects (run_id, object_id, ...) that no finding was matched with."""
     return objects.join(matches.select("run_id", "object_id"), ["run_id", "object_id"], "left_anti")

@@ -22,21 +22,30 @@ def with_camera(runs: DataFrame, cameras: DataFrame, name: str = "camera") -> Da
     return known.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in DEFAULT_CAMERA.items()})
 
 
-def localize(detections: DataFrame, frames: DataFrame, taxonomy: DataFrame, camera: dict[str, float]) -> DataFrame:
+def localize(detections: DataFrame, frames: DataFrame, taxonomy: DataFrame, camera: dict[str, float] | DataFrame) -> DataFrame:
     """Detections with lat, lon, range_m and anchor.
 
     The anchor is the lower edge for point classes and unknown ones, the centre for others. Above
     the horizon or out of range the camera's place is taken and range_m is null. Detections of
     unknown frames keep null positions. The taxonomy is a small dimension.
+    ``camera`` is one for all runs, or a table with each run's (run_id and the columns that ``with_camera`` gives); a run that isn't
+    in it has the default's.
     """
     place = frames.select("run_id", "frame_id", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), "heading_deg", "width", "height")
+    cam = {k: F.col(f"_{k}") for k in DEFAULT_CAMERA}
+    if isinstance(camera, dict):
+        cam = camera_columns(camera)
+    else:
+        own = camera.select("run_id", *[F.col(k).alias(f"_{k}") for k in DEFAULT_CAMERA if k in camera.columns])
+        place = place.join(own, "run_id", "left")
+        place = place.withColumns({f"_{k}": F.coalesce(f"_{k}", F.lit(v)) if k in camera.columns else F.lit(v) for k, v in DEFAULT_CAMERA.items()})
     known = detections.join(place, ["run_id", "frame_id"], "left").join(
         F.broadcast(taxonomy.select("cls", "geometry")), "cls", "left"
     )
     geometry = F.coalesce("geometry", F.lit("point"))
     ground = geo.ground_range(
         geo.anchor_u(F.col("box"), F.col("width")), geo.anchor_v(F.col("box"), F.col("height"), geometry),
-        F.col("width"), F.col("height"), camera_columns(camera),
+        F.col("width"), F.col("height"), cam,
     )
     g = F.col("_g")
     here = (F.col("f_lat"), F.col("heading_deg"))
