@@ -357,3 +357,71 @@ def test_cloud_files(spark, tmp_path):
     cloud = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], "run_id long, x double, y double, z double")
     sinks.write_cloud(cloud, str(tmp_path / "cloud"), "from depth")
     assert [r.provenance for r in spark.read.parquet(str(tmp_path / "cloud")).collect()] == ["from depth"]
+
+
+def test_unmatched_objects_by_hand(spark):
+    rnd = random.Random(12)
+    place = lambda: (50 + rnd.random() * 4e-4, 8.0)
+    found = [(1, "a", f"f{i}", *place()) for i in range(6)]
+    objects = [(1, "a", i, *place()) for i in range(12)] + [(2, "b", 1, 1.0, 1.0)]
+    f = spark.createDataFrame(found, "run_id long, cls string, finding_id string, lat double, lon double")
+    o = spark.createDataFrame(objects, "run_id long, cls string, object_id long, lat double, lon double")
+    free, left = list(found), []
+    for x in objects:
+        near = sorted((abs(x[3] - y[3]) * 111194.9, y) for y in free if y[:2] == x[:2])
+        if near and near[0][0] <= 8:
+            free.remove(near[0][1])
+        else:
+            left.append((x[0], x[2]))
+    got = evaluate.unmatched_objects(evaluate.match_findings(f, o), o)
+    assert sorted((r.run_id, r.object_id) for r in got.collect()) == sorted(left) and 0 < len(left) < 13
+
+
+def test_decoded_anchors_equal_the_literal_steps(spark):
+    """Best class, letterbox undone, clamped, suppressed within class, the surest kept."""
+    from wayside.operators import perception
+
+    rnd = random.Random(4)
+    classes = ["pothole", "crack"]
+    rows = [(1, "f", i, rnd.uniform(0, 640), rnd.uniform(0, 640), rnd.uniform(20, 200), rnd.uniform(20, 200), [rnd.random() * 0.6, rnd.random()]) for i in range(80)]
+    df = spark.createDataFrame(rows, "run_id long, frame_id string, anchor_id long, cx double, cy double, w double, h double, scores array<double>")
+    scale, pads = min(640 / 1280, 640 / 720), [(640 - round(v * min(640 / 1280, 640 / 720))) / 2 for v in (1280, 720)]
+    seen = []
+    for _, _, i, cx, cy, w, h, s in rows:
+        if max(s) >= 0.25:
+            px = [(cx - w / 2 - pads[0]) / scale / 1.28, (cy - h / 2 - pads[1]) / scale / 0.72, (cx + w / 2 - pads[0]) / scale / 1.28, (cy + h / 2 - pads[1]) / scale / 0.72]
+            seen.append((max(s), i, classes[s.index(max(s))], [min(1000, max(0, v)) for v in px]))
+    kept = []
+    for s in sorted(seen, key=lambda s: (-s[0], s[1])):
+        def overlap(a, b):
+            both = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+            joint = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
+            return both / joint if both > 0 and joint > 0 else 0
+        if all(k[2] != s[2] or overlap(k[3], s[3]) <= 0.45 for k in kept):
+            kept.append(s)
+    got = perception.decode_anchors(df, classes, 1280, 720).collect()
+    assert sorted((r.det_seq, r.cls, *[round(r.box[c], 6) for c in ("x1", "y1", "x2", "y2")]) for r in got) == sorted((i, c, *[round(v, 6) for v in b]) for _, i, c, b in kept[:20])
+
+
+def test_the_chain_gives_what_its_steps_give(spark):
+    """All tables of ``summarize_runs`` on a small survey: parts agree with one another."""
+    from wayside.operators import chain
+    from wayside.plans import core
+    from wayside.fixtures import view
+
+    sf = "/root/testdata/sf0.001"
+    rules = view(spark, sf, "fx_absence")
+    frames = core.frames(spark, sf)
+    out = chain.summarize_runs(core.detections(spark, sf), frames, view(spark, sf, "fx_taxonomy"), rules, core.CAM)
+    n = {r.run_id: 0 for r in out["summary"].collect()}
+    for part in ("findings", "absences"):
+        for r in out[part].collect():
+            n[r.run_id] += 1
+    assert {r.run_id: r.total_findings for r in out["summary"].collect()} == n and sum(n.values()) > 50
+    held = sum(len(r.finding_ids) for r in out["segments"].collect())
+    assert 0 < held <= sum(n.values())
+    gaps = {(r.run_id, r.absence_key): r.gaps for r in out["coverage"].collect()}
+    made = {}
+    for r in out["absences"].collect():
+        made[r.run_id, r.cls] = made.get((r.run_id, r.cls), 0) + 1
+    assert {k: v for k, v in gaps.items() if v} == made

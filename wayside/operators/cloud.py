@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayside.functions import geo, text
+from wayside.operators.voxel import thin_to_budget
 
 
 def clean_points(points: DataFrame, threshold: float) -> DataFrame:
@@ -22,26 +23,10 @@ def voxel_cells(points: DataFrame, size: float) -> DataFrame:
     return keyed.groupBy("cx", "cy", "cz").agg(F.min(F.struct("seq", "x", "y", "z")).alias("p")).select("p.*")
 
 
-def voxel_downsample(points: DataFrame, budget: int, steps: int = 30) -> DataFrame:
-    """Points thinned to at most ``budget``, one for each cell, the cell found by bisection.
-
-    Each step counts cells; the driver reads that one number. More than 85 % of the budget is good.
-    """
-    points = points.select("seq", "x", "y", "z").persist()
-    if points.count() <= budget:
-        return points
-    lo = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
-    low, high = 0.0, max(lo) + 1e-9
-    for _ in range(steps):
-        size = (low + high) / 2
-        n = voxel_cells(points, size).count()
-        if n > budget:
-            low = size
-        else:
-            high = size
-            if n > 0.85 * budget:
-                break
-    return voxel_cells(points, high)
+def voxel_downsample(points: DataFrame, budget: int) -> DataFrame:
+    """One cloud's points (seq, x, y, z) thinned to at most ``budget``; see ``voxel.thin_to_budget``, which does it for many."""
+    own = points.select(F.lit(0).cast("long").alias("run_id"), "seq", "x", "y", "z")
+    return thin_to_budget(own, budget).drop("run_id")
 
 
 def fit_depth_scale(samples: DataFrame, least: int = 40) -> DataFrame:

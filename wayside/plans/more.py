@@ -11,6 +11,7 @@ from wayside.fixtures import oracle, view
 from wayside.functions import boxes, text
 from wayside.operators import cloud, csvio, evaluate, export, findings, perception, route, score, validate, zone
 from wayside.plans import core
+from wayside.plans.further import sql_thinned
 from wayside.sources.sinks import written
 from wayside.streaming import live
 
@@ -382,6 +383,11 @@ def thinned(s, d):
     return v.select(F.col("seq.seq_major").alias("seq_major"), "x", "y", "z")
 
 
+E14_BUDGET_SQL = f"""WITH src AS (SELECT 0 AS run_id, seq_major, l_partkey, l_suppkey, l_extendedprice, x, y, z FROM fx_points WHERE conf >= 2), {sql_thinned('src', 2000)}
+SELECT seq_major, x, y, z FROM cell WHERE n <= 2000 UNION ALL SELECT seq_major, x, y, z FROM cell c JOIN size s ON c.run_id = s.run_id WHERE n > 2000
+QUALIFY row_number() OVER (PARTITION BY i // m, j // m, k // m ORDER BY seq_major, l_partkey, l_suppkey, l_extendedprice, x, y, z) = 1"""
+
+
 def similarity(s, d):
     p = view(s, d, "fx_points").select(F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("x") * 1.2 - F.col("y") * 0.5 + F.col("z") * 0.01 + 40).alias("dx"), (F.col("x") * 0.5 + F.col("y") * 1.2 - 7).alias("dy"))
     return cloud.fit_similarity(p).select(*[F.round(c, 6).alias(c) for c in ("scale", "yaw", "tx", "ty")])
@@ -606,7 +612,7 @@ QUERIES = {
     "e12_best_calibration": (best_row, None),
     "e13_similarity_fit": (similarity, E13_SQL),
     "e14_voxel_cells": (voxels, E14_SQL),
-    "e14_voxel_budget": (thinned, None),
+    "e14_voxel_budget": (thinned, E14_BUDGET_SQL),
     "e15_width_summary": (width_totals, E15_SQL),
     "e16_road_coverage": (road_share, "SELECT frame, round(sum(b1 - a1 + 1 + b2 - a2 + 1) / (1280 * 720), 9) AS coverage FROM fx_masks GROUP BY frame"),
     "e17_match_quality": (quality, None),
