@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wayside.functions import text
 from wayside.operators.export import tour_stops
+from wayside.sources.sinks import written
 
 HEAD, STYLES, FINDINGS, STRETCHES, HEAT, ROUTE, DRIVE, TOUR, END = range(9)
 #: Lines of one item: what opens it, its places or times, then its places in time, what closes it.
@@ -61,7 +62,7 @@ def stretch_lines(stretches: DataFrame) -> DataFrame:
     Its places come from ``absence.gap_polyline``; each is a row.
     """
     item = F.dense_rank().over(Window.partitionBy("run_id").orderBy("rule_ord", "start_m")) * 4
-    s = stretches.withColumn("_item", item)
+    s = written(stretches.withColumn("_item", item), "stretches")  # read for each kind of line
     last = s.groupBy("run_id", "_item").agg(F.first("absence_key").alias("key"), F.first("label").alias("label"), (F.first("end_m") - F.first("start_m")).alias("long"))
     opening = F.concat(F.lit("<Placemark><name>"), text.xml_escape(F.col("label")), F.format_string(", %.1f m", "long"), F.lit("</name><styleUrl>#c-"), text.xml_escape(F.col("key")), F.lit(f"</styleUrl>{LINE}"))
     return (
@@ -119,6 +120,7 @@ def tour_lines(findings: DataFrame, frames: DataFrame, k: int = 40) -> DataFrame
 
 def document_lines(frames: DataFrame, findings: DataFrame, segments: DataFrame, stretches: DataFrame, taxonomy: DataFrame, absences: DataFrame, k: int = 40) -> DataFrame:
     """All lines of all runs' documents; frames may carry ``ts``, the time of each. Folders that would be empty are left out."""
+    frames, findings, segments = written(frames, "frames"), written(findings, "findings"), written(segments, "segments")
     runs = frames.select("run_id").distinct()
     namespace = '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2" xmlns:gx="http://www.google.com/kml/ext/2.2"><Document>'
     head = runs.select(*_row(HEAD, 0, 0, F.concat(F.lit(namespace), F.format_string("<name>Run %s</name>", F.col("run_id").cast("string")))))
