@@ -40,6 +40,9 @@ MINIBATCH, RATE, PIECE = 1 << 14, 0.3, 1 << 14
 BUNDLE = 1 << 22
 #: Sums of weights whose exponentials are far from the limits of 32-bit numbers, and the least such number.
 SAFE, TINY = 40.0, np.float32(1e-38)
+#: Numbers of a softmax that are held at once, so that they stay in a core's cache.
+CACHED = 400_000
+ONES = np.ones(1 << 15, np.float32)
 #: Rows of a run up to which runs are summed together.
 SHORT = 8
 AROUND = [i for i in range(-SIDE, SIDE + 1) if i]
@@ -102,6 +105,17 @@ def windows(texts_of_ids: Iterator[np.ndarray], size: int, edge: int) -> Iterato
         yield stream
 
 
+def ones(n: int) -> np.ndarray:
+    return ONES[:n] if n <= len(ONES) else np.ones(n, np.float32)
+
+
+def pieces(h: np.ndarray, weights: np.ndarray) -> Iterator[slice]:
+    """Slices of the rows of ``h`` of which ``h @ weights`` has about CACHED numbers."""
+    size = max(1, CACHED // weights.shape[1])
+    for start in range(0, len(h), size):
+        yield slice(start, start + size)
+
+
 def bounded(weights: np.ndarray) -> bool:
     """Whether exponentials of what ``weights`` make of numbers from -1 to 1 are surely in range."""
     return bool(np.abs(weights).sum(axis=-2).max() < SAFE)
@@ -116,22 +130,31 @@ def exponentials(h: np.ndarray, weights: np.ndarray, safe: bool) -> tuple[np.nda
     if not safe:
         x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    return x, x @ np.ones(x.shape[1], np.float32)
+    return x, x @ ones(x.shape[1])
 
 
 def log_probability_of(h: np.ndarray, weights: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
     """The logarithm of each row's softmax at one place."""
-    x, total = exponentials(h, weights, safe)
-    return np.log(np.maximum(x[np.arange(len(x)), at], TINY)) - np.log(total)
+    out = np.empty(len(h), h.dtype)
+    for own in pieces(h, weights):
+        x, total = exponentials(h[own], weights, safe)
+        there = x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at[own]]
+        out[own] = np.log(np.maximum(there, TINY)) - np.log(total)
+    return out
 
 
 def backward(h: np.ndarray, weights: np.ndarray, at: np.ndarray, safe: bool, dh: np.ndarray) -> np.ndarray:
     """The gradient of the summed log-probabilities by the weights; that by ``h`` is added to ``dh``."""
-    x, total = exponentials(h, weights, safe)
-    x *= (1 / total)[:, None]
-    x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at] -= 1
-    dh += x @ weights[:HIDDEN].T
-    return (x.T @ h).T
+    gradient = None
+    for own in pieces(h, weights):
+        x, total = exponentials(h[own], weights, safe)
+        x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at[own]] -= total
+        # what each row was multiplied by is taken out of the narrow side of the products
+        scale = (1 / total)[:, None]
+        dh[own] += (x @ weights[:HIDDEN].T) * scale
+        more = (x.T @ (h[own] * scale)).T
+        gradient = more if gradient is None else gradient + more
+    return np.ascontiguousarray(gradient)
 
 
 def sums_of_runs(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -140,7 +163,7 @@ def sums_of_runs(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = rows[first]
     for i in np.flatnonzero(lengths > SHORT).tolist():
         run = rows[first[i] : first[i] + lengths[i]]
-        out[i] = np.ones(len(run), np.float32) @ run
+        out[i] = ones(len(run)) @ run
     for k in range(1, SHORT):
         more = np.flatnonzero((lengths > k) & (lengths <= SHORT))
         out[more] += rows[first[more] + k]
@@ -199,9 +222,13 @@ class Trainer:
         self.seen = 0
 
     def update(self, name: str, at, grad: np.ndarray) -> None:
-        squares = self.squares[name][at] + grad * grad
-        self.squares[name][at] = squares
-        self.p[name][at] -= RATE * grad / np.sqrt(squares)
+        squares = self.squares[name][at]
+        squares += grad * grad
+        if isinstance(at, np.ndarray):  # else ``squares`` is a view
+            self.squares[name][at] = squares
+        grad *= RATE
+        grad /= np.sqrt(squares)
+        self.p[name][at] -= grad
 
     def step(self, stream: np.ndarray) -> None:
         """Predict every word of a stretch."""
