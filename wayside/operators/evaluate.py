@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayside.functions import boxes, geo
 from wayside.operators.findings import SPHERE_M_PER_DEG
+from wayside.operators.grouped import in_groups
 from wayside.sources.sinks import written
 
 
@@ -29,27 +30,23 @@ def match_findings(findings: DataFrame, objects: DataFrame, max_m: float | None
     apart = F.coalesce(gap > max_m, F.lit(False))
     split = both.withColumn("_new", apart.cast("int")).withColumn("island", F.sum("_new").over(w)).drop("_new")
 
-    def kernel(t: pa.Table) -> pa.Table:
-        import math
-
-        rows = t.to_pylist()
-        free = sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["name"])
+    def kernel(rows: list[tuple]) -> list[tuple]:
+        free = sorted((r for r in rows if r[2] == 1), key=lambda r: r[3])
         out = []
-        for x in sorted((r for r in rows if r["kind"] == 0), key=lambda r: r["ord"]):
+        for run, cls, _, _, ord_, lat, lon, _ in sorted((r for r in rows if r[2] == 0), key=lambda r: r[4]) if free else ():
             best, far = None, math.inf
             for y in free:
-                p, q = math.radians(x["lat"]), math.radians(y["lat"])
-                h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(y["lon"] - x["lon"]) / 2) ** 2
+                p, q = math.radians(lat), math.radians(y[5])
+                h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(y[6] - lon) / 2) ** 2
                 d = 2 * geo.EARTH_RADIUS_M * math.asin(math.sqrt(h))
                 if d < far:
                     best, far = y, d
             if best is not None and far <= max_m:
                 free.remove(best)
-                out.append((x["run_id"], x["cls"], x["ord"], best["name"], far))
-        kinds = (("run_id", pa.int64()), ("cls", pa.string()), ("object_id", pa.int64()), ("finding_id", pa.string()), ("distance_m", pa.float64()))
-        return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(kinds)})
+                out.append((run, cls, ord_, best[3], far))
+        return out
 
-    return split.groupBy("run_id", "cls", "island").applyInArrow(kernel, "run_id long, cls string, object_id long, finding_id string, distance_m double")
+    return in_groups(split, ["run_id", "cls", "island"], kernel, "run_id long, cls string, object_id long, finding_id string, distance_m double")
 
 
 #: Degrees of a cell of findings, one of which stands for all when the nearest is looked for.
@@ -116,6 +113,17 @@ def score_matches(matches: DataFrame, findings: DataFrame, objects: DataFrame) -
     )
 
 
+def _area(b) -> float:
+    return max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
+
+
+def _overlap(a, b) -> float | None:
+    """Shared area over joint area of two boxes; null where both are flat."""
+    both = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    joint = _area(a) + _area(b) - both
+    return both / joint if joint > 0 else None
+
+
 def pair_boxes(truth: DataFrame, predicted: DataFrame, iou: float) -> DataFrame:
     """Within frame and class each prediction, surest first, takes the free truth it overlaps most.
 
@@ -126,27 +134,21 @@ def pair_boxes(truth: DataFrame, predicted: DataFrame, iou: float) -> DataFrame:
     t = truth.select("image", "cls", F.lit(0).alias("kind"), F.col("truth_id").alias("ident"), F.lit(0.0).alias("confidence"), *corners)
     p = predicted.select("image", "cls", F.lit(1).alias("kind"), F.col("pred_id").alias("ident"), "confidence", *corners)
 
-    def kernel(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        box = lambda r: (r["x1"], r["y1"], r["x2"], r["y2"])
-        size = lambda b: max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
-        free = sorted((r for r in rows if r["kind"] == 0), key=lambda r: r["ident"])
+    def kernel(rows: list[tuple]) -> list[tuple]:
+        free = sorted((r for r in rows if r[2] == 0), key=lambda r: r[3])
         out = []
-        for r in sorted((r for r in rows if r["kind"] == 1), key=lambda r: (-r["confidence"], r["ident"])):
+        for r in sorted((r for r in rows if r[2] == 1), key=lambda r: (-r[4], r[3])):
             best, score = None, iou
             for q in free:
-                a, b = box(r), box(q)
-                both = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-                joint = size(a) + size(b) - both
-                if joint > 0 and both / joint >= score and (best is None or both / joint > score):
-                    best, score = q, both / joint
+                over = _overlap(r[5:], q[5:])
+                if over is not None and over >= score and (best is None or over > score):
+                    best, score = q, over
             if best is not None:
                 free.remove(best)
-            out.append((r["image"], r["cls"], r["ident"], r["confidence"], best and best["ident"]))
-        kinds = (("image", pa.string()), ("cls", pa.string()), ("pred_id", pa.int64()), ("confidence", pa.float64()), ("truth_id", pa.int64()))
-        return pa.table({n: pa.array([x[i] for x in out], k) for i, (n, k) in enumerate(kinds)})
+            out.append((r[0], r[1], r[3], r[4], best and best[3]))
+        return out
 
-    return t.unionByName(p).groupBy("image", "cls").applyInArrow(kernel, "image string, cls string, pred_id long, confidence double, truth_id long")
+    return in_groups(t.unionByName(p), ["image", "cls"], kernel, "image string, cls string, pred_id long, confidence double, truth_id long")
 
 
 #: Bands of confidence in which predictions of a class are ordered apart.
@@ -172,7 +174,9 @@ def average_precision(pairs: DataFrame, truth: DataFrame, by: tuple[str, ...] =
     curve = banded.withColumn("tp", F.sum("hit").over(w)).withColumn("k", F.row_number().over(w)).join(bands, [*key, "band"]).join(n, shared)
     curve = curve.withColumns({"tp": F.col("tp") + F.col("tp_above"), "k": F.col("k") + F.col("k_above")})
     curve = curve.select(*key, (F.col("tp") / F.col("n_truth")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))
-    points = curve.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor(F.col("recall") * 100 + 1e-9).cast("int"))))
+    # the best precision at each recall reached first, so that a prediction isn't one row for each recall below its own
+    reached = curve.groupBy(*key, F.floor(F.col("recall") * 100 + 1e-9).cast("int").alias("to")).agg(F.max("precision").alias("precision"))
+    points = reached.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("to"))))
     best = points.groupBy(*key, "i").agg(F.max("precision").alias("p")).groupBy(*key).agg((F.sum("p") / 101).alias("ap"))
     if shared == key:
         return n.join(best, key, "left").select(*key, F.coalesce("ap", F.lit(0.0)).alias("ap"))
@@ -198,46 +202,30 @@ def pair_boxes_by_size(truth: DataFrame, predicted: DataFrame, width: int, heigh
     p = predicted.select("image", "cls", F.lit(1).alias("kind"), F.col("pred_id").alias("ident"), "confidence", *corners)
     pixels = width * height / 1e6
 
-    def kernel(table: pa.Table) -> pa.Table:
-        kind, ident = table.column("kind").to_numpy(), table.column("ident").to_numpy()
-        sure = table.column("confidence").to_numpy()
-        box = np.column_stack([table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")])
-        area = np.maximum(0, box[:, 2] - box[:, 0]) * np.maximum(0, box[:, 3] - box[:, 1])
-        there = np.flatnonzero(kind == 0)[np.argsort(ident[kind == 0])]
-        given = np.flatnonzero(kind == 1)
-        given = given[np.lexsort((ident[given], -sure[given]))]
-        low = np.maximum(box[given][:, None, :2], box[there][None, :, :2])
-        both = np.prod(np.maximum(0, np.minimum(box[given][:, None, 2:], box[there][None, :, 2:]) - low), axis=2)
-        joint = area[given][:, None] + area[there][None] - both
-        overlap = np.divide(both, joint, out=np.zeros_like(both), where=joint > 0)
-        size = 1 + (area * pixels >= SMALL).astype(int) + (area * pixels >= MEDIUM)
+    def kernel(rows: list[tuple]) -> list[tuple]:
+        there = sorted((r for r in rows if r[2] == 0), key=lambda r: r[3])
+        given = sorted((r for r in rows if r[2] == 1), key=lambda r: (-r[4], r[3]))
+        size = lambda r: (lambda a: 1 + (a >= SMALL) + (a >= MEDIUM))(_area(r[5:]) * pixels)
+        sizes = [size(r) for r in there]
+        # of each prediction the truth that it overlaps, most first, the earlier of equal ones
+        near = [sorted(((o, i) for i, q in enumerate(there) if (o := _overlap(r[5:], q[5:]))), key=lambda x: (-x[0], x[1])) for r in given]
         out = []
         for least in overlaps:
             for s, name in enumerate(SIZES):
-                free = np.ones(len(there), bool)
-                own = np.ones(len(there), bool) if s == 0 else size[there] == s
-                for i, g in enumerate(given):
-                    best = -1
-                    for group in (own, ~own):
-                        score = np.where(free & group, overlap[i], 0.0)
-                        if len(there) and score.max() >= least:
-                            best = int(score.argmax())
-                            break
+                taken: set[int] = set()
+                for r, ranked in zip(given, near, strict=True):
+                    able = [i for o, i in ranked if o >= least and i not in taken]
+                    best = next((i for i in able if s in (0, sizes[i])), able[0] if able else -1)
                     if best >= 0:
-                        free[best] = False
-                        if own[best]:
-                            out.append((g, least, name, int(ident[there[best]])))
-                    elif s in (0, size[g]):
-                        out.append((g, least, name, None))
-        image, cls = table.column("image")[0].as_py(), table.column("cls")[0].as_py()
-        return pa.table({
-            "image": pa.array([image] * len(out), pa.string()), "cls": pa.array([cls] * len(out), pa.string()), "pred_id": pa.array([int(ident[x[0]]) for x in out], pa.int64()),
-            "confidence": pa.array([float(sure[x[0]]) for x in out], pa.float64()), "iou": pa.array([x[1] for x in out], pa.float64()),
-            "size": pa.array([x[2] for x in out], pa.string()), "truth_id": pa.array([x[3] for x in out], pa.int64()),
-        })
+                        taken.add(best)
+                        if s in (0, sizes[best]):
+                            out.append((r[0], r[1], r[3], r[4], least, name, there[best][3]))
+                    elif s == 0 or s == size(r):
+                        out.append((r[0], r[1], r[3], r[4], least, name, None))
+        return out
 
     kinds = "image string, cls string, pred_id long, confidence double, iou double, size string, truth_id long"
-    return t.unionByName(p).groupBy("image", "cls").applyInArrow(kernel, kinds)
+    return in_groups(t.unionByName(p), ["image", "cls"], kernel, kinds)
 
 
 def mean_precision(truth: DataFrame, predicted: DataFrame, width: int, height: int) -> DataFrame:
