@@ -30,6 +30,11 @@ def grade_for(index: Column) -> Column:
     return _ladder(index, GRADES, "F")
 
 
+def to_tenth(index: Column) -> Column:
+    """``index`` to one decimal, halves up. It is scaled before it is rounded, which takes back the last bit that a sum of decimals is off by."""
+    return F.round(index * 10.0, 0) / 10.0
+
+
 def penalty(weight: Column, severity: Column, confidence: Column) -> Column:
     return F.when(weight <= 0, 0.0).otherwise(weight * severity * F.greatest(F.lit(0.35), confidence))
 
@@ -59,7 +64,7 @@ def build_segments(frames: DataFrame, findings: DataFrame, taxonomy: DataFrame,
     density = F.coalesce("penalty", F.lit(0.0)) / F.greatest(F.col("raw_m") / SEGMENT_M, F.lit(0.5))
     scored = segments.join(members, ["run_id", "seg_id"], "left").withColumn("_i", F.greatest(F.lit(5.0), F.least(F.lit(100.0), 100.0 - density * 2.2)))
     return scored.select(
-        "run_id", "seg_id", "start", "end", F.round("raw_m", 2).alias("length_m"), F.round("_i", 1).alias("quality_index"),
+        "run_id", "seg_id", "start", "end", F.round("raw_m", 2).alias("length_m"), to_tenth(F.col("_i")).alias("quality_index"),
         color_for(F.col("_i")).alias("color"), F.coalesce("finding_ids", F.array().cast("array<string>")).alias("finding_ids"), "t_start", "t_end",
     )
 
@@ -89,7 +94,7 @@ def summarize(findings: DataFrame, segments: DataFrame) -> DataFrame:
     )
     overall = F.coalesce(F.when(F.col("_len") > 0, F.col("_ql") / F.col("_len")).otherwise(F.col("_q")), F.lit(100.0))
     return s.join(by_class, "run_id", "full_outer").join(by_severity, "run_id", "full_outer").select(
-        "run_id", F.round(overall, 1).alias("quality_index"), grade_for(overall).alias("grade"), "counts", "severity_histogram",
+        "run_id", to_tenth(overall).alias("quality_index"), grade_for(overall).alias("grade"), "counts", "severity_histogram",
         F.coalesce("total_findings", F.lit(0)).alias("total_findings"), F.round(F.coalesce("_len", F.lit(0.0)), 1).alias("route_length_m"),
         F.coalesce("_len", F.lit(0.0)).alias("raw_length_m"),
     )
