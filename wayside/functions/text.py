@@ -82,8 +82,27 @@ def stamp_to_seconds(text: Column) -> Column:
     return F.regexp_replace(text, r"\.\d+", "")
 
 
+def fixed(value: Column, places: int = 8) -> Column:
+    """``value`` with ``places`` (at most 8) decimals, rounded by the double's exact value, as C's printf and SQL do.
+
+    Java rounds the shortest decimal text of a double instead, which differs wherever that text ends in a 5 after the last place.
+    The fraction is taken as 52 bits, and multiplied in two halves that fit a long each.
+    """
+    size, ten = F.abs(value), 10**places
+    whole = F.floor(size)
+    part = (size - whole) * float(2**52)
+    bits = part.cast("long")
+    low = bits.bitwiseAND(F.lit(2**26 - 1)) * ten + 2**51
+    sum_ = F.shiftright(bits, 26) * ten + F.shiftright(low, 26)
+    n = F.shiftright(sum_, 26)
+    even = (bits.cast("double") == part) & (low.bitwiseAND(F.lit(2**26 - 1)) == 0) & (sum_.bitwiseAND(F.lit(2**26 - 1)) == 0) & (n % 2 == 1)
+    n = n - F.when(even, 1).otherwise(0)
+    digits = F.concat(F.when(value < 0, "-").otherwise(""), (whole + F.floor(n / ten)).cast("string"), F.lit("."), F.lpad((n % ten).cast("string"), places, "0"))
+    return F.when(size < 1e9, digits).otherwise(F.format_string(f"%.{places}f", value))
+
+
 def coordinates(lon: Column, lat: Column) -> Column:
-    return F.format_string("%.8f,%.8f,0", lon, lat)
+    return F.concat(fixed(lon), F.lit(","), fixed(lat), F.lit(",0"))
 
 
 def building_height(height: Column, levels: Column) -> Column:

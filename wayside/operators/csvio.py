@@ -103,6 +103,6 @@ def export_findings(findings: DataFrame, chainages: DataFrame, base_url: str = "
     number = F.row_number().over(Window.partitionBy("run_id").orderBy("t_sec", "finding_id"))
     return best.withColumn("frame", F.col("_b.frame_id")).join(at.withColumnRenamed("frame_id", "frame"), ["run_id", "frame"], "left").select(
         "run_id", number.alias("object_id"), "frame", text.time_text(F.col("t_sec")).alias("time"), F.col("label").alias("defect_name"),
-        F.format_string("%.8f", "lat").alias("lat"), F.format_string("%.8f", "lon").alias("lon"), F.format_string("%.3f", "chainage_km").alias("chainage_km"),
+        text.fixed(F.col("lat")).alias("lat"), text.fixed(F.col("lon")).alias("lon"), F.format_string("%.3f", "chainage_km").alias("chainage_km"),
         F.concat(F.lit(base_url), F.lit("frames/"), "frame", F.lit(".jpg")).alias("frame_url"), "severity", "confidence",
     )
