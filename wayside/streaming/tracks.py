@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wayside.operators.findings import MAX_GAP, extend_tracks
+from wayside.streaming import live
 
-SEEN = "frame long, seq long, x1 double, y1 double, x2 double, y2 double, ms long"
-OPEN = "first long, frame long, x1 double, y1 double, x2 double, y2 double, ms long, start_frame long, start_ms long"
+SEEN = "run_id long, kind string, frame long, seq long, x1 double, y1 double, x2 double, y2 double, ms long"
+OPEN = "run_id long, kind string, first long, frame long, x1 double, y1 double, x2 double, y2 double, ms long, start_frame long, start_ms long"
 OUT = "run_id long, kind string, late boolean, track long, first_frame long, last_frame long, start_ms long, end_ms long, det_seqs array<long>"
 
 
 class ClosedTracks(StatefulProcessor):
-    """Puts out tracks of a run's class once nothing can join them, and late rows at once.
+    """Puts out tracks of a run's class once nothing can join them, and late rows at once, for the runs of a lane.
 
     Sightings wait until the watermark passes them and are then taken in order of frames, so rows out
     of order within the watermark's delay change nothing. Waiting sightings, open tracks and the numbers
@@ -29,50 +30,56 @@ class ClosedTracks(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", SEEN)
         self.open = handle.getListState("open", OPEN)
-        self.members = handle.getListState("members", "first long, seq long")
+        self.members = handle.getListState("members", "run_id long, kind string, first long, seq long")
 
     def handleInputRows(self, key, rows, timerValues):
         mark = timerValues.getCurrentWatermarkInMs()
         seen = pd.concat(list(rows))
-        seen = seen[seen["det_seq"].notna()]
-        past = (seen["ms"] <= mark) & (mark > 0)  # 0 stands for no watermark yet
-        late, in_time = seen[past], seen[~past]
-        if len(in_time):
-            columns = ["frame_idx", "det_seq", "x1", "y1", "x2", "y2", "ms"]
-            self.waiting.appendList([(int(r[0]), int(r[1]), *map(float, r[2:6]), int(r[6])) for r in in_time[columns].itertuples(index=False)])
-        yield self.packed(key, [(True, None, int(r.frame_idx), int(r.frame_idx), int(r.ms), int(r.ms), [int(r.det_seq)]) for r in late.itertuples(index=False)])
-        yield self.packed(key, self.advance(mark))
+        seen = seen[seen["det_seq"].notna()].astype({"run_id": "int64", "frame_idx": "int64", "det_seq": "int64", "ms": "int64"})
+        columns = ["run_id", "kind", "frame_idx", "det_seq", "x1", "y1", "x2", "y2", "ms"]
+        late, in_time = [], []
+        for r in zip(*[seen[c].tolist() for c in columns], strict=True):
+            past = mark > 0 and r[8] <= mark  # 0 stands for no watermark yet
+            (late if past else in_time).append(r)
+        out = [(r[0], r[1], True, None, r[2], r[2], r[8], r[8], [r[3]]) for r in late]
+        yield self.packed(out + self.advance(mark, in_time))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield self.packed(key, self.advance(timerValues.getCurrentWatermarkInMs()))
+        yield self.packed(self.advance(timerValues.getCurrentWatermarkInMs(), []))
 
-    def advance(self, mark: int) -> list[tuple]:
+    def advance(self, mark: int, fresh: list[tuple]) -> list[tuple]:
         """Take what the watermark has passed, in order, and close what can't go on."""
-        waiting = [tuple(r) for r in self.waiting.get()]
-        ready = sorted(r for r in waiting if r[6] <= mark)
-        state = {r[0]: list(r) for r in map(tuple, self.open.get())}
-        members: dict[int, list[int]] = {}
-        for first, seq in map(tuple, self.members.get()):
-            members.setdefault(first, []).append(seq)
+        waiting = [tuple(r) for r in self.waiting.get()] + fresh
+        state: dict = {}
+        for r in map(tuple, self.open.get()):
+            state.setdefault(r[:2], {})[r[2]] = list(r[2:])
+        members: dict = {}
+        for run, kind, first, seq in map(tuple, self.members.get()):
+            members.setdefault((run, kind, first), []).append(seq)
         done = []
 
-        def close(tracks: list[int]) -> None:
+        def close(own: tuple, tracks: list[int]) -> None:
             for first in tracks:
-                _, frame, *_, ms, start_frame, start_ms = state.pop(first)
-                done.append((False, first, start_frame, frame, start_ms, ms, members.pop(first)))
-
-        for frame, seq, *box, ms in ready:
-            close([first for first, t in state.items() if frame - t[1] > MAX_GAP])
-            tracks = [[first, t[1], tuple(t[2:6])] for first, t in state.items()]
+                _, frame, *_, ms, start_frame, start_ms = state[own].pop(first)
+                done.append((*own, False, first, start_frame, frame, start_ms, ms, members.pop((*own, first))))
+
+        for run, kind, frame, seq, *box, ms in sorted(r for r in waiting if r[8] <= mark):
+            own = (run, kind)
+            mine = state.setdefault(own, {})
+            close(own, [first for first, t in mine.items() if frame - t[1] > MAX_GAP])
+            tracks = [[first, t[1], tuple(t[2:6])] for first, t in mine.items()]
             first = extend_tracks(tracks, frame, seq, tuple(box))
-            old = state.get(first, [first, frame, *box, ms, frame, ms])
-            state[first] = [first, frame, *box, ms, *old[7:]]
-            members.setdefault(first, []).append(seq)
-        close([first for first, t in state.items() if t[6] + self.quiet_ms < mark])
-        self.keep(self.waiting, [r for r in waiting if r[6] > mark])
-        self.keep(self.open, [tuple(t) for t in state.values()])
-        self.keep(self.members, [(first, seq) for first, own in members.items() for seq in own])
-        self.wake([r[6] for r in waiting if r[6] > mark] + [t[6] + self.quiet_ms for t in state.values()])
+            old = mine.get(first, [first, frame, *box, ms, frame, ms])
+            mine[first] = [first, frame, *box, ms, *old[7:]]
+            members.setdefault((*own, first), []).append(seq)
+        for own, mine in state.items():
+            close(own, [first for first, t in mine.items() if t[6] + self.quiet_ms < mark])
+        still = [r for r in waiting if r[8] > mark]
+        left = [(*own, *t) for own, mine in state.items() for t in mine.values()]
+        self.keep(self.waiting, still)
+        self.keep(self.open, left)
+        self.keep(self.members, [(*k, seq) for k, own in members.items() for seq in own])
+        self.wake([r[8] for r in still] + [t[8] + self.quiet_ms for t in left])
         return done
 
     @staticmethod
@@ -90,12 +97,9 @@ class ClosedTracks(StatefulProcessor):
             self.handle.registerTimer(min(times) + 1)
 
     @staticmethod
-    def packed(key, rows: list[tuple]) -> pd.DataFrame:
-        names = ("late", "track", "first_frame", "last_frame", "start_ms", "end_ms", "det_seqs")
-        out = pd.DataFrame(rows, columns=list(names))
-        out.insert(0, "kind", key[1])
-        out.insert(0, "run_id", key[0])
-        return out.astype({"track": "Int64", "late": "bool"})
+    def packed(rows: list[tuple]) -> pd.DataFrame:
+        names = ("run_id", "kind", "late", "track", "first_frame", "last_frame", "start_ms", "end_ms", "det_seqs")
+        return pd.DataFrame(rows, columns=list(names)).astype({"run_id": "int64", "track": "Int64", "late": "bool"})
 
 
 def closed_tracks(detections: DataFrame, delay: str, quiet: str) -> DataFrame:
@@ -113,7 +117,8 @@ def closed_tracks(detections: DataFrame, delay: str, quiet: str) -> DataFrame:
     marked = detections.withWatermark("ts", delay)
     # a column computed from ts carries no watermark, so late rows reach the processor instead of being dropped
     rows = marked.select("run_id", F.col("cls").alias("kind"), "frame_idx", "det_seq", "x1", "y1", "x2", "y2", F.unix_millis("ts").alias("ms"))
-    tracks = rows.groupBy("run_id", "kind").transformWithStateInPandas(ClosedTracks(quiet_ms), OUT, "Append", "EventTime")
+    # a row without a run, as a last sign of life has, goes to a lane like any other
+    tracks = rows.withColumn("lane", live.lane("run_id", "kind")).groupBy("lane").transformWithStateInPandas(ClosedTracks(quiet_ms), OUT, "Append", "EventTime")
     return tracks.withColumnRenamed("kind", "cls")
 
 
