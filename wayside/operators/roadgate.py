@@ -30,9 +30,10 @@ def verdicts(detections: DataFrame, rules: DataFrame, polygons: DataFrame, masks
         "col": up(geo.anchor_u(F.col("box"), F.lit(float(width)))), "row_no": up(geo.anchor_v(F.col("box"), F.lit(float(height)), geometry)), "_only": F.coalesce("_only", F.lit(False)),
     })
     points = placed.select(*FRAME, "row_no", "col").distinct().filter(F.col("row_no").between(0, height - 1) & F.col("col").between(0, width - 1))
-    hits = points.join(masks, [*FRAME, "row_no"]).filter(F.col("col").between(F.col("col_start"), F.col("col_end"))).select(*FRAME, "row_no", "col").distinct().withColumn("_hit", F.lit(True))
+    # masks and what comes of them have far more rows than their size may tell where they are exploded, so none is broadcast
+    hits = points.join(masks.hint("merge"), [*FRAME, "row_no"]).filter(F.col("col").between(F.col("col_start"), F.col("col_end"))).select(*FRAME, "row_no", "col").distinct().withColumn("_hit", F.lit(True))
     masked = masks.select(*FRAME).distinct().withColumn("_masked", F.lit(True))
-    both = placed.join(polygons.select(*FRAME, "polygon"), FRAME, "left").join(masked, FRAME, "left").join(hits, [*FRAME, "row_no", "col"], "left")
+    both = placed.join(polygons.select(*FRAME, "polygon"), FRAME, "left").join(masked.hint("merge"), FRAME, "left").join(hits.hint("merge"), [*FRAME, "row_no", "col"], "left")
     zone = F.when(F.col("_only"), in_polygon(F.col("col").cast("double"), F.col("row_no").cast("double"), F.col("polygon")))
     said = both.withColumns({"on_carriageway": zone, "on_mask": F.when(F.col("_masked"), F.coalesce("_hit", F.lit(False)))})
     state = (

@@ -5,11 +5,11 @@ Masks are runs (run_id, frame, row_no, col_start, col_end); without a run_id all
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayside.functions import geo
+from wayside.operators.grouped import in_groups
 
 # Words that place a class off or on the carriageway, in this order.
 OFF_ROAD = ("footpath", "footway", "sidewalk", "walkway", "pedestrian", "verge", "kerb", "curb", "roadside", "median", "central reserve")
@@ -152,8 +152,8 @@ def largest_component(runs: DataFrame, least: float = 0.0) -> DataFrame:
     """Runs of the largest 8-connected component of each frame's mask, if it has ``least`` pixels."""
     key = frame_key(runs)
 
-    def kernel(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*[t.column(c).to_pylist() for c in ("row_no", "col_start", "col_end")], strict=True))
+    def kernel(group: list[tuple]) -> list[tuple]:
+        rows = sorted(r[-3:] for r in group)
         parent = list(range(len(rows)))
 
         def find(i):
@@ -179,12 +179,10 @@ def largest_component(runs: DataFrame, least: float = 0.0) -> DataFrame:
         for i, (_, a, b) in enumerate(rows):
             size[find(i)] = size.get(find(i), 0) + b - a + 1
         best = max(size, key=lambda k: (size[k], -k)) if size else None
-        keep = [x for i, x in enumerate(rows) if find(i) == best and size[best] >= least]
-        same = {n: pa.array([t.column(n)[0].as_py()] * len(keep), t.schema.field(n).type) for n in key}
-        return pa.table({**same, **{n: pa.array([x[i] for x in keep], pa.int64()) for i, n in enumerate(("row_no", "col_start", "col_end"))}})
+        return [(*group[0][:-3], *x) for i, x in enumerate(rows) if find(i) == best and size[best] >= least]
 
     kinds = ", ".join(f"{c} {runs.schema[c].dataType.simpleString()}" for c in key)
-    return runs.select(*key, "row_no", "col_start", "col_end").groupBy(*key).applyInArrow(kernel, f"{kinds}, row_no long, col_start long, col_end long")
+    return in_groups(runs.select(*key, "row_no", "col_start", "col_end"), key, kernel, f"{kinds}, row_no long, col_start long, col_end long")
 
 
 def fit_rows(spans: DataFrame, n: int = 40, top: float = 0.30, least: int = 80) -> DataFrame:
@@ -197,7 +195,8 @@ def fit_rows(spans: DataFrame, n: int = 40, top: float = 0.30, least: int = 80)
     start = F.col("_lo") + top * (F.col("_hi") - F.col("_lo"))
     at = F.transform(F.sequence(F.lit(0), F.lit(n - 2)), lambda i: F.floor(start + i * ((F.col("_hi") - start) / (n - 1))))
     rows = extent.select(*key, F.explode(F.array_distinct(F.concat(at, F.array(F.col("_hi").cast("long"))))).alias("row_no"))
-    return spans.join(rows, [*key, "row_no"]).filter("pixels >= 2")
+    # far more rows than their size before the explode tells, so never broadcast
+    return spans.hint("merge").join(rows.hint("merge"), [*key, "row_no"]).filter("pixels >= 2")
 
 
 def horizon_fit(spans: DataFrame, width: int, min_rows: int = 10) -> DataFrame:
