@@ -85,3 +85,14 @@ def test_decimals_follow_the_exact_value(spark):
     values = [round(12.9 + i * 0.0137, 8) + 5e-9 for i in range(400)] + [0.001953125, -77.001953125, -0.5, 0.0, 3e-9, 12.999999996, 77.5946, -1e-9]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.fixed(F.col("v")).alias("t")).collect()
     assert [r.t for r in rows] == ["%.8f" % r.v for r in rows]
+
+
+def test_nearest_frames_are_looked_for_in_the_own_cell_first(spark):
+    """Only places whose nearest frame may lie beyond their cell's edge are spread over the cells around; all get their nearest."""
+    from wayside.operators import absence
+
+    frames = spark.createDataFrame([(1, 0, 0.0005, 0.0005), (1, 1, 0.0011, 0.0005), (1, 2, 0.02, 0.02)], "run_id long, frame_idx long, lat double, lon double")
+    places = spark.createDataFrame([(1, "inside", 0.0005, 0.0006), (1, "edge", 0.00099, 0.0005), (1, "far", 0.05, 0.05), (1, "none", None, None)], "run_id long, finding_id string, lat double, lon double")
+    r = absence.nearest_frame(places, frames, ["finding_id"])
+    assert {x.finding_id: x.frame_idx for x in r.collect()} == {"inside": 0, "edge": 1, "far": 2}
+    assert any("own_cell-" in p for p in r.inputFiles())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayside.functions import geo
 from wayside.operators.route import chainage
+from wayside.sources.sinks import written
 
 #: Metres of a bucket in which a place along a route is looked up.
 CHAINAGE_BUCKET_M = 100.0
@@ -19,7 +20,8 @@ DIAGONAL_M = CELL_DEG * geo.EARTH_RADIUS_M * 3.14159266 / 180 * 1.41422
 def nearest_frame(places: DataFrame, frames: DataFrame, key: list[str]) -> DataFrame:
     """``places`` (run_id, key, lat, lon) with frame_idx of the nearest frame, the lowest of equal ones.
 
-    Frames in the cells around a place are compared first; a result nearer than the rim of those cells is final. For
+    Frames in a place's own cell are compared first; a result nearer than the cell's edge is final. For other places frames
+    in the cells around are compared; a result nearer than the rim of those cells is final. For
     other places one frame stands for each cell: only cells whose frame lies at most a cell's diagonal farther than the
     nearest of these can hold the nearest frame, so only their frames are compared.
     """
@@ -30,13 +32,19 @@ def nearest_frame(places: DataFrame, frames: DataFrame, key: list[str]) -> DataF
     best = F.min(F.struct(far.alias("d"), "frame_idx")).alias("best")
     keys = ["run_id", *key]
     rim = F.least(geo.M_PER_DEG_LAT * F.lit(CELL_DEG), geo.m_per_deg_lon(F.col("lat")) * CELL_DEG) * 0.99
-    close = places.withColumn("_c", around).select("*", "_c.*").join(f, ["run_id", "cy", "cx"]).groupBy(*keys, "lat", "lon").agg(best).filter(F.col("best.d") <= rim)
+    # metres to the nearest edge of the place's own cell
+    edge = lambda c, m: F.least(F.col(c) - cell(c) * CELL_DEG, (cell(c) + 1) * CELL_DEG - F.col(c)) * m * 0.99
+    rim_own = F.least(edge("lat", geo.M_PER_DEG_LAT), edge("lon", geo.m_per_deg_lon(F.col("lat"))))
+    own = places.withColumns({"cy": cell("lat"), "cx": cell("lon")}).join(f, ["run_id", "cy", "cx"], "left").groupBy(*keys, "lat", "lon").agg(best)
+    own = written(own.withColumn("_final", F.coalesce(F.col("best.d") <= rim_own, F.lit(False))), "own_cell")  # read for what is final and for what is not
+    final, places = own.filter("_final").drop("_final"), own.filter("not _final").drop("_final", "best")
+    close = written(places.withColumn("_c", around).select("*", "_c.*").join(f, ["run_id", "cy", "cx"]).groupBy(*keys, "lat", "lon").agg(best).filter(F.col("best.d") <= rim), "close")
     rest = places.join(close.select(*keys), keys, "left_anti")
     one = f.groupBy("run_id", "cy", "cx").agg(F.min(F.struct("frame_idx", "f_lat", "f_lon")).alias("_f")).select("run_id", "cy", "cx", "_f.f_lat", "_f.f_lon")
     reach = Window.partitionBy(*keys)
     cells = rest.join(one, "run_id").withColumn("_d", far).withColumn("_least", F.min("_d").over(reach)).filter(F.col("_d") <= F.col("_least") + DIAGONAL_M)
     distant = cells.drop("f_lat", "f_lon").join(f, ["run_id", "cy", "cx"]).groupBy(*keys, "lat", "lon").agg(best)
-    return close.unionByName(distant).select(*keys, F.col("best.frame_idx").alias("frame_idx"), F.col("best.d").alias("distance_m"))
+    return final.unionByName(close).unionByName(distant).select(*keys, F.col("best.frame_idx").alias("frame_idx"), F.col("best.d").alias("distance_m"))
 
 
 def at_distance(targets: DataFrame, frames: DataFrame) -> DataFrame:
