@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -425,3 +426,27 @@ def test_the_chain_gives_what_its_steps_give(spark):
     for r in out["absences"].collect():
         made[r.run_id, r.cls] = made.get((r.run_id, r.cls), 0) + 1
     assert {k: v for k, v in gaps.items() if v} == made
+
+
+def test_clouds_of_depth_are_thinned_without_a_shuffle_of_points(spark, monkeypatch):
+    """Clouds thinned in tasks, by a shuffle and by both have the same points; repeated depths and frames of one name count."""
+    cam = {"height_m": 1.35, "vfov_deg": 58.0, "hfov_deg": 90.0, "pitch_offset_frac": 0.02, "max_range_m": 60.0}
+    image = {"across": 16, "down": 9, "width": 1280, "height": 720, "cam": cam}
+    frames = spark.sql("SELECT r AS run_id, lpad(f, 3, '0') AS frame_id, 12.97 + f * 1e-5 AS lat, 77.59 + r * 1e-5 + f * 5e-5 AS lon, 80.0D + f AS heading_deg FROM (SELECT explode(sequence(1L, 4L)) AS r) CROSS JOIN (SELECT explode(sequence(1L, 9L)) AS f) WHERE f <= r * 3")
+    frames = frames.unionByName(frames.filter("run_id = 2 AND frame_id = '002'").withColumn("lat", F.col("lat") + 1e-4))
+    cells = spark.range(144).select(F.floor(F.col("id") / 16).alias("y"), (F.col("id") % 16).alias("x"))
+    maps = frames.dropDuplicates(["run_id", "frame_id"]).crossJoin(cells).select("run_id", "frame_id", "y", "x", ((F.col("y") * 2 + 1) * 0.01 + (F.col("x") * 3 + F.col("run_id")) % 11 * 0.001).alias("d"))
+    maps = maps.unionByName(maps.filter("run_id = 3 AND y = 7").withColumn("d", F.col("d") + 0.003)).unionByName(maps.filter("y = 6").withColumn("d", F.lit(None).cast("double")))
+    rows = lambda **k: sorted(map(tuple, depth.depth_cloud(maps, frames, (12.97, 77.59), **image, stride=40, budget=700).select("run_id", "frame_id", "u", "v", "x", "y", "z").collect()))
+    in_tasks = depth.depth_cloud(maps, frames, (12.97, 77.59), **image, stride=40, budget=700)
+    assert "rangepartitioning" not in in_tasks._jdf.queryExecution().toString()
+    got = sorted(map(tuple, in_tasks.collect()))
+    counts = Counter(r[0] for r in got)
+    assert set(counts) == {1, 2, 3, 4} and max(counts.values()) <= 700
+    for held in (0, 2500):
+        monkeypatch.setattr(depth, "HELD", held)
+        assert rows() == got
+    fits = depth.depth_scales(maps, **image)
+    points = depth.frame_points(maps, fits, frames, (12.97, 77.59), **image, stride=40)
+    few = depth.depth_cloud(maps, frames, (12.97, 77.59), **image, stride=40, budget=10**6)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, points.collect()))
