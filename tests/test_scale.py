@@ -111,3 +111,22 @@ def test_runs_of_appended_detections_share_folders(spark, tmp_path):
     got = spark.read.json(out)
     assert sorted(r.run_id for r in got.collect()) == list(range(1000))
     assert got.filter(F.col("folder") != live.folder_of(F.col("run_id"))).count() == 0
+
+
+def test_rows_of_masks_are_sorted_once(spark):
+    """Rows of masks have their spans from one sort and no table of all rows; as counted pixel by pixel."""
+    import random
+
+    rnd = random.Random(5)
+    runs = [(f, r, a, a + rnd.randrange(9)) for f in range(6) for r in range(20) for a in (rnd.randrange(60) for _ in range(rnd.randrange(1, 7)))]
+    got = zone.row_spans(spark.createDataFrame(runs, "frame long, row_no long, col_start long, col_end long"))
+    executed = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in executed
+    want = {}
+    for f, r, a, b in runs:
+        want.setdefault((f, r), set()).update(range(a, b + 1))
+    literal = []
+    for (f, r), px in want.items():
+        longest = max(next(n for n in range(1, 99) if p + n not in px) for p in px)
+        literal.append((f, r, min(px), max(px), max(px) - min(px) + 1, longest, len(px)))
+    assert sorted(map(tuple, got.collect())) == sorted(literal)

@@ -76,17 +76,23 @@ def gate(detections: DataFrame, rules: DataFrame, polygons: DataFrame, width: in
 
 
 def row_spans(runs: DataFrame) -> DataFrame:
-    """For each row of a mask its extent, longest free run and pixels. Runs that touch count as one."""
+    """For each row of a mask its extent, longest free run and pixels. Runs that touch count as one.
+
+    Runs are sorted once by row and column, and all else follows from what is before each: a task holds the sort, which may
+    spill, and a row of a mask, but no table of all rows. A run without both ends adds no pixels.
+    """
     row = [*frame_key(runs), "row_no"]
     w = Window.partitionBy(*row).orderBy("col_start", "col_end")
-    reach = F.max("col_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    joined = runs.withColumn("_reach", reach)
-    islands = joined.withColumn("_i", F.sum(F.when(F.coalesce(F.col("col_start") > F.col("_reach") + 1, F.lit(True)), 1).otherwise(0)).over(w))
-    one = islands.groupBy(*row, "_i").agg(F.min("col_start").alias("a"), F.max("col_end").alias("b"))
-    return one.groupBy(*row).agg(
-        F.min("a").alias("left_px"), F.max("b").alias("right_px"), (F.max("b") - F.min("a") + 1).alias("span_px"),
-        F.max(F.col("b") - F.col("a") + 1).alias("free_px"), F.sum(F.col("b") - F.col("a") + 1).alias("pixels"),
+    now = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = runs.withColumn("_reach", F.max("col_end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.coalesce(F.col("col_start") > F.col("_reach") + 1, F.lit(True))
+    added = F.when(new, F.col("col_end") - F.col("col_start") + 1).otherwise(F.greatest(F.lit(0), F.col("col_end") - F.col("_reach")))
+    summed = reached.select(
+        *row, F.greatest("_reach", "col_end").alias("_end"), "col_start", "col_end", F.last(F.when(new, F.col("col_start")), ignorenulls=True).over(now).alias("_start"),
+        F.min("col_start").over(now).alias("left_px"), F.max("col_end").over(now).alias("right_px"), F.sum(added).over(now).alias("pixels"), F.lead(F.lit(1)).over(w).isNull().alias("_last"),
     )
+    free = F.max(F.col("_end") - F.col("_start") + 1).over(now)
+    return summed.withColumn("free_px", free).filter("_last").select(*row, "left_px", "right_px", (F.col("right_px") - F.col("left_px") + 1).alias("span_px"), "free_px", "pixels")
 
 
 def coverage(runs: DataFrame, width: int, height: int) -> DataFrame:
