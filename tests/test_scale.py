@@ -130,3 +130,26 @@ def test_rows_of_masks_are_sorted_once(spark):
         longest = max(next(n for n in range(1, 99) if p + n not in px) for p in px)
         literal.append((f, r, min(px), max(px), max(px) - min(px) + 1, longest, len(px)))
     assert sorted(map(tuple, got.collect())) == sorted(literal)
+
+
+def test_tracks_pass_through_the_kernel_and_are_not_joined_back(spark):
+    from wayside.operators.findings import build_tracks
+
+    seen = [(1, "pothole", f, s, (10.0, 500.0, 90.0, 560.0), "x") for f, s in ((0, 5), (1, 6), (1, 6), (9, 7))]
+    df = spark.createDataFrame(seen, "run_id long, cls string, frame_idx long, det_seq long, box struct<x1:double,y1:double,x2:double,y2:double>, more string")
+    tracks = build_tracks(df)
+    assert sorted((r.det_seq, r.more) for r in tracks.collect()) == [(5, "x"), (6, "x"), (6, "x"), (7, "x")]
+    assert "Join" not in plan(tracks)
+
+
+def test_confidence_is_summed_in_order_of_the_evidence(spark):
+    from wayside.operators.findings import roll_up
+
+    conf = [0.1, 0.7, 1e16, -1e16, 0.2]
+    rows = [(1, "crack", 0, 0, i, i, f"{i:05}", None, 3, conf[i], 1.0, 2.0, None, float(i)) for i in (3, 1, 4, 0, 2)]
+    kinds = "run_id long, cls string, cluster long, part int, frame_idx long, det_seq long, frame_id string, box struct<x1:double,y1:double,x2:double,y2:double>, severity int, confidence double, lat double, lon double, range_m double, t_sec double"
+    names = spark.createDataFrame([("crack", "Crack", "point", 0)], "cls string, label string, geometry string, ord int")
+    mean = (((0.1 + 0.7) + 1e16) - 1e16 + 0.2) / 5
+    found = roll_up(spark.createDataFrame(rows, kinds), names).collect()
+    assert [r.confidence for r in found] == [round(mean, 3)]
+    assert [e.frame_idx for e in found[0].evidence] == [0, 1, 2, 3, 4]

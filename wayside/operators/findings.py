@@ -7,8 +7,10 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayside.functions import boxes, geo
 from wayside.operators.localize import camera_columns
@@ -76,27 +78,33 @@ def build_tracks(detections: DataFrame) -> DataFrame:
 
     A sighting joins a track of its class and run at most two frames after the track's last. Where
     three frames or more pass without one, no track can cross, so such islands are separate groups
-    and a run is never one task. Within an island sightings are taken in order.
+    and a run is never one task. Within an island sightings are taken in order. Rows keep all their
+    columns on the way through the kernel, so nothing is joined back; rows without run_id or det_seq go.
     """
     keys = ["run_id", "cls"]
     w = Window.partitionBy(*keys).orderBy("frame_idx", "det_seq")
     gap = F.col("frame_idx") - F.lag("frame_idx").over(w)
-    split = _islands(detections.withColumn("_gap", gap), keys, F.coalesce(F.col("_gap") > MAX_GAP, F.lit(True)), ["frame_idx", "det_seq"]).drop("_gap")
-    small = split.select(*keys, "island", "frame_idx", "det_seq", *[F.col(f"box.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    known = detections.filter("run_id is not null and det_seq is not null")
+    split = _islands(known.withColumn("_gap", gap), keys, F.coalesce(F.col("_gap") > MAX_GAP, F.lit(True)), ["frame_idx", "det_seq"]).drop("_gap")
+    columns = ["run_id", "det_seq", *[c for c in detections.columns if c not in ("run_id", "det_seq")]]
+    schema = T.StructType([*detections.select(columns).schema, T.StructField("track", T.LongType())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, last = [], None
         for batch in batches:
             tracks = []
-            for *island, frame, seq, x1, y1, x2, y2 in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if island != last:
-                    state, last = [], island
-                tracks.append(extend_tracks(state, frame, seq, (x1, y1, x2, y2)))
-            yield pa.RecordBatch.from_pydict({"run_id": batch.column("run_id"), "det_seq": batch.column("det_seq"), "track": pa.array(tracks, pa.int64())})
+            box = batch.column("box")
+            corners = [pc.struct_field(box, c).to_pylist() for c in ("x1", "y1", "x2", "y2")]
+            order = [batch.column(c).to_pylist() for c in ("run_id", "cls", "island", "frame_idx", "det_seq")]
+            for run_id, cls, own, frame, seq, *xyxy in zip(*order, *corners, strict=True):
+                if (run_id, cls, own) != last:
+                    state, last = [], (run_id, cls, own)
+                tracks.append(extend_tracks(state, frame, seq, xyxy))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(tracks, pa.int64())], [*columns, "track"])
 
     # islands follow each other in a task, so the kernel holds the open tracks of one
-    dealt = small.repartition(*keys, "island").sortWithinPartitions(*keys, "island", "frame_idx", "det_seq")
-    return detections.join(dealt.mapInArrow(kernel, "run_id long, det_seq long, track long"), ["run_id", "det_seq"])
+    dealt = split.repartition(*keys, "island").sortWithinPartitions(*keys, "island", "frame_idx", "det_seq")
+    return dealt.mapInArrow(kernel, schema)
 
 
 def _merge(rows: list[dict]) -> list[tuple[int, int, int]]:
@@ -172,9 +180,8 @@ def merge_tracks(tracked: DataFrame, taxonomy: DataFrame) -> DataFrame:
     tracks = tracked.groupBy("run_id", "cls", "track").agg(
         F.min("t_sec").alias("t_first"), F.min("lat").alias("lo"), F.max("lat").alias("hi"),
         F.min("lon").alias("west"), F.max("lon").alias("east"),
-        F.expr("transform(array_sort(collect_list(struct(det_seq, lat))), x -> x.lat)").alias("lats"),
-        F.expr("transform(array_sort(collect_list(struct(det_seq, lon))), x -> x.lon)").alias("lons"),
-    )
+        F.array_sort(F.collect_list(F.struct("det_seq", "lat", "lon"))).alias("_at"),
+    ).withColumns({"lats": F.col("_at.lat"), "lons": F.col("_at.lon")}).drop("_at")
     placed = tracks.filter("lo is not null").join(F.broadcast(taxonomy.select("cls", F.col("cluster_radius_m").alias("radius"))), "cls")
     south = _placed_islands(placed, ["run_id", "cls"], "lo", "hi", (F.col("lo") - F.col("_reach")) * SPHERE_M_PER_DEG)
     band = Window.partitionBy("run_id", "cls", "island")
@@ -195,12 +202,13 @@ def triangulate(rays: DataFrame, keys: list[str]) -> DataFrame:
     """Least-squares meeting point of bearing rays (keys, lat, lon, bearing) of each group.
 
     Returns t_lat, t_lon, residual_m, parallax_deg, n_rays, with nulls for fewer than two rays,
-    parallel ones, and points behind a camera.
+    parallel ones, and points behind a camera. Most groups are single rays: nothing is summed for these.
     """
     groups = rays.groupBy(*keys).agg(
         F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"), F.count(F.lit(1)).alias("n_rays"),
         F.collect_list(F.struct("lat", "lon", "bearing")).alias("rays"),
     )
+    groups = groups.withColumn("rays", F.when(F.col("n_rays") >= 2, F.col("rays")))
     lat0, lon0, listed = F.col("lat0"), F.col("lon0"), F.col("rays")
     ne, nn = (lambda r: F.cos(F.radians(r["bearing"]))), (lambda r: -F.sin(F.radians(r["bearing"])))
     e, n = (lambda r: geo.local_east(r["lon"], lat0, lon0)), (lambda r: geo.local_north(r["lat"], lat0))
@@ -229,6 +237,13 @@ def triangulate(rays: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _median(listed: str) -> Column:
+    """The median of an array's numbers, null where it has none."""
+    n, s = F.size(F.array_compact(listed)), F.array_sort(F.array_compact(listed))
+    at = lambda i: F.get(s, F.floor(i / 2).cast("int")).cast("double")
+    return F.when(F.size(listed) == 1, F.get(listed, F.lit(0)).cast("double")).when(n > 0, (at(n - 1) + at(n)) / 2)
+
+
 def roll_up(clustered: DataFrame, taxonomy: DataFrame, fixes: DataFrame | None = None, min_parallax_deg: float = 8.0, max_residual_m: float = 4.0) -> DataFrame:
     """Findings from clustered sightings.
 
@@ -237,11 +252,17 @@ def roll_up(clustered: DataFrame, taxonomy: DataFrame, fixes: DataFrame | None =
     ``evidence`` lists sightings in track order. Ids count findings of a run by the time of the
     first sighting, then class and track.
     """
-    found = clustered.groupBy("run_id", "cls", "cluster").agg(
-        F.median("lat").alias("m_lat"), F.median("lon").alias("m_lon"), F.bround(F.median("severity"), 0).cast("int").alias("severity"),
-        F.avg("confidence").alias("mean_conf"), F.count(F.lit(1)).alias("n_evidence"), F.min("t_sec").alias("t_sec"),
-        F.min(F.struct("part", "frame_idx", "det_seq", "t_sec"))["t_sec"].alias("t_first"),
-        F.array_sort(F.collect_list(F.struct("part", "frame_idx", "det_seq", "frame_id", "box", "severity", "confidence", "lat", "lon", "range_m"))).alias("evidence"),
+    # one list for each cluster: most hold a single sighting, whose medians need no sorting
+    fields = ["part", "frame_idx", "det_seq", "frame_id", "box", "severity", "confidence", "lat", "lon", "range_m"]
+    listed = clustered.groupBy("run_id", "cls", "cluster").agg(F.collect_list(F.struct(*fields, "t_sec")).alias("_all"))
+    one = F.size("_all") == 1
+    listed = listed.withColumn("_all", F.when(one, F.col("_all")).otherwise(F.array_sort("_all")))
+    conf = F.array_compact("_all.confidence")
+    mean = F.when(one, F.get("_all.confidence", F.lit(0))).when(F.size(conf) > 0, F.aggregate(conf, F.lit(0.0), lambda a, x: a + x) / F.size(conf))
+    found = listed.select(
+        "run_id", "cls", "cluster", _median("_all.lat").alias("m_lat"), _median("_all.lon").alias("m_lon"), F.bround(_median("_all.severity"), 0).cast("int").alias("severity"),
+        mean.alias("mean_conf"), F.size("_all").cast("long").alias("n_evidence"), F.array_min("_all.t_sec").alias("t_sec"), F.get("_all.t_sec", F.lit(0)).alias("t_first"),
+        F.transform("_all", lambda x: x.dropFields("t_sec")).alias("evidence"),
     )
     if fixes is None:
         nulls = {c: F.lit(None).cast("double") for c in ("t_lat", "t_lon", "residual_m", "parallax_deg")}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayside.fixtures import oracle, view
 from wayside.functions import boxes, text
-from wayside.operators import cloud, csvio, evaluate, export, findings, perception, route, score, validate, zone
+from wayside.operators import cloud, csvio, evaluate, export, findings, localize, perception, route, score, validate, zone
 from wayside.plans import core
 from wayside.plans.further import sql_thinned
 from wayside.sources.sinks import written
@@ -119,8 +119,10 @@ E21_SQL = f"""WITH {PARSED} SELECT run_id, count(*) AS rows, count(*) FILTER (tt
 
 
 def exported(s, d):
-    r = findings.cluster_detections(core.localized(s, d), core.frames(s, d), view(s, d, "fx_taxonomy"))
-    return csvio.export_findings(r, route.chainage(core.frames(s, d)), "https://example.org/")
+    along = written(route.chainage(core.frames(s, d)), "frames")
+    placed = localize.localize(core.detections(s, d), along, view(s, d, "fx_taxonomy"), core.CAM)
+    r = findings.cluster_detections(placed, along, view(s, d, "fx_taxonomy"))
+    return csvio.export_findings(r, along, "https://example.org/")
 
 
 def masks(s, d):
