@@ -142,6 +142,16 @@ def test_tracks_pass_through_the_kernel_and_are_not_joined_back(spark):
     assert "Join" not in plan(tracks)
 
 
+def test_folds_go_through_runs_in_a_task(spark):
+    from wayside.operators.route import segment_cuts
+
+    along = spark.range(3000).selectExpr("id % 500 AS run_id", "id div 500 AS frame_idx", "(id div 500) * 12.0D AS cum_m")
+    cuts = segment_cuts(along, 20.0, along)
+    assert "FlatMapGroups" not in plan(cuts)
+    rows = {(r.run_id, r.frame_idx) for r in cuts.collect()}
+    assert rows == {(run, frame) for run in range(500) for frame in (0, 2, 4, 5)}
+
+
 def test_confidence_is_summed_in_order_of_the_evidence(spark):
     from wayside.operators.findings import roll_up
 

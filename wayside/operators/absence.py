@@ -47,14 +47,14 @@ def nearest_frame(places: DataFrame, frames: DataFrame, key: list[str]) -> DataF
     return final.unionByName(close).unionByName(distant).select(*keys, F.col("best.frame_idx").alias("frame_idx"), F.col("best.d").alias("distance_m"))
 
 
-def at_distance(targets: DataFrame, frames: DataFrame) -> DataFrame:
+def at_distance(targets: DataFrame, frames: DataFrame, along: DataFrame | None = None) -> DataFrame:
     """``targets`` (run_id, target_m, ...) with the place that far along the run and its frame.
 
     Clamped to the ends. Frames' stretches are cut into buckets of 100 m, so the range join has an
-    equal key besides the run.
+    equal key besides the run. ``along`` is the frames' chainage, where it is known.
     """
     w = Window.partitionBy("run_id").orderBy("frame_idx")
-    c = chainage(frames).select("run_id", "frame_idx", "lat", "lon", "cum_m")
+    c = (chainage(frames) if along is None else along).select("run_id", "frame_idx", "lat", "lon", "cum_m")
     here = F.struct("frame_idx", "lat", "lon", "cum_m")
     legs = c.withColumn("hi", here).withColumn("lo", F.lag(here).over(w)).filter("lo is not null").select("run_id", "lo", "hi")
     bucket = lambda x: F.floor(x / CHAINAGE_BUCKET_M)
@@ -69,16 +69,16 @@ def at_distance(targets: DataFrame, frames: DataFrame) -> DataFrame:
     return hit.select(*targets.columns, lerp("lat").alias("lat"), lerp("lon").alias("lon"), frame.alias("frame_idx"))
 
 
-def absence_gaps(frames: DataFrame, findings: DataFrame, rules: DataFrame, detectable: list[str] | None = None, by_run: DataFrame | None = None) -> DataFrame:
+def absence_gaps(frames: DataFrame, findings: DataFrame, rules: DataFrame, detectable: list[str] | None = None, by_run: DataFrame | None = None, along: DataFrame | None = None) -> DataFrame:
     """Gaps of at least min_gap_m between sightings of each rule's asset along each run.
 
     The run's two ends stand as sightings; without any other the whole run is one gap. Runs of one
     frame have none. ``detectable`` leaves out rules whose asset no run's model can see; ``by_run`` (run_id, absence_key,
-    detectable; see ``checks.rules_by_run``) leaves out those that a run's own model can't.
+    detectable; see ``checks.rules_by_run``) leaves out those that a run's own model can't. ``along`` is the frames' chainage, where it is known.
     """
     if detectable is not None:
         rules = rules.filter(F.col("asset").isin(detectable))
-    c = chainage(frames).select("run_id", "frame_idx", "cum_m")
+    c = (chainage(frames) if along is None else along).select("run_id", "frame_idx", "cum_m")
     total = c.groupBy("run_id").agg(F.max("cum_m").alias("total_m"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     every = total.crossJoin(F.broadcast(rules))
     if by_run is not None:
@@ -93,7 +93,7 @@ def absence_gaps(frames: DataFrame, findings: DataFrame, rules: DataFrame, detec
         seen.unionByName(ends).withColumn("start_m", F.lag("at").over(w)).withColumn("any_asset", F.max("_real").over(Window.partitionBy("run_id", "rule_ord")) == 1)
         .filter("at - start_m >= min_gap_m").withColumnRenamed("at", "end_m").drop("_real")
     )
-    return at_distance(gaps.withColumn("target_m", (F.col("start_m") + F.col("end_m")) / 2), frames)
+    return at_distance(gaps.withColumn("target_m", (F.col("start_m") + F.col("end_m")) / 2), frames, along)
 
 
 def infer_absences(gaps: DataFrame, frames: DataFrame) -> DataFrame:
@@ -110,9 +110,9 @@ def infer_absences(gaps: DataFrame, frames: DataFrame) -> DataFrame:
     )
 
 
-def coverage_report(frames: DataFrame, findings: DataFrame, absences: DataFrame, rules: DataFrame) -> DataFrame:
-    """For each run and rule: assets found, gaps, route length, assets for each km."""
-    route = chainage(frames).groupBy("run_id").agg(F.max("cum_m").alias("_m"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+def coverage_report(frames: DataFrame, findings: DataFrame, absences: DataFrame, rules: DataFrame, along: DataFrame | None = None) -> DataFrame:
+    """For each run and rule: assets found, gaps, route length, assets for each km. ``along`` is the frames' chainage, where it is known."""
+    route = (chainage(frames) if along is None else along).groupBy("run_id").agg(F.max("cum_m").alias("_m"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     every = route.crossJoin(F.broadcast(rules))
     count = lambda df, name: df.groupBy("run_id", "cls").agg(F.count(F.lit(1)).alias(name))
     a, g = count(findings, "found").withColumnRenamed("cls", "asset"), count(absences, "gaps").withColumnRenamed("cls", "absence_key")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayside.functions import geo
+from wayside.operators.grouped import BATCH
 from wayside.sources.sinks import written
 
 #: Seconds of a bucket of the as-of join, frames of a bucket of running sums: a long run is many
@@ -168,12 +173,29 @@ def _first_bearings(i: np.ndarray, n: int, lat: np.ndarray, lon: np.ndarray, row
 
 
 def _fold(df: DataFrame, schema: str, kernel) -> DataFrame:
-    """Apply an order-dependent kernel to each run, sorted by frame_idx."""
+    """Apply an order-dependent kernel to each run, sorted by frame_idx.
 
-    def run(rows: pa.Table) -> pa.Table:
-        return kernel(rows.sort_by("frame_idx"))
+    Runs follow each other in a task, which holds one of them: a call of Spark's for each would cost more than its work.
+    """
 
-    return df.groupBy("run_id").applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own, done = [], None, []
+        for batch in batches:
+            for start, stop in pairwise([0, *pc.run_end_encode(batch.column("run_id")).run_ends.to_pylist()]):
+                if held and batch.column("run_id")[start].as_py() != own:
+                    done.append(kernel(pa.Table.from_batches(held)))
+                    held = []
+                    if sum(t.num_rows for t in done) >= BATCH:
+                        yield from pa.concat_tables(done).combine_chunks().to_batches()
+                        done = []
+                own = batch.column("run_id")[start].as_py()
+                held.append(batch.slice(start, stop - start))
+        if held:
+            done.append(kernel(pa.Table.from_batches(held)))
+        if done:
+            yield from pa.concat_tables(done).combine_chunks().to_batches()
+
+    return df.repartition("run_id").sortWithinPartitions("run_id", "frame_idx").mapInArrow(run, schema)
 
 
 def _distances(lat1, lon1, lat2, lon2):
