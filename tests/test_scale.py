@@ -163,3 +163,15 @@ def test_confidence_is_summed_in_order_of_the_evidence(spark):
     found = roll_up(spark.createDataFrame(rows, kinds), names).collect()
     assert [r.confidence for r in found] == [round(mean, 3)]
     assert [e.frame_idx for e in found[0].evidence] == [0, 1, 2, 3, 4]
+
+
+def test_tours_find_their_stops_once(spark):
+    from wayside.operators import mapdoc
+
+    frames = spark.createDataFrame([(1, i, 1.0 + i, 2.0) for i in (2, 0, 1)], "run_id long, frame_idx long, lat double, lon double")
+    found = spark.createDataFrame([(1, f"f-{i}", i, float(i), 1.0, 2.0) for i in range(4)], "run_id long, finding_id string, severity int, t_sec double, lat double, lon double")
+    lines = mapdoc.tour_lines(found, frames, 2)
+    assert "Window" not in plan(lines) and "SortAggregate" not in plan(lines)
+    rows = sorted((r.item, r.step, r.line) for r in lines.collect())
+    assert [r[:2] for r in rows] == [(0, 0), (1, 0), (1, 1), (1, 2), (3, 0)]
+    assert "<latitude>1.00000000</latitude>" in rows[1][2]

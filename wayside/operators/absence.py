@@ -59,7 +59,9 @@ def at_distance(targets: DataFrame, frames: DataFrame, along: DataFrame | None =
     legs = c.withColumn("hi", here).withColumn("lo", F.lag(here).over(w)).filter("lo is not null").select("run_id", "lo", "hi")
     bucket = lambda x: F.floor(x / CHAINAGE_BUCKET_M)
     spread = legs.withColumn("_b", F.explode(F.sequence(bucket(F.col("lo.cum_m")), bucket(F.col("hi.cum_m")))))
-    ends = c.groupBy("run_id").agg(F.min(F.struct("frame_idx", "lat", "lon", "cum_m")).alias("first"), F.max(F.struct("frame_idx", "lat", "lon", "cum_m")).alias("last"))
+    # numbers by themselves are summed up in a hash table, structs would have to be sorted
+    end = lambda idx, by, name: F.struct(idx("frame_idx").alias("frame_idx"), *[by(n, "frame_idx").alias(n) for n in ("lat", "lon", "cum_m")]).alias(name)
+    ends = c.groupBy("run_id").agg(end(F.min, F.min_by, "first"), end(F.max, F.max_by, "last"))
     t = targets.join(ends, "run_id").withColumn("_b", bucket(F.col("target_m")))
     hit = t.join(spread.withColumnRenamed("run_id", "_run"), (F.col("run_id") == F.col("_run")) & (t["_b"] == spread["_b"]) & (F.col("target_m") > F.col("lo.cum_m")) & (F.col("target_m") <= F.col("hi.cum_m")), "left")
     f = (F.col("target_m") - F.col("lo.cum_m")) / (F.col("hi.cum_m") - F.col("lo.cum_m"))
@@ -123,8 +125,8 @@ def coverage_report(frames: DataFrame, findings: DataFrame, absences: DataFrame,
     )
 
 
-def gap_polyline(gaps: DataFrame, frames: DataFrame, steps: int = 12) -> DataFrame:
-    """``steps`` + 1 places along each gap (run_id, rule_ord, start_m, step)."""
+def gap_polyline(gaps: DataFrame, frames: DataFrame, steps: int = 12, along: DataFrame | None = None) -> DataFrame:
+    """``steps`` + 1 places along each gap (run_id, rule_ord, start_m, step). ``along`` is the frames' chainage, where it is known."""
     points = gaps.select("run_id", "rule_ord", "start_m", "end_m", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
-    along = F.col("start_m") + (F.col("end_m") - F.col("start_m")) * F.col("step") / steps
-    return at_distance(points.withColumn("target_m", along), frames)
+    target = F.col("start_m") + (F.col("end_m") - F.col("start_m")) * F.col("step") / steps
+    return at_distance(points.withColumn("target_m", target), frames, along)

@@ -109,8 +109,8 @@ def look_at(lat: str, lon: str, far_m: int, tilt: int) -> Column:
 
 def tour_lines(findings: DataFrame, frames: DataFrame, k: int = 40) -> DataFrame:
     """A flight over the ``k`` worst findings in order of the route, from a look at its beginning."""
-    stops = tour_stops(findings, k).filter("stop > 0")
-    starts = frames.groupBy("run_id").agg(F.min_by(F.struct("lat", "lon"), "frame_idx").alias("p")).select("run_id", "p.*")
+    stops = written(tour_stops(findings, k).filter("stop > 0").drop("finding_id"), "stops")  # at most k for each run, read for each kind of line
+    starts = frames.groupBy("run_id").agg(*[F.min_by(c, "frame_idx").alias(c) for c in ("lat", "lon")])
     fly = lambda seconds, mode, view: F.concat(F.lit(f"<gx:FlyTo><gx:duration>{seconds}</gx:duration><gx:flyToMode>{mode}</gx:flyToMode>"), view, F.lit("</gx:FlyTo>"))
     runs = stops.select("run_id").distinct()
     ahead = starts.join(runs, "run_id", "left_semi").select(*_row(TOUR, FIRST, 0, fly(3, "bounce", look_at("lat", "lon", 400, 55))))
