@@ -454,6 +454,32 @@ def test_words_outside_the_vocabulary_have_their_share(spark, monkeypatch):
     assert lm.classes_for(lm.FREQUENT) == lm.CLASSES and lm.classes_for(10_000) == 102
 
 
+def test_words_of_many_texts_are_looked_up_as_one_by_one(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "FOR_EACH", 0)
+    monkeypatch.setattr(lm, "BUNDLE", 60)
+    rnd = random.Random(8)
+    parts = ["Alpha", "beta", "\u00c9t\u00e9", "x\x1cy", "z\x85w", "q\u00a0r", "\x00", "L" * 64, "M" * 65, "m" * 65 + "\u00c9", " ", "\t", "\x0b\x0c", "\r\n"]
+    texts = [None, "", " ", "\n a", "a ", *(rnd.choice(["", " "]).join(rnd.choices(parts, k=rnd.randrange(12))) for _ in range(300)), None]
+    frequent = [b"beta", b"a", b"alpha"]
+    ids = lm.Ids(frequent)
+    for kind in (pa.string(), pa.large_string()):
+        for column in (pa.array(texts, kind), pa.array(texts, kind)[7:90], pa.array(texts, kind)[:0]):
+            codes, unknown, words = [], [], []
+            for bundle in lm.bundles_for(column, pa.array(frequent)):
+                found, ends = lm.words_in(bundle)
+                at, keys, new = lm.look_up(found, pa.array(frequent), lm.FREQUENT)
+                assert len(ends) == len(bundle) and new.sum() == len(keys)
+                codes += [x.tolist() for x in np.split(at, ends[:-1])]
+                unknown += keys.to_pylist()
+                words += lm.keys_of(found).to_pylist()
+            want = [lm.words_of(t or "") for t in column.to_pylist()]
+            assert codes == [[ids[w] for w in ws] for ws in want]
+            assert words == [lm.key_of(w) for ws in want for w in ws]
+            assert unknown == [lm.key_of(w) for ws in want for w in ws if w not in frequent]
+
+
 def test_pipeline_equals_brute_force(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

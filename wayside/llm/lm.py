@@ -6,17 +6,17 @@ import hashlib
 import math
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayside.llm.common import bundles, emit_summary, materialise, merge_summaries, table, texts
+from wayside.llm.common import bundles, emit_summary, materialise, merge_summaries, table
 from wayside.llm.frequent import SUMMARY
 
 #: Words seen on each side, size of the hidden layer.
@@ -36,8 +36,11 @@ KNOWN = 1 << 18
 AVERAGED = 1 << 28
 #: Words that a step predicts, its rate, and words that are scored together.
 MINIBATCH, RATE, PIECE = 1 << 14, 0.3, 1 << 14
-#: Bytes of texts whose words are held at once.
-BUNDLE = 1 << 22
+#: Bytes of texts whose words are held at once, and bytes for each word that they are looked up in: each
+#: time a table of these words is built, which so takes a fixed share of the time of looking up.
+BUNDLE, FOR_EACH = 1 << 22, 16
+#: Words that are held until they are counted.
+COUNTED = 1 << 22
 #: Sums of weights whose exponentials are far from the limits of 32-bit numbers, and the least such number.
 SAFE, TINY = 40.0, np.float32(1e-38)
 #: Numbers of a softmax that are held at once, so that they stay in a core's cache.
@@ -83,6 +86,45 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def words_in(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of many texts (``words_of`` of each, null: none), and where each text's words end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    words = lists.flatten().cast(pa.binary())
+    # blanks at either end of a text leave empty strings
+    real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if not real.all():
+        ends, words = np.concatenate([[0], np.cumsum(real)])[ends], words.filter(pa.array(real))
+    return words, ends
+
+
+def keys_of(words: pa.Array) -> pa.Array:
+    """``key_of`` each word."""
+    if (pc.max(pc.binary_length(words)).as_py() or 0) <= LONGEST:
+        return words
+    return pa.array([key_of(w) for w in words.to_numpy(zero_copy_only=False)], pa.binary())
+
+
+def buckets_of(keys: pa.Array) -> np.ndarray:
+    """Each key's bucket, from 0."""
+    return np.fromiter(map(zlib.crc32, keys.to_numpy(zero_copy_only=False)), np.int64, len(keys)) % OTHERS
+
+
+def look_up(words: pa.Array, known: pa.Array, others: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Where each word stands in ``known``, or ``others`` and its bucket; keys of those not known, and which these are."""
+    found = pc.index_in(words, known)
+    unknown = found.is_null().to_numpy(zero_copy_only=False)
+    at = found.fill_null(0).to_numpy().astype(np.int64)
+    keys = keys_of(words.filter(pa.array(unknown)))
+    at[unknown] = others + buckets_of(keys)
+    return at, keys, unknown
+
+
+def bundles_for(column: pa.Array, known: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a column of texts whose words are looked up in ``known``."""
+    return bundles(column, max(BUNDLE, FOR_EACH * len(known)))
+
+
 def windows(texts_of_ids: Iterator[np.ndarray], size: int, edge: int) -> Iterator[np.ndarray]:
     """The texts one after the other, edges before, between and behind them, in stretches.
 
@@ -292,13 +334,13 @@ def train(docs: DataFrame, words: list[bytes], rounds: int = 2, seed: int = 11)
         sent = context.broadcast((parameters, words))
 
         def fit(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            trainer, ids = Trainer(sent.value[0]), Ids(sent.value[1], classes)
+            trainer, known = Trainer(sent.value[0]), pa.array(sent.value[1], pa.binary())
 
             def codes() -> Iterator[np.ndarray]:
                 for batch in batches:
-                    for text in texts(batch.column(0)):
-                        found = words_of(text)
-                        yield np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
+                    for bundle in bundles_for(batch.column(0), known):
+                        found, ends = words_in(bundle)
+                        yield from np.split(look_up(found, known, edge - OTHERS)[0], ends[:-1])
 
             for stream in windows(codes(), MINIBATCH, edge):
                 trainer.step(stream)
@@ -319,18 +361,18 @@ def count_words(docs: DataFrame) -> DataFrame:
     """How often each word occurs in all texts: word (its key), n, level (eight to a doubling of n)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(counts: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(counts, pa.binary()), "n": pa.array(counts.values(), pa.int64())})
+        def rows(words: list[pa.Array]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(pa.chunked_array(words, pa.binary()).value_counts().flatten(), ["word", "n"])
 
-        counts: Counter = Counter()
+        held, have = [], 0
         for batch in batches:
-            for text in texts(batch.column(0)):
-                words = words_of(text or "")
-                counts.update(words if max(map(len, words), default=0) <= LONGEST else map(key_of, words))
-                if len(counts) > 400_000:
-                    yield rows(counts)
-                    counts = Counter()
-        yield rows(counts)
+            for bundle in bundles(batch.column(0), BUNDLE):
+                held.append(keys_of(words_in(bundle)[0]))
+                have += len(held[-1])
+                if have > COUNTED:
+                    yield rows(held)
+                    held, have = [], 0
+        yield rows(held)
 
     counts = docs.select("text").mapInArrow(count, COUNT).groupBy("word").agg(F.sum("n").alias("n"))
     return materialise(counts.withColumn("level", F.floor(F.log2("n") * 8)), "words")
@@ -367,23 +409,6 @@ def vocabulary(counts: DataFrame) -> tuple[list[bytes], list[bytes], np.ndarray,
     return [w for w, _, f in rows if f], [w for w, _ in more], np.array([n for _, n in more], float), buckets
 
 
-class Places(dict):
-    """Where a word's id and share stand: known words in order, then one place for each bucket.
-
-    Words that aren't known are noted in ``rare``, each time they are looked up.
-    """
-
-    def __init__(self, words: list[bytes]):
-        super().__init__({w: i for i, w in enumerate(words)})
-        self.rare: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        if len(word) > LONGEST:
-            word = key_of(word)
-        self.rare.append(word)
-        return len(self) + zlib.crc32(word) % OTHERS
-
-
 #: The logarithms of counts are summed as whole numbers, so that the order of rows doesn't matter.
 UNIT = 1 << 30
 SCORE = T.StructType([
@@ -405,35 +430,28 @@ def scorer(spark, parameters: dict[str, np.ndarray], words: list[bytes], more: l
     def score(text: pa.Array) -> pa.Array:
         p, words, more, counts, buckets = sent.value
         edge = len(p["words"]) - 1
-        places = Places([*words, *more])
-        own_bucket = np.array([zlib.crc32(w) % OTHERS for w in more], np.int64)
+        known = pa.array([*words, *more], pa.binary())
+        own_bucket = buckets_of(known[len(words) :])
+        # of the known words, then of each bucket's others
         id_of = np.concatenate([np.arange(len(words)), edge - OTHERS + own_bucket, np.arange(edge - OTHERS, edge)])
         whole = np.log(np.maximum(buckets, 1))
         share = np.concatenate([np.zeros(len(words)), np.log(counts) - whole[own_bucket], -whole])
-        n_words, sums = np.zeros(len(text), np.int64), np.zeros(len(text))
-        ends = [0]
-        found, row = [], 0
-
-        def codes(bundle: pa.Array) -> Iterator[np.ndarray]:
-            for t in texts(bundle):
-                own = words_of(t or "")
-                at = np.fromiter(map(places.__getitem__, own), np.int64, len(own))
-                found.append(at)
-                ends.append(len(places.rare))
-                yield id_of[at]
-
-        for bundle in bundles(text, BUNDLE):
+        n_words, sums, n_rare, rare = [np.empty(0, np.int64)], [np.empty(0)], [np.zeros(1, np.int64)], []
+        for bundle in bundles_for(text, known):
+            found, ends = words_in(bundle)
+            at, keys, unknown = look_up(found, known, len(known))
+            size = np.diff(ends, prepend=0)
+            owner = np.repeat(np.arange(len(bundle)), size)
             # each stretch without its last places, which the next one begins with
-            values = [log_probabilities(p, stream)[SIDE:-SIDE] for stream in windows(codes(bundle), PIECE, edge)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            at = np.concatenate([np.empty(0, np.int64), *found])
-            owner = np.repeat(np.arange(len(found)), size)
+            values = [log_probabilities(p, stream)[SIDE:-SIDE] for stream in windows(np.split(id_of[at], ends[:-1]), PIECE, edge)]
             values = np.concatenate([np.empty(0), *values])[np.arange(len(at)) + SIDE * owner] + share[at]
-            sums[row : row + len(found)] = np.bincount(owner, values, len(found))
-            n_words[row : row + len(found)] = size
-            row += len(found)
-            found.clear()
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places.rare, pa.binary()))
+            sums.append(np.bincount(owner, values, len(bundle)))
+            n_words.append(size)
+            n_rare.append(np.bincount(owner[unknown], minlength=len(bundle)))
+            rare.append(keys)
+        ends = pa.array(np.cumsum(np.concatenate(n_rare)), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.chunked_array(rare, pa.binary()).combine_chunks())
+        n_words, sums = np.concatenate(n_words), np.concatenate(sums)
         return pa.StructArray.from_arrays([pa.array(n_words), pa.array(sums), lists], ["n_words", "log_probability", "rare"])
 
     return score
