@@ -400,6 +400,27 @@ def test_gradients_equal_differences(monkeypatch):
         assert abs((trainer.p[name][at] - p[name][at]) - 1e-3 * slope / math.sqrt(1 + slope * slope)) < 2e-6 + 1e-4 * 1e-3 * abs(slope)
 
 
+def test_small_classes_together_have_the_gradients_of_each(monkeypatch):
+    rnd = np.random.default_rng(6)
+    for classes, cached in ((9, 40), (9, 400), (30, 4000)):
+        monkeypatch.setattr(lm, "CACHED", cached)
+        cls = np.sort(rnd.choice([0, 0, 0, 1, 2, 4, classes - 1], 60))
+        place, h = rnd.integers(0, classes, 60), rnd.normal(0, 1, (60, lm.HIDDEN + 1))
+        weights = rnd.normal(0, 1, (classes, lm.HIDDEN + 1, classes))
+        seen = []
+        for safe in (True, False):
+            for own, groups in lm.stretches(cls, classes):
+                assert len(groups) == 1 or (own.stop - own.start) * classes <= cached
+                dh, want = np.zeros((own.stop - own.start, lm.HIDDEN)), np.zeros((own.stop - own.start, lm.HIDDEN))
+                found = lm.backward_of(h[own], weights, groups, place[own], safe, dh)
+                for (c, part), gradient in zip(groups, found, strict=True):
+                    assert (cls[own][part] == c).all()
+                    seen += [c] * (part.stop - part.start)
+                    assert np.allclose(gradient, lm.backward(h[own][part], weights[c], place[own][part], safe, want[part]))
+                assert np.allclose(dh, want)
+        assert seen == [*cls, *cls]
+
+
 def test_every_text_trains_in_one_round(spark):
     # texts of under 8 words train too, and so do their last words, whose right-hand neighbour is the edge
     docs = spark.createDataFrame([(i, f"alpha beta gamma {i}", "en", "a", 16) for i in range(40)], DOCS)

@@ -163,12 +163,11 @@ def bounded(weights: np.ndarray) -> bool:
     return bool(np.abs(weights).sum(axis=-2).max() < SAFE)
 
 
-def exponentials(h: np.ndarray, weights: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers in proportion to the softmax of ``h @ weights``, and their sum in each row.
+def exponentials(x: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in proportion to the softmax of ``x``, in its place, and their sum in each row.
 
-    Unless the weights are ``safe``, each row's greatest value is taken off first.
+    Unless what made ``x`` is ``safe``, each row's greatest value is taken off first.
     """
-    x = h @ weights
     if not safe:
         x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
@@ -179,7 +178,7 @@ def log_probability_of(h: np.ndarray, weights: np.ndarray, at: np.ndarray, safe:
     """The logarithm of each row's softmax at one place."""
     out = np.empty(len(h), h.dtype)
     for own in pieces(h, weights):
-        x, total = exponentials(h[own], weights, safe)
+        x, total = exponentials(h[own] @ weights, safe)
         there = x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at[own]]
         out[own] = np.log(np.maximum(there, TINY)) - np.log(total)
     return out
@@ -189,7 +188,7 @@ def backward(h: np.ndarray, weights: np.ndarray, at: np.ndarray, safe: bool, dh:
     """The gradient of the summed log-probabilities by the weights; that by ``h`` is added to ``dh``."""
     gradient = None
     for own in pieces(h, weights):
-        x, total = exponentials(h[own], weights, safe)
+        x, total = exponentials(h[own] @ weights, safe)
         x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at[own]] -= total
         # what each row was multiplied by is taken out of the narrow side of the products
         scale = (1 / total)[:, None]
@@ -199,6 +198,24 @@ def backward(h: np.ndarray, weights: np.ndarray, at: np.ndarray, safe: bool, dh:
     return np.ascontiguousarray(gradient)
 
 
+def backward_of(h: np.ndarray, weights: np.ndarray, groups: list[tuple[int, slice]], at: np.ndarray, safe: bool, dh: np.ndarray) -> np.ndarray:
+    """``backward`` of several small classes, whose rows share what can be done for all at once."""
+    x = np.empty((len(h), weights.shape[2]), np.result_type(h, weights))
+    for c, own in groups:
+        np.matmul(h[own], weights[c], out=x[own])
+    x, total = exponentials(x, safe)
+    x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at] -= total
+    scale = (1 / total)[:, None]
+    scaled, back = h * scale, np.empty(dh.shape, x.dtype)
+    gradients = np.empty((len(groups), *weights.shape[1:]), x.dtype)
+    for k, (c, own) in enumerate(groups):
+        np.matmul(x[own], weights[c, :HIDDEN].T, out=back[own])
+        np.matmul(scaled[own].T, x[own], out=gradients[k])
+    back *= scale
+    dh += back
+    return gradients
+
+
 def sums_of_runs(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The sum of the rows from each of ``first`` up to the next: long runs one by one, short ones together."""
     lengths = np.diff(np.append(first, len(rows)))
@@ -240,6 +257,23 @@ def by_class(cls: np.ndarray, classes: int) -> Iterator[tuple[int, slice]]:
             yield c, slice(start, stop)
 
 
+def stretches(cls: np.ndarray, classes: int) -> Iterator[tuple[slice, list[tuple[int, slice]]]]:
+    """Stretches of ``cls``, which is sorted, and the classes in each with their places there.
+
+    A stretch has one class, or several of which a softmax has about CACHED numbers.
+    """
+    size = max(1, CACHED // classes)
+    start, stop, groups = 0, 0, []
+    for c, own in by_class(cls, classes):
+        if groups and own.stop - start > size:
+            yield slice(start, stop), groups
+            start, groups = own.start, []
+        stop = own.stop
+        groups.append((c, slice(own.start - start, stop - start)))
+    if groups:
+        yield slice(start, stop), groups
+
+
 def log_probabilities(p: dict, stream: np.ndarray) -> np.ndarray:
     """Log-probability of each word given the words on both its sides; 0 for edges and the SIDE places at either end."""
     classes = p["classes"].shape[1]
@@ -286,8 +320,17 @@ class Trainer:
         dh = np.zeros((m, HIDDEN), np.float32)
         self.update("classes", slice(None), backward(h, p["classes"], cls, bounded(p["classes"]), dh))
         safe = bounded(p["places"])
-        for c, own in by_class(cls, classes):  # only the classes that occur
-            self.update("places", c, backward(h[own], p["places"][c], place[own], safe, dh[own]))
+        for own, groups in stretches(cls, classes):  # only the classes that occur
+            first, last = groups[0][0], groups[-1][0]
+            if first == last:
+                self.update("places", first, backward(h[own], p["places"][first], place[own], safe, dh[own]))
+                continue
+            gradients = backward_of(h[own], p["places"], groups, place[own], safe, dh[own])
+            if last - first < len(groups):
+                self.update("places", slice(first, last + 1), gradients)
+            else:
+                for (c, _), gradient in zip(groups, gradients, strict=True):
+                    self.update("places", c, gradient)
         h = h[:, :HIDDEN]
         dh *= 1 - h * h
         self.update("bias", slice(None), dh.sum(axis=0))
