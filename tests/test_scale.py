@@ -175,3 +175,29 @@ def test_tours_find_their_stops_once(spark):
     rows = sorted((r.item, r.step, r.line) for r in lines.collect())
     assert [r[:2] for r in rows] == [(0, 0), (1, 0), (1, 1), (1, 2), (3, 0)]
     assert "<latitude>1.00000000</latitude>" in rows[1][2]
+
+
+def test_no_order_of_rows_decides_an_index_at_a_tie(spark):
+    """42.9 over 22.21 m, 89 over 19.18 m and 44.5 over 21.29 m have a mean of 57.55, of which the sum in one of the two orders lacks the last bit."""
+    from wayside.operators import score
+
+    rows = [(1, 42.9, 22.21), (1, 89.0, 19.18), (1, 44.5, 21.29)]
+    none = spark.createDataFrame([], "run_id long, cls string, severity int")
+    for r in (rows, rows[::-1]):
+        segments = spark.createDataFrame(r, "run_id long, quality_index double, length_m double").coalesce(1)
+        got = score.summarize(none, segments).first()
+        assert (got.quality_index, got.route_length_m, got.raw_length_m) == (57.6, 62.7, 62.68)
+
+
+def test_penalties_have_one_sum_in_any_order(spark):
+    from itertools import permutations
+
+    from wayside.operators import score
+
+    names = spark.createDataFrame([("a", 3.0), ("b", 2.5), ("c", 1.0)], "cls string, weight double")
+    found = [("a", 3, 0.39), ("b", 3, 0.79), ("c", 1, 0.44)]
+    orders = list(enumerate(permutations(found)))
+    f = spark.createDataFrame([(run, f"f-{t}", float(t), *x) for run, order in orders for t, x in enumerate(order)], "run_id long, finding_id string, t_sec double, cls string, severity int, confidence double")
+    segments = spark.createDataFrame([(run, 0.0, 0) for run, _ in orders], "run_id long, t_start double, seg_id int")
+    got = score.members_of(segments, f, names).collect()
+    assert len(got) == 6 and {r.penalty for r in got} == {(1.0 * 0.44 + 9.0 * 0.39) + 7.5 * 0.79}

@@ -76,26 +76,32 @@ def members_of(segments: DataFrame, findings: DataFrame, taxonomy: DataFrame) ->
         "run_id", F.col("t_sec").alias("t"), "finding_id", penalty(F.coalesce("weight", F.lit(1.0)), F.col("severity"), F.col("confidence")).alias("_p")
     )
     held = asof(f, segments.select("run_id", F.col("t_start").alias("t"), "seg_id"), ["seg_id"]).withColumn("seg_id", F.col("before.seg_id")).filter("seg_id is not null")
-    return held.groupBy("run_id", "seg_id").agg(F.sum("_p").alias("penalty"), F.array_sort(F.collect_list("finding_id")).alias("finding_ids"))
+    # from the least on: a sum in the order of the shuffle may lack a last bit, which decides indexes at a tie
+    total = F.aggregate(F.array_sort(F.collect_list("_p")), F.lit(0.0), lambda a, x: a + x)
+    return held.groupBy("run_id", "seg_id").agg(total.alias("penalty"), F.array_sort(F.collect_list("finding_id")).alias("finding_ids"))
 
 
 def summarize(findings: DataFrame, segments: DataFrame) -> DataFrame:
     """Quality index, grade, counts and length of each run; a run without segments has index 100.
 
-    ``raw_length_m`` is the length before it is rounded to a decimal, on which engines differ at ties.
+    ``raw_length_m`` is the length before it is rounded to a decimal, on which engines differ at ties. Segments have lengths in
+    hundredths and indexes in tenths; these are summed as whole numbers, so that no order of rows decides a tie.
     """
+    cents, tenths = F.round(F.col("length_m") * 100).try_cast("long"), F.round(F.col("quality_index") * 10).cast("long")
     s = segments.groupBy("run_id").agg(
-        F.sum("length_m").alias("_len"), F.sum(F.col("quality_index") * F.col("length_m")).alias("_ql"), F.avg("quality_index").alias("_q")
+        F.sum(cents).alias("_len"), F.sum(tenths * cents).alias("_ql"), (F.avg(tenths) / 10).alias("_q"), F.max("length_m").alias("_longest")
     )
+    # NaN is the greatest number
+    length = F.when(F.isnan("_longest"), F.col("_longest")).otherwise(F.coalesce(F.col("_len") / 100, F.lit(0.0)))
     by_class = findings.groupBy("run_id", "cls").agg(F.count(F.lit(1)).alias("n")).groupBy("run_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("cls", "n")))).alias("counts"), F.sum("n").alias("total_findings")
     )
     by_severity = findings.groupBy("run_id", F.col("severity").cast("string").alias("s")).agg(F.count(F.lit(1)).alias("n")).groupBy("run_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("s", "n")))).alias("severity_histogram")
     )
-    overall = F.coalesce(F.when(F.col("_len") > 0, F.col("_ql") / F.col("_len")).otherwise(F.col("_q")), F.lit(100.0))
+    overall = F.coalesce(F.when(F.isnan("_longest"), F.col("_longest")).when(F.col("_len") > 0, F.col("_ql") / (F.col("_len") * 10)).otherwise(F.col("_q")), F.lit(100.0))
     return s.join(by_class, "run_id", "full_outer").join(by_severity, "run_id", "full_outer").select(
         "run_id", to_tenth(overall).alias("quality_index"), grade_for(overall).alias("grade"), "counts", "severity_histogram",
-        F.coalesce("total_findings", F.lit(0)).alias("total_findings"), F.round(F.coalesce("_len", F.lit(0.0)), 1).alias("route_length_m"),
-        F.coalesce("_len", F.lit(0.0)).alias("raw_length_m"),
+        F.coalesce("total_findings", F.lit(0)).alias("total_findings"), F.round(length, 1).alias("route_length_m"),
+        length.alias("raw_length_m"),
     )
