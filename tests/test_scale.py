@@ -201,3 +201,31 @@ def test_penalties_have_one_sum_in_any_order(spark):
     segments = spark.createDataFrame([(run, 0.0, 0) for run, _ in orders], "run_id long, t_start double, seg_id int")
     got = score.members_of(segments, f, names).collect()
     assert len(got) == 6 and {r.penalty for r in got} == {(1.0 * 0.44 + 9.0 * 0.39) + 7.5 * 0.79}
+
+
+def test_masks_in_a_row_are_fitted_where_they_lie(spark):
+    """Whole masks give the fits of their runs, and none of their rows is shuffled; the horizons rest on one shuffle of fits."""
+    import random
+
+    from wayside.plans import catalogue
+
+    rnd = random.Random(11)
+    rows = []
+    for f in range(40):
+        top, rate = rnd.randrange(50), rnd.uniform(0.2, 3.0)
+        for r in range(top, top + rnd.randrange(20, 130)):
+            half = int((r - top + 5) * rate) + rnd.randrange(4)
+            for _ in range(rnd.randrange(1, 4)):
+                rows.append((7, f, r, 300 - half + rnd.randrange(half + 1), 300 + half - rnd.randrange(half + 1)))
+    rnd.shuffle(rows)
+    runs = spark.createDataFrame(rows, "run_id long, frame long, row_no long, col_start long, col_end long")
+    masks = runs.groupBy("run_id", "frame").agg(F.collect_list(F.struct("row_no", "col_start", "col_end")).alias("mask"))
+    none = spark.createDataFrame([(7, 90, None), (7, 91, []), (7, 92, [(None, 1, 2), (3, None, 5)])], "run_id long, frame long, mask array<struct<row_no:long,col_start:long,col_end:long>>")
+    want = zone.horizon_fit(zone.fit_rows(zone.row_spans(runs), 30, 0.3, 60), 600).collect()
+    got = {r.frame: r for r in zone.mask_fits(masks.unionByName(none), 600, 30, 0.3, 60).collect()}
+    assert len(want) == len(got) > 10 and any(r.frame not in got for r in runs.select("frame").distinct().collect())
+    for r in want:
+        assert all(abs(r[c] - got[r.frame][c]) < 1e-9 * max(1, abs(r[c])) for c in ("horizon", "slope", "r2"))
+    assert "Exchange" not in plan(zone.mask_fits(none.limit(0), 600))
+    text = plan(catalogue.horizons(spark, SF)).split("== Physical Plan ==")[-1]
+    assert "Join" not in text and "Generate" not in text and text.count("Exchange") == 2

@@ -5,6 +5,11 @@ Masks are runs (run_id, frame, row_no, col_start, col_end); without a run_id all
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +20,8 @@ from wayside.operators.grouped import in_groups
 OFF_ROAD = ("footpath", "footway", "sidewalk", "walkway", "pedestrian", "verge", "kerb", "curb", "roadside", "median", "central reserve")
 ON_ROAD = ("carriageway", "crack", "pothole", "rut", "wheel path", "wheel track", "asphalt", "bitumen", "tarmac", "chipseal", "aggregate", "surface")
 MIN_WIDTH_M, MAX_WIDTH_M = 1.5, 40.0
+#: Masks that are fitted at once in a task.
+FITTED = 512
 
 
 def frame_key(df: DataFrame) -> list[str]:
@@ -216,6 +223,68 @@ def horizon_fit(spans: DataFrame, width: int, min_rows: int = 10) -> DataFrame:
     return fit.filter((F.col("rows") >= min_rows) & (F.col("slope") > 1e-6)).select(*key, (-F.col("intercept") / F.col("slope")).alias("horizon"), "slope", "r2")
 
 
+def mask_fits(masks: DataFrame, width: int, n: int = 40, top: float = 0.30, least: int = 80, min_rows: int = 10) -> DataFrame:
+    """The fits of ``horizon_fit`` over the rows of ``fit_rows``, from masks that lie whole in a row.
+
+    ``masks`` is (run_id, frame, mask), ``mask`` an array of struct (row_no, col_start, col_end) in any order, and a frame is one
+    row. Each gives its fit where it lies, so no row of a mask is shuffled, sorted by Spark or joined. Runs that lack a value are left out.
+    """
+    key = frame_key(masks)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FITTED):
+                part = batch.slice(at, FITTED)
+                own, *fits = _mask_fits(part.column("mask"), width, n, top, least, min_rows)
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(own)) for c in key], *map(pa.array, fits)], [*key, "horizon", "slope", "r2"])
+
+    kinds = ", ".join(f"{c} {masks.schema[c].dataType.simpleString()}" for c in key)
+    return masks.select(*key, "mask").mapInArrow(kernel, f"{kinds}, horizon double, slope double, r2 double")
+
+
+def _mask_fits(masks: pa.Array, width: int, n: int, top: float, least: int, min_rows: int) -> tuple[np.ndarray, ...]:
+    """Places of the masks that have a fit, their horizons, slopes and r2. Sums are of whole numbers."""
+    flat = masks.flatten()
+    columns = [pc.struct_field(flat, c) for c in ("row_no", "col_start", "col_end")]
+    known = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+    own = np.repeat(np.arange(len(masks)), pc.list_value_length(masks).fill_null(0).to_numpy(zero_copy_only=False))[known]
+    row, start, end = (c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[known] for c in columns)
+    order = np.lexsort((end, start, row, own))
+    row, start, end = row[order], start[order], end[order]
+    # rows of masks: extent and pixels, run by run from the left
+    first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (row[1:] != row[:-1])][: len(own)])
+    count = np.diff(np.r_[first, len(own)])
+    own, row, left, right, pixels = own[first], row[first], start[first], end[first], (end - start)[first] + 1
+    for k in range(1, count.max(initial=0)):
+        g = np.flatnonzero(count > k)
+        a, b = start[first[g] + k], end[first[g] + k]
+        pixels[g] += np.where(a > right[g] + 1, b - a + 1, np.maximum(0, b - right[g]))
+        right[g] = np.maximum(right[g], b)
+    # masks with enough rows, and the rows they are fitted on
+    head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+    size = np.diff(np.r_[head, len(own)])
+    enough = size >= least
+    held = np.flatnonzero(np.repeat(enough, size))
+    head, size = head[enough], size[enough]
+    rank = np.repeat(np.arange(len(head)), size)
+    lo, hi = row[head], row[head + size - 1]
+    begin = lo + top * (hi - lo)
+    want = np.floor(begin[:, None] + np.arange(n - 1) * ((hi - begin) / (n - 1))[:, None]).astype(np.int64)
+    want = np.c_[want, hi] - lo[:, None]
+    once = np.c_[np.ones(len(head), bool), want[:, 1:] != want[:, :-1]]
+    tall = (hi - lo).max(initial=0) + 1
+    places, sought = rank * tall + row[held] - lo[rank], np.arange(len(head))[:, None] * tall + want
+    at = np.minimum(np.searchsorted(places, sought), max(len(places) - 1, 0))
+    g = held[at]
+    used = once & (places[at] == sought) & (pixels[g] >= 2) & (left[g] > 0) & (right[g] < width - 1)
+    x, y, m = want * used, (right[g] - left[g] + 1) * used, used.sum(1)
+    sx, sy = x.sum(1), y.sum(1)
+    vx, vy, both = (m * (x * x).sum(1) - sx * sx).astype(float), (m * (y * y).sum(1) - sy * sy).astype(float), (m * (x * y).sum(1) - sx * sy).astype(float)
+    sound = np.flatnonzero((m >= min_rows) & (vx > 0) & (both > 1e-6 * vx))
+    slope, r2 = both[sound] / vx[sound], both[sound] / vx[sound] * both[sound] / vy[sound]
+    return own[head[sound]], lo[sound] + (sx[sound] - sy[sound] / slope) / m[sound], slope, r2
+
+
 def estimate_horizon(fits: DataFrame, height: int, camera_height_m: float = 1.35, min_r2: float = 0.80, least: int = 5) -> DataFrame:
     """For each run the median horizon of its good fits, where there are ``least`` of them, and how far it can be trusted.
 
@@ -224,13 +293,13 @@ def estimate_horizon(fits: DataFrame, height: int, camera_height_m: float = 1.35
     """
     key = [c for c in ("run_id",) if c in fits.columns]
     good = fits.filter((F.col("r2") >= min_r2) & F.col("horizon").between(-0.5 * height, 0.95 * height))
-    rows = good.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.median("horizon").alias("horizon"))
-    placed = good.withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy("horizon")) - 1)
-    at = lambda q: F.max(F.when(F.col("_at") == F.floor(F.col("n") * q), F.col("h")))
-    placed = placed.select(*key, F.col("horizon").alias("h"), "_at")
-    both = placed.join(rows, key) if key else placed.crossJoin(F.broadcast(rows))
+    own = Window.partitionBy(*key)
+    placed = good.select(*key, F.col("horizon").alias("h"), F.count(F.lit(1)).over(own).alias("n"), (F.row_number().over(own.orderBy("horizon")) - 1).alias("_at"))
+    at = lambda place: F.max(F.when(F.col("_at") == F.floor(place), F.col("h")))
+    middle = (at((F.col("n") - 1) / 2) + at(F.col("n") / 2)) / 2
+    rows = placed.groupBy(*key, "n").agg(middle.alias("horizon"), (at(F.col("n") * 0.9) - at(F.col("n") * 0.1)).alias("spread"))
     bottom = height - 1.0
-    return both.groupBy(*key, "n", "horizon").agg((at(0.9) - at(0.1)).alias("spread")).filter(F.col("n") >= least).select(
+    return rows.filter(F.col("n") >= least).select(
         *key, "n", "horizon", "spread", ((F.col("horizon") - height / 2.0) / height).alias("pitch_offset_frac"),
         F.when(F.col("horizon") < bottom, camera_height_m / (bottom - F.col("horizon"))).alias("m_per_px_at_bottom"),
     )
