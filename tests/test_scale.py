@@ -229,3 +229,56 @@ def test_masks_in_a_row_are_fitted_where_they_lie(spark):
     assert "Exchange" not in plan(zone.mask_fits(none.limit(0), 600))
     text = plan(catalogue.horizons(spark, SF)).split("== Physical Plan ==")[-1]
     assert "Join" not in text and "Generate" not in text and text.count("Exchange") == 2
+
+
+def test_frames_are_suppressed_without_joins(spark):
+    """Rows keep their columns through the kernel, however frames lie in batches and whatever their sizes; one shuffle at most."""
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for run, frame, n in [(1, "a", 1), (1, "b", 40), (2, "a", 7), (2, "b", 3), (2, "c", 90)]:
+        for seq in range(n):
+            x, y = rnd.randrange(60), rnd.randrange(60)
+            rows.append((run, frame, rnd.choice(["p", "q", None]), seq, rnd.choice([0.5, 0.7, rnd.random()]), (float(x), float(y), x + 30.0, y + 30.0), f"{run}{frame}{seq}"))
+    literal = []
+    for run, frame in {r[:2] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[:2] == (run, frame)), key=lambda r: (-r[4], r[3])):
+            if all(k[2] != r[2] or perception._iou(k[5], r[5]) <= 0.3 for k in kept):
+                kept.append(r)
+        literal += kept[:12]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame([*rows, (None, "a", "p", 1, 0.9, (0.0, 0.0, 9.0, 9.0), "")], "run_id long, frame_id string, cls string, det_seq long, confidence double, box struct<x1:double,y1:double,x2:double,y2:double>, more string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = perception.suppress(df, 0.3, 12)
+        assert sorted(r.more for r in got.collect()) == sorted(r[6] for r in literal)
+        assert perception.suppress(df.limit(0)).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    text = plan(perception.suppress(df, 0.3, 12)).split("== Physical Plan ==")[-1]
+    assert "Join" not in text and "Window" not in text and text.count("Exchange") == 1
+
+
+def test_whole_looks_are_merged_where_they_lie(spark):
+    """Frames with their looks and anchors in a row give what the rows of both give; the query shuffles only its frames' events."""
+    from wayside.operators import tiles
+    from wayside.plans import further
+
+    frames = spark.createDataFrame([(1, "f", 1280, 720), (2, "f", 600, 500), (3, "f", 1920, 1080)], "run_id long, frame_id string, width int, height int")
+    n = lambda look, k, i, top: (F.pmod(F.xxhash64("run_id", look, k, F.lit(i)), F.lit(top * 10)) / 10.0)
+    sides = lambda look, k: [n(look, k, i, top).alias(c) for i, (c, top) in enumerate([("cx", 640), ("cy", 640), ("w", 200), ("h", 200)])]
+    scores = lambda look, k: F.when(k == 7, F.lit(None)).otherwise(F.array(n(look, k, 8, 1), n(look, k, 9, 1), F.lit(0.5))).alias("scores")
+    packed = tiles.whole_looks(frames).withColumn("looks", F.transform("looks", lambda t: t.withField("anchors", F.transform(
+        F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")), lambda k: F.struct(k.alias("anchor_id"), *sides(t["look"], k), scores(t["look"], k))))))
+    hollow = packed.withColumn("run_id", F.col("run_id") + 9).withColumn("looks", F.when(F.col("run_id") == 10, F.slice("looks", 1, 0)).when(F.col("run_id") == 11, F.transform("looks", lambda t: t.withField("anchors", F.slice(t["anchors"], 1, 0)))))
+    known, classes = spark.createDataFrame([("a", "A"), ("c", "C")], "cls string, label string"), ["a", "b", "c"]
+    seen = tiles.looks(frames)
+    anchors = packed.select("run_id", "frame_id", F.explode("looks").alias("t")).select("run_id", "frame_id", "t.look", F.explode("t.anchors").alias("a")).select("run_id", "frame_id", "look", "a.*")
+    want = tiles.merge_looks(anchors, seen, classes, known, threshold=0.4).collect()
+    got = tiles.merge_whole_looks(packed.unionByName(hollow), classes, known, threshold=0.4)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want)) and len(want) > 20
+    assert "Exchange" not in plan(tiles.merge_whole_looks(packed, classes)).split("== Physical Plan ==")[-1]
+    text = plan(further.merged_looks(spark, SF)).split("== Physical Plan ==")[-1]
+    assert "SortMergeJoin" not in text and text.count("Exchange hashpartitioning") == 1
